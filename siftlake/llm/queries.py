@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import elias_fano, packing, simhash, tokens
+from siftlake.llm import chunk_dedup, decontaminate, elias_fano, line_quality, lm, packing, pii, simhash, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +19,64 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(split(base, ','), s -> startswith(s, '{k}:'))) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = elias_fano.write_shards(_table(spark, sf_dir, "documents"), tokens.default_path(), end=2)
     return elias_fano.read_shards(manifest)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(_table(spark, sf_dir, "documents")).drop("removed_words").withColumnRenamed("id", "doc_id")
+
+
 def op7_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(_table(spark, sf_dir, "documents"), tokens.default_path(), capacity=4096, end=1)
     return packing.pack(pieces, capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op4_elias_fano_tokens, op7_genetic_packing)}
+def op8_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    machine, chosen = toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn=~held)
+    scored = toxicity.score(docs.select("doc_id", "text"), machine, chosen)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "first_ids")
+
+
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
+
+
+_ALL = (
+    op1_simhash_near_dedup,
+    op2_maxent_lm,
+    op3_crf_pii,
+    op4_elias_fano_tokens,
+    op5_suffix_dedup,
+    op6_line_quality,
+    op7_genetic_packing,
+    op8_fm_toxicity,
+    op9_gear_chunk_dedup,
+    op10_simhash_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
