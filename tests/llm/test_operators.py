@@ -1,0 +1,517 @@
+"""Each operator against brute force on a small table and on hostile rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from siftlake.llm import chunk_dedup, components, decontaminate, elias_fano, line_quality, lm, packing, pii, queries, simhash, suffix_dedup, text, tokens, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.collect()]
+
+
+def both(documents, hostile):
+    return [documents, hostile]
+
+
+# --- 1
+
+
+def brute_fp(t, n=3):
+    w = WORD.findall(lower(t))
+    if not w:
+        return 0
+    sh = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_groups(fps, ids, radius):
+    n = len(fps)
+    f = np.array(fps, np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= radius
+    label = list(range(n))
+    while True:
+        new = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(n)]
+        if new == label:
+            break
+        label = new
+    least = defaultdict(list)
+    for x, i in zip(label, ids, strict=True):
+        if i is not None:
+            least[x].append(i)
+    return [min(least[x]) if least[x] else None for x in label]
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile"])
+def test_simhash_groups(which, request):
+    df = request.getfixturevalue(which)
+    rows = rows_of(df)
+    fps = [brute_fp(t) for _, t in rows]
+    want = sorted(map(str, zip([i for i, _ in rows], fps, brute_groups(fps, [i for i, _ in rows], 2), strict=True)))
+    got = sorted(str((r["id"], r["fp"] % (1 << 64), r["component_id"])) for r in simhash.near_groups(df).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize(("radius", "segments", "chain"), [(2, 3, 2), (2, 3, 1), (7, 4, 1), (4, 3, 1), (3, 4, 1)])
+def test_ring_pairs_lose_nothing(spark, radius, segments, chain):
+    v = np.unique(np.random.default_rng(radius).integers(0, 1 << 11, 700).astype(np.int64) * 0x0040100401004011)
+    fps = spark.createDataFrame([(int(x),) for x in v], "fp long")
+    d = np.bitwise_count(v.view(np.uint64)[:, None] ^ v.view(np.uint64)[None, :])
+    want = {(int(min(v[i], v[j])), int(max(v[i], v[j]))) for i, j in zip(*np.nonzero((d > 0) & (d <= radius)), strict=True)}
+    got = [(r.a, r.b) for r in simhash.ring_pairs(fps, radius, segments, chain).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(None, 3), (5, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {7: 7} | {i: 7 for i in range(200, 400)}
+
+
+# --- 2
+
+
+def test_lm_base_is_exact_and_the_model_beats_it(documents, hostile):
+    for df in (documents, hostile):
+        rows = rows_of(df)
+        toks = [[*WORD.findall(lower(t)), None] for _, t in rows]
+        held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+        c = Counter(w for own, h in zip(toks, held, strict=True) if not h for w in own)
+        n, v = sum(c.values()), len(c)
+        want = sorted((str(i), h, len(own), sum(c[w] > 0 for w in own), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), 4)) for (i, _), h, own in zip(rows, held, toks, strict=True))
+        got = lm.score(df, fit_docs=150, rounds=2).collect()
+        assert sorted((str(r["id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+        if df is documents:
+            out = [r for r in got if r["held_out"]]
+            assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over every class the softmax is a distribution, and each head class's shares add up to one."""
+    x = np.random.default_rng(1).normal(size=(5, lm.CLASSES)).astype(np.float32)
+    total = sum(np.exp(lm._log_softmax(x.copy(), np.full(5, k))) for k in range(lm.CLASSES))
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+# --- 3
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(re.sub("[^0-9]", "", m))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def brute_base(t):
+    out = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(t) if ok(m[0])]
+    return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+HARD = [
+    "a@b.c@d.ef x@@y.z .@a.b a@b a.b-c%d+e@host.x-y.z.",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.2.3 9.9.9.9.9",
+    "4111 1111 1111 1111 4111-1111-1111-1111, 4111  1111 1111 1111 79927398713 5500005555555559",
+    "+1 (017) 555-7713 +12 +1234567890123456 ++49 30 123456. +4 )(.-9",
+    "a@b.c_x@d.e%@f.g é@ä.b ü+1 555 123 4567 x",
+    "9" * 3000 + "." + "1" * 2000,
+]
+
+
+def test_pii_base_spans():
+    for t in HARD:
+        assert pii.written(pii.base_spans(t)) == brute_base(t), t
+
+
+def test_pii_query_on_tables(spark, sf_dir, documents):
+    want = {i: brute_base(t) for i, t in rows_of(documents)}
+    for r in queries.op3_crf_pii(spark, sf_dir).collect():
+        base = want[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [base.count(f"{k}:") for k in pii.KINDS]
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+
+
+def test_pii_hostile(hostile, none_at_all):
+    got = pii.find(hostile).collect()
+    assert len(got) == hostile.count()
+    assert sorted(str(r["id"]) + r["base"] for r in got) == sorted(str(i) + brute_base(t) for i, t in rows_of(hostile))
+    assert pii.find(none_at_all).count() == 0
+
+
+def test_field_finds_what_patterns_miss_and_leaves_numbers_alone():
+    model = pii.train(pii.labelled_table())
+    texts = ["call me, tel 017-555-7713 now", "phone (212) 555-0182, please", "visa 4111.1111.1111.1111 ok", 'token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" x', "version 2.0. and CC BY-NC 4.0.", "on 2024-01-05 at 12:30 we sold 1,024 for $12.50", "order 4952935900253053 came"]
+    found = [[pii.KINDS[k] for _, _, k in own] for own in pii.field_spans(texts, model)]
+    assert found == [["phone"], ["phone"], ["card"], [], [], [], []]
+
+
+def test_field_decodes_the_best_path():
+    rng = np.random.default_rng(2)
+    m = pii.Field({}, np.zeros((0, 9)), rng.normal(size=(9, 9)), rng.normal(size=9))
+    s = rng.normal(size=(6, 3, 9))
+    paths = [(a, b, c) for a in range(9) for b in range(9) for c in range(9)]
+    for k, got in enumerate(m.decode(s)):
+        score = [m.first[a] + s[k, 0, a] + m.move[a, b] + s[k, 1, b] + m.move[b, c] + s[k, 2, c] for a, b, c in paths]
+        assert tuple(got) == paths[int(np.argmax(score))]
+
+
+def test_redaction():
+    t = "mail a.b@c.de or +1 (017) 555-7713."
+    assert pii.redact(t, pii.base_spans(t)) == "mail [EMAIL] or [PHONE]."
+
+
+# --- 4 and 7
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return tokens.default_path()
+
+
+def test_encoder_equals_the_library(documents, hostile, tokenizer):
+    e = tokens.Encoder(tokenizer)
+    odd = ["x<|endoftext|>'s a <|startoftext|>", "É'S ΟΔΟΣ² İI _a_ a b \x1cq\x1dr it's_ '' \"'s  don'T ½ 123abc", "", " \n", "日本語 テキスト🙂a", "á éx ́y"]
+    for t in [t for _, t in rows_of(documents) + rows_of(hostile)] + odd:
+        assert e.encode([t], 2)[0].tolist() == [*e.model.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 1), (1, 1), (1, 10**12), (1000, 50), (3000, 10**6), (700, 10**15)):
+        v = np.sort(rng.integers(0, top, n))
+        e = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.encode(v).to_bytes())
+        assert e.decode().tolist() == v.tolist()
+        assert [e.select(i) for i in range(0, n, 13)] == v[::13].tolist()
+        if n > 500:
+            assert 8 * len(e.to_bytes()) / n < 2.6 + max(0, math.log2(max(1, top / n))) + 8 * 33 / n
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
+def test_token_shards(which, request, tokenizer):
+    df = request.getfixturevalue(which)
+    e, rows = tokens.Encoder(tokenizer), rows_of(df)
+    got = elias_fano.read_shards(elias_fano.write_shards(df, tokenizer, end=2)).orderBy("start").collect()
+    by_id = defaultdict(list)
+    for i, t in rows:
+        ids = e.encode([t], 2)[0].astype("<u4")
+        by_id[i].append((len(ids), zlib.crc32(ids.tobytes())))
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        assert (r["n_tokens"], r["ids_crc32"]) in by_id[r["doc_id"]]
+        at += r["n_tokens"]
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
+def test_packing(which, request, tokenizer):
+    df = request.getfixturevalue(which)
+    e = tokens.Encoder(tokenizer)
+    want = Counter()
+    for i, t in rows_of(df):
+        ids = e.encode([t], 1)[0].astype("<u4")
+        want.update((i, k // 512, k, len(ids[k : k + 512]), zlib.crc32(ids[k : k + 512].tobytes())) for k in range(0, len(ids), 512))
+    got = packing.pack(packing.cut(df, tokenizer, 512), 512, block=150).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 512
+    total = sum(r.length for r in got)
+    assert len(bins) <= -(-total // 512) * 1.02 + 1
+
+
+def test_packing_of_pieces_that_never_pair(spark):
+    df = spark.createDataFrame([(i, 300) for i in range(500)], "doc_id long, length long")
+    got = packing.pack(df, 512, block=100).collect()
+    assert len(got) == 500
+    assert len({r.sequence_id for r in got}) == 500
+
+
+# --- 5
+
+
+def brute_suffix(rows, n=50):
+    least = {}
+    for i, t in rows:
+        b = t.encode()
+        for k in range(len(b) - n + 1):
+            s = b[k : k + n]
+            if i is not None and (s not in least or i < least[s]):
+                least[s] = i
+    out = []
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - n + 1):
+            if i is not None and least[b[k : k + n]] < i:
+                gone[k : k + n] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((str(i), len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
+def test_suffix_dedup(which, hot, request, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    df = request.getfixturevalue(which)
+    got = [(str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], suffix_dedup.sha256(r["kept"])) for r in suffix_dedup.dedup(df).collect()]
+    assert sorted(got) == brute_suffix(rows_of(df))
+
+
+def test_maximal_repeats_list_all_occurrences():
+    rng = np.random.default_rng(3)
+    base = bytes(rng.integers(97, 99, 60).astype(np.uint8))
+    texts = [b"xx" + base + b"y", base[:30] + b"q" + base, bytes(rng.integers(97, 99, 90).astype(np.uint8)), base, base[5:45] * 2]
+    least = 8
+    want = defaultdict(set)
+    for n in range(least, 70):
+        at = defaultdict(set)
+        for i, t in enumerate(texts):
+            for k in range(len(t) - n + 1):
+                at[t[k : k + n]].add((i, k))
+        for where in at.values():
+            if len(where) < 2:
+                continue
+            before = {texts[i][k - 1] if k else (i, k, "start") for i, k in where}
+            after = {texts[i][k + n] if k + n < len(texts[i]) else (i, k, "end") for i, k in where}
+            if len(before) > 1 and len(after) > 1:
+                want[n].add(frozenset(where))
+    got = defaultdict(set)
+    for n, own, place in suffix_dedup.maximal_repeats(texts, least):
+        got[n].add(frozenset(zip(own.tolist(), place.tolist(), strict=True)))
+    assert got == want
+
+
+# --- 6
+
+
+def brute_lines(rows, min_docs, max_share):
+    norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
+    hosts, held = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        hosts[s].add(t)
+        for line in t.split("\n"):
+            if WORD.search(line):
+                held[s, norm(line)].add(t)
+    out = []
+    for i, t, s in rows:
+        w = WORD.findall(t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        inside = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        gone = sum(len(WORD.findall(x)) for x in lines if len(held[s, norm(x)]) > min_docs and len(held[s, norm(x)]) > len(hosts[s]) * max_share)
+        failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+        out.append((str(i), len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside), failed, gone, not failed and 2 * gone <= len(w)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
+def test_line_quality(which, request):
+    df = request.getfixturevalue(which)
+    rows = [(r["doc_id"], r["text"] or "", r["source"] or "") for r in df.collect()]
+    for limits in ((1, 0.0), (50, 0.2)):
+        got = sorted((str(r["id"]), *r[1:]) for r in line_quality.judge(df, min_docs=limits[0], max_share=limits[1]).collect())
+        assert got == brute_lines(rows, *limits)
+
+
+# --- 8
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Fitted and judged at a size where insults are seen often enough."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = queries.op8_fm_toxicity(spark, sf).collect()
+    assert len(got) == 1000
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    test = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert sum(p == y for p, y in test) / len(test) > 0.9
+
+
+def test_machine_learns_a_pair_that_single_terms_cannot():
+    """Label 1 only where exactly one of two terms is there."""
+    row, term, y = [], [], []
+    for i in range(400):
+        own = [i % 2, 2 * 0 + (i // 2) % 2]
+        row += [i] * sum(own)
+        term += [k for k, on in enumerate(own) if on]
+        y.append(own[0] ^ own[1])
+    m = toxicity.Machine(2)
+    m.fit(np.array(row), np.array(term), np.array(y, float), np.ones(400), rounds=600)
+    p = 1 / (1 + np.exp(-m.raw(np.array(row), np.array(term), 400)))
+    assert (np.round(p) == y).all()
+
+
+def test_toxicity_hostile(spark, hostile, none_at_all):
+    labels = spark.createDataFrame([(1, 1), (None, 1), (4, None), (7, 0), (7, 0)], "doc_id long, toxic int")
+    machine, chosen = toxicity.fit(hostile, labels)
+    got = toxicity.score(hostile, machine, chosen)
+    assert got.columns == [c for c in hostile.columns if c != "score"] + ["score"]
+    assert got.count() == hostile.count()
+    assert got.where("text IS NULL").count() == 1
+    machine, chosen = toxicity.fit(none_at_all, labels.where("false"))
+    assert [r.score for r in toxicity.score(hostile, machine, chosen).select("score").distinct().collect()] != []
+    assert toxicity.score(none_at_all, machine, chosen).count() == 0
+
+
+# --- 9
+
+
+def brute_chunks(b):
+    h, last, ends = 0, 0, []
+    for k, x in enumerate(b):
+        h = ((h << 1) + int(chunk_dedup.GEAR[x])) & 0xFFFFFFFF
+        if h >> (32 - chunk_dedup.CUT_BITS) == 0 and k + 1 - last >= chunk_dedup.SHORTEST:
+            ends.append(k + 1)
+            last = k + 1
+    if last < len(b):
+        if ends and len(b) - last < chunk_dedup.SHORTEST:
+            ends.pop()
+        ends.append(len(b))
+    return ends
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
+def test_chunk_dedup(which, request):
+    df = request.getfixturevalue(which)
+    rows = rows_of(df)
+    every = []
+    for n, (i, t) in enumerate(rows):
+        b = t.encode()
+        ends = brute_chunks(b)
+        every.extend((i is None, i or 0, a, b[a:z], n) for a, z in zip([0, *ends], ends, strict=False))
+    first = {}
+    for none, i, a, s, _ in sorted(every, key=lambda x: x[:3]):
+        first.setdefault(s, (none, i, a))
+    gone = defaultdict(list)
+    for none, i, a, s, n in every:
+        if not none and first[s] != (none, i, a):
+            gone[n].append((a, a + len(s), first[s][1]))
+    want = []
+    for n, (i, t) in enumerate(rows):
+        b, spans = t.encode(), sorted(gone[n])
+        kept, at = b"", 0
+        for a, z, _ in spans:
+            kept, at = kept + b[at:a], z
+        runs = sum(1 for k, s in enumerate(spans) if k == 0 or spans[k - 1][1] != s[0])
+        want.append((str(i), len(b), sum(z - a for a, z, _ in spans), runs, kept + b[at:], sorted({f for _, _, f in spans})))
+    got = [(str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["first_ids"] or []) for r in chunk_dedup.dedup(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_chunks_resist_shifts():
+    rng = np.random.default_rng(4)
+    b = rng.integers(97, 123, 20_000).astype(np.uint8)
+    moved = np.concatenate([b[:5000], rng.integers(97, 123, 7).astype(np.uint8), b[5000:]])
+    cut = lambda x: {x[a:z].tobytes() for a, z in zip([0, *chunk_dedup.chunk_ends(x)], chunk_dedup.chunk_ends(x), strict=False)}
+    assert len(cut(b) - cut(moved)) <= 6
+
+
+# --- 10
+
+
+def brute_matches(docs, items, least=0.8):
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    out = []
+    for i, t in docs:
+        w = word.findall(lower(t).encode())
+        for j, u in items:
+            v = word.findall(lower(u).encode())
+            if not v or len(w) < len(v):
+                continue
+            b, best = bag(v), (-1.0, 0)
+            grams = set(b)
+            if len(v) >= 5 and not any(tuple(w[k : k + 5]) in grams for k in range(len(w) - 4)):
+                continue
+            if len(v) < 5 and len(w) != len(v):
+                continue
+            for k in range(len(w) - len(v) + 1):
+                a = bag(w[k : k + len(v)])
+                s = sum((a & b).values()) / sum((a | b).values())
+                if s > best[0]:
+                    best = s, k
+            if best[0] >= least:
+                out.append((str(i), j, round(best[0], 9), best[1]))
+    return sorted(out)
+
+
+def test_decontamination(spark, documents, hostile):
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    bench = [(r.item_id, r.text) for r in items.collect()]
+    edited = []
+    rng = np.random.default_rng(6)
+    for n, (j, t) in enumerate(bench[:12]):
+        w = t.split()
+        for _ in range(n % 3):
+            w[int(rng.integers(len(w)))] = f"edit{n}"
+        edited.append((10_000 + n, "Before it! " * (n % 4) + " ".join(w).upper() + " and after."))
+    docs = documents.select("doc_id", "text").unionAll(hostile.select("doc_id", "text")).unionAll(spark.createDataFrame(edited, "doc_id long, text string"))
+    extra = [(900, None), (901, ""), (902, "plain words here and there"), (903, "Plain, words")]
+    items = items.unionAll(spark.createDataFrame(extra, "item_id long, text string"))
+    want = brute_matches(rows_of(docs), [(r.item_id, r.text or "") for r in items.collect()])
+    got = sorted((str(r["id"]), r["item_id"], round(r["similarity"], 9), r["first_word"]) for r in decontaminate.matches(docs, items).collect())
+    assert got == want
+    assert len(got) >= 12
+    left = decontaminate.clean(docs, items)
+    assert left.count() == docs.count() - len({i for i, *_ in want if i != "5"}) - 2 * any(i == "5" for i, *_ in want)
+    none = items.where("false")
+    assert decontaminate.matches(docs, none).count() == 0
+    assert decontaminate.clean(docs, none).count() == docs.count()
+    assert decontaminate.matches(docs.where("false"), items).count() == 0
+
+
+def test_multi_index_finds_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(50)}" for _ in range(20)) for _ in range(120)]
+    index = decontaminate.Index(list(range(120)), texts)
+    own, known, _ = index.by_size[20]
+    probe = rng.integers(0, 256, (400, 8)).astype(np.uint8)
+    probe[:200] = known[rng.integers(0, 120, 200)] ^ (rng.random((200, 8)) < 0.3) * rng.integers(0, 256, (200, 8)).astype(np.uint8)
+    d = np.bitwise_count(probe[:, None, :] ^ known[None]).sum(axis=2)
+    want = {(int(w), int(own[i])) for w, i in zip(*np.nonzero(d <= decontaminate.RADIUS), strict=True)}
+    assert set(zip(*(x.tolist() for x in index.lookup(20, probe)), strict=True)) == want
+
+
+# --- words
+
+
+def test_words_and_hashes_of_batches():
+    texts = ["One two  TWO", "", "two", None, "é\tone\n", " x "]
+    b = pa.RecordBatch.from_pydict({"t": pa.array(texts)})
+    for size in (1, 8, 1 << 20):
+        got = []
+        for part in text.pieces(iter([b]), "t", size):
+            data, offsets = text.raw(part.column("t"))
+            s, e, row = text.spans(text.LOWER[data], offsets)
+            h = text.hashes(text.LOWER[data], s, e)
+            got.extend([bytes(text.LOWER[data][a:z]) for a, z in zip(s, e, strict=True)])
+            for k in range(part.num_rows):
+                assert (row == k).sum() == len(WORD.findall(part.column("t")[k].as_py()))
+            assert len(set(h.tolist())) == len({bytes(text.LOWER[data][a:z]) for a, z in zip(s, e, strict=True)})
+        assert got == [w.encode() for t in texts if t for w in WORD.findall(lower(t))]
