@@ -113,7 +113,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "d
                 system, name = _filesystem(path)
                 system.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 stream = system.open_output_stream(name)
-            for tokens in coder.encode([t.as_buffer().to_pybytes() for t in b.column("text")], end):
+            for tokens in coder.encode(b.column("text").to_pylist(), end):
                 stream.write(tokens.tobytes())
                 total += len(tokens)
                 ends.append(total)

@@ -38,7 +38,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, id_
         coder = Encoder.of(tokenizer)
         for b in text.pieces(batches, "text"):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column("id").to_pylist(), coder.encode([t.as_buffer().to_pybytes() for t in b.column("text")], end), strict=True):
+            for doc, ids in zip(b.column("id").to_pylist(), coder.encode(b.column("text").to_pylist(), end), strict=True):
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     n = min(capacity, len(ids) - at)
