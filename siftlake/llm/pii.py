@@ -371,3 +371,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
 def digest(base: str) -> str:
     return hashlib.sha256(base.encode()).hexdigest()
+
+
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = None, rounds: int = 120) -> DataFrame:
+    """``docs`` with every span found replaced in the text, and ``length_col``, where there is one, counted anew.
+
+    All rows and columns stay; a null text stays null, and its length as it was.
+    """
+    model = train(labelled_table(), rounds)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for whole in batches:
+            done = 0
+            for b in text.pieces(iter([whole]), text_col):
+                part = whole.slice(done, b.num_rows)
+                done += b.num_rows
+                texts = b.column(at).to_pylist()
+                spans = [all_spans(base_spans(t), y) for t, y in zip(texts, field_spans(texts, model), strict=True)]
+                known = part.column(at).is_valid().to_pylist()
+                clean = [redact(t, s) if ok else None for t, s, ok in zip(texts, spans, known, strict=True)]
+                cols = list(part.columns)
+                cols[at] = pa.array(clean, cols[at].type)
+                if length_col in names:
+                    k = names.index(length_col)
+                    old = cols[k].to_pylist()
+                    cols[k] = pa.array([len(c) if c is not None else o for c, o in zip(clean, old, strict=True)], cols[k].type)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -75,11 +75,11 @@ def _long(x: int) -> str:
     return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def ring_pairs(fps: DataFrame, radius: int, segments: int, key_chain: int = 1, also: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that differ in 1 to ``radius`` bits.
+def ring_pairs(points: DataFrame, radius: int, segments: int, key_chain: int = 1, also: str = "true", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of points (id bigint, fp bigint) whose fingerprints differ in at most ``radius`` bits, each pair once.
 
-    fps: distinct ``fp`` and the columns named in ``extra``; ``also`` may compare x.<extra> with y.<extra>.
-    No pair is missed: each chain start is a key of its own. A pair that several chains find is given once.
+    Ids are distinct. ``also`` is a symmetric SQL condition on x.<extra> and y.<extra>. No pair is missed: each chain start
+    is a key of its own.
     """
     cuts, m = _cuts(segments), segments
     budget = [length * radius // m for length in range(m + 1)]
@@ -98,8 +98,8 @@ def ring_pairs(fps: DataFrame, radius: int, segments: int, key_chain: int = 1, a
         listed, low = ("array(" + ",".join(map(_long, x)) + ")" for x in (masks, [e & -e for e in masks]))
         # of two ends, the one whose lowest differing bit is 0 lists the other's key
         probe.append(f"transform(filter({listed}, (e, j) -> ({key} & {low}[j]) = 0L), e -> struct({i} AS i, {key} ^ e AS k))")
-    left = fps.select("fp", *extra, F.explode(F.expr(f"array({','.join(own)})")).alias("z")).select("fp", *extra, "z.*")
-    right = fps.select("fp", *extra, F.explode(F.expr(f"concat({','.join(probe)})")).alias("z")).select("fp", *extra, "z.*")
+    left = points.select("id", "fp", *extra, F.explode(F.expr(f"array({','.join(own)})")).alias("z")).select("id", "fp", *extra, "z.*")
+    right = points.select("id", "fp", *extra, F.explode(F.expr(f"concat({','.join(probe)})")).alias("z")).select("id", "fp", *extra, "z.*")
     differ = "(x.fp ^ y.fp)"
     chains = []
     for i in range(m):
@@ -112,12 +112,12 @@ def ring_pairs(fps: DataFrame, radius: int, segments: int, key_chain: int = 1, a
         if tests:
             chains.append(f"(x.i <> {i} OR ({' AND '.join(tests)}))")
     near = " AND ".join([f"bit_count({differ}) <= {radius}", *chains])
-    # equal keys: each pair once, from the smaller fingerprint; keys that differ are listed by one end only
+    # equal keys: each pair once, from the smaller id; keys that differ are listed by one end only
     keys = [sum(((1 << w) - 1) << s for s, w in (cuts[(i + k) % m] for k in range(key_chain))) for i in range(m)]
     once = " OR ".join(f"(x.i = {i} AND ({differ} & {_long(held)}) <> 0L)" for i, held in enumerate(keys)) if budget[key_chain] else "false"
-    on = (F.col("x.i") == F.col("y.i")) & (F.col("x.k") == F.col("y.k")) & F.expr(f"x.fp <> y.fp AND (x.fp < y.fp OR {once}) AND {near}")
-    found = left.alias("x").join(right.alias("y"), on & also if also is not None else on)
-    return found.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+    on = f"x.i = y.i AND x.k = y.k AND x.id <> y.id AND (x.id < y.id OR {once}) AND {near} AND {also}"
+    found = left.alias("x").join(right.alias("y"), F.expr(on))
+    return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -128,7 +128,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = store.stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("first")).checkpoint()
-    root = components(ring_pairs(classes.select("fp"), radius, radius + 1, key_chain=2 if radius == 2 else 1))
+    root = components(ring_pairs(classes.select(F.col("fp").alias("id"), "fp"), radius, radius + 1, key_chain=2 if radius == 2 else 1))
     named = classes.join(root, classes.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id").checkpoint()
