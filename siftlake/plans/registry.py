@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators, with its SQL."""
+"""Every registered query of the reference's operators, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -10,3 +10,18 @@ FLAGSHIP = "flagship_detector_ranking"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from siftlake.plans import detector_queries, metric_queries, row_queries  # noqa: E402, F401
