@@ -5,7 +5,10 @@ Generators take ``normals`` (dataset, row_id and feature columns) and give ``n``
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,3 +24,209 @@ def uniform_box(rows: DataFrame, features: tuple[str, ...], n: int, seed: int) -
     i = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("row_id")
     at = F.col("row_id")
     return box.select("*", i).select("dataset", "row_id", *[(F.col(f"b_{f}.lo") + hash_uniform(seed, f, at) * F.expr(f"CASE WHEN b_{f}.hi = b_{f}.lo THEN 1.0D ELSE b_{f}.hi - b_{f}.lo END")).alias(f) for f in features])
+
+
+def _numbered(normals: DataFrame) -> DataFrame:
+    """normals with _i, their place from 0 in the order of row_id, and _n, their number."""
+    w = W.partitionBy("dataset")
+    return normals.withColumn("_i", F.row_number().over(w.orderBy("row_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+
+
+def draws(normals: DataFrame, n: int, seed: object, donors: int = 1) -> DataFrame:
+    """(dataset, k, base, donor_0..): for each synthetic row the places of its base and donors. n rows a data set."""
+    size = normals.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
+    s = size.select("dataset", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("k"))
+    pick = lambda tag: F.floor(hash_uniform(seed, tag, F.col("k")) * F.col("_n")).cast("bigint")
+    return s.select("dataset", "k", pick("base").alias("base"), *[pick(f"donor{j}").alias(f"donor_{j}") for j in range(donors)])
+
+
+def _joined(normals: DataFrame, drawn: DataFrame, features: tuple[str, ...], donors: int) -> DataFrame:
+    own = _numbered(normals).select("dataset", "_i", *features)
+    out = drawn.join(own.withColumnRenamed("_i", "base"), ["dataset", "base"])
+    for j in range(donors):
+        out = out.join(own.select("dataset", F.col("_i").alias(f"donor_{j}"), *[F.col(f).alias(f"{f}_{j}") for f in features]), ["dataset", f"donor_{j}"])
+    return out
+
+
+def shuffle_features(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, k: int, alpha: float = 1.0, multi: bool = False) -> DataFrame:
+    """(dataset, k, features): ``k`` hash-chosen features take another row's value, blended by ``alpha``; ``multi`` takes
+    each feature from a donor of its own."""
+    donors = len(features) if multi else 1
+    s = _joined(normals, draws(normals, n, seed, donors), features, donors)
+    order = F.array_sort(F.array(*[F.struct(hash_uniform(seed, f"f:{f}", F.col("k")).alias("u"), F.lit(f).alias("f")) for f in features]))
+    s = s.withColumn("_swap", F.slice(F.transform(order, lambda o: o["f"]), 1, k))
+    return s.select("dataset", "k", *[F.when(F.array_contains("_swap", f), (1 - alpha) * F.col(f) + alpha * F.col(f"{f}_{j if multi else 0}")).otherwise(F.col(f)).alias(f) for j, f in enumerate(features)])
+
+
+def histogram(normals: DataFrame, features: tuple[str, ...], bins: int, beta: float, band: tuple[float, float] = (0.02, 0.98)) -> DataFrame:
+    """(dataset, feature, bin, lo, hi, upto): the running share of bins weighted by density ** beta inside the band."""
+    from siftlake.operators.detectors import long
+
+    f = long(normals, features)
+    q = f.groupBy("dataset", "feature").agg(F.percentile("value", band[0]).alias("a"), F.percentile("value", band[1]).alias("b"))
+    inside = f.join(q, ["dataset", "feature"]).where("value >= a AND value <= b AND b > a")
+    binned = inside.withColumn("bin", F.expr(f"least(cast(floor((value - a) / (b - a) * {bins}) as int), {bins - 1})"))
+    h = binned.groupBy("dataset", "feature", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("a"), F.min("b").alias("b"))
+    total = W.partitionBy("dataset", "feature")
+    weight = F.pow(F.col("c") / F.sum("c").over(total), F.lit(float(beta)))
+    h = h.withColumn("w", weight).withColumn("upto", F.sum("w").over(total.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) / F.sum("w").over(total))
+    width = (F.col("b") - F.col("a")) / bins
+    return h.select("dataset", "feature", "bin", "c", (F.col("a") + F.col("bin") * width).alias("lo"), (F.col("a") + (F.col("bin") + 1) * width).alias("hi"), "upto", F.coalesce(F.lag("upto").over(total.orderBy("bin")), F.lit(0.0)).alias("since"))
+
+
+def histogram_draw(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, beta: float = 1.0, share: float = 0.4, bins: int = 30, observed: bool = True) -> DataFrame:
+    """(dataset, k, features): a hash-drawn ``share`` of the features redrawn from density ** beta bins.
+
+    ``observed`` takes an observed value of the bin (its (floor(u * count) + 1)-th), else a uniform point inside it. The
+    draw meets the bins by an equi-join on feature and a range of tens of bins.
+    """
+    from siftlake.operators.detectors import long
+
+    base = _joined(normals, draws(normals, n, seed, 0), features, 0)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]))
+    s = base.select("dataset", "k", cells.alias("p")).select("dataset", "k", "p.*")
+    tag = lambda t: F.concat(F.lit(f"{t}:"), F.col("feature"))
+    s = s.withColumn("_do", hash_uniform(seed, tag("do"), F.col("k")) < share).withColumn("_u", hash_uniform(seed, tag("bin"), F.col("k"))).withColumn("_v", hash_uniform(seed, tag("in"), F.col("k")))
+    h = histogram(normals, features, bins, beta)
+    drawn = s.alias("s").join(h.alias("h"), (F.col("s.dataset") == F.col("h.dataset")) & (F.col("s.feature") == F.col("h.feature")) & (F.col("_u") >= F.col("since")) & (F.col("_u") < F.col("upto")), "left").select("s.*", "bin", "c", "lo", "hi")
+    if observed:
+        q = long(normals, features).groupBy("dataset", "feature").agg(F.percentile("value", 0.02).alias("a"), F.percentile("value", 0.98).alias("b"))
+        v = long(normals, features).join(q, ["dataset", "feature"]).where("value >= a AND value <= b AND b > a").withColumn("bin", F.expr(f"least(cast(floor((value - a) / (b - a) * {bins}) as int), {bins - 1})"))
+        v = v.select("dataset", "feature", "bin", F.col("value").alias("_new"), F.row_number().over(W.partitionBy("dataset", "feature", "bin").orderBy("value", "row_id")).alias("_k"))
+        drawn = drawn.withColumn("_k", (F.floor(F.col("_v") * F.col("c")) + 1).cast("int")).join(v, ["dataset", "feature", "bin", "_k"], "left")
+    else:
+        drawn = drawn.withColumn("_new", F.col("lo") + F.col("_v") * (F.col("hi") - F.col("lo")))
+    drawn = drawn.withColumn("value", F.when(F.col("_do") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("value")))
+    return drawn.groupBy("dataset", "k").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
+
+
+def alpha_spectrum(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, alpha: float) -> DataFrame:
+    """From few extreme features (alpha 0) to many typical ones (alpha 1): 1 + alpha (d - 1) features, beta 6 alpha - 4."""
+    d = len(features)
+    return histogram_draw(normals, features, n, f"{seed}:{alpha}", beta=-4 + 6 * alpha, share=(1 + alpha * (d - 1)) / d)
+
+
+def mixed_modes(normals: DataFrame, features: tuple[str, ...], n: int, seed: object) -> DataFrame:
+    """Rows that alternate between a feature shuffle and an extreme histogram draw (beta -2)."""
+    a = shuffle_features(normals, features, n, seed, max(1, len(features) // 2)).where("k % 2 = 0")
+    return a.unionByName(histogram_draw(normals, features, n, seed, beta=-2.0).where("k % 2 = 1"))
+
+
+def elevate(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, low: float = 0.85, high: float = 0.99) -> DataFrame:
+    """(dataset, k, features): one hash-chosen feature at a hash-drawn quantile of either tail."""
+    s = _joined(normals, draws(normals, n, seed, 0), features, 0)
+    grid = [low + (high - low) * j / 7 for j in range(8)]
+    q = normals.groupBy("dataset").agg(*[F.percentile(f, F.array(*[F.lit(x) for x in grid] + [F.lit(1 - x) for x in grid])).alias(f"_{f}") for f in features])
+    pick = F.floor(hash_uniform(seed, "feature", F.col("k")) * len(features)).cast("int")
+    place = F.floor(hash_uniform(seed, "level", F.col("k")) * 16).cast("int")
+    s = s.join(q, "dataset").withColumn("_f", pick).withColumn("_p", place)
+    return s.select("dataset", "k", *[F.when(F.col("_f") == j, F.expr(f"_{f}[_p]")).otherwise(F.col(f)).alias(f) for j, f in enumerate(features)])
+
+
+def marginal_probe(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, share: float = 0.02) -> DataFrame:
+    """One feature set to an observed tail value."""
+    return elevate(normals, features, n, seed, 1 - share, 1.0)
+
+
+def shift_cluster(rows: DataFrame, held: DataFrame, features: tuple[str, ...], delta: float) -> DataFrame:
+    """A held-out cluster displaced outward as one piece, clipped to the range."""
+    from siftlake.operators.pseudo import displace
+
+    return displace(rows, held, features, (delta,), valid=True)
+
+
+def cluster_filter(synthetic: DataFrame, normals: DataFrame, centres: DataFrame, features: tuple[str, ...], level: float = 0.6, least: int = 10) -> DataFrame:
+    """Synthetic rows farther from every centre than the normals' ``level`` quantile; all if fewer than ``least`` are."""
+    def nearest(df: DataFrame) -> DataFrame:
+        c = centres.select("dataset", *[F.col(f).alias(f"_{f}") for f in features])
+        d = sum(((F.col(f) - F.col(f"_{f}")) ** 2 for f in features), F.lit(0.0))
+        return df.join(c, "dataset").groupBy(*df.columns).agg(F.sqrt(F.min(d)).alias("_d"))
+
+    cut = nearest(normals.select("dataset", "row_id", *features)).groupBy("dataset").agg(F.percentile("_d", level).alias("_q"))
+    s = nearest(synthetic).join(cut, "dataset").withColumn("_far", (F.col("_d") > F.col("_q")).cast("int"))
+    return s.withColumn("_m", F.sum("_far").over(W.partitionBy("dataset"))).where((F.col("_far") == 1) | (F.col("_m") < least)).select(*synthetic.columns)
+
+
+def inject(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, kind: str, share: float = 0.2) -> DataFrame:
+    """(dataset, k, features) of one injection type: spike, noise, scale, contextual or cutoff on a share of coordinates."""
+    s = _joined(normals, draws(normals, n, seed, 1), features, 1)
+    sd = normals.groupBy("dataset").agg(*[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
+    s = s.join(sd, "dataset")
+    out = []
+    for f in features:
+        u, v = (hash_uniform(seed, f"{t}:{f}", F.col("k")) for t in ("size", "sign"))
+        sign = F.when(v < 0.5, -1.0).otherwise(1.0)
+        # a normal draw by the sum of twelve uniforms would need twelve hashes; the logistic quantile has a closed form
+        logistic = F.ln((u + 1e-9) / (1 - u + 1e-9)) / 1.702
+        new = {"spike": F.col(f) + sign * (4 + 4 * u) * F.col(f"_s_{f}"), "noise": F.col(f) + 1.5 * logistic * F.col(f"_s_{f}"), "scale": F.col(f) * (3 + 3 * u), "contextual": F.col(f"{f}_0"), "cutoff": F.lit(0.0)}[kind]
+        out.append(F.when(hash_uniform(seed, f"hit:{f}", F.col("k")) < share, new).otherwise(F.col(f)).alias(f))
+    return s.select("dataset", "k", *out)
+
+
+def project_valid(synthetic: DataFrame, normals: DataFrame, features: tuple[str, ...], levels: int = 10) -> DataFrame:
+    """Synthetic rows clipped to each feature's range; integer features rounded; features of few levels snapped to one."""
+    stats = normals.groupBy("dataset").agg(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"), F.max(F.abs(F.col(f) - F.round(f))).alias("r"), F.countDistinct(f).alias("d")).alias(f"_{f}") for f in features])
+    few = normals.groupBy("dataset").agg(*[F.array_sort(F.slice(F.collect_set(F.when(F.col(f).isNotNull(), F.col(f))), 1, levels + 1)).alias(f"_v_{f}") for f in features])
+    s = synthetic.join(stats, "dataset").join(few, "dataset")
+    out = []
+    for f in features:
+        clipped = F.least(F.greatest(F.col(f), F.col(f"_{f}.lo")), F.col(f"_{f}.hi"))
+        snapped = F.expr(f"array_min(transform(_v_{f}, v -> struct(abs(v - {f}) AS d, v AS v))).v")
+        out.append(F.when(F.col(f"_{f}.d") <= levels, snapped).when(F.col(f"_{f}.r") < 1e-9, F.round(clipped)).otherwise(clipped).alias(f))
+    return s.select(*[c for c in synthetic.columns if c not in features], *out)
+
+
+def geometric(normals: DataFrame, features: tuple[str, ...], n: int, seed: int, kind: str) -> DataFrame:
+    """(dataset, k, features) of the generators that follow geometry, on capped normals in one bounded group each.
+
+    between_centres: points on the line from one centre to past another. density_band: convex mixtures of centres kept in
+    the 60-95% band of neighbour distances. level_set: steps down the neighbour density, kept at levels. void: mixtures of
+    distant pairs where a kernel density has positive curvature. valley: the least dense point on a segment to another
+    neighbourhood.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("row_id")[list(features)].to_numpy(float)
+        mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
+        z, rng = (x - mean) / sd, np.random.default_rng(seed)
+        knn = lambda p, k=5: np.sort(np.sqrt(((p[:, None] - z[None]) ** 2).sum(axis=2)), axis=1)[:, min(k, len(z) - 1)]
+        centres = z[rng.choice(len(z), min(8, len(z)), replace=False)]
+        for _ in range(8):
+            near = ((z[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([z[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(len(centres))])
+        if kind == "between_centres":
+            i, j = rng.integers(len(z), size=n), rng.integers(len(centres), size=n)
+            out = z[i] + rng.uniform(0.5, 1.3, (n, 1)) * (centres[j] - centres[((z[i][:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)])
+        elif kind == "density_band":
+            w = rng.dirichlet(np.ones(len(centres)) * 0.5, 6 * n)
+            p = w @ centres
+            own = np.quantile(knn(z), [0.6, 0.95])
+            d = knn(p)
+            inside = p[(d >= own[0]) & (d <= own[1])]
+            out = np.concatenate([inside, p])[:n]
+        elif kind == "level_set":
+            p = z[rng.integers(len(z), size=n)]
+            for _ in range(10):
+                trial = p + rng.normal(scale=0.3, size=p.shape)
+                p = np.where((knn(trial) > knn(p))[:, None], trial, p)
+            out = p
+        elif kind == "void":
+            i, j = rng.integers(len(z), size=(2, 6 * n))
+            t = rng.uniform(0.2, 0.8, (6 * n, 1))
+            p = t * z[i] + (1 - t) * z[j]
+            swap = rng.random(p.shape) < 0.4
+            p = np.where(swap, z[rng.integers(len(z), size=6 * n)], p)
+            h2 = max(1e-6, float(np.median(knn(z)) ** 2))
+            d2 = ((p[:, None] - z[None]) ** 2).sum(axis=2)
+            laplacian = (np.exp(-d2 / (2 * h2)) * (d2 / h2 - p.shape[1])).sum(axis=1)
+            out = np.concatenate([p[laplacian > 0], p])[:n]
+        else:
+            i, j = rng.integers(len(z), size=(2, n))
+            steps = np.linspace(0, 1, 9)[1:-1]
+            path = z[i][:, None] + steps[None, :, None] * (z[j] - z[i])[:, None]
+            d = knn(path.reshape(-1, z.shape[1])).reshape(n, -1)
+            out = path[np.arange(n), d.argmax(axis=1)]
+        back = out * sd + mean
+        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "k": np.arange(len(back)), **{f: back[:, c] for c, f in enumerate(features)}})
+
+    return normals.groupBy("dataset").applyInPandas(run, "dataset string, k long, " + ", ".join(f"{f} double" for f in features))
