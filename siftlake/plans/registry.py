@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from siftlake.plans import detector_queries, metric_queries, row_queries, selection_queries  # noqa: E402, F401
+from siftlake.plans import detector_queries, metric_queries, other_queries, row_queries, selection_queries  # noqa: E402, F401
