@@ -73,7 +73,7 @@ def test_ring_pairs_lose_nothing(spark, radius, segments, chain):
     fps = spark.createDataFrame([(int(x),) for x in v], "fp long")
     d = np.bitwise_count(v.view(np.uint64)[:, None] ^ v.view(np.uint64)[None, :])
     want = {(int(min(v[i], v[j])), int(max(v[i], v[j]))) for i, j in zip(*np.nonzero((d > 0) & (d <= radius)), strict=True)}
-    got = [(r.a, r.b) for r in simhash.ring_pairs(fps, radius, segments, chain).collect()]
+    got = [(r.a, r.b) for r in simhash.ring_pairs(fps.selectExpr("fp AS id", "fp"), radius, segments, chain).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
 
