@@ -70,7 +70,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), b.column("id").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(start)), pa.array(np.concatenate(length))], ["hi", "lo", "id", "start", "length"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "hi bigint, lo bigint, id bigint, start bigint, length bigint")
+    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "hi bigint, lo bigint, id bigint, start bigint, length bigint")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -155,7 +155,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     nothing; ids may repeat or be null (each row is matched on its own); empty tables give an empty result.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text.bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for index in _blocks(items, item_id, item_text):
 
@@ -184,5 +184,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                     done += b.num_rows
                 yield whole.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text.bounded(docs).mapInArrow(run, docs.schema)
     return docs

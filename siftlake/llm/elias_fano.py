@@ -128,7 +128,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "d
         stream.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     return store.stash(rows.mapInArrow(run, "shard int, path string, n_docs bigint, n_tokens bigint"), "manifest")
 

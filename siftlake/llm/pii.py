@@ -366,7 +366,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(written, base), pa.string()), pa.array(map(written, spans), pa.string()), pa.array(clean, pa.string())], ["id", "base", "spans", "redacted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, base string, spans string, redacted string")
+    return text.bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, base string, spans string, redacted string")
 
 
 def digest(base: str) -> str:
@@ -400,4 +400,4 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
                     cols[k] = pa.array([len(c) if c is not None else o for c, o in zip(clean, old, strict=True)], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return text.bounded(docs).mapInArrow(run, docs.schema)

@@ -5,11 +5,17 @@ A word is a run of bytes other than U+0020 and U+0009 to U+000D. Only A-Z are lo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of text that arrays are made of at a time: they then stay in a core's cache.
+PIECE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -22,7 +28,21 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, for a session whose Arrow batches are small: a worker holds a few megabytes of text, not ten thousand rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return docs
+
+
+def tidy() -> None:
+    """Give freed memory back to the system. Workers live on between tasks, and what they hold idle counts as used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` of text; a longer text comes alone. Nulls of ``column`` become empty."""
     for batch in batches:
         if not batch.num_rows:
@@ -36,6 +56,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             last = max(first + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(first, last - first)
             first, base = last, int(ends[last - 1])
+    tidy()
 
 
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

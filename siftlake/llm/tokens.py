@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Parts a worker keeps, the longest part that is kept, and the characters taken at a time.
-CACHED_PARTS, CACHED_CHARS, STRETCH = 600_000, 40, 1 << 20
+CACHED_PARTS, CACHED_CHARS, STRETCH = 300_000, 40, 1 << 20
 
 #: What the fast path takes, and how such text, lower-cased, splits. Fixed by the tokenizer file.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \t\n\v\f\r]*")

@@ -87,7 +87,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learn)
     sample = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     # at most fit_rows small rows, so the whole side may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(learn if id_col == "_id" else F.lit(True))
+    rows = text.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(learn if id_col == "_id" else F.lit(True))
     return rows.join(F.broadcast(sample), "_id").select("text", "y")
 
 
@@ -141,7 +141,7 @@ def score(docs: DataFrame, machine: Machine, chosen: np.ndarray, text_col: str =
 
     A column that already has the name of the new one is replaced.
     """
-    base = docs.drop(out_col)
+    base = text.bounded(docs).drop(out_col)
     names = base.columns
     fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in names)
 
