@@ -31,12 +31,14 @@ def components(links: DataFrame) -> DataFrame:
     Null ends, self-links and repeated links are ignored; an empty table gives an empty result. Nodes without links
     do not appear.
     """
-    store.shared_dir(links.sparkSession)
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    spark = links.sparkSession
+    edges = store.stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with store.cleaned(spark):
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
-        edges = _small_star(_large_star(edges)).checkpoint()
+        before, old = now, edges
+        edges = store.stash(_small_star(_large_star(edges)), "edges")
+        store.drop_stash(old)

@@ -87,7 +87,7 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes.append(len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))) if len(words) > SHINGLE else min(1, len(words)))
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["digest", "id", "fp", "n"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, id bigint, fp bigint, n bigint")
+    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, id bigint, fp bigint, n bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -107,9 +107,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         leader = own.groupBy("i", "k", "band").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("o"), F.col("id"), F.col("fp"), F.col("n"))).alias("y"))
         star = own.alias("x").join(leader.alias("l"), ["i", "k", "band"]).where(F.expr(f"x.id <> y.id AND bit_count(x.fp ^ y.fp) <= {RADIUS} AND {sized}"))
         stars.append(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    stars = reduce(DataFrame.unionAll, stars).distinct().checkpoint()
+    stars = store.stash(reduce(DataFrame.unionAll, stars).distinct(), "stars")
     coarse = components(stars)
-    named = classes.select("id", "fp", "n").join(coarse, classes.id == coarse.node, "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")).checkpoint()
+    named = store.stash(classes.select("id", "fp", "n").join(coarse, classes.id == coarse.node, "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")), "coarse")
     rest = ring_pairs(named, RADIUS, SEGMENTS, also=f"x.c <> y.c AND {sized}", extra=("c", "n"))
     clusters = components(stars.unionAll(rest))
     members = classes.join(clusters, classes.id == clusters.node).select("id", "digest", F.col("root").alias("cluster"))
@@ -117,7 +117,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     # sets of clustered texts only; blocks by a hash, so their sizes are even
     size = members.groupBy("cluster").agg(F.count("*").alias("m"))
     members = members.join(size, "cluster").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).checkpoint()
+    members = store.stash(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
 
     texts = docs.select(F.col(text_col).alias("text"))
 

@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return text.bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
 def _cuts(m: int) -> list[tuple[int, int]]:
@@ -127,11 +127,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like any other; repeated rows stay; a row with a null id takes part in the links but is never the smallest id.
     """
     rows = store.stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("first")).checkpoint()
+    classes = store.stash(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     root = components(ring_pairs(classes.select(F.col("fp").alias("id"), "fp"), radius, radius + 1, key_chain=2 if radius == 2 else 1))
     named = classes.join(root, classes.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id").checkpoint()
+    named = store.stash(named.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
