@@ -112,14 +112,14 @@ def copod(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
 
 
 def pca(rows: DataFrame, features: tuple[str, ...], kept: float = 0.5) -> DataFrame:
-    """Squared coordinates over eigenvalues, on the axes after those that hold the first ``kept`` of the variance."""
+    """Distances of the standardised row to the first axes that hold ``kept`` of the variance, each over its share of it."""
     z = space.standardise(rows, features)
     axes = space.principal_axes(z, features)
     total = "aggregate(values, 0.0D, (s, x) -> s + x)"
     before = "transform(values, (v, i) -> aggregate(slice(values, 1, i), 0.0D, (s, x) -> s + x))"
-    axes = axes.withColumn("u", F.expr(f"zip_with({before}, transform(values, v -> v), (b, v) -> CASE WHEN b >= {kept} * {total} AND v > 1e-9 THEN 1 / v ELSE 0.0D END)"))
-    x = z.join(axes.select("dataset", "means", "axes", "u"), "dataset").withColumn("_x", F.array(*features))
-    score = "aggregate(zip_with(transform(axes, a -> aggregate(zip_with(a, _x, (p, q) -> p * q), 0.0D, (s, t) -> s + t)), u, (y, w) -> y * y * w), 0.0D, (s, t) -> s + t)"
+    axes = axes.withColumn("u", F.expr(f"zip_with({before}, values, (b, v) -> CASE WHEN b < {kept} * {total} - 1e-12 AND v > 1e-9 THEN {total} / v ELSE 0.0D END)"))
+    x = z.join(axes.select("dataset", "axes", "u"), "dataset").withColumn("_x", F.array(*features))
+    score = "aggregate(zip_with(axes, u, (a, w) -> w * sqrt(aggregate(zip_with(a, _x, (p, q) -> (p - q) * (p - q)), 0.0D, (s, t) -> s + t))), 0.0D, (s, t) -> s + t)"
     return x.select("dataset", "row_id", F.expr(score).alias("score"))
 
 

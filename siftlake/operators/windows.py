@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlake.functions.ranks import average_rank
 
@@ -16,6 +17,9 @@ WIDTH, STRIDE = 64, 16
 SMOOTHING, SPREADS, OFFSETS = (8, 32, 128, 512), (0, 1), (0, 1, 3)
 
 
+_SPECTRAL = T.StructType([T.StructField(n, T.IntegerType() if n == "peak" else T.DoubleType()) for n in ("entropy", "crest", "peak", "b1", "b2", "b3", "b4")])
+
+
 def sliding(series: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
     """(series, win, pos, v, y): whole windows at every ``stride``, their values in order, and 1 if a point in it is labelled.
 
@@ -58,7 +62,7 @@ def statistics(windows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("struct<entropy:double,crest:double,peak:int,b1:double,b2:double,b3:double,b4:double>")
+@F.pandas_udf(_SPECTRAL)
 def spectrum(values: pd.Series) -> pd.DataFrame:
     """Spectral entropy, crest factor, strongest frequency and four band shares of each window, without its mean."""
     x = np.stack(values.to_numpy()).astype(float)

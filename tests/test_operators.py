@@ -1,0 +1,202 @@
+"""Closed forms and invariants of what SQL cannot express, and of cases the tables do not hold."""
+
+import io
+import json
+import math
+import tarfile
+import zipfile
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from siftlake.functions.ranks import running_totals
+from siftlake.operators import dedup, describe, detectors, metrics, select, space, stats
+from siftlake.plans import base
+from siftlake.sources import files, synthetic
+from siftlake.streaming import windows as stream
+
+BY = ["dataset", "detector"]
+
+
+def scores(spark, rows):
+    return spark.createDataFrame([("d", "k", s, y) for s, y in rows], "dataset string, detector string, score double, y int")
+
+
+def test_auc_and_ap_by_definition(spark):
+    rng = np.random.default_rng(0)
+    s, y = rng.integers(0, 12, 200).astype(float), rng.integers(0, 2, 200)
+    df = scores(spark, zip(s.tolist(), y.tolist(), strict=True))
+    pos, neg = s[y == 1], s[y == 0]
+    want = ((pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean())
+    for splits in (None, 3):
+        assert metrics.roc_auc(df, BY, splits=splits).first().auc == pytest.approx(want)
+    ap = sum(((s >= v) & (y == 1)).sum() / (s >= v).sum() * ((s == v) & (y == 1)).sum() for v in set(s)) / (y == 1).sum()
+    assert metrics.average_precision(df, BY).first().ap == pytest.approx(ap)
+
+
+def test_metrics_of_one_class_nulls_and_nothing(spark):
+    one = scores(spark, [(1.0, 0), (2.0, 0), (None, 1)])
+    assert metrics.roc_auc(one, BY).first().auc is None
+    assert metrics.average_precision(one, BY).first().ap is None
+    assert metrics.roc_auc(one.where("false"), BY).count() == 0
+    perfect = scores(spark, [(3.0, 1), (2.0, 0), (1.0, 0)])
+    assert metrics.partial_auc(perfect, BY).first().pauc == pytest.approx(1.0)
+
+
+def test_running_totals_in_ranges_equal_those_of_one_task(spark):
+    df = spark.range(5000).selectExpr("concat('d', id % 2) AS dataset", "(id * 7919) % 4999 AS v", "id % 5 AS a").distinct().groupBy("dataset", "v").agg(F.sum("a").alias("a"))
+    one = running_totals(df, ["dataset"], "v", ["a"])
+    many = running_totals(df, ["dataset"], "v", ["a"], 7).select(one.columns)
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_excess_mass_prefers_the_detector_that_fits():
+    rng = np.random.default_rng(1)
+    box = rng.uniform(-4, 4, 4000)
+    sharp, blunt = -(rng.normal(0, 0.5, 4000) ** 2), rng.normal(size=4000)
+    assert metrics.excess_mass(sharp, -(box**2)) > metrics.excess_mass(blunt, rng.normal(size=4000))
+    assert metrics.mass_volume(sharp, -(box**2)) < metrics.mass_volume(blunt, rng.normal(size=4000))
+
+
+def test_oracle_and_anti_oracle_bound_every_selector(spark, sf_dir):
+    r = metrics.regret(base.grade(spark, sf_dir), ["dataset"], "detector", "truth", "pseudo").collect()
+    assert all(0 <= x.regret3 <= x.regret1 <= x.worst_regret + 1e-12 and 0 <= x.norm_rank <= 1 for x in r)
+    perfect = metrics.regret(base.grade(spark, sf_dir), ["dataset"], "detector", "truth", "truth").collect()
+    assert all(x.regret1 == 0 for x in perfect)
+
+
+def test_scrambled_scores_do_not_rank(spark, sf_dir):
+    f = base.fact(spark, sf_dir)
+    s = stats.scrambled(f, ["dataset", "detector", "subset"], "pseudo", 3)
+    assert s.count() == f.count()
+    assert s.agg(F.round(F.sum("pseudo"), 6)).first() == f.agg(F.round(F.sum("pseudo"), 6)).first()
+
+
+def test_wilcoxon_exact_and_normal(spark):
+    df = spark.createDataFrame([("g", float(i), float(i) - d) for i, d in enumerate([1, 2, 3, 4, -5, 6, 7, 8])], "g string, a double, b double")
+    r = stats.wilcoxon(df, ["g"], "a", "b").first()
+    ways = sum(1 for m in range(256) if sum(k + 1 for k in range(8) if m >> k & 1) <= 5)
+    assert (r.w, r.p) == (5.0, pytest.approx(min(1, 2 * ways / 256)))
+    assert stats.wilcoxon(df, ["g"], "a", "b", exact=0).first().p == pytest.approx(math.erfc(abs(5 - 18) / math.sqrt(8 * 9 * 17 / 24) / math.sqrt(2)))
+
+
+def test_holm_is_monotone(spark):
+    df = spark.createDataFrame([("g", k, p) for k, p in zip("abcd", [0.01, 0.04, 0.03, 0.005], strict=True)], "g string, k string, p double")
+    got = {r.k: (round(r.p_holm, 6), round(r.p_holm_monotone, 6)) for r in stats.holm(df, ["g"], "k", "p").collect()}
+    assert got == {"d": (0.02, 0.02), "a": (0.03, 0.03), "c": (0.06, 0.06), "b": (0.04, 0.06)}
+
+
+def test_bootstrap_and_sign_flip(spark):
+    df = spark.createDataFrame([("g", i % 6, 1.0 + (i % 3) * 0.1) for i in range(60)], "g string, c int, v double")
+    b = stats.bootstrap_mean(df, ["g"], "v", draws=2000).first()
+    assert b.low < b["mean"] < b.high
+    assert stats.sign_flip(df, ["g"], "v", "c", 5000).first().p < 0.1
+
+
+def table(spark, n=300, seed=0):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 1, (n, 3)), rng.normal(0, 1, (6, 3)) + 9])
+    return spark.createDataFrame(pd.DataFrame({"dataset": "t", "row_id": np.arange(n + 6), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": [0] * n + [1] * 6}))
+
+
+@pytest.mark.parametrize("name", ["KNN_k10", "LOF_k20", "HBOS_20", "ECOD", "COPOD", "PCA_0.5", "CBLOF_8", "LODA_10", "IForest_100", "MaxZ"])
+def test_detectors_find_far_points(spark, name):
+    t = table(spark)
+    s = detectors.run_pool(t, ("a", "b", "c"), [name]).join(t.select("row_id", "y"), "row_id")
+    assert s.count() == 306
+    assert metrics.roc_auc(s, BY).first().auc > 0.9
+
+
+def test_linear_residual_finds_broken_dependence(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=400)
+    b = np.where(np.arange(400) < 390, a, -a) + 0.05 * rng.normal(size=400)
+    t = spark.createDataFrame(pd.DataFrame({"dataset": "t", "row_id": np.arange(400), "a": a, "b": b, "y": (np.arange(400) >= 390).astype(int)}))
+    s = detectors.linear_residual(t, ("a", "b")).join(t.select("row_id", "y"), "row_id").withColumn("detector", F.lit("l"))
+    assert metrics.roc_auc(s, BY).first().auc > 0.85
+
+
+def test_clusters_and_embedding(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (9, 9), (0, 9))])
+    t = spark.createDataFrame(pd.DataFrame({"dataset": "t", "row_id": np.arange(180), "a": x[:, 0], "b": x[:, 1]}))
+    for fit in (lambda z: space.kmeans(z, 3), lambda z: space.mixture(z, 3)):
+        c = fit(space.embed(t, ("a", "b"))).withColumn("true", F.floor(F.col("row_id") / 60))
+        assert c.groupBy("true").agg(F.countDistinct("cluster").alias("n")).agg(F.max("n")).first()[0] == 1
+    z = np.array([r.z for r in space.embed(t, ("a", "b"), 1).orderBy("row_id").collect()])
+    s = (x - x.mean(0)) / x.std(0)
+    w, v = np.linalg.eigh(np.cov(s.T, bias=True))
+    assert np.abs(z[:, 0]) == pytest.approx(np.abs(s @ v[:, -1]), abs=1e-9)
+
+
+def test_splits_leave_no_neighbour_across(spark):
+    w = spark.range(400).selectExpr("'s' AS series", "id AS idx", "id AS pos", "cast(id BETWEEN 200 AND 210 AS int) AS y")
+    got = {r.idx: r.split for r in dedup.block_split(w, 1).collect()}
+    rank = {"train": 0, "val": 1, "test": 2}
+    assert all(not (rank[got[i]] < rank[got[j]]) for i in got for j in range(i - 3, i + 4) if j in got)
+    assert all(got[i] == "test" for i in range(200, 211))
+
+
+def test_as_of_shares(spark):
+    s = spark.createDataFrame([("t", i, float(v)) for i, v in enumerate([0, 1, 1, 5])], "dataset string, row_id long, score double")
+    c = spark.createDataFrame([("t", float(v)) for v in [1, 1, 2, 3]], "dataset string, score double")
+    assert [r.share for r in select.share_below(s, c, ["dataset"]).orderBy("row_id").collect()] == [0, 0.25, 0.25, 1]
+
+
+def test_dip_tells_two_modes_from_one():
+    rng = np.random.default_rng(4)
+    assert describe.dip(np.concatenate([rng.normal(-4, 1, 500), rng.normal(4, 1, 500)])) > 3 * describe.dip(rng.normal(size=1000))
+
+
+def test_file_sources(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    np.savez(tmp_path / "one.npz", X=rng.normal(size=(250, 3)), y=np.arange(250) % 2)
+    np.savez(tmp_path / "two.npz", train=np.full((150, 2), np.inf), test=np.ones((100, 2)), train_labels=np.zeros(150), test_labels=np.ones(100))
+    np.savez(tmp_path / "small.npz", X=np.ones((9, 2)), y=np.zeros(9))
+    got = files.read_npz(spark, f"file://{tmp_path}").groupBy("dataset", "origin_split").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.max(F.col("features")[0]).alias("m")).collect()
+    assert {(r.dataset, r.origin_split): (r.n, r.y) for r in got} == {("one", ""): (250, 125), ("two", "train"): (150, 0), ("two", "test"): (100, 100)}
+    assert max(r.m for r in got if r.dataset == "two") == 1
+
+    arff = "% c\n@relation r\n@attribute 'id' real\n@attribute a real\n@attribute outlier {'yes','no'}\n@data\n1,2.5,'no'\n2,?,'yes'\n"
+    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
+        for name in ("x_withoutdupl_norm_02_v03.arff", "x_withoutdupl_norm_05.arff", "x_02.arff"):
+            info = tarfile.TarInfo(name)
+            info.size = len(arff)
+            tar.addfile(info, io.BytesIO(arff.encode()))
+    assert files.preferred_member(["x_withoutdupl_norm_02_v03.arff", "x_withoutdupl_norm_05.arff", "x_02.arff"]) == "x_withoutdupl_norm_05.arff"
+    assert [(r.features, r.y) for r in files.read_arff_archives(spark, f"file://{tmp_path}").orderBy("row_id").collect()] == [([2.5], 0), ([0.0], 1)]
+
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        z.writestr("d/1_abc_x.csv", "value,Label\n1.5,0\nnan,1\n")
+        z.writestr("d/n_2_1_2.txt", "1.0\n2.0\n3.0\n4.0\n")
+        z.writestr("d/m_src_y.csv", "a,b,is_anomaly\n1,2,0\n3,4,1\n")
+    assert files.read_series_csv(spark, f"file://{tmp_path}").where("series = '1_abc_x.csv'").orderBy("pos").selectExpr("source", "value", "label").collect() == [("abc", 1.5, 0), ("abc", 0.0, 1)]
+    assert [r.label for r in files.read_series_text(spark, f"file://{tmp_path}").orderBy("pos").collect()] == [0, 1, 1, 0]
+    assert files.read_channels_csv(spark, f"file://{tmp_path}").where("source = 'src'").count() == 4
+
+    (tmp_path / "r.json").write_text(json.dumps({"tag": "t", "key": "k", "rep": 1, "mode": "m", "k": 5, "res": {"0.1": {"lr": [0.1, 0.2]}}}))
+    assert files.read_nested_results(spark, f"file://{tmp_path}/r.json").count() == 2
+    with pytest.raises(ValueError, match="lacks"):
+        files.require_columns(spark.range(1), {"id", "x"})
+    df = spark.range(5).withColumn("v", F.col("id") * 2)
+    assert [files.append_results(x, f"file://{tmp_path}/res", ["id"]) for x in (df.where("id < 3"), df, df)] == [3, 2, 0]
+
+
+def test_generated_data_hold_their_anomalies(spark):
+    t = synthetic.tables(spark, 400, 40)
+    assert {r.dataset: (r.n, r.y) for r in t.groupBy("dataset").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()} == {d: (440, 40) for d in ("blobs", "two_moons", "ring", "wide_variance", "local_dense")}
+    s = synthetic.series(spark, 3000).groupBy("series").agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()
+    assert len(s) == 10 and all(r.n == 3000 and 0 < r.y < 1500 for r in s)
+
+
+def test_row_windows_of_a_stream_go_on_between_batches(spark, tmp_path):
+    rows = spark.range(200).selectExpr("'s' AS series", "id AS pos", "double(id) AS value", "int(id = 100) AS label")
+    for a, b in ((0, 90), (90, 91), (91, 200)):
+        rows.where(f"pos >= {a} AND pos < {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        e = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        stream.row_windows(e).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("win").collect()
+    assert [r.win for r in got] == list(range(9))
+    assert all(r.v == [16.0 * r.win + k for k in range(64)] and r.y == int(16 * r.win <= 100 < 16 * r.win + 64) for r in got)
