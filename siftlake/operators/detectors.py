@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from siftlake.functions.ranks import z_score
 from siftlake.operators import space
 
-SAMPLE = 2000
+SAMPLE = 2000  #: rows of a data set that a model is fitted on
+PART = 50_000  #: rows of a data set scored in one group
 
 Detector = Callable[[DataFrame, tuple[str, ...]], DataFrame]
 _registry: dict[str, Detector] = {}
@@ -190,7 +191,7 @@ def _forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) ->
 def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
     """2 ** (-mean path length / expected length), trees grown on capped rows of each data set.
 
-    Forests are a row for each data set, joined to all rows; rows are scored in Arrow batches.
+    A data set's rows are dealt into parts, and each part meets the forest, a row for each data set, by a cogroup.
     """
     place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.col("row_id").cast("string"))))
     few = rows.select("dataset", "row_id", *features).withColumn("_k", place).where(F.col("_k") <= SAMPLE)
@@ -202,29 +203,29 @@ def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample
         return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "size": [min(sample, len(x))], "trees": [flat]})
 
     forests = few.groupBy("dataset").applyInPandas(fit, "dataset string, size int, trees array<struct<f:array<int>,t:array<double>,l:array<int>,r:array<int>,n:array<double>>>")
-    # a row for each data set: collected once, so that no row carries its forest
-    grown = {r["dataset"]: (r["size"], [tuple(np.array(t[k]) for k in "ftlrn") for t in r["trees"]]) for r in forests.collect()}
-
-    def score(batches):
-        for pdf in batches:
-            out = np.zeros(len(pdf))
-            for name, at in pdf.groupby("dataset").indices.items():
-                x = pdf[list(features)].to_numpy(float)[at]
-                size, forest = grown[name]
-                total = np.zeros(len(x))
-                for f, t, left, right, length in forest:
-                    node = np.zeros(len(x), int)
-                    live = f[node] >= 0
-                    while live.any():
-                        go = x[live, f[node[live]]] < t[node[live]]
-                        node[live] = np.where(go, left[node[live]], right[node[live]])
-                        live = f[node] >= 0
-                    total += length[node]
-                norm = 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size if size > 2 else 1.0
-                out[at] = 2.0 ** (-total / len(forest) / norm)
-            yield pd.DataFrame({"dataset": pdf["dataset"], "row_id": pdf["row_id"], "score": out})
-
-    return rows.select("dataset", "row_id", *features).mapInPandas(score, "dataset string, row_id long, score double")
+    # rows meet their forest in parts of bounded size, however many rows or data sets there are
+    parts = rows.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    dealt = rows.select("dataset", "row_id", *features).join(parts, "dataset").withColumn("_part", F.pmod(F.xxhash64("row_id"), F.col("_parts")).cast("int")).drop("_parts")
+    forests = forests.join(parts, "dataset").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def score(own: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"dataset": [], "row_id": [], "score": []})
+        x, size, total = own[list(features)].to_numpy(float), int(forest["size"].iloc[0]), np.zeros(len(own))
+        grown = [tuple(np.asarray(t[k]) for k in "ftlrn") for t in forest["trees"].iloc[0]]
+        for f, t, left, right, length in grown:
+            node = np.zeros(len(x), int)
+            live = f[node] >= 0
+            while live.any():
+                go = x[live, f[node[live]]] < t[node[live]]
+                node[live] = np.where(go, left[node[live]], right[node[live]])
+                live = f[node] >= 0
+            total += length[node]
+        norm = 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size if size > 2 else 1.0
+        return pd.DataFrame({"dataset": own["dataset"], "row_id": own["row_id"], "score": 2.0 ** (-total / len(grown) / norm)})
+
+    met = dealt.groupBy("dataset", "_part").cogroup(forests.groupBy("dataset", "_part"))
+    return met.applyInPandas(score, "dataset string, row_id long, score double")
 
 
 def max_z(rows: DataFrame, features: tuple[str, ...], normals_only: bool = False) -> DataFrame:
