@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.functions.ranks import z_score
+from siftlake.functions.ranks import running_totals, z_score
 from siftlake.operators import space
 
 SAMPLE = 2000  #: rows of a data set that a model is fitted on
@@ -86,30 +86,30 @@ def hbos(rows: DataFrame, features: tuple[str, ...], bins: int = 20, epsilon: fl
     return scored.groupBy("dataset", "row_id").agg(F.sum(-F.ln(F.col("density") + epsilon)).alias("score"))
 
 
-def tails(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+def tails(rows: DataFrame, features: tuple[str, ...], splits: int | None = None) -> DataFrame:
     """(dataset, row_id, feature, left, right, skew): -ln of each tail's empirical probability, and the feature's skewness.
 
-    Equal values are one row of the running count, so repeated values cost no more than their number of distinct ones.
+    Equal values are one row of the running count, so repeated values cost no more than their number of distinct ones;
+    ``splits`` deals a data set's values out over so many tasks.
     """
     f = long(rows, features)
-    c = f.groupBy("dataset", "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    up = W.partitionBy("dataset", "feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy("dataset", "feature")
-    p = c.select("dataset", "feature", "value", (-F.ln(F.sum("c").over(up) / F.sum("c").over(every))).alias("left"), (-F.ln((F.sum("c").over(every) - F.sum("c").over(up) + F.col("c")) / F.sum("c").over(every))).alias("right"))
-    skew = f.groupBy("dataset", "feature").agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
-    return f.join(p, ["dataset", "feature", "value"]).join(skew, ["dataset", "feature"])
+    by = ["dataset", "feature"]
+    c = running_totals(f.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c")), by, "value", ["c"], splits)
+    p = c.select(*by, "value", (-F.ln((F.col("all_c") - F.col("cum_c") + F.col("c")) / F.col("all_c"))).alias("left"), (-F.ln(F.col("cum_c") / F.col("all_c"))).alias("right"))
+    skew = f.groupBy(*by).agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
+    return f.join(p, [*by, "value"]).join(skew, by)
 
 
-def ecod(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+def ecod(rows: DataFrame, features: tuple[str, ...], splits: int | None = None) -> DataFrame:
     """Largest of the summed left tails, right tails and the tails that skewness chooses."""
     chosen = F.when(F.col("skew") < 0, F.col("left")).otherwise(F.col("right"))
-    return tails(rows, features).groupBy("dataset", "row_id").agg(F.greatest(F.sum("left"), F.sum("right"), F.sum(chosen)).alias("score"))
+    return tails(rows, features, splits).groupBy("dataset", "row_id").agg(F.greatest(F.sum("left"), F.sum("right"), F.sum(chosen)).alias("score"))
 
 
-def copod(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+def copod(rows: DataFrame, features: tuple[str, ...], splits: int | None = None) -> DataFrame:
     """Sum over features of the larger of the mean tail and the tail that skewness chooses."""
     chosen = F.when(F.col("skew") < 0, F.col("left")).when(F.col("skew") > 0, F.col("right")).otherwise(F.col("left") + F.col("right"))
-    return tails(rows, features).groupBy("dataset", "row_id").agg(F.sum(F.greatest((F.col("left") + F.col("right")) / 2, chosen)).alias("score"))
+    return tails(rows, features, splits).groupBy("dataset", "row_id").agg(F.sum(F.greatest((F.col("left") + F.col("right")) / 2, chosen)).alias("score"))
 
 
 def pca(rows: DataFrame, features: tuple[str, ...], kept: float = 0.5) -> DataFrame:

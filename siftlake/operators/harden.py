@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlake.functions.ranks import running_totals
 from siftlake.operators import detectors as D
 from siftlake.operators import space
 
@@ -28,23 +28,22 @@ def double_hard(rows: DataFrame, features: tuple[str, ...], level: float = 0.99)
     return within_normals(rows, [D.max_z(rows, features, True), D.linear_residual(rows, features)], level)
 
 
-def severity(rows: DataFrame, features: tuple[str, ...], bins: int = 30) -> DataFrame:
+def severity(rows: DataFrame, features: tuple[str, ...], bins: int = 30, splits: int | None = None) -> DataFrame:
     """(dataset, row_id, score): over features, the larger of the two-sided tail and the bin rarity against normals.
 
     The tail is -ln of twice the smaller side, at least 1 / 2m; rarity is -ln(density + 1e-9), outside the range density 0.
-    Both are lookups in tables of normals: by running counts over distinct values, and by bins.
+    Both are lookups in tables of normals: by running counts over distinct values (dealt over ``splits`` tasks), and by bins.
     """
+    by = ["dataset", "feature"]
     f = rows.select("dataset", "row_id", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])).alias("p")).select("dataset", "row_id", "y", "p.*")
-    c = f.groupBy("dataset", "feature", "value").agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
-    up = W.partitionBy("dataset", "feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy("dataset", "feature")
-    t = c.withColumn("m", F.sum("c").over(every)).withColumn("le", F.sum("c").over(up))
-    t = t.withColumn("lo", F.min(F.when(F.col("c") > 0, F.col("value"))).over(every)).withColumn("hi", F.max(F.when(F.col("c") > 0, F.col("value"))).over(every)).where("m > 0 AND hi > lo")
-    t = t.withColumn("tail", F.expr("-ln(greatest(2 * least(le / m, (m - le + c) / m), 1 / (2.0D * m)))"))
+    c = f.groupBy(*by, "value").agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
+    ends = f.where("y = 0").groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("hi > lo")
+    t = running_totals(c, by, "value", ["c"], splits).join(ends, by).withColumn("m", F.col("all_c"))
+    t = t.withColumn("tail", F.expr("-ln(greatest(2 * least((m - cum_c + c) / m, cum_c / m), 1 / (2.0D * m)))"))
     t = t.withColumn("bin", F.expr(f"CASE WHEN value < lo OR value > hi THEN 0 ELSE least(cast(floor((value - lo) / (hi - lo) * {bins}) as int) + 1, {bins}) END"))
-    d = t.where("bin > 0").groupBy("dataset", "feature", "bin").agg((F.sum("c") / F.max("m")).alias("density"))
-    s = t.join(d, ["dataset", "feature", "bin"], "left").select("dataset", "feature", "value", F.greatest("tail", -F.ln(F.coalesce("density", F.lit(0.0)) + 1e-9)).alias("s"))
-    return f.join(s, ["dataset", "feature", "value"]).groupBy("dataset", "row_id").agg(F.max("s").alias("score"))
+    d = t.where("bin > 0").groupBy(*by, "bin").agg((F.sum("c") / F.max("m")).alias("density"))
+    s = t.join(d, [*by, "bin"], "left").select(*by, "value", F.greatest("tail", -F.ln(F.coalesce("density", F.lit(0.0)) + 1e-9)).alias("s"))
+    return f.join(s, [*by, "value"]).groupBy("dataset", "row_id").agg(F.max("s").alias("score"))
 
 
 def two_stage(rows: DataFrame, features: tuple[str, ...], level: float = 0.95, variance: float = 0.95) -> DataFrame:

@@ -196,7 +196,7 @@ _SEV = "n AS (SELECT dataset, feature, count(*) AS m, min(value) AS lo, max(valu
 
 @query(sql("feat", f"WITH {_SEV} SELECT dataset, row_id, round(score, 5) AS score FROM v"))
 def h4_j8_severity(spark, sf_dir):
-    return _scores(H.severity(base.tab(spark, sf_dir), FEATURES), 5)
+    return _scores(H.severity(base.tab(spark, sf_dir), FEATURES, splits=8), 5)
 
 
 @query()
