@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import store, text
+from siftlake.llm.bits import filter_bits, passes
 from siftlake.llm.components import components
 from siftlake.llm.simhash import SEED, fingerprint, ring_pairs
 
@@ -74,8 +75,12 @@ def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return out
 
 
+def _half(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.uint64)[::2]
+
+
 def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, id, fp, n): the digest of the lower-cased words, the fingerprint and the number of shingles."""
+    """(digest, k, id, fp, n): the digest of the lower-cased words and its first half, the fingerprint and the number of shingles."""
 
     def run(batches):
         for b in text.pieces(batches, "text"):
@@ -85,15 +90,16 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fps.append(fingerprint(words, 0))
                 sizes.append(len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))) if len(words) > SHINGLE else min(1, len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["digest", "id", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(_half(digest).view(np.int64)), b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["digest", "k", "id", "fp", "n"])
 
-    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, id bigint, fp bigint, n bigint")
+    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, k bigint, id bigint, fp bigint, n bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """(digest, first, root): each distinct text (by its lower-cased words), its smallest id, and its group."""
+    """(digest, k, first, c, root): each distinct text (by its lower-cased words), its smallest id, how many rows have it, and
+    its group."""
     profiles = _profiles(docs, id_col, text_col)
-    classes = profiles.groupBy("digest").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    classes = profiles.groupBy("digest").agg(F.min("k").alias("k"), F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("c"))
     classes = store.stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     sized = f"x.n >= {least} * y.n AND y.n >= {least} * x.n"  # similar sets have similar sizes
 
@@ -112,20 +118,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     named = store.stash(classes.select("id", "fp", "n").join(coarse, classes.id == coarse.node, "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")), "coarse")
     rest = ring_pairs(named, RADIUS, SEGMENTS, also=f"x.c <> y.c AND {sized}", extra=("c", "n"))
     clusters = components(stars.unionAll(rest))
-    members = classes.join(clusters, classes.id == clusters.node).select("id", "digest", F.col("root").alias("cluster"))
+    members = classes.join(clusters, classes.id == clusters.node).select("id", "digest", "k", F.col("root").alias("cluster"))
 
     # sets of clustered texts only; blocks by a hash, so their sizes are even
     size = members.groupBy("cluster").agg(F.count("*").alias("m"))
     members = members.join(size, "cluster").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     members = store.stash(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
 
-    texts = docs.select(F.col(text_col).alias("text"))
+    # only texts that a filter of the clustered digests lets through are shuffled; the join drops what passes by chance
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(members, "k"))
 
     def keyed(batches):
         for b in text.pieces(batches, "text"):
             digest = [xxhash.xxh3_128_digest(b" ".join(t.as_buffer().to_pybytes().lower().split())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column("text").cast(pa.string())], ["digest", "text"])
+            ok = pa.array(passes(bits.value, _half(digest)))
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column("text").cast(pa.string())], ["digest", "text"]).filter(ok)
 
+    texts = docs.select(F.col(text_col).alias("text"))
     wanted = texts.mapInArrow(keyed, "digest binary, text string").join(members.select("digest", "id", "cluster", "blocks", "block"), "digest")
 
     def sets(batches):
@@ -145,7 +154,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     links = dealt.groupBy("cluster", "p", "q").applyInPandas(linked, "a bigint, b bigint")
     final = components(links)
-    return classes.join(final, classes.id == final.node, "left").select("digest", "first", F.coalesce("root", "id").alias("root"))
+    return store.stash(classes.join(final, classes.id == final.node, "left").select("digest", "k", "first", "c", F.coalesce("root", "id").alias("root")), "groups")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -158,7 +167,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = groups(docs, id_col, text_col, least)
     # the class that holds the group's smallest id; a null sorts last
     order = F.struct(F.col("first").isNull().alias("n"), F.col("first").alias("first"), F.col("digest").alias("digest"))
-    keep = found.groupBy("root").agg(F.min(order).alias("k")).select("k.digest", "k.first")
+    several = store.stash(found.groupBy("root").agg(F.min(order).alias("best"), F.sum("c").alias("rows")).where("rows > 1"), "several")
+    keep = several.select("best.digest", "best.first")
+    # rows of no such group stay without being shuffled; the few that pass by chance are told apart by the joins
+    members = found.join(several.select("root"), "root", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(members, "k"))
     names = docs.columns
 
     def keyed(batches):
@@ -169,9 +182,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digest = [xxhash.xxh3_128_digest(b" ".join(t.as_buffer().to_pybytes().lower().split())) for t in b.column(at)]
                 part = whole.slice(done, b.num_rows)
                 done += b.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.binary())], [*names, "__digest"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.binary()), pa.array(passes(bits.value, _half(digest)))], [*names, "__digest", "__open"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    rows = docs.mapInArrow(keyed, f"{fields}, __digest binary")
-    kept = rows.join(keep, (rows["__digest"] == keep["digest"]) & F.col(id_col).cast("bigint").eqNullSafe(keep["first"]), "left_semi")
-    return kept.dropDuplicates(["__digest"]).drop("__digest")
+    rows = docs.mapInArrow(keyed, f"{fields}, __digest binary, __open boolean")
+    alone = rows.where("NOT __open").select(*names)
+    open_ = rows.where("__open")
+    same = open_["__digest"] == members["digest"]
+    chance = open_.join(members, same, "left_anti").select(*names)
+    best = (open_["__digest"] == keep["digest"]) & F.col(id_col).cast("bigint").eqNullSafe(keep["first"])
+    kept = open_.join(keep, best, "left_semi").dropDuplicates(["__digest"]).select(*names)
+    return alone.unionAll(chance).unionAll(kept)
