@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "d
     def run(batches):
         stream, ends, ids, total, path = None, [], [], 0, None
         coder = Encoder.of(tokenizer)
-        for b in text.pieces(batches, "text"):
+        for b in text.pieces(batches, "text", 1 << 20):
             if stream is None:
                 path = f"{where}/shard-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin"
                 system, name = _filesystem(path)
