@@ -283,6 +283,19 @@ def test_suffix_dedup(which, hot, request, monkeypatch):
     assert sorted(got) == brute_suffix(rows_of(df))
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_of_a_line_repeated_inside_a_document(spark, hot, monkeypatch):
+    """The line's middle stands in a smaller document, its whole neighbourhood twice or more in its first one alone."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(chr(97 + k) for k in rng.integers(26, size=n))
+    p, a, z = word(64), word(40), word(40)
+    line = a + p + z
+    rows = [(1, word(70) + p + word(70)), (2, word(30) + line + word(90) + line + word(30)), (3, line + word(60)), (2, word(11) + line * 3)]
+    got = [(str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], suffix_dedup.sha256(r["kept"])) for r in suffix_dedup.dedup(spark.createDataFrame(rows + rows[1:2], "doc_id long, text string")).collect()]
+    assert sorted(got) == brute_suffix(rows + rows[1:2])
+
+
 def test_maximal_repeats_list_all_occurrences():
     rng = np.random.default_rng(3)
     base = bytes(rng.integers(97, 99, 60).astype(np.uint8))
