@@ -7,6 +7,9 @@ that hold at least one are fingerprinted. Fingerprints within ``RADIUS`` bits of
 of eight bits: at least one block then differs in at most RADIUS / 8 bits, and each block's table lists all items that
 near. What is found is verified by the exact similarity.
 
+A document of fewer words than the item is one window, compared without a fingerprint. An item of fewer than five words
+matches only documents that are that item and nothing else.
+
 Items are a stated query set; they are taken in blocks of ``ITEMS`` so that what each task holds is bounded.
 """
 
@@ -116,6 +119,14 @@ class Index:
         for (r, n), where in seeds.items():
             first, last = np.searchsorted(own, [r, r + 1])
             k = max(1, n - SHINGLE + 1)
+            if last - first < k:  # fewer words than the item: the whole document is the window
+                window = Counter(sh[first:last].tolist())
+                for i in {i for p in where for i in self.items_of[int(sh[p])] if self.n_words[i] == n}:
+                    same = (window & self.bags[i]).total()
+                    similar = same / (int(last - first) + k - same)
+                    if similar >= least:
+                        best[r, i] = similar, 0
+                continue
             words = last - first + SHINGLE - 1 if n >= SHINGLE else 0
             if n < SHINGLE and int((row == r).sum()) < n:
                 continue
@@ -151,7 +162,8 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
     """(id, item_id, similarity, first_word) for each row of ``docs`` and item with a window of that similarity or more.
 
-    Of several windows the most similar is named, then the first. Null and empty texts, of documents or items, match
+    Of several windows the most similar is named, then the first; a document of fewer words than the item is one window, and
+    an item of fewer than five words matches only documents of just its words. Null and empty texts, of documents or items, match
     nothing; ids may repeat or be null (each row is matched on its own); empty tables give an empty result.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()

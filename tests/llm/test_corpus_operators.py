@@ -499,6 +499,15 @@ def test_decontamination(spark, documents, hostile):
     assert decontaminate.matches(docs.where("false"), items).count() == 0
 
 
+def test_documents_shorter_than_the_item(spark):
+    w = [f"w{k}" for k in range(59)]
+    docs = spark.createDataFrame([(1, " ".join(w[:55])), (2, " ".join(w[3:])), (3, " ".join(w[:40])), (4, "x " * 70 + " ".join(w))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    got = sorted((r["id"], r["item_id"], round(r["similarity"], 9), r["first_word"]) for r in decontaminate.matches(docs, items).collect())
+    assert got == [(1, 9, round(51 / 55, 9), 0), (2, 9, round(52 / 55, 9), 0), (4, 9, 1.0, 70)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
 def test_multi_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{rng.integers(50)}" for _ in range(20)) for _ in range(120)]
