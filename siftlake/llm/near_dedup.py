@@ -1,12 +1,15 @@
 """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
 
-Candidates come from SimHash and the pigeonring search of ``simhash``, on fingerprints of the distinct words of a text. An
-edit changes one word but five shingles, so of texts alike at 0.8 in shingles these differ in about 4 of 64 bits, and
-radius 7 reaches nearly all (measured in the README). Every candidate is verified by the exact similarity of shingle sets;
-groups are the connected components of verified links.
+Candidates come from two searches. One is SimHash and the pigeonring search of ``simhash``, on fingerprints of the distinct
+words of a text: it finds what differs in few words wherever they are, but a cut or an edited block moves more bits than
+``RADIUS``. The other covers the threshold whatever the edit: ``BANDS`` keys of ``ROWS`` minimum hashes each over the shingle
+sets. A pair alike at 0.8 shares none of them with a chance of (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Texts that share a
+key are candidates if the low bits of their minima differ in at most ``BITS`` places, six deviations above what is
+expected at 0.8. Every candidate is verified by the exact similarity of shingle sets; groups are the connected components of
+verified links.
 
 A group of n near copies has n**2 candidate pairs; they are never rows. First each class of equal texts is paired with its
-bucket's leader only, for several draws of leaders, and the components of those pairs are coarse clusters; then the full
+bucket's leader only (for several draws of leaders, or for each of the keys), and the components of those pairs are coarse clusters; then the full
 search adds only pairs between different clusters. All verified links lie inside clusters. A cluster's shingle sets are
 dealt in blocks of ``BLOCK`` texts, and each pair of blocks is one task of bounded size that returns a spanning forest.
 """
@@ -25,13 +28,18 @@ from pyspark.sql import functions as F
 from siftlake.llm import store, text
 from siftlake.llm.bits import filter_bits, passes
 from siftlake.llm.components import components
+from siftlake.llm.decontaminate import _shingles
 from siftlake.llm.simhash import SEED, fingerprint, ring_pairs
 
 SHINGLE = 5
 RADIUS, SEGMENTS = 7, 4
+BANDS, ROWS = 24, 4
+BITS = 27  #: of BANDS * ROWS
 BLOCK = 512
 LEADER_DRAWS = 3
 
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+
 
 def shingle_set(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct ``n``-word shingles; fewer words are one shingle, no word none."""
@@ -75,12 +83,36 @@ def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return out
 
 
+def minima(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, BANDS) keys and (texts, 2) low bits of the minimum hashes of each text's shingles; zeros without words."""
+    data, offsets = text.raw(column)
+    data = text.LOWER[data]
+    starts, ends, row = text.spans(data, offsets)
+    n = len(offsets) - 1
+    keys, bits = np.zeros((n, BANDS), np.uint64), np.zeros((n, 2), np.uint64)
+    if not len(row):
+        return keys, bits
+    shingles, _, own = _shingles(text.hashes(data, starts, ends), row)
+    begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    least = np.stack([np.minimum.reduceat(shingles * (a | np.uint64(1)) + b, begins) for a, b in _DRAWS.T], axis=1)
+    least = text.mix(least)
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(begins), BANDS))
+    for k in range(ROWS):
+        band = text.mix(band * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
+    keys[own[begins]] = band
+    low = np.zeros((len(begins), 128), np.uint8)
+    low[:, : BANDS * ROWS] = least & np.uint64(1)
+    bits[own[begins]] = np.packbits(low, axis=1).view(np.uint64)
+    return keys, bits
+
+
 def _half(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64)[::2]
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, k, id, fp, n): the digest of the lower-cased words and its first half, the fingerprint and the number of shingles."""
+    """(digest, k, id, fp, n, bands, m1, m2): the digest of the lower-cased words and its first half, the fingerprint, the number
+    of shingles, and the keys and low bits of their minima."""
 
     def run(batches):
         for b in text.pieces(batches, "text"):
@@ -90,16 +122,18 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fps.append(fingerprint(words, 0))
                 sizes.append(len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))) if len(words) > SHINGLE else min(1, len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(_half(digest).view(np.int64)), b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["digest", "k", "id", "fp", "n"])
+            bands, bits = minima(b.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(text.signed(bands).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(_half(digest).view(np.int64)), b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, *(pa.array(text.signed(bits[:, k])) for k in (0, 1))], ["digest", "k", "id", "fp", "n", "bands", "m1", "m2"])
 
-    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, k bigint, id bigint, fp bigint, n bigint")
+    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, k bigint, id bigint, fp bigint, n bigint, bands array<bigint>, m1 bigint, m2 bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(digest, k, first, c, root): each distinct text (by its lower-cased words), its smallest id, how many rows have it, and
     its group."""
     profiles = _profiles(docs, id_col, text_col)
-    classes = profiles.groupBy("digest").agg(F.min("k").alias("k"), F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("c"))
+    classes = profiles.groupBy("digest").agg(F.min("k").alias("k"), F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.any_value("bands").alias("bands"), F.min("m1").alias("m1"), F.min("m2").alias("m2"), F.count("*").alias("c"))
     classes = store.stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     sized = f"x.n >= {least} * y.n AND y.n >= {least} * x.n"  # similar sets have similar sizes
 
@@ -113,10 +147,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         leader = own.groupBy("i", "k", "band").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("o"), F.col("id"), F.col("fp"), F.col("n"))).alias("y"))
         star = own.alias("x").join(leader.alias("l"), ["i", "k", "band"]).where(F.expr(f"x.id <> y.id AND bit_count(x.fp ^ y.fp) <= {RADIUS} AND {sized}"))
         stars.append(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+
+    # keys of minima that two texts share; each such text meets its key's leader
+    banded = classes.where("n > 0").select("id", "n", "m1", "m2", F.explode("bands").alias("k"))
+    shared = banded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", "k").alias("o"), F.col("id"), F.col("n"), F.col("m1"), F.col("m2"))).alias("y"), F.count("*").alias("m")).where("m > 1")
+    shared = store.stash(shared.select("k", "y"), "keys")
+    banded = store.stash(banded.join(shared, "k"), "banded")
+    alike = f"x.id <> y.id AND bit_count(x.m1 ^ y.m1) + bit_count(x.m2 ^ y.m2) <= {BITS} AND {sized}"
+    stars.append(banded.alias("x").where(F.expr(alike)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     stars = store.stash(reduce(DataFrame.unionAll, stars).distinct(), "stars")
     coarse = components(stars)
     named = store.stash(classes.select("id", "fp", "n").join(coarse, classes.id == coarse.node, "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")), "coarse")
     rest = ring_pairs(named, RADIUS, SEGMENTS, also=f"x.c <> y.c AND {sized}", extra=("c", "n"))
+    # of keys whose texts lie in several clusters so far, all pairs
+    clustered = banded.select("k", "id", "n", "m1", "m2").join(named.select("id", "c"), "id")
+    clustered = store.stash(clustered, "clustered")
+    mixed = clustered.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    clustered = clustered.join(mixed, "k")
+    across = clustered.alias("x").join(clustered.alias("y"), F.expr(f"x.k = y.k AND x.id < y.id AND x.c <> y.c AND {alike}"))
+    rest = rest.unionAll(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     clusters = components(stars.unionAll(rest))
     members = classes.join(clusters, classes.id == clusters.node).select("id", "digest", "k", F.col("root").alias("cluster"))
 

@@ -69,6 +69,33 @@ def test_near_dedup_keeps_one_of_each_group(spark, documents, hostile, monkeypat
     assert sorted(str(r.doc_id) for r in got.collect()) == brute_kept([(r["doc_id"], r["text"]) for r in hostile.collect()])
 
 
+def test_near_dedup_of_cut_and_block_edited_copies(spark):
+    """Against brute force without a radius: most of these pairs are beyond it."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        w = [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(60, 400))]
+        n, at = len(w), rng.randrange(len(w) // 2)
+        block = [f"n{rng.randrange(10**6)}" for _ in range(n // 12)]
+        kinds = (w[: n - n // 6], w[: n - n // 8], w[: n - n // 12], w[:at] + block + w[at + len(block) :], w + block, w[n // 3 :])
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(kinds[k % 6]))]
+    want = brute_kept(rows, 64)
+    assert len(brute_kept(rows)) > len(want) + 5
+    assert sorted(str(r.doc_id) for r in near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_near_dedup_is_brute_force_without_a_radius(spark, documents, hostile):
+    base = [(r.doc_id, r.text) for r in documents.collect()]
+    long = [t for _, t in base if len(t.split()) > 120][:6]
+    copies = [(1000 + 10 * k + c, edited(t, 0.004 * (c + 1), 100 * k + c)) for k, t in enumerate(long) for c in range(6)]
+    cloud = [(2000 + c, edited(long[0], 0.01, c)) for c in range(120)]
+    df = spark.createDataFrame(base + copies + cloud, "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in near_dedup.deduplicate(df).collect()) == brute_kept(base + copies + cloud, 64)
+    got = near_dedup.deduplicate(hostile)
+    assert got.columns == hostile.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == brute_kept([(r["doc_id"], r["text"]) for r in hostile.collect()], 64)
+
+
 def test_stages_in_turn(spark, sf_dir, hostile, none_at_all):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = [re.findall("[0-9a-z]+", r.text.lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
