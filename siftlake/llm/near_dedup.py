@@ -1,25 +1,22 @@
 """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
 
-Candidates come from two searches. One is SimHash and the pigeonring search of ``simhash``, on fingerprints of the distinct
-words of a text: it finds what differs in few words wherever they are, but a cut or an edited block moves more bits than
-``RADIUS``. The other covers the threshold whatever the edit: ``BANDS`` keys of ``ROWS`` minimum hashes each over the shingle
-sets. A pair alike at 0.8 shares none of them with a chance of (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Texts that share a
-key are candidates if the low bits of their minima differ in at most ``BITS`` places, six deviations above what is
-expected at 0.8. Every candidate is verified by the exact similarity of shingle sets; groups are the connected components of
-verified links.
-
-A group of n near copies has n**2 candidate pairs; they are never rows. First each class of equal texts is paired with its
-bucket's leader only (for several draws of leaders, or for each of the keys), and the components of those pairs are coarse clusters; then the full
-search adds only pairs between different clusters. All verified links lie inside clusters. A cluster's shingle sets are
-dealt in blocks of ``BLOCK`` texts, and each pair of blocks is one task of bounded size that returns a spanning forest.
+Every text has a SimHash fingerprint of its distinct shingles. At a similarity of 0.8 two 64-bit fingerprints differ in 10
+bits on average, give or take 3, so a radius that loses no pair (``RADIUS``) leaves pigeonring keys of two bits, which select
+nothing. Candidates therefore come from ``BANDS`` keys of ``ROWS`` minimum hashes each: a pair alike at 0.8 shares none with
+a chance of (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000. Keys are 64 bits wide, so what shares one grows with the corpus and
+not with its square. The pigeonring test on the fingerprints (a chain of segments whose every prefix stays within its share of
+the radius), the sizes, and a sketch of two bits of each minimum prune candidates before the exact comparison of shingle sets.
+
+A group of n near copies has n**2 candidate pairs; they are never rows. First each text of a key meets the key's leader, the
+text that comes first in one order over all keys, so a group has few leaders. Verified links join them to components. Then,
+in keys whose texts lie in several components, the texts outside the key's largest one meet the texts of other components.
+Every candidate pair is therefore either verified or inside a component already. Both searches deal a hot key or leader out
+over tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,81 +26,76 @@ from siftlake.llm import store, text
 from siftlake.llm.bits import filter_bits, passes
 from siftlake.llm.components import components
 from siftlake.llm.decontaminate import _shingles
-from siftlake.llm.simhash import SEED, fingerprint, ring_pairs
+from siftlake.llm.simhash import SEED, ring_test
 
 SHINGLE = 5
-RADIUS, SEGMENTS = 7, 4
-BANDS, ROWS = 24, 4
-BITS = 27  #: of BANDS * ROWS
+RADIUS, SEGMENTS = 24, 8  #: five deviations beyond the mean distance at 0.8
+BANDS, ROWS = 20, 4
+DIFFERENT = 24  #: of 64 minima, those whose two low bits may differ: five deviations too
 BLOCK = 512
-LEADER_DRAWS = 3
 
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
-def shingle_set(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct ``n``-word shingles; fewer words are one shingle, no word none."""
-    if not words:
-        return np.zeros(0, np.int64)
-    parts = [b" ".join(words)] if len(words) <= n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
-    return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64)).view(np.int64)
-
-
-def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links (i, j) that span the components of all pairs with Jaccard similarity ``least`` or more."""
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    if n < 2:
-        return []
-    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
-    shared = times[inverse] > 1
-    row, column = row[shared], np.unique(inverse[shared], return_inverse=True)[1]
-    common = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    step = max(64, (1 << 22) // n)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        lo, hi = np.searchsorted(column, [a, a + step])
-        part = np.zeros((n, min(step, int(column[-1]) + 1 - a)), np.float32)
-        part[row[lo:hi], column[lo:hi] - a] = 1
-        common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    near = (common >= least * union - 1e-9) | (union == 0)
-    out, left = [], np.ones(n, bool)
-    for i in range(n):
-        if left[i]:
-            left[i] = False
-            edge = [i]
-            while edge:
-                u = edge.pop()
-                found = np.flatnonzero(near[u] & left)
-                left[found] = False
-                out.extend((u, int(v)) for v in found)
-                edge.extend(found.tolist())
-    return out
-
-
-def minima(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, BANDS) keys and (texts, 2) low bits of the minimum hashes of each text's shingles; zeros without words."""
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text in ascending order, text by text, and where each text's begin and end.
+
+    Fewer words are one shingle, no word none. Words are runs of bytes other than ASCII white space, A-Z lower-cased.
+    """
     data, offsets = text.raw(column)
     data = text.LOWER[data]
     starts, ends, row = text.spans(data, offsets)
-    n = len(offsets) - 1
-    keys, bits = np.zeros((n, BANDS), np.uint64), np.zeros((n, 2), np.uint64)
-    if not len(row):
-        return keys, bits
-    shingles, _, own = _shingles(text.hashes(data, starts, ends), row)
-    begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    least = np.stack([np.minimum.reduceat(shingles * (a | np.uint64(1)) + b, begins) for a, b in _DRAWS.T], axis=1)
+    h, _, own = _shingles(text.hashes(data, starts, ends), row)
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    h, own = h[first], own[first]
+    return h, np.searchsorted(own, np.arange(len(offsets)))
+
+
+def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each shingle set: SimHash, BANDS keys, and (two) sketch words of its minimum hashes; zeros for an empty set."""
+    n = len(bounds) - 1
+    fp, keys, sketch = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros((n, 2), np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if not len(some):
+        return fp, keys, sketch
+    begins, sizes = bounds[some], np.diff(bounds)[some]
+    ones = np.zeros((len(some), 64), np.int64)
+    for a in range(0, len(some), 256):  # bits of a few sets at a time
+        z = min(a + 256, len(some))
+        lo, hi = begins[a], begins[z - 1] + sizes[z - 1]
+        for k in range(64):
+            ones[a:z, k] = np.add.reduceat((h[lo:hi] >> np.uint64(63 - k)) & np.uint64(1), begins[a:z] - lo)
+    fp[some] = np.packbits(ones * 2 > sizes[:, None], axis=1).view(">u8").ravel()
+    least = np.stack([np.minimum.reduceat(h * (a | np.uint64(1)) + b, begins) for a, b in _DRAWS.T], axis=1)
     least = text.mix(least)
-    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(begins), BANDS))
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS))
     for k in range(ROWS):
         band = text.mix(band * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
-    keys[own[begins]] = band
-    low = np.zeros((len(begins), 128), np.uint8)
-    low[:, : BANDS * ROWS] = least & np.uint64(1)
-    bits[own[begins]] = np.packbits(low, axis=1).view(np.uint64)
-    return keys, bits
+    keys[some] = band
+    for k in (0, 1):
+        bits = ((least[:, :64] >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)
+        sketch[some, k] = np.packbits(bits, axis=1).view(np.uint64).ravel()
+    return fp, keys, sketch
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more; two empty ones have."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    if not len(a):
+        return True
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
+
+def _digests(column: pa.Array) -> list[bytes]:
+    """128 bits of each text's lower-cased words."""
+    return [xxhash.xxh3_128_digest(b" ".join(t.as_buffer().to_pybytes().lower().split())) for t in column]
 
 
 def _half(digests: list[bytes]) -> np.ndarray:
@@ -111,98 +103,124 @@ def _half(digests: list[bytes]) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, k, id, fp, n, bands, m1, m2): the digest of the lower-cased words and its first half, the fingerprint, the number
-    of shingles, and the keys and low bits of their minima."""
+    """(digest, k, id, fp, n, bands, m1, m2) of each row; k is the digest's first half, n the size of the shingle set."""
 
     def run(batches):
         for b in text.pieces(batches, "text"):
-            digest, fps, sizes = [], [], []
-            for t in b.column("text"):
-                words = t.as_buffer().to_pybytes().lower().split()
-                digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                fps.append(fingerprint(words, 0))
-                sizes.append(len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))) if len(words) > SHINGLE else min(1, len(words)))
-            bands, bits = minima(b.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(text.signed(bands).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(_half(digest).view(np.int64)), b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, *(pa.array(text.signed(bits[:, k])) for k in (0, 1))], ["digest", "k", "id", "fp", "n", "bands", "m1", "m2"])
+            digest = _digests(b.column("text"))
+            h, bounds = shingle_sets(b.column("text"))
+            fp, keys, sketch = signatures(h, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(text.signed(keys).ravel()))
+            columns = [pa.array(digest, pa.binary()), pa.array(_half(digest).view(np.int64)), b.column("id"), pa.array(text.signed(fp))]
+            columns += [pa.array(np.diff(bounds)), lists, *(pa.array(text.signed(sketch[:, k])) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "k", "id", "fp", "n", "bands", "m1", "m2"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = text.bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"digest binary, k bigint, id {kind}, fp bigint, n bigint, bands array<bigint>, m1 bigint, m2 bigint")
+
+
+def _likely(least: float) -> str:
+    """The tests that pairs x, y must pass before their sets are compared."""
+    sizes = f"x.n >= {least} * y.n AND y.n >= {least} * x.n"
+    sketch = f"bit_count((x.m1 ^ y.m1) | (x.m2 ^ y.m2)) <= {DIFFERENT}"
+    return f"{sizes} AND {sketch} AND {ring_test('(x.fp ^ y.fp)', RADIUS, SEGMENTS)}"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, s) are alike. A text in many pairs is ``a``; its pairs are dealt in blocks, and each
+    task streams them past the one set it holds."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    b = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    b = b.join(sets.withColumnRenamed("id", "b"), "b").select("a", "block", F.lit(1).alias("order"), "b", "s")
+    a = blocks.select("a", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    a = a.join(sets.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(0).alias("order"), F.col("a").alias("b"), "s")
 
-    return text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, k bigint, id bigint, fp bigint, n bigint, bands array<bigint>, m1 bigint, m2 bigint")
+    def run(batches):
+        held, own = None, None
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            order, s = batch.column("order").to_pylist(), batch.column("s")
+            found = []
+            for i in range(batch.num_rows):
+                values = np.frombuffer(s[i].as_buffer(), np.uint64)
+                if order[i] == 0:
+                    held, own = a[i], values.copy()
+                elif held == a[i] and alike(own, values, least):
+                    found.append(i)
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in found], pa.int64()), "b": pa.array([b[i] for i in found], pa.int64())})
+        text.tidy()
+
+    dealt = a.unionAll(b).repartition("a", "block").sortWithinPartitions("a", "block", "order")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(digest, k, first, c, root): each distinct text (by its lower-cased words), its smallest id, how many rows have it, and
     its group."""
-    profiles = _profiles(docs, id_col, text_col)
-    classes = profiles.groupBy("digest").agg(F.min("k").alias("k"), F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.any_value("bands").alias("bands"), F.min("m1").alias("m1"), F.min("m2").alias("m2"), F.count("*").alias("c"))
+    classes = _profiles(docs, id_col, text_col).groupBy("digest").agg(
+        F.count("*").alias("c"),
+        F.min("id").alias("first"),
+        *[F.any_value(x).alias(x) for x in ("k", "fp", "n", "bands", "m1", "m2")],
+    )
     classes = store.stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    sized = f"x.n >= {least} * y.n AND y.n >= {least} * x.n"  # similar sets have similar sizes
-
-    keys = F.expr(f"array({','.join(f'struct({i} AS i, shiftright(fp, {64 * i // SEGMENTS}) & 65535L AS k)' for i in range(SEGMENTS))})")
-    buckets = classes.select("id", "fp", "n", F.explode(keys).alias("z")).select("id", "fp", "n", "z.*")
-    stars = []
-    for draw in range(LEADER_DRAWS):
-        # leaders are drawn within a band of sizes too, so that most members may be linked to theirs
-        band = F.floor(F.log(F.col("n") + 1.0) / F.lit(0.2) + F.lit(draw / LEADER_DRAWS)).cast("int")
-        own = buckets.withColumn("band", band)
-        leader = own.groupBy("i", "k", "band").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("o"), F.col("id"), F.col("fp"), F.col("n"))).alias("y"))
-        star = own.alias("x").join(leader.alias("l"), ["i", "k", "band"]).where(F.expr(f"x.id <> y.id AND bit_count(x.fp ^ y.fp) <= {RADIUS} AND {sized}"))
-        stars.append(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-
-    # keys of minima that two texts share; each such text meets its key's leader
-    banded = classes.where("n > 0").select("id", "n", "m1", "m2", F.explode("bands").alias("k"))
-    shared = banded.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", "k").alias("o"), F.col("id"), F.col("n"), F.col("m1"), F.col("m2"))).alias("y"), F.count("*").alias("m")).where("m > 1")
-    shared = store.stash(shared.select("k", "y"), "keys")
-    banded = store.stash(banded.join(shared, "k"), "banded")
-    alike = f"x.id <> y.id AND bit_count(x.m1 ^ y.m1) + bit_count(x.m2 ^ y.m2) <= {BITS} AND {sized}"
-    stars.append(banded.alias("x").where(F.expr(alike)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    stars = store.stash(reduce(DataFrame.unionAll, stars).distinct(), "stars")
-    coarse = components(stars)
-    named = store.stash(classes.select("id", "fp", "n").join(coarse, classes.id == coarse.node, "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")), "coarse")
-    rest = ring_pairs(named, RADIUS, SEGMENTS, also=f"x.c <> y.c AND {sized}", extra=("c", "n"))
-    # of keys whose texts lie in several clusters so far, all pairs
-    clustered = banded.select("k", "id", "n", "m1", "m2").join(named.select("id", "c"), "id")
-    clustered = store.stash(clustered, "clustered")
-    mixed = clustered.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    clustered = clustered.join(mixed, "k")
-    across = clustered.alias("x").join(clustered.alias("y"), F.expr(f"x.k = y.k AND x.id < y.id AND x.c <> y.c AND {alike}"))
-    rest = rest.unionAll(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    clusters = components(stars.unionAll(rest))
-    members = classes.join(clusters, classes.id == clusters.node).select("id", "digest", "k", F.col("root").alias("cluster"))
-
-    # sets of clustered texts only; blocks by a hash, so their sizes are even
-    size = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    members = members.join(size, "cluster").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = store.stash(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
-
-    # only texts that a filter of the clustered digests lets through are shuffled; the join drops what passes by chance
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(members, "k"))
+    features = classes.select("id", "fp", "n", "m1", "m2")
 
-    def keyed(batches):
+    # keys that two texts share, with their leader by one order over all keys
+    banded = classes.where("n > 0").select("id", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id"))).alias("y"), F.count("*").alias("m")).where("m > 1")
+    banded = store.stash(banded.join(shared.select("key", F.col("y.id").alias("leader")), "key"), "banded")
+
+    def with_features(pairs: DataFrame) -> DataFrame:
+        """Likely pairs of ids a, b."""
+        x, y = features.alias("x"), features.alias("y")
+        found = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+        return found.where(F.expr(_likely(least))).select("a", "b")
+
+    stars = with_features(banded.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    stars = store.stash(stars, "stars")
+
+    # shingle sets of the texts that share a key; only what a filter of their digests lets through is shuffled
+    wanted = store.stash(classes.select("id", "digest", "k").join(banded.select("id").distinct(), "id"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "k"))
+
+    def sets_of(batches):
+        seen: set[bytes] = set()
         for b in text.pieces(batches, "text"):
-            digest = [xxhash.xxh3_128_digest(b" ".join(t.as_buffer().to_pybytes().lower().split())) for t in b.column("text")]
-            ok = pa.array(passes(bits.value, _half(digest)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), b.column("text").cast(pa.string())], ["digest", "text"]).filter(ok)
-
-    texts = docs.select(F.col(text_col).alias("text"))
-    wanted = texts.mapInArrow(keyed, "digest binary, text string").join(members.select("digest", "id", "cluster", "blocks", "block"), "digest")
-
-    def sets(batches):
-        for b in batches:
-            own = [shingle_set(t.as_buffer().to_pybytes().lower().split()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(own, pa.binary())], ["id", "cluster", "blocks", "block", "s"])
-
-    held = wanted.select("id", "cluster", "blocks", "block", "text").mapInArrow(sets, "id bigint, cluster bigint, blocks int, block int, s binary")
-    held = held.dropDuplicates(["id"])
-    # block i meets every block j: rows go to the pairs (least, greatest) of their block with each other one
-    dealt = held.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("id", "cluster", "s", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-
-    def linked(df: pd.DataFrame) -> pd.DataFrame:
-        ids = df["id"].to_numpy()
-        found = forest([np.frombuffer(s, np.int64) for s in df["s"]], least)
-        return pd.DataFrame({"a": [int(ids[u]) for u, _ in found], "b": [int(ids[v]) for _, v in found]}, dtype="int64")
-
-    links = dealt.groupBy("cluster", "p", "q").applyInPandas(linked, "a bigint, b bigint")
-    final = components(links)
+            digest = _digests(b.column("text"))
+            ok = passes(bits.value, _half(digest))
+            at = [i for i in np.flatnonzero(ok).tolist() if digest[i] not in seen]
+            at = list({digest[i]: i for i in at}.values())
+            if not at:
+                continue
+            seen.update(digest[i] for i in at)
+            h, bounds = shingle_sets(b.column("text").take(pa.array(at)))
+            s = [h[p:q].tobytes() for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest[i] for i in at], pa.binary()), pa.array(s, pa.binary())], ["digest", "s"])
+
+    texts = text.bounded(docs).select(F.col(text_col).alias("text")).mapInArrow(sets_of, "digest binary, s binary")
+    sets = texts.join(wanted.select("digest", "id"), "digest").groupBy("id").agg(F.any_value("s").alias("s"))
+    sets = store.stash(sets, "sets")
+
+    links = store.stash(_verified(stars, sets, least), "links")
+    part = components(links)
+    named = banded.select("key", "id").join(part, banded.id == part.node, "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+    named = store.stash(named, "named")
+
+    # keys whose texts lie in several components: those outside the largest meet the others
+    of_key = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    mixed = of_key.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    mixed = mixed.where("most < all").select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
+    rows = store.stash(named.join(mixed, "key").join(features, "id"), "mixed")
+    minor = rows.where("c <> major").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = rows.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    once = "(y.c = y.major OR x.id < y.id)"
+    across = minor.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key AND x.block = y.block AND x.c <> y.c AND {once} AND {_likely(least)}"))
+    across = store.stash(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "across")
+    final = components(links.unionAll(store.stash(_verified(across, sets, least), "more")))
+    for t in (banded, stars, wanted, sets, named, rows, across):
+        store.drop_stash(t)
     return store.stash(classes.join(final, classes.id == final.node, "left").select("digest", "k", "first", "c", F.coalesce("root", "id").alias("root")), "groups")
 
 
@@ -228,7 +246,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in batches:
             done = 0
             for b in text.pieces(iter([whole]), text_col):
-                digest = [xxhash.xxh3_128_digest(b" ".join(t.as_buffer().to_pybytes().lower().split())) for t in b.column(at)]
+                digest = _digests(b.column(at))
                 part = whole.slice(done, b.num_rows)
                 done += b.num_rows
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.binary()), pa.array(passes(bits.value, _half(digest)))], [*names, "__digest", "__open"])
@@ -239,6 +257,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = rows.where("__open")
     same = open_["__digest"] == members["digest"]
     chance = open_.join(members, same, "left_anti").select(*names)
-    best = (open_["__digest"] == keep["digest"]) & F.col(id_col).cast("bigint").eqNullSafe(keep["first"])
+    best = (open_["__digest"] == keep["digest"]) & F.col(id_col).eqNullSafe(keep["first"])
     kept = open_.join(keep, best, "left_semi").dropDuplicates(["__digest"]).select(*names)
     return alone.unionAll(chance).unionAll(kept)

@@ -120,6 +120,20 @@ def ring_pairs(points: DataFrame, radius: int, segments: int, key_chain: int = 1
     return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def ring_test(differ: str, radius: int, segments: int) -> str:
+    """SQL: whether the differing bits hold a chain of segments around the ring whose every prefix is within its share."""
+    cuts = _cuts(segments)
+    chains = []
+    for i in range(segments):
+        held, tests = 0, []
+        for k in range(segments):
+            s, w = cuts[(i + k) % segments]
+            held |= ((1 << w) - 1) << s
+            tests.append(f"bit_count({differ} & {_long(held)}) <= {(k + 1) * radius // segments}")
+        chains.append("(" + " AND ".join(tests) + ")")
+    return "(" + " OR ".join(chains) + ")"
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component_id) for each row: rows whose fingerprints are linked, by steps of ``radius`` bits or fewer.
 
