@@ -95,7 +95,7 @@ def test_lm_base_is_exact_and_the_model_beats_it(documents, hostile):
         c = Counter(w for own, h in zip(toks, held, strict=True) if not h for w in own)
         n, v = sum(c.values()), len(c)
         want = sorted((str(i), h, len(own), sum(c[w] > 0 for w in own), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), 4)) for (i, _), h, own in zip(rows, held, toks, strict=True))
-        got = lm.score(df, fit_docs=150, rounds=2).collect()
+        got = lm.score(df).collect()
         assert sorted((str(r["id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
         assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
         if df is documents:
@@ -104,10 +104,49 @@ def test_lm_base_is_exact_and_the_model_beats_it(documents, hostile):
 
 
 def test_lm_probabilities_sum_to_one():
-    """Over every class the softmax is a distribution, and each head class's shares add up to one."""
-    x = np.random.default_rng(1).normal(size=(5, lm.CLASSES)).astype(np.float32)
-    total = sum(np.exp(lm._log_softmax(x.copy(), np.full(5, k))) for k in range(lm.CLASSES))
-    assert np.allclose(total, 1, atol=1e-5)
+    """Over all words of a small vocabulary, one unseen word of each tail class, and the end; histories with repeats too."""
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{k}x{rng.integers(10**6)}" for k in range(80)]
+    hashed = {w: lm._tokens(pa.array([w], pa.large_string())) for w in [*vocabulary, *(f"new{k}" for k in range(400))]}
+    h = {w: x[0][0] for w, x in hashed.items()}
+    suffix = {w: x[1][0] for w, x in hashed.items()}
+    count = {w: int(rng.integers(1, 50)) for w in vocabulary}
+    suffix_class = rng.integers(0, lm.TOPICS, lm.SUFFIXES) * (lm.TIERS + 1) + lm.TIERS
+    frequent = sorted(vocabulary[:40], key=lambda w: h[w])
+    cls = rng.integers(0, lm.TOPICS, 40) * (lm.TIERS + 1) + rng.integers(0, lm.TIERS, 40)
+    cls[0] = lm.END
+    keys, numbers = np.array([h[w] for w in frequent], np.uint64), np.array([float(count[w]) for w in frequent])
+    keys[0] = lm.END_HASH
+    order = np.argsort(keys)
+    keys, numbers, cls = keys[order], numbers[order], cls[order]
+    frequent = [w for w in frequent if h[w] in set(keys.tolist())]
+    mass = np.bincount(cls, numbers, lm.CLASSES)
+    tail = vocabulary[40:]
+    tail_mass, tail_words = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for w in tail:
+        tail_mass[suffix_class[suffix[w]]] += count[w]
+        tail_words[suffix_class[suffix[w]]] += 1
+    head = lm.Head(keys, cls.astype(np.int16), np.log10(numbers + 0.1), np.log10(numbers / mass[cls]), suffix_class, np.log10(tail_mass + 0.1 * (tail_words + 1)))
+    used = {int(c) for c in cls}
+    weights = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+    empty = [k for k in range(lm.CLASSES - 3) if k not in used and k % (lm.TIERS + 1) != lm.TIERS]
+    weights[:, empty] = -50  # frequent classes without words
+    unseen = {}
+    for w in h:
+        if w.startswith("new") and w != "new9":
+            unseen.setdefault(int(suffix_class[suffix[w]]), w)
+    assert len(unseen) == lm.TOPICS
+    for history in ([], [frequent[3]], [frequent[3], frequent[4]], [frequent[5], frequent[5]], [tail[0], tail[1]], [tail[2], tail[2]], [frequent[6], tail[3]], ["new9", tail[4]]):
+        total = 0.0
+        for w in [*frequent, *tail, *unseen.values(), None]:
+            column = pa.array([" ".join(history + ([w] if w else []))], pa.large_string())
+            _, p, r, q = lm._terms(*lm._tokens(column), head, weights)
+            total += 10 ** p[len(history)] * (r[len(history)] + q[len(history)] * (count.get(w, 0) + 0.1))
+        if "new9" in history:  # an unseen word that repeats has its repeat's mass besides its class's share
+            column = pa.array([" ".join([*history, "new9"])], pa.large_string())
+            _, p, r, _ = lm._terms(*lm._tokens(column), head, weights)
+            total += 10 ** p[2] * r[2]
+        assert abs(total - 1) < 1e-4, (history, total)
 
 
 # --- 3
