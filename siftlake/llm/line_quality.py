@@ -1,9 +1,9 @@
 """Quality rules with DataFrame functions only: repetition inside a document, and lines that many documents of a host share.
 
-Cross-document line frequency: lines are lower-cased, white space in them is collapsed, and each is hashed. For each host,
-the distinct documents that hold a line are counted; exact copies of a text count once, so that copying a page does not
-turn its lines into boilerplate. Lines held by more than ``min_docs`` documents and more than ``max_share`` of the host's
-documents are removed. A document that loses more than half of its words to removed lines is rejected as depleted.
+Cross-document line frequency: lines are lower-cased, white space in them is collapsed, and each is hashed. For each host, the
+distinct documents that hold a line are counted; a document is an id with a text, so a repeated row counts once and copies
+under several ids count each. Lines held by more than ``MIN_DOCS`` documents of a host are removed, whatever the host's size.
+A document that loses more than ``MAX_GONE`` of its words to removed lines is rejected as depleted.
 
 The text is read once; later steps work on a stored table of hashes and counts.
 """
@@ -18,6 +18,9 @@ from siftlake.llm import store
 #: White space as the contract has it, as a Java character class.
 SPACES = r"[\\x20\\x09-\\x0D]"
 
+MIN_DOCS = 5
+MAX_GONE = 0.2
+
 
 def _statistics(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(text_col, F.lit("")).alias("t"))
@@ -52,20 +55,44 @@ def _statistics(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> D
     return six.select("id", "host", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"), "lines")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 50, max_share: float = 0.2) -> DataFrame:
-    """(id, counts, base_failed, removed_words, kept) for each row.
+def _removed_lines(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(host, digest, h, n): the lines of each text with their words in all, and (host, h): the lines to be removed.
 
-    A null text has no words and fails; a null host is a host of its own; repeated rows get the same verdict each; an
-    empty table gives an empty result; other columns are not read.
+    Copies of a text in a host are one row from the start, with the number of its documents, so that a text or line that a
+    third of all documents hold is combined before it is shuffled.
     """
-    rows = store.stash(_statistics(docs, id_col, text_col, host_col), "lines")
-    texts = rows.groupBy("host", "digest").agg(F.any_value("lines").alias("lines"))
-    lines = texts.select("host", "digest", F.explode("lines").alias("l")).groupBy("host", "digest", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
-    hosts = rows.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    held = lines.groupBy("host", "h").agg(F.count("*").alias("held")).where(F.col("held") > min_docs)
-    common = held.join(hosts, "host").where(F.col("held") > F.col("docs") * max_share).select("host", "h")
-    removed = lines.join(common, ["host", "h"]).groupBy("host", "digest").agg(F.sum("n").alias("removed_words"))
+    texts = rows.groupBy("host", "digest").agg(F.any_value("lines").alias("lines"), F.countDistinct(F.struct("id")).alias("docs"))
+    lines = texts.select("host", "digest", "docs", F.explode("lines").alias("l")).groupBy("host", "digest", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"), F.first("docs").alias("docs"))
+    common = lines.groupBy("host", "h").agg(F.sum("docs").alias("held")).where(F.col("held") > min_docs).select("host", "h")
+    return lines, common
+
+
+def _verdicts(rows: DataFrame, lines: DataFrame, common: DataFrame, max_gone: float) -> DataFrame:
+    removed = lines.join(common, ["host", "h"]).groupBy("host", "digest").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("gone"))
     out = rows.drop("lines").join(removed, ["host", "digest"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    gone = F.coalesce("removed_words", F.lit(0)).cast("bigint")
-    return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("removed_words"), (~failed & (2 * gone <= F.col("n_words"))).alias("kept"))
+    words = F.coalesce("removed_words", F.lit(0)).cast("bigint")
+    return out.withColumn("base_failed", failed).withColumn("removed_words", words).withColumn("kept", ~failed & (words <= F.col("n_words") * max_gone))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_gone: float = MAX_GONE) -> DataFrame:
+    """(id, counts, base_failed, removed_words, kept) for each row.
+
+    A null text has no words and fails; a null host is a host of its own; rows with a null id and one text are one document;
+    repeated rows get the same verdict each; an empty table gives an empty result; other columns are not read.
+    """
+    rows = store.stash(_statistics(docs, id_col, text_col, host_col), "lines")
+    found = _verdicts(rows, *_removed_lines(rows, min_docs), max_gone)
+    return found.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_gone: float = MAX_GONE) -> DataFrame:
+    """The rows that are kept, all columns, with their text less its removed lines; rules and cases as in ``judge``."""
+    rows = store.stash(_statistics(docs, id_col, text_col, host_col), "lines")
+    found = _verdicts(rows, *_removed_lines(rows, min_docs), max_gone).where("kept")
+    found = found.groupBy(F.col("host").alias("__host"), F.col("digest").alias("__digest")).agg(F.any_value("gone").alias("__gone"))
+    host, body = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit(""))
+    named = docs.withColumn("__host", host).withColumn("__digest", F.unhex(F.md5(body)))
+    normal = f"lower(trim(regexp_replace(l, '{SPACES}+', ' ')))"
+    left = F.expr(f"CASE WHEN size(__gone) > 0 THEN array_join(filter(split(`{text_col}`, '\\n'), l -> NOT array_contains(__gone, xxhash64({normal}))), '\n') ELSE `{text_col}` END")
+    return named.join(found, ["__host", "__digest"]).withColumn(text_col, left).select(*docs.columns)

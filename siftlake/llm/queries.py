@@ -107,12 +107,12 @@ a AS (SELECT doc_id, count(*) AS n_words, sum(length(x)) AS word_chars FROM u GR
 l AS (SELECT doc_id, host, t, l FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 k AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY doc_id),
 n AS (SELECT doc_id, host, t, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS l FROM l),
-c AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT t) AS c FROM n GROUP BY host, l) JOIN (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host) USING (host) WHERE c > 50 AND c > docs * 0.2),
+c AS (SELECT host, l FROM n GROUP BY host, l HAVING count(DISTINCT {'d': doc_id, 't': md5(t)}) > 5),
 x AS (SELECT doc_id, sum(1 + length(l) - length(replace(l, ' ', ''))) AS n FROM n JOIN c USING (host, l) GROUP BY doc_id),
 s AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(k.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS gone
   FROM d LEFT JOIN a USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN x USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * gone <= n_words AS kept FROM s
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND gone <= n_words * 0.2 AS kept FROM s
 """
 
 #: The others hash, train, tokenize or iterate, which SQL cannot express: ``tests/llm`` holds them against brute force.

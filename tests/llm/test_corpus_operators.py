@@ -362,33 +362,53 @@ def test_maximal_repeats_list_all_occurrences():
 # --- 6
 
 
-def brute_lines(rows, min_docs, max_share):
+def brute_lines(rows, min_docs, max_gone):
+    """Verdicts, and the texts of kept rows without the removed lines."""
     norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
-    hosts, held = defaultdict(set), defaultdict(set)
-    for _, t, s in rows:
-        hosts[s].add(t)
+    held = defaultdict(set)
+    for i, t, s in rows:
         for line in t.split("\n"):
             if WORD.search(line):
-                held[s, norm(line)].add(t)
-    out = []
+                held[s, norm(line)].add((i, t))
+    out, texts = [], []
     for i, t, s in rows:
         w = WORD.findall(t)
         grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
         inside = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        gone = sum(len(WORD.findall(x)) for x in lines if len(held[s, norm(x)]) > min_docs and len(held[s, norm(x)]) > len(hosts[s]) * max_share)
+        bad = lambda x: WORD.search(x) and len(held[s, norm(x)]) > min_docs  # noqa: E731, B023
+        gone = sum(len(WORD.findall(x)) for x in lines if bad(x))
         failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
-        out.append((str(i), len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside), failed, gone, not failed and 2 * gone <= len(w)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
-def test_line_quality(which, request):
-    df = request.getfixturevalue(which)
+        kept = not failed and gone <= len(w) * max_gone
+        out.append((str(i), len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside), failed, gone, kept))
+        if kept:
+            texts.append((str(i), "\n".join(x for x in t.split("\n") if not bad(x))))
+    return sorted(out), sorted(texts)
+
+
+def line_cases(spark):
+    """A host with footers in every document, one of few documents, copies under several ids, and repeated rows."""
+    body = lambda k, n: " ".join(f"b{k}word{j}" for j in range(n))
+    rows = [(k, f"{body(k, 60)}\n  Read MORE   of our pages here \n{body(k + 500, 9)}", "big", 1) for k in range(12)]
+    rows += [(100 + k, f"{body(100 + k, 45)}\nRead more of our pages here\n" * (1 + k % 2) + "all our rights are reserved by us today and in all times to come", "big", 1) for k in range(8)]
+    rows += [(200 + k, f"{body(200 + k, 80)}\nRead more of our pages here", "small", 1) for k in range(5)]
+    rows += [(300 + k, body(300, 70), "big", 1) for k in range(7)] + [(400, body(400, 70), "big", 1)] * 9 + [(None, body(401, 70), None, None)] * 9
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all", "lines"])
+def test_line_quality(spark, which, request):
+    df = line_cases(spark) if which == "lines" else request.getfixturevalue(which)
     rows = [(r["doc_id"], r["text"] or "", r["source"] or "") for r in df.collect()]
-    for limits in ((1, 0.0), (50, 0.2)):
-        got = sorted((str(r["id"]), *r[1:]) for r in line_quality.judge(df, min_docs=limits[0], max_share=limits[1]).collect())
-        assert got == brute_lines(rows, *limits)
+    for limits in ((1, 0.0), (line_quality.MIN_DOCS, line_quality.MAX_GONE)):
+        want, texts = brute_lines(rows, *limits)
+        assert sorted((str(r["id"]), *r[1:]) for r in line_quality.judge(df, min_docs=limits[0], max_gone=limits[1]).collect()) == want
+        got = line_quality.clean(df, min_docs=limits[0], max_gone=limits[1])
+        assert got.columns == df.columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == texts
+    if which == "lines":
+        assert sum(not w[6] and not w[8] for w in want) >= 11  # the rule rejects what the base lets through
+        assert any(w[7] and w[8] for w in want)
 
 
 # --- 8
