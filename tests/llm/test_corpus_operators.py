@@ -468,32 +468,49 @@ def brute_chunks(b):
     return ends
 
 
-@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
-def test_chunk_dedup(which, request):
-    df = request.getfixturevalue(which)
-    rows = rows_of(df)
+def brute_chunk_dedup(rows):
+    """Of each row what ``dedup`` returns: its chunks against the first of each digest by (id, position, hash of the text)."""
     every = []
-    for n, (i, t) in enumerate(rows):
-        b = t.encode()
-        ends = brute_chunks(b)
-        every.extend((i is None, i or 0, a, b[a:z], n) for a, z in zip([0, *ends], ends, strict=False))
-    first = {}
-    for none, i, a, s, _ in sorted(every, key=lambda x: x[:3]):
-        first.setdefault(s, (none, i, a))
-    gone = defaultdict(list)
-    for none, i, a, s, n in every:
-        if not none and first[s] != (none, i, a):
-            gone[n].append((a, a + len(s), first[s][1]))
+    for i, t in {(i, t) for i, t in rows if i is not None}:
+        ends = brute_chunks(t.encode())
+        h = np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64).item()
+        every.extend(((i, a, h), (i, t), t.encode()[a:z]) for a, z in zip([0, *ends], ends, strict=False))
+    first, gone = {}, defaultdict(list)
+    for place, own, s in sorted(every):
+        if first.setdefault(s, place) != place:
+            gone[own].append((place[1], place[1] + len(s), first[s][0]))
     want = []
-    for n, (i, t) in enumerate(rows):
-        b, spans = t.encode(), sorted(gone[n])
+    for i, t in rows:
+        b, spans = t.encode(), sorted(gone[i, t])
         kept, at = b"", 0
         for a, z, _ in spans:
             kept, at = kept + b[at:a], z
         runs = sum(1 for k, s in enumerate(spans) if k == 0 or spans[k - 1][1] != s[0])
         want.append((str(i), len(b), sum(z - a for a, z, _ in spans), runs, kept + b[at:], sorted({f for _, _, f in spans})))
-    got = [(str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["first_ids"] or []) for r in chunk_dedup.dedup(df).collect()]
-    assert sorted(got) == sorted(want)
+    return sorted(want)
+
+
+def chunked(df):
+    return sorted((str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["first_ids"] or []) for r in chunk_dedup.dedup(df).collect())
+
+
+@pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
+def test_chunk_dedup(which, request):
+    df = request.getfixturevalue(which)
+    assert chunked(df) == brute_chunk_dedup(rows_of(df))
+
+
+def test_chunk_dedup_of_different_texts_under_one_id(spark):
+    rng = np.random.default_rng(31)
+    word = lambda n: "".join(chr(97 + k) for k in rng.integers(26, size=n))
+    a, b, c = word(419), word(419), word(300)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + c), (3, c + word(50)), (None, c), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunked(df)
+    assert got == brute_chunk_dedup([(i, t or "") for i, t in rows])
+    assert [r[2] for r in got if r[0] == "2"].count(0) == 2  # b is new at id 2, and both its rows stay whole
+    names = chunk_dedup.dedup(df.selectExpr("cast(doc_id AS string) AS doc_id", "text")).collect()
+    assert sorted(r["n_removed"] for r in names) == sorted(r[2] for r in got)
 
 
 def test_chunks_resist_shifts():
