@@ -290,6 +290,56 @@ def test_packing_of_pieces_that_never_pair(spark):
     assert len({r.sequence_id for r in got}) == 500
 
 
+def fewest_bins(sizes, capacity):
+    """The exact optimum, by trying every bin for each piece."""
+    best = [len(sizes)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for r in sorted({x for x in rooms if x >= sizes[k]}):
+            i = rooms.index(r)
+            put(k + 1, [*rooms[:i], r - sizes[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_islands_reach_the_optimum_of_small_cases(spark):
+    rng = np.random.default_rng(44)
+    for k in range(25):
+        sizes = sorted(rng.integers(12, 60, 11).tolist(), reverse=True)
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, length long")
+        if k < 3:  # through Spark
+            assert len({r.sequence_id for r in packing.pack(df, 100).collect()}) == fewest_bins(sizes, 100)
+        s = np.array(sizes, np.int32)
+        pools = [packing.populate(s, 100, np.random.default_rng((k, i))) for i in range(packing.ISLANDS)]
+        for e in range(packing.EPOCHS):
+            pools = [packing.evolve(p, s, 100, np.random.default_rng((k, e, i))) for i, p in enumerate(pools)]
+            elites = [p[0] for p in pools]
+            pools = [[*p[:-1], elites[i - 1]] for i, p in enumerate(pools)]
+        assert min(len(np.bincount(x)) for x in elites) == fewest_bins(sizes, 100)
+
+
+def test_evolution_improves_on_best_fit():
+    """Sizes that descending best fit packs badly."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(700, 2200, 2000).astype(np.int32)
+    plain = len(np.bincount(packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 4096)))
+    pool = packing.populate(sizes, 4096, rng)
+    after = packing.evolve(pool, sizes, 4096, rng, packing.EPOCHS * packing.GENERATIONS)[0]
+    fill = np.bincount(after, sizes)
+    assert fill.max() <= 4096
+    assert len(fill) < plain
+    child = packing.crossover(pool[0], pool[1], sizes, 4096, rng)
+    assert np.bincount(child, sizes).max() <= 4096
+    assert np.bincount(child).min() > 0
+
+
 # --- 5
 
 
