@@ -126,8 +126,8 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
 
 
 def populate(sizes: np.ndarray, capacity: int, rng: np.random.Generator, count: int = POPULATION) -> list[np.ndarray]:
-    """Best-fit packings of the pieces in several orders: nearly descending, more and more at random."""
-    noise = [rng.uniform(1 - k / count, 1, len(sizes)) for k in range(1, count + 1)]
+    """Best-fit packings of the pieces in several orders: descending, then more and more at random."""
+    noise = [rng.uniform(1 - k / count, 1, len(sizes)) for k in range(count)]
     return [best_fit(sizes, np.argsort(-sizes * x, kind="stable"), capacity) for x in noise]
 
 
