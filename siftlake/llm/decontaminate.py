@@ -2,36 +2,47 @@
 
 Words are runs of letters, digits and non-ASCII bytes, ASCII lower-cased. An item of n words is compared with windows of n
 words; both are multisets of 5-word shingles (fewer words: the whole sequence), and similarity is the sum of the smaller
-counts over the sum of the larger. A window that holds none of an item's shingles has similarity zero, so only windows
-that hold at least one are fingerprinted. Fingerprints within ``RADIUS`` bits of an item's are found through eight blocks
-of eight bits: at least one block then differs in at most RADIUS / 8 bits, and each block's table lists all items that
-near. What is found is verified by the exact similarity.
+counts over the sum of the larger.
 
-A document of fewer words than the item is one window, compared without a fingerprint. An item of fewer than five words
-matches only documents that are that item and nothing else.
+Windows are fingerprinted by SimHash, and the items that a window may be like are found through the Hamming index of the items
+of its size: fingerprints are cut into four blocks of 16 bits, of which one differs in at most a quarter of the radius, and a
+table for each block lists by the block's value all items that near. So every item within the radius is listed, then checked
+by the whole distance, and what is left is verified by the exact similarity. Fingerprints of few shingles are noisy, so the
+radius depends on the size: it holds all but one in 2,000 of the pairs at a similarity of 0.8, found by a seeded simulation.
 
-Items are a stated query set; they are taken in blocks of ``ITEMS`` so that what each task holds is bounded.
+Only windows that hold at least one shingle of some item are fingerprinted; others have a similarity of zero to every item.
+A document of fewer words than the item is one window, compared without a fingerprint. An item of fewer than five words is
+one shingle, so it is like a window only if they are equal; such items are looked up by the hash of the sequence.
+
+Items are a stated query set; they are taken in blocks of ``ITEMS``, so what the driver and each task hold is bounded. A task
+receives a block's texts and builds the index once in a worker.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter, OrderedDict, defaultdict
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import text
 
 SHINGLE = 5
-RADIUS = 24
+LEAST = 0.8
+LOST = 1 / 2000  #: of the pairs at LEAST, what the radius may lose
+BLOCKS = 4
 ITEMS = 4096
 _SEED_BITS = 22
 
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // 8
+_MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
 def _shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +51,7 @@ def _shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return h, row, row
     out = np.zeros(len(h), np.uint64)
     for k in range(SHINGLE):
-        out[: len(h) - k] = out[: len(h) - k] * np.uint64(0x9FB21C651E98DF25) + h[k:]
+        out[: len(h) - k] = out[: len(h) - k] * _MULTIPLIER + h[k:]
     ends = np.searchsorted(row, row, side="right")
     at = np.arange(len(h))
     whole = at + SHINGLE <= ends
@@ -49,7 +60,7 @@ def _shingles(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         total = np.uint64(0)
         for x in h[s : ends[s]]:
             with np.errstate(over="ignore"):
-                total = total * np.uint64(0x9FB21C651E98DF25) + x
+                total = total * _MULTIPLIER + x
         out[s] = total
     whole[short] = True
     at = np.flatnonzero(whole)
@@ -69,40 +80,94 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
+@cache
+def radius(shingles: int, least: float = LEAST) -> int:
+    """The distance that all but LOST of the pairs of windows of so many shingles keep to, at a similarity of ``least``."""
+    common = int(np.ceil(least * 2 * shingles / (1 + least) - 1e-9))
+    rng = np.random.default_rng(shingles)
+    draw = lambda n: 2 * rng.binomial(n, 0.5, (4096, 64)) - n  # noqa: E731  # a sum of n signs, for each bit
+    both = draw(common)
+    distance = ((both + draw(shingles - common) > 0) != (both + draw(shingles - common) > 0)).sum(axis=1)
+    return int(np.quantile(distance, 1 - LOST, method="higher"))
+
+
 class Index:
-    """The items of one block: shingle multisets, fingerprints, and the tables of the Hamming blocks, by size in words."""
+    """The items of one block: shingle multisets, and by size in words their fingerprints and Hamming blocks."""
 
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
+    def __init__(self, ids: list, texts: list[str | None], least: float = LEAST) -> None:
         h, row = words_of(pa.array([t or "" for t in texts], pa.large_string()))
         sh, _, at = _shingles(h, row)
-        self.ids, self.n_words = ids, np.bincount(row, minlength=len(ids))
+        self.ids, self.n_words, self.least = ids, np.bincount(row, minlength=len(ids)), least
         self.bags = [Counter(sh[at == i].tolist()) for i in range(len(ids))]
         self.items_of: dict[int, list[int]] = defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # by size and hash
         for i, bag in enumerate(self.bags):
             for s in bag:
-                self.items_of[s].append(i)
+                if self.n_words[i] >= SHINGLE:
+                    self.items_of[s].append(i)
+                else:
+                    self.short[int(self.n_words[i])][s].append(i)
         self.seeds = np.zeros(1 << _SEED_BITS, bool)
         keys = np.array(sorted(self.items_of), np.uint64)
         self.seeds[(keys & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)] = True
         self.keys = keys
-        prints = np.array([np.packbits(simhash(sh[at == i]).sum(axis=0) > 0) if self.n_words[i] else np.zeros(8, np.uint8) for i in range(len(ids))], np.uint8).reshape(-1, 8)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = {}
-        for n in np.unique(self.n_words[self.n_words > 0]).tolist():
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray], int]] = {}
+        values = np.arange(1 << 16, dtype=np.uint16)
+        for n in np.unique(self.n_words[self.n_words >= SHINGLE]).tolist():
             own = np.flatnonzero(self.n_words == n)
-            self.by_size[n] = own, prints[own], [_NEAR[:, prints[own, k]] for k in range(8)]
+            known = np.array([np.packbits(simhash(sh[at == i]).sum(axis=0) > 0) for i in own], np.uint8).view(np.uint16)
+            far, tables = radius(n - SHINGLE + 1, least), []
+            for k in range(BLOCKS):
+                near = np.zeros((1 << 16, -(-len(own) // 64) * 64), bool)
+                near[:, : len(own)] = np.bitwise_count(values[:, None] ^ known[None, :, k]) <= far // BLOCKS
+                tables.append(np.packbits(near, axis=1, bitorder="little").view(np.uint64))
+            self.by_size[n] = own, known, tables, far
+
+    @classmethod
+    def of(cls, name: str, ids: list, texts: list[str | None], least: float) -> Index:
+        """The index of a block, kept in the worker for its next tasks; the last few blocks are kept."""
+        if name not in _indexes:
+            _indexes[name] = cls(ids, texts, least)
+            while len(_indexes) > 2:
+                _indexes.popitem(last=False)
+        return _indexes[name]
+
+    def listed(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place among the items of ``n`` words) of what the tables list for fingerprints of four 16-bit blocks."""
+        tables = self.by_size[n][2]
+        near = tables[0][prints[:, 0]].copy()
+        for k in range(1, BLOCKS):
+            near |= tables[k][prints[:, k]]
+        some = np.flatnonzero(near.any(axis=1))
+        w, i = np.nonzero(np.unpackbits(near[some].view(np.uint8), axis=1, bitorder="little"))
+        return some[w], i
 
     def lookup(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all items of ``n`` words within the radius of each fingerprint."""
-        own, known, tables = self.by_size[n]
-        near = np.zeros((len(prints), len(own)), bool)
-        for k in range(8):
-            near |= tables[k][prints[:, k]]
-        w, i = np.nonzero(near)
-        ok = np.bitwise_count(prints[w] ^ known[i]).sum(axis=1) <= RADIUS
+        own, known, _, far = self.by_size[n]
+        w, i = self.listed(n, prints)
+        ok = np.bitwise_count(prints[w] ^ known[i]).sum(axis=1) <= far
         return w[ok], own[i[ok]]
 
-    def scan(self, column: pa.Array, least: float) -> list[tuple[int, int, float, int]]:
-        """(row, item, similarity, first word) of the most similar window of each row and item that has one of ``least`` or more."""
+    def sequences(self, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float, int]]:
+        """(row, item, 1.0, first word) of the items of fewer than five words that a row holds."""
+        best: dict[tuple[int, int], int] = {}
+        for n, items in self.short.items():
+            if not n or len(h) < n:
+                continue
+            total = np.zeros(len(h) - n + 1, np.uint64)
+            for k in range(n):
+                total = total * _MULTIPLIER + h[k : len(h) - n + 1 + k]
+            total = text.mix(total)
+            keys = np.array(sorted(items), np.uint64)
+            hit = np.flatnonzero(np.isin(total, keys) & (row[: len(total)] == row[n - 1 :]))
+            for p in hit.tolist():
+                for i in items[int(total[p])]:
+                    best.setdefault((int(row[p]), i), p - int(np.searchsorted(row, row[p])))
+        return [(r, i, 1.0, w) for (r, i), w in best.items()]
+
+    def scan(self, column: pa.Array) -> list[tuple[int, int, float, int]]:
+        """(row, item, similarity, first word) of the most similar window of each row and item that are alike."""
         h, row = words_of(column)
         sh, _, own = _shingles(h, row)
         hit = np.flatnonzero(self.seeds[(sh & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)])
@@ -118,62 +183,63 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for (r, n), where in seeds.items():
             first, last = np.searchsorted(own, [r, r + 1])
-            k = max(1, n - SHINGLE + 1)
+            k = n - SHINGLE + 1
             if last - first < k:  # fewer words than the item: the whole document is the window
                 window = Counter(sh[first:last].tolist())
                 for i in {i for p in where for i in self.items_of[int(sh[p])] if self.n_words[i] == n}:
                     same = (window & self.bags[i]).total()
                     similar = same / (int(last - first) + k - same)
-                    if similar >= least:
+                    if similar >= self.least:
                         best[r, i] = similar, 0
                 continue
-            words = last - first + SHINGLE - 1 if n >= SHINGLE else 0
-            if n < SHINGLE and int((row == r).sum()) < n:
-                continue
-            begins = np.unique(np.concatenate([np.arange(max(first, p - k + 1), min(p, last - k) + 1) for p in where])) if last - first >= k else np.zeros(0, np.int64)
-            if n < SHINGLE:
-                begins = np.array(sorted(where)) if words == 0 and last - first == 1 else np.zeros(0, np.int64)
+            begins = np.unique(np.concatenate([np.arange(max(first, p - k + 1), min(p, last - k) + 1) for p in where]))
             for c in range(0, len(begins), 4096):
                 part = begins[c : c + 4096]
                 lo, hi = int(part[0]), int(part[-1]) + k
                 total = np.zeros((hi - lo + 1, 64), np.int32)
                 np.cumsum(simhash(sh[lo:hi]), axis=0, out=total[1:])
-                prints = np.packbits(total[part - lo + k] - total[part - lo] > 0, axis=1)
+                prints = np.packbits(total[part - lo + k] - total[part - lo] > 0, axis=1).view(np.uint16)
                 for w, i in zip(*(x.tolist() for x in self.lookup(n, prints)), strict=True):
                     b = int(part[w])
                     bag, window = self.bags[i], Counter(sh[b : b + k].tolist())
                     same = sum(min(c, bag[s]) for s, c in window.items() if s in bag)
                     similar = same / (2 * k - same)
-                    if similar >= least and similar > best.get((r, i), (-1.0, 0))[0]:
+                    if similar >= self.least and similar > best.get((r, i), (-1.0, 0))[0]:
                         best[r, i] = similar, b - int(first)
-        return [(r, i, s, b) for (r, i), (s, b) in sorted(best.items())]
+        found = [(r, i, s, b) for (r, i), (s, b) in best.items()]
+        return sorted(found + (self.sequences(h, row) if self.short else []))
+
+
+_indexes: OrderedDict[str, Index] = OrderedDict()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[str, Broadcast]]:
+    """A name and the (ids, texts) of each block of items, broadcast; the driver holds one block at a time."""
+    spark = items.sparkSession
+    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
     n = -(-rows.count() // ITEMS)
-    out = []
     for k in range(n):
-        got = rows.where((F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).orderBy("i", "t").collect() if n > 1 else rows.orderBy("i", "t").collect()
-        out.append(Index([r[0] for r in got], [r[1] for r in got]))
-    return out
+        got = rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got]))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
     """(id, item_id, similarity, first_word) for each row of ``docs`` and item with a window of that similarity or more.
 
-    Of several windows the most similar is named, then the first; a document of fewer words than the item is one window, and
-    an item of fewer than five words matches only documents of just its words. Null and empty texts, of documents or items, match
-    nothing; ids may repeat or be null (each row is matched on its own); empty tables give an empty result.
+    Of several windows the most similar is named, then the first; a document of fewer words than the item is one window. An
+    item of fewer than five words matches where a text holds just its words in a row. Null and empty texts, of documents or
+    items, match nothing; ids may repeat or be null (each row of ``docs`` is matched on its own, a repeated item once); empty
+    tables give an empty result.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     rows = text.bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
-    for index in _blocks(items, item_id, item_text):
+    for name, held in _blocks(items, item_id, item_text):
 
-        def run(batches, index=index):
+        def run(batches, name=name, held=held):
+            index = Index.of(name, *held.value, least)
             for b in text.pieces(batches, "text"):
-                found = index.scan(b.column("text"), least)
+                found = index.scan(b.column("text"))
                 if found:
                     r, i, s, w = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), pa.array([index.ids[k] for k in i]), pa.array(s), pa.array(w, pa.int64())], ["id", "item_id", "similarity", "first_word"])
@@ -185,13 +251,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item; one pass for each block of items, no shuffle."""
-    for index in _blocks(items, item_id, item_text):
+    for name, held in _blocks(items, item_id, item_text):
 
-        def run(batches, index=index):
+        def run(batches, name=name, held=held):
+            index = Index.of(name, *held.value, least)
             for whole in batches:
                 keep, done = np.ones(whole.num_rows, bool), 0
                 for b in text.pieces(iter([whole]), text_col):
-                    for r, _, _, _ in index.scan(b.column(b.schema.get_field_index(text_col)), least):
+                    for r, _, _, _ in index.scan(b.column(b.schema.get_field_index(text_col))):
                         keep[done + r] = False
                     done += b.num_rows
                 yield whole.filter(pa.array(keep))
