@@ -40,20 +40,21 @@ def spectrum(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
     )
 
 
-def neighbour_structure(rows: DataFrame, features: tuple[str, ...], k: int = 10) -> DataFrame:
-    """(dataset, nn_scale, density_spread, nn_ratio, two_nn_dim, hubness) of capped rows."""
-    n = space.neighbours(rows, rows, features, k)
+def neighbour_structure(asked: DataFrame, features: tuple[str, ...], k: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """(dataset, nn_scale, density_spread, nn_ratio, two_nn_dim, hubness) of the asked rows among ``rows`` (or themselves)."""
+    n = space.neighbours(asked, asked if rows is None else rows, features, k)
     near = n.groupBy("dataset", "row_id").agg(F.max(F.when(F.col("place") == 1, F.col("distance"))).alias("d1"), F.max(F.when(F.col("place") == 2, F.col("distance"))).alias("d2"), F.max("distance").alias("dk"))
     g = near.groupBy("dataset").agg(F.percentile("d1", 0.5).alias("nn_scale"), (F.stddev_pop("dk") / (F.avg("dk") + 1e-12)).alias("density_spread"), F.avg(F.col("d1") / (F.col("dk") + 1e-12)).alias("nn_ratio"), (F.count(F.lit(1)) / (F.sum(F.ln((F.col("d2") + 1e-12) / (F.col("d1") + 1e-12))) + 1e-12)).alias("two_nn_dim"))
     hubs = n.groupBy("dataset", "other").agg(F.count(F.lit(1)).alias("c")).groupBy("dataset").agg(F.max("c").alias("hubness"))
     return g.join(hubs, "dataset")
 
 
-def silhouette(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """(dataset, silhouette) of capped rows with a cluster: mean of (b - a) / max(a, b) over rows of clusters of two or more."""
-    o = rows.select("dataset", F.col("row_id").alias("_o"), F.col("cluster").alias("_c"), *[F.col(f).alias(f"_{f}") for f in features])
+def silhouette(asked: DataFrame, features: tuple[str, ...], rows: DataFrame | None = None) -> DataFrame:
+    """(dataset, silhouette) of the asked rows among ``rows`` (or themselves): mean of (b - a) / max(a, b) over rows of clusters
+    of two or more."""
+    o = (asked if rows is None else rows).select("dataset", F.col("row_id").alias("_o"), F.col("cluster").alias("_c"), *[F.col(f).alias(f"_{f}") for f in features])
     d = F.sqrt(sum(((F.col(f) - F.col(f"_{f}")) ** 2 for f in features), F.lit(0.0)))
-    m = rows.join(o, "dataset").where("row_id <> _o").groupBy("dataset", "row_id", "cluster", "_c").agg(F.avg(d).alias("m"))
+    m = asked.join(o, "dataset").where("row_id <> _o").groupBy("dataset", "row_id", "cluster", "_c").agg(F.avg(d).alias("m"))
     ab = m.groupBy("dataset", "row_id").agg(F.min(F.when(F.col("cluster") == F.col("_c"), F.col("m"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("_c"), F.col("m"))).alias("b"))
     return ab.where("a IS NOT NULL AND b IS NOT NULL").groupBy("dataset").agg(F.avg((F.col("b") - F.col("a")) / (F.greatest("a", "b") + 1e-12)).alias("silhouette"))
 
@@ -93,34 +94,36 @@ def dips(long: DataFrame, most: int = 2000) -> DataFrame:
     return few.groupBy("dataset", "feature").applyInPandas(lambda p: pd.DataFrame({"dataset": [p["dataset"].iloc[0]], "feature": [p["feature"].iloc[0]], "dip": [dip(p["value"].to_numpy())]}), "dataset string, feature string, dip double")
 
 
-def placement(rows: DataFrame, features: tuple[str, ...], k: int = 5) -> DataFrame:
-    """(dataset, row_id, place) of anomalies: outside the normals' 1-99% box, inside-far from any normal, or embedded."""
+def placement(rows: DataFrame, features: tuple[str, ...], k: int = 5, asked: DataFrame | None = None) -> DataFrame:
+    """(dataset, row_id, place) of the asked anomalies (or all), the cut being that of the asked normals: outside the normals' 1-99% box, inside-far from any normal, or embedded."""
     q = rows.where("y = 0").groupBy("dataset").agg(*[F.percentile(f, F.array(F.lit(0.01), F.lit(0.99))).alias(f"_{f}") for f in features])
     out = F.lit(False)
     for f in features:
         out = out | (F.col(f) < F.col(f"_{f}")[0]) | (F.col(f) > F.col(f"_{f}")[1])
     normal = rows.where("y = 0")
-    d = space.neighbours(rows, normal, features, k).groupBy("dataset", "row_id").agg(F.max("distance").alias("d"))
-    d = rows.select("dataset", "row_id", "y", *features).join(d, ["dataset", "row_id"]).join(q, "dataset").withColumn("_o", out)
+    asked = rows if asked is None else asked
+    d = space.neighbours(asked, normal, features, k).groupBy("dataset", "row_id").agg(F.max("distance").alias("d"))
+    d = asked.select("dataset", "row_id", "y", *features).join(d, ["dataset", "row_id"]).join(q, "dataset").withColumn("_o", out)
     cut = d.where("y = 0").groupBy("dataset").agg(F.percentile("d", 0.95).alias("_c"))
     return d.where("y = 1").join(cut, "dataset").select("dataset", "row_id", F.when(F.col("_o"), "outside").when(F.col("d") > F.col("_c"), "inside_far").otherwise("embedded").alias("place"))
 
 
-def anomaly_geometry(rows: DataFrame, features: tuple[str, ...], k: int = 10) -> DataFrame:
-    """(dataset, row_id, radial, density, normal_share, extremity, kind) of anomalies among capped rows.
+def anomaly_geometry(rows: DataFrame, features: tuple[str, ...], k: int = 10, asked: DataFrame | None = None) -> DataFrame:
+    """(dataset, row_id, radial, density, normal_share, extremity, kind) of the asked anomalies (or all) among all rows.
 
-    radial and density are shares of normals nearer the mean and in denser places; normal_share is the share of normals
+    radial and density are shares of the asked normals nearer the mean and in denser places; normal_share is the share of normals
     among the neighbours; extremity the largest absolute z-score.
     """
     from siftlake.operators.detectors import max_z
     from siftlake.operators.select import share_below
 
-    n = space.neighbours(rows, rows, features, k)
+    asked = rows if asked is None else asked
+    n = space.neighbours(asked, rows, features, k)
     y = rows.select("dataset", F.col("row_id").alias("other"), (1 - F.col("y")).alias("_n"))
     near = n.join(y, ["dataset", "other"]).groupBy("dataset", "row_id").agg(F.avg("_n").alias("normal_share"), F.round(F.max("distance"), 9).alias("d"))
     stats = rows.where("y = 0").groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f"_{f}") for f in features])
     r = F.sqrt(sum((F.pow((F.col(f) - F.col(f"_{f}.m")) / (F.col(f"_{f}.s") + 1e-9), 2) for f in features), F.lit(0.0)))
-    base = rows.join(stats, "dataset").select("dataset", "row_id", "y", F.round(r, 9).alias("r")).join(near, ["dataset", "row_id"]).join(max_z(rows, features, True).withColumnRenamed("score", "extremity"), ["dataset", "row_id"])
+    base = asked.join(stats, "dataset").select("dataset", "row_id", "y", F.round(r, 9).alias("r")).join(near, ["dataset", "row_id"]).join(max_z(asked, features, train=rows.where("y = 0")).withColumnRenamed("score", "extremity"), ["dataset", "row_id"])
     shares = []
     for name, c in (("radial", "r"), ("density", "d")):
         s = base.select("dataset", "row_id", "y", F.col(c).alias("score"))

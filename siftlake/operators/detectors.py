@@ -1,7 +1,8 @@
 """Unsupervised detectors. Each gives (dataset, row_id, score), larger for more anomalous rows.
 
-Marginal detectors are aggregations and joins on feature bins; neighbour detectors work on capped rows; those that need a
-fitted model are fitted for each data set on a capped sample and scored by expressions or Arrow batches over all rows.
+A detector is fitted on ``train`` and scores ``rows``; without ``train`` it is fitted on the rows it scores. Marginal detectors
+are aggregations and joins on feature bins; those that need a fitted model are fitted for each data set on a capped sample and
+scored by expressions or Arrow batches over all rows.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.ranks import running_totals, z_score
 from siftlake.operators import space
+from siftlake.session import stored
 
 SAMPLE = 2000  #: rows of a data set that a model is fitted on
 PART = 50_000  #: rows of a data set scored in one group
+MOST_RESIDUALS = 120  #: features that the linear residual takes
 
-Detector = Callable[[DataFrame, tuple[str, ...]], DataFrame]
+Detector = Callable[[DataFrame, tuple[str, ...], DataFrame | None], DataFrame]
 _registry: dict[str, Detector] = {}
 
 
@@ -39,36 +42,53 @@ def pool(names: list[str] | None = None) -> dict[str, Detector]:
     return {n: _registry[n] for n in names or sorted(_registry)}
 
 
-def run_pool(rows: DataFrame, features: tuple[str, ...], names: list[str] | None = None) -> DataFrame:
-    """(dataset, detector, row_id, score) of several detectors."""
-    parts = [f(rows, features).select("dataset", F.lit(n).alias("detector"), "row_id", "score") for n, f in pool(names).items()]
+def run_pool(rows: DataFrame, features: tuple[str, ...], names: list[str] | None = None, train: DataFrame | None = None) -> DataFrame:
+    """(dataset, detector, row_id, score) of several detectors, fitted on ``train`` or on the rows."""
+    parts = [f(rows, features, train).select("dataset", F.lit(n).alias("detector"), "row_id", "score") for n, f in pool(names).items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def fit_and_score(train: DataFrame, rows: DataFrame, features: tuple[str, ...], names: list[str] | None = None) -> DataFrame:
+    """``run_pool`` without the detectors that fail on a data set: those with a score that is no finite number, or with the
+    same score for every row."""
+    scores = stored(run_pool(rows, features, names, train), "scores")
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    by = ["dataset", "detector"]
+    fine = scores.groupBy(*by).agg(F.max(bad).alias("bad"), F.stddev_pop("score").alias("sd")).where("NOT bad AND sd >= 1e-12").select(*by)
+    return scores.join(fine, by)
+
+
 def long(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
     p = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
     return rows.select("dataset", "row_id", p.alias("p")).select("dataset", "row_id", "p.feature", "p.value")
 
 
-def knn(rows: DataFrame, features: tuple[str, ...], k: int = 10) -> DataFrame:
-    """Distance to the k-th nearest other row."""
-    n = space.neighbours(rows, rows, features, k)
+def knn(rows: DataFrame, features: tuple[str, ...], k: int = 10, train: DataFrame | None = None) -> DataFrame:
+    """Distance to the k-th nearest other row of ``train``."""
+    n = space.neighbours(rows, rows if train is None else train, features, k)
     return n.groupBy("dataset", "row_id").agg(F.max("distance").alias("score"))
 
 
-def lof(rows: DataFrame, features: tuple[str, ...], k: int = 20) -> DataFrame:
-    """Mean local reachability density of the neighbours over one's own."""
-    n = space.neighbours(rows, rows, features, k)
-    radius = n.groupBy("dataset", F.col("row_id").alias("other")).agg(F.max("distance").alias("radius"))
-    reach = n.join(radius, ["dataset", "other"]).groupBy("dataset", "row_id").agg(F.try_divide(F.lit(1.0), F.avg(F.greatest("distance", "radius"))).alias("lrd"))
-    theirs = reach.select("dataset", F.col("row_id").alias("other"), F.col("lrd").alias("lrd_other"))
+def lof(rows: DataFrame, features: tuple[str, ...], k: int = 20, train: DataFrame | None = None) -> DataFrame:
+    """Mean local reachability density of the neighbours in ``train`` over one's own."""
+
+    def density(n: DataFrame, radius: DataFrame) -> DataFrame:
+        reach = n.join(radius, ["dataset", "other"]).groupBy("dataset", "row_id")
+        return reach.agg(F.try_divide(F.lit(1.0), F.avg(F.greatest("distance", "radius"))).alias("lrd"))
+
+    n = space.neighbours(rows, rows if train is None else train, features, k)
+    inside = n if train is None else space.neighbours(train, train, features, k)
+    radius = inside.groupBy("dataset", F.col("row_id").alias("other")).agg(F.max("distance").alias("radius"))
+    own = density(n, radius)
+    theirs = (own if train is None else density(inside, radius)).select("dataset", F.col("row_id").alias("other"), F.col("lrd").alias("lrd_other"))
     m = n.join(theirs, ["dataset", "other"]).groupBy("dataset", "row_id").agg(F.avg("lrd_other").alias("m"))
-    return m.join(reach, ["dataset", "row_id"]).select("dataset", "row_id", F.try_divide("m", "lrd").alias("score"))
+    return m.join(own, ["dataset", "row_id"]).select("dataset", "row_id", F.try_divide("m", "lrd").alias("score"))
 
 
-def binned(long_rows: DataFrame, bins: int) -> DataFrame:
-    """long rows with bin 1..bins over each feature's range, the last one closed; a constant feature is one bin."""
-    r = long_rows.groupBy("dataset", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+def binned(long_rows: DataFrame, bins: int, train: DataFrame | None = None) -> DataFrame:
+    """long rows with bin 1..bins over each feature's range in ``train``: the last bin is closed, values outside fall into the
+    end bins, and a constant feature is one bin."""
+    r = (long_rows if train is None else train).groupBy("dataset", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
     b = F.expr(f"CASE WHEN hi = lo THEN 1 ELSE least(greatest(cast(floor((value - lo) / (hi - lo) * {bins}) as int) + 1, 1), {bins}) END")
     return long_rows.join(r, ["dataset", "feature"]).withColumn("bin", b)
 
@@ -79,43 +99,51 @@ def densities(long_rows: DataFrame, bins: int) -> DataFrame:
     return b.groupBy("dataset", "feature", "bin", "n").agg((F.count(F.lit(1)) / F.col("n") * bins).alias("density")).drop("n")
 
 
-def hbos(rows: DataFrame, features: tuple[str, ...], bins: int = 20, epsilon: float = 1e-6) -> DataFrame:
-    """Sum over features of the log-inverse histogram density."""
+def hbos(rows: DataFrame, features: tuple[str, ...], bins: int = 20, epsilon: float = 1e-6, train: DataFrame | None = None) -> DataFrame:
+    """Sum over features of the log-inverse histogram density; a bin without a training row has none."""
     f = long(rows, features)
-    scored = binned(f, bins).join(densities(f, bins), ["dataset", "feature", "bin"])
-    return scored.groupBy("dataset", "row_id").agg(F.sum(-F.ln(F.col("density") + epsilon)).alias("score"))
+    t = f if train is None else long(train, features)
+    scored = binned(f, bins, t).join(densities(t, bins), ["dataset", "feature", "bin"], "left")
+    density = F.coalesce("density", F.lit(0.0))
+    return scored.groupBy("dataset", "row_id").agg(F.sum(-F.ln(density + epsilon)).alias("score"))
 
 
-def tails(rows: DataFrame, features: tuple[str, ...], splits: int | None = None) -> DataFrame:
+def tails(rows: DataFrame, features: tuple[str, ...], splits: int | None = None, train: DataFrame | None = None) -> DataFrame:
     """(dataset, row_id, feature, left, right, skew): -ln of each tail's empirical probability, and the feature's skewness.
 
-    Equal values are one row of the running count, so repeated values cost no more than their number of distinct ones;
-    ``splits`` deals a data set's values out over so many tasks.
+    The distribution is that of the training rows and the row itself. Equal values are one row of the running count, so
+    repeated values cost no more than their number of distinct ones; ``splits`` deals a data set's values over so many tasks.
     """
     f = long(rows, features)
-    by = ["dataset", "feature"]
-    c = running_totals(f.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c")), by, "value", ["c"], splits)
-    p = c.select(*by, "value", (-F.ln((F.col("all_c") - F.col("cum_c") + F.col("c")) / F.col("all_c"))).alias("left"), (-F.ln(F.col("cum_c") / F.col("all_c"))).alias("right"))
-    skew = f.groupBy(*by).agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
+    t = f if train is None else long(train, features)
+    by, own = ["dataset", "feature"], int(train is not None)
+    values = t.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    if own:
+        values = values.unionByName(f.select(*by, "value", F.lit(0).cast("bigint").alias("c"))).groupBy(*by, "value").agg(F.sum("c").alias("c"))
+    c = running_totals(values, by, "value", ["c"], splits)
+    left = (F.col("all_c") - F.col("cum_c") + F.col("c") + own) / (F.col("all_c") + own)
+    p = c.select(*by, "value", (-F.ln(left)).alias("left"), (-F.ln((F.col("cum_c") + own) / (F.col("all_c") + own))).alias("right"))
+    skew = t.groupBy(*by).agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
     return f.join(p, [*by, "value"]).join(skew, by)
 
 
-def ecod(rows: DataFrame, features: tuple[str, ...], splits: int | None = None) -> DataFrame:
+def ecod(rows: DataFrame, features: tuple[str, ...], splits: int | None = None, train: DataFrame | None = None) -> DataFrame:
     """Largest of the summed left tails, right tails and the tails that skewness chooses."""
     chosen = F.when(F.col("skew") < 0, F.col("left")).otherwise(F.col("right"))
-    return tails(rows, features, splits).groupBy("dataset", "row_id").agg(F.greatest(F.sum("left"), F.sum("right"), F.sum(chosen)).alias("score"))
+    return tails(rows, features, splits, train).groupBy("dataset", "row_id").agg(F.greatest(F.sum("left"), F.sum("right"), F.sum(chosen)).alias("score"))
 
 
-def copod(rows: DataFrame, features: tuple[str, ...], splits: int | None = None) -> DataFrame:
+def copod(rows: DataFrame, features: tuple[str, ...], splits: int | None = None, train: DataFrame | None = None) -> DataFrame:
     """Sum over features of the larger of the mean tail and the tail that skewness chooses."""
     chosen = F.when(F.col("skew") < 0, F.col("left")).when(F.col("skew") > 0, F.col("right")).otherwise(F.col("left") + F.col("right"))
-    return tails(rows, features, splits).groupBy("dataset", "row_id").agg(F.sum(F.greatest((F.col("left") + F.col("right")) / 2, chosen)).alias("score"))
+    found = tails(rows, features, splits, train)
+    return found.groupBy("dataset", "row_id").agg(F.sum(F.greatest((F.col("left") + F.col("right")) / 2, chosen)).alias("score"))
 
 
-def pca(rows: DataFrame, features: tuple[str, ...], kept: float = 0.5) -> DataFrame:
+def pca(rows: DataFrame, features: tuple[str, ...], kept: float = 0.5, train: DataFrame | None = None) -> DataFrame:
     """Distances of the standardised row to the first axes that hold ``kept`` of the variance, each over its share of it."""
-    z = space.standardise(rows, features)
-    axes = space.principal_axes(z, features)
+    z = space.standardise(rows, features, train)
+    axes = space.principal_axes(z if train is None else space.standardise(train, features), features)
     total = "aggregate(values, 0.0D, (s, x) -> s + x)"
     before = "transform(values, (v, i) -> aggregate(slice(values, 1, i), 0.0D, (s, x) -> s + x))"
     axes = axes.withColumn("u", F.expr(f"zip_with({before}, values, (b, v) -> CASE WHEN b < {kept} * {total} - 1e-12 AND v > 1e-9 THEN {total} / v ELSE 0.0D END)"))
@@ -124,13 +152,18 @@ def pca(rows: DataFrame, features: tuple[str, ...], kept: float = 0.5) -> DataFr
     return x.select("dataset", "row_id", F.expr(score).alias("score"))
 
 
-def cblof(rows: DataFrame, features: tuple[str, ...], clusters: int = 8, alpha: float = 0.9, beta: float = 5.0) -> DataFrame:
+def cblof(rows: DataFrame, features: tuple[str, ...], clusters: int = 8, alpha: float = 0.9, beta: float = 5.0, train: DataFrame | None = None) -> DataFrame:
     """Distance to the centre of the own cluster if it is large, else to the nearest large one.
 
-    Large clusters, by size, are those that hold ``alpha`` of the rows or are ``beta`` times the next.
+    Large clusters, by size, are those that hold ``alpha`` of the training rows or are ``beta`` times the next.
     """
-    c = space.kmeans(space.embed(rows, features), clusters)
-    d = c.select("dataset", "cluster", F.posexplode("z").alias("i", "v")).groupBy("dataset", "cluster", "i").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if train is None:
+        c = fitted = space.kmeans(space.embed(rows, features), clusters)
+    else:
+        seen = space.embed(train, features)
+        fitted = space.kmeans(seen, clusters)
+        c = space.kmeans(space.embed(rows, features, train=train), clusters, train=seen)
+    d = fitted.select("dataset", "cluster", F.posexplode("z").alias("i", "v")).groupBy("dataset", "cluster", "i").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
     centre = d.groupBy("dataset", "cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     w = W.partitionBy("dataset").orderBy(F.col("n").desc(), "cluster")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -143,18 +176,19 @@ def cblof(rows: DataFrame, features: tuple[str, ...], clusters: int = 8, alpha:
     return c.join(listed, "dataset").select("dataset", "row_id", F.coalesce(F.expr(own), F.expr(any_large)).alias("score"))
 
 
-def loda(rows: DataFrame, features: tuple[str, ...], bins: int = 10, cuts: int = 100, seed: int = 0) -> DataFrame:
+def loda(rows: DataFrame, features: tuple[str, ...], bins: int = 10, cuts: int = 100, seed: int = 0, train: DataFrame | None = None) -> DataFrame:
     """Mean log-inverse density over histograms of random sparse projections."""
     rng = np.random.default_rng(seed)
     d, used = len(features), max(1, int(np.sqrt(len(features))))
-    z = space.standardise(rows, features)
     projections = []
     for k in range(cuts):
         at = rng.choice(d, used, replace=False)
         w = rng.normal(size=used)
         projections.append(sum((F.lit(float(a)) * F.col(features[i]) for a, i in zip(w, at, strict=True)), F.lit(0.0)).alias(f"p{k}"))
     names = tuple(f"p{k}" for k in range(cuts))
-    out = hbos(z.select("dataset", "row_id", *projections), names, bins, 1e-9)
+    z = space.standardise(rows, features, train).select("dataset", "row_id", *projections)
+    seen = None if train is None else space.standardise(train, features).select("dataset", "row_id", *projections)
+    out = hbos(z, names, bins, 1e-9, seen)
     return out.withColumn("score", F.col("score") / cuts)
 
 
@@ -188,13 +222,13 @@ def _forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) ->
     return out
 
 
-def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
+def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 0, train: DataFrame | None = None) -> DataFrame:
     """2 ** (-mean path length / expected length), trees grown on capped rows of each data set.
 
     A data set's rows are dealt into parts, and each part meets the forest, a row for each data set, by a cogroup.
     """
     place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.col("row_id").cast("string"))))
-    few = rows.select("dataset", "row_id", *features).withColumn("_k", place).where(F.col("_k") <= SAMPLE)
+    few = (rows if train is None else train).select("dataset", "row_id", *features).withColumn("_k", place).where(F.col("_k") <= SAMPLE)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("_k")[list(features)].to_numpy(float)
@@ -228,24 +262,30 @@ def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample
     return met.applyInPandas(score, "dataset string, row_id long, score double")
 
 
-def max_z(rows: DataFrame, features: tuple[str, ...], normals_only: bool = False) -> DataFrame:
-    """Largest absolute z-score over features; moments of all rows, or of the normal ones."""
-    s = rows.where("y = 0") if normals_only else rows
+def max_z(rows: DataFrame, features: tuple[str, ...], normals_only: bool = False, train: DataFrame | None = None) -> DataFrame:
+    """Largest absolute z-score over features; moments of ``train``, of all rows, or of the normal ones."""
+    s = train if train is not None else rows.where("y = 0") if normals_only else rows
     stats = s.groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f"_{f}") for f in features])
     z = [F.abs((F.col(f) - F.col(f"_{f}.m")) / (F.col(f"_{f}.s") + 1e-9)) for f in features]
-    return rows.join(stats, "dataset").select("dataset", "row_id", F.greatest(*z).alias("score"))
+    return rows.join(stats, "dataset").select("dataset", "row_id", F.array_max(F.array(*z)).alias("score"))
 
 
-def linear_residual(rows: DataFrame, features: tuple[str, ...], ridge: float = 1.0) -> DataFrame:
-    """Largest absolute residual, in deviations, of each feature's ridge regression on the others (normal equations)."""
-    z = space.standardise(rows, features)
+def linear_residual(rows: DataFrame, features: tuple[str, ...], ridge: float = 1.0, train: DataFrame | None = None) -> DataFrame:
+    """Largest absolute residual, in deviations, of each feature's ridge regression on the others, by the training rows.
+
+    Models come from the sums of products of the training rows, one partial aggregation; features are not scaled. Fewer than
+    2 or more than 120 features give no row.
+    """
     d = len(features)
+    t = rows if train is None else train
+    if not 2 <= d <= MOST_RESIDUALS:
+        return rows.select("dataset", "row_id", F.lit(0.0).alias("score")).where("false")
 
     @F.pandas_udf("array<array<double>>")
     def solve(n: pd.Series, means: pd.Series, products: pd.Series) -> pd.Series:
         out = []
         for count, m, p in zip(n, means, products, strict=True):
-            g = space.covariance([0.0] * d, list(p)) * count
+            g = space.covariance(list(m), list(p)) * count
             w = np.zeros((d, d))
             for i in range(d):
                 others = [j for j in range(d) if j != i]
@@ -253,11 +293,15 @@ def linear_residual(rows: DataFrame, features: tuple[str, ...], ridge: float = 1
             out.append((np.eye(d) - w).tolist())
         return pd.Series(out)
 
-    model = space.gram(z, features).select("dataset", solve("n", "means", "gram").alias("w"))
-    x = z.join(model, "dataset").withColumn("_x", F.array(*features))
-    r = x.withColumn("r", F.expr("transform(w, a -> abs(aggregate(zip_with(a, _x, (p, q) -> p * q), 0.0D, (s, t) -> s + t)))"))
-    spread = r.groupBy("dataset").agg(F.array(*[F.stddev_pop(F.col("r")[i]) for i in range(d)]).alias("s"))
-    return r.join(spread, "dataset").select("dataset", "row_id", F.expr("array_max(zip_with(r, s, (a, b) -> a / (b + 1e-9)))").alias("score"))
+    model = space.gram(t, features).select("dataset", "means", solve("n", "means", "gram").alias("w"))
+
+    def residuals(x: DataFrame) -> DataFrame:
+        x = x.select("dataset", "row_id", F.array(*features).alias("_x")).join(model, "dataset")
+        r = "transform(w, a -> aggregate(zip_with(a, zip_with(_x, means, (x, m) -> x - m), (p, q) -> p * q), 0.0D, (s, t) -> s + t))"
+        return x.select("dataset", "row_id", F.expr(r).alias("r"))
+
+    spread = residuals(t).groupBy("dataset").agg(F.array(*[F.stddev_pop(F.col("r")[i]) for i in range(d)]).alias("s"))
+    return residuals(rows).join(spread, "dataset").select("dataset", "row_id", F.expr("array_max(zip_with(r, s, (a, b) -> abs(a) / (b + 1e-9)))").alias("score"))
 
 
 def ensemble(scores: DataFrame, how: str = "mean") -> DataFrame:
@@ -285,19 +329,22 @@ def supervised(train: DataFrame, rows: DataFrame, features: tuple[str, ...], kin
     return model.transform(pack.transform(rows)).select("dataset", "row_id", vector_to_array("probability")[1].alias("score"))
 
 
-for _k in (3, 5, 10, 35):
-    detector(f"KNN_k{_k}")(lambda r, f, k=_k: knn(r, f, k))
-for _k in (10, 20, 50):
-    detector(f"LOF_k{_k}")(lambda r, f, k=_k: lof(r, f, k))
+for _k in (3, 5, 10, 20, 35, 50):
+    detector(f"KNN_k{_k}")(lambda r, f, t=None, k=_k: knn(r, f, k, t))
+for _k in (5, 10, 20, 35, 50):
+    detector(f"LOF_k{_k}")(lambda r, f, t=None, k=_k: lof(r, f, k, t))
 for _b in (5, 10, 20, 50):
-    detector(f"HBOS_{_b}")(lambda r, f, b=_b: hbos(r, f, b))
+    detector(f"HBOS_{_b}")(lambda r, f, t=None, b=_b: hbos(r, f, b, train=t))
 for _p in (0.3, 0.5, 0.7, 0.9):
-    detector(f"PCA_{_p}")(lambda r, f, p=_p: pca(r, f, p))
+    detector(f"PCA_{_p}")(lambda r, f, t=None, p=_p: pca(r, f, p, t))
 for _c in (4, 8, 16):
-    detector(f"CBLOF_{_c}")(lambda r, f, c=_c: cblof(r, f, c))
-detector("ECOD")(ecod)
-detector("COPOD")(copod)
-detector("LODA_10")(loda)
-detector("IForest_100")(iforest)
-detector("MaxZ")(max_z)
-detector("LinRes")(linear_residual)
+    detector(f"CBLOF_{_c}")(lambda r, f, t=None, c=_c: cblof(r, f, c, train=t))
+for _b in (5, 10, 20):
+    detector(f"LODA_{_b}")(lambda r, f, t=None, b=_b: loda(r, f, b, train=t))
+for _n in (50, 100, 200):
+    for _s in (128, 256):
+        detector(f"IForest_{_n}" + ("" if _s == 256 else f"_{_s}"))(lambda r, f, t=None, n=_n, s=_s: iforest(r, f, n, s, train=t))
+detector("ECOD")(lambda r, f, t=None: ecod(r, f, train=t))
+detector("COPOD")(lambda r, f, t=None: copod(r, f, train=t))
+detector("MaxZ")(lambda r, f, t=None: max_z(r, f, train=t))
+detector("LinRes")(lambda r, f, t=None: linear_residual(r, f, train=t))

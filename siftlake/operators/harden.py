@@ -24,37 +24,56 @@ def within_normals(rows: DataFrame, rules: list[DataFrame], level: float = 0.99)
 
 
 def double_hard(rows: DataFrame, features: tuple[str, ...], level: float = 0.99) -> DataFrame:
-    """Rows left by the largest z-score and the linear residual together."""
-    return within_normals(rows, [D.max_z(rows, features, True), D.linear_residual(rows, features)], level)
+    """Rows left by the largest z-score and the linear residual together, both fitted on normals."""
+    normal = rows.where("y = 0")
+    return within_normals(rows, [D.max_z(rows, features, train=normal), D.linear_residual(rows, features, train=normal)], level)
 
 
-def severity(rows: DataFrame, features: tuple[str, ...], bins: int = 30, splits: int | None = None) -> DataFrame:
-    """(dataset, row_id, score): over features, the larger of the two-sided tail and the bin rarity against normals.
+def severity(rows: DataFrame, features: tuple[str, ...], bins: int = 30, splits: int | None = None, train: DataFrame | None = None) -> DataFrame:
+    """(dataset, row_id, score): over features, the larger of the two-sided tail and the bin rarity against ``train`` (or the
+    normals).
 
-    The tail is -ln of twice the smaller side, at least 1 / 2m; rarity is -ln(density + 1e-9), outside the range density 0.
-    Both are lookups in tables of normals: by running counts over distinct values (dealt over ``splits`` tasks), and by bins.
+    With F the share of training values up to the value, the tail is -ln of twice the smaller of F and 1 - F, at least
+    1 / 2m; rarity is -ln(density + 1e-9), values outside the range falling into the end bins. Both are lookups in tables of
+    training values: by running counts over distinct values (dealt over ``splits`` tasks), and by bins. Constant features
+    say nothing.
     """
     by = ["dataset", "feature"]
-    f = rows.select("dataset", "row_id", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])).alias("p")).select("dataset", "row_id", "y", "p.*")
-    c = f.groupBy(*by, "value").agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
-    ends = f.where("y = 0").groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("hi > lo")
-    t = running_totals(c, by, "value", ["c"], splits).join(ends, by).withColumn("m", F.col("all_c"))
-    t = t.withColumn("tail", F.expr("-ln(greatest(2 * least((m - cum_c + c) / m, cum_c / m), 1 / (2.0D * m)))"))
-    t = t.withColumn("bin", F.expr(f"CASE WHEN value < lo OR value > hi THEN 0 ELSE least(cast(floor((value - lo) / (hi - lo) * {bins}) as int) + 1, {bins}) END"))
-    d = t.where("bin > 0").groupBy(*by, "bin").agg((F.sum("c") / F.max("m")).alias("density"))
-    s = t.join(d, [*by, "bin"], "left").select(*by, "value", F.greatest("tail", -F.ln(F.coalesce("density", F.lit(0.0)) + 1e-9)).alias("s"))
-    return f.join(s, [*by, "value"]).groupBy("dataset", "row_id").agg(F.max("s").alias("score"))
-
-
-def two_stage(rows: DataFrame, features: tuple[str, ...], level: float = 0.95, variance: float = 0.95) -> DataFrame:
-    """Rows left by severity in the features and in whitened principal coordinates of the normals."""
-    z = space.standardise(rows, features)
-    axes = space.principal_axes(z.where("y = 0"), features)
-    x = z.join(axes.select("dataset", "values", "axes"), "dataset").withColumn("_x", F.array(*features))
+    f = D.long(rows, features)
+    t = D.long(rows.where("y = 0") if train is None else train, features)
+    counts = t.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    c = counts.unionByName(f.select(*by, "value", F.lit(0).cast("bigint").alias("c"))).groupBy(*by, "value").agg(F.sum("c").alias("c"))
+    ends = t.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("hi - lo >= 1e-12")
+    v = running_totals(c, by, "value", ["c"], splits).join(ends, by).withColumn("m", F.col("all_c"))
+    v = v.withColumn("tail", F.expr("-ln(greatest(2 * least((m - cum_c + c) / m, (cum_c - c) / m), 1 / (2.0D * m)))"))
+    v = v.withColumn("bin", F.expr(f"least(greatest(cast(floor((value - lo) / (hi - lo) * {bins}) as int) + 1, 1), {bins})"))
+    d = v.groupBy(*by, "bin").agg((F.sum("c") / F.max("m")).alias("density"))
+    s = v.join(d, [*by, "bin"]).select(*by, "value", F.greatest("tail", -F.ln(F.col("density") + 1e-9)).alias("s"))
+    out = f.join(s, [*by, "value"], "left").groupBy("dataset", "row_id").agg(F.max("s").alias("score"))
+    return out.withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def two_stage(rows: DataFrame, features: tuple[str, ...], level: float = 0.95, variance: float = 0.95, seed: object = 0) -> DataFrame:
+    """Normals, and the anomalies that are trivial neither in the features nor in whitened principal coordinates.
+
+    Scales, axes and severities come from the first 80 % of the normals in a hash order, the thresholds from the other 20 %.
+    """
+    from siftlake.operators.pseudo import true_roles
+
+    roles = rows.join(true_roles(rows, seed), ["dataset", "row_id"])
+    train = roles.where("role = 'train'").drop("role")
+    asked = roles.where("role <> 'train'").drop("role")
+    axes = space.principal_axes(space.standardise(train, features), features).select("dataset", "values", "axes")
     before = "aggregate(slice(values, 1, {i}), 0.0D, (s, v) -> s + v) < " + f"{variance} * aggregate(values, 0.0D, (s, v) -> s + v)"
     white = [F.expr(f"CASE WHEN {before.format(i=i)} AND values[{i}] > 1e-9 THEN aggregate(zip_with(axes[{i}], _x, (p, q) -> p * q), 0.0D, (s, t) -> s + t) / sqrt(values[{i}]) ELSE 0.0D END").alias(f"w{i}") for i in range(len(features))]
-    coords = x.select("dataset", "row_id", "y", *white)
-    return within_normals(rows, [severity(rows, features), severity(coords, tuple(f"w{i}" for i in range(len(features))))], level)
+
+    def coordinates(x: DataFrame) -> DataFrame:
+        return space.standardise(x, features, train).join(axes, "dataset").withColumn("_x", F.array(*features)).select("dataset", "row_id", "y", *white)
+
+    names = tuple(f"w{i}" for i in range(len(features)))
+    rules = [severity(asked, features, train=train), severity(coordinates(asked), names, train=coordinates(train))]
+    kept = within_normals(asked, rules, level)
+    return rows.where("y = 0").unionByName(kept.where("y = 1").select(*rows.columns))
 
 
 def funnel(items: DataFrame, stages: list[tuple[str, str]]) -> DataFrame:

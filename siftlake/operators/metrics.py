@@ -75,56 +75,79 @@ def recall_at_rates(df: DataFrame, calibration: DataFrame, by: list[str], rates:
 # --- excess mass and mass volume --------------------------------------------------------------------------------------
 
 
-def excess_mass(scores: np.ndarray, uniform: np.ndarray) -> float:
-    """Area under EM(t) = max over u of P(s > u) - t P_unif(s > u), up to where it first falls to 0.9."""
-    levels = np.unique(scores)
-    mass = 1 - np.searchsorted(np.sort(scores), levels, side="right") / len(scores)
-    volume = 1 - np.searchsorted(np.sort(uniform), levels, side="right") / max(1, len(uniform))
+def _curve(values: np.ndarray, inside: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of ascending score levels with counts: the shares of scores and of uniform points at or above each level."""
+    return values, *(np.cumsum(c[::-1])[::-1] / max(1, c.sum()) for c in (inside, uniform))
+
+
+def _levels(scores: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, ...]:
+    values, at = np.unique(np.concatenate([scores, uniform]), return_inverse=True)
+    first = np.arange(len(at)) < len(scores)
+    return _curve(values, np.bincount(at[first], minlength=len(values)), np.bincount(at[~first], minlength=len(values)))
+
+
+def _excess(mass: np.ndarray, volume: np.ndarray) -> float:
+    above, wide = (np.append(x[1:], 0.0) for x in (mass, volume))
     t = np.linspace(0, 100, SCORE_GRID)
     em = np.zeros(len(t))
     em[0] = 1.0
     for a in range(1, len(t), 128):
-        em[a : a + 128] = np.maximum(0, (mass[None, :] - t[a : a + 128, None] * volume[None, :]).max(axis=1))
+        em[a : a + 128] = np.maximum(0, (above[None, :] - t[a : a + 128, None] * wide[None, :]).max(axis=1))
     below = np.flatnonzero(em <= 0.9)
     end = int(below[0]) if len(below) and below[0] > 0 else len(t) - 1
     return float(np.trapezoid(em[: end + 1], t[: end + 1]))
 
 
+def _smallest_volume(mass: np.ndarray, volume: np.ndarray) -> float:
+    alphas = np.linspace(0.9, 0.999, SCORE_GRID)
+    at = np.searchsorted(-mass, -alphas, side="right") - 1  # the highest level that still holds alpha of the scores
+    return float(np.trapezoid(volume[np.maximum(at, 0)], alphas))
+
+
+def excess_mass(scores: np.ndarray, uniform: np.ndarray) -> float:
+    """Area under EM(t) = max over u of P(s > u) - t P_unif(s > u), up to where it first falls to 0.9."""
+    return _excess(*_levels(scores, uniform)[1:])
+
+
 def mass_volume(scores: np.ndarray, uniform: np.ndarray) -> float:
     """Area under the volume of the smallest level set of mass alpha, alpha from 0.9 to 0.999."""
-    alphas = np.linspace(0.9, 0.999, SCORE_GRID)
-    levels = np.sort(scores)
-    cut = levels[np.clip(np.floor((1 - alphas) * len(levels)).astype(int), 0, len(levels) - 1)]
-    volume = 1 - np.searchsorted(np.sort(uniform), cut, side="left") / max(1, len(uniform))
-    return float(np.trapezoid(volume, alphas))
-
-
-def pooled_grid(scores: np.ndarray, uniform: np.ndarray) -> tuple[float, float]:
-    """(em, mv) on 100 thresholds over the pooled range, with 0..1 for EM's slope and 50 masses for MV."""
-    grid = np.linspace(min(scores.min(), uniform.min()), max(scores.max(), uniform.max()), 100)
-    mass = (scores[None, :] >= grid[:, None]).mean(axis=1)
-    volume = (uniform[None, :] >= grid[:, None]).mean(axis=1)
-    slopes = np.linspace(0, 1, 100)
-    em = float(np.trapezoid((mass[None, :] - slopes[:, None] * volume[None, :]).max(axis=1), slopes))
-    order = np.argsort(mass, kind="stable")
-    alphas = np.linspace(0.9, 0.999, 50)
-    return em, float(np.trapezoid(np.interp(alphas, mass[order], volume[order]), alphas))
-
-
-def mass_criteria(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, em, mv, em_v1, mv_v1) from rows (by, score, uniform boolean). Normal scores count as the dense side."""
+    return _smallest_volume(*_levels(scores, uniform)[1:])
+
+
+def _pooled(values: np.ndarray, mass: np.ndarray, volume: np.ndarray) -> tuple[float, float]:
+    """EM over slopes 0 to 1 and MV over 50 masses, on 100 thresholds between the lowest and the highest score."""
+    at = np.searchsorted(values, np.linspace(values[0], values[-1], 100), side="left")
+    held, wide = (np.append(x, 0.0)[at] for x in (mass, volume))
+    slopes, alphas = np.linspace(0, 1, 100), np.linspace(0.9, 0.999, 50)
+    best = (held - np.outer(slopes, wide)).max(axis=1)
+    return float(np.trapezoid(best, slopes)), float(np.trapezoid(np.interp(alphas, held[::-1], wide[::-1]), alphas))
+
+
+def mass_criteria(df: DataFrame, by: list[str], levels: int = 4096) -> DataFrame:
+    """(by, em, mv, em_v1, mv_v1) from rows (by, score, uniform boolean). Normal scores count as the dense side.
+
+    Scores are counted on ``levels`` steps of each unit's range before they are gathered, so a unit of any size is a group of
+    that many rows.
+    """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    s = df.select(*by, (-F.col("score")).alias("s"), "uniform")
+    ends = s.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    step = F.expr(f"CASE WHEN hi > lo THEN round((s - lo) / (hi - lo) * {levels - 1}) ELSE 0 END")
+    s = s.join(ends, by).withColumn("level", step).groupBy(*by, "level", "lo", "hi")
+    counts = s.agg(F.sum((~F.col("uniform")).cast("int")).alias("inside"), F.sum(F.col("uniform").cast("int")).alias("outside"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = -pdf.loc[~pdf["uniform"], "score"].to_numpy(float)
-        u = -pdf.loc[pdf["uniform"], "score"].to_numpy(float)
+        pdf = pdf.sort_values("level")
+        values = pdf["lo"].to_numpy() + pdf["level"].to_numpy() * (pdf["hi"].to_numpy() - pdf["lo"].to_numpy()) / (levels - 1)
+        inside, outside = pdf["inside"].to_numpy(), pdf["outside"].to_numpy()
         out = {c: [pdf[c].iloc[0]] for c in by}
-        if not len(s) or not len(u):
+        if not inside.sum() or not outside.sum():
             return pd.DataFrame(out | dict.fromkeys(("em", "mv", "em_v1", "mv_v1"), [None]))
-        e1, m1 = pooled_grid(s, u)
-        return pd.DataFrame(out | {"em": [excess_mass(s, u)], "mv": [mass_volume(s, u)], "em_v1": [e1], "mv_v1": [m1]})
+        values, mass, volume = _curve(values, inside, outside)
+        e1, m1 = _pooled(values, mass, volume)
+        return pd.DataFrame(out | {"em": [_excess(mass, volume)], "mv": [_smallest_volume(mass, volume)], "em_v1": [e1], "mv_v1": [m1]})
 
-    return df.groupBy(*by).applyInPandas(run, f"{kinds}, em double, mv double, em_v1 double, mv_v1 double")
+    return counts.groupBy(*by).applyInPandas(run, f"{kinds}, em double, mv double, em_v1 double, mv_v1 double")
 
 
 # --- agreement between detectors --------------------------------------------------------------------------------------
@@ -190,7 +213,7 @@ def hits(pairs: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = sorted(set(pdf["a"]) | set(pdf["b"]))
         at = {k: i for i, k in enumerate(keys)}
-        m = np.eye(len(keys))
+        m = np.zeros((len(keys), len(keys)))
         m[[at[k] for k in pdf["a"]], [at[k] for k in pdf["b"]]] = np.clip(np.nan_to_num(pdf["rho"].to_numpy(float)), 0, None)
         v = np.ones(len(keys)) / np.sqrt(len(keys))
         for _ in range(steps):

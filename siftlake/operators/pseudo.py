@@ -5,20 +5,20 @@ Rows are (dataset, row_id, cluster, z, ...); subsets are long membership tables
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.functions.ranks import draw_order
+from siftlake.functions.ranks import average_rank, draw_order
 from siftlake.operators import metrics as M
+from siftlake.session import stored
 
 
 def candidates(clusters: DataFrame, selection: str) -> DataFrame:
-    """(dataset, cluster, size): composite_top_quartile, smallest (half, at least 2), random (all) or hard (nearest half)."""
+    """(dataset, cluster, size): composite_top_quartile, smallest (half rounded down, at least 2), random (all) or
+    hard (nearest half)."""
     w = W.partitionBy("dataset")
-    half = F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)).over(w) / 2))
+    half = F.greatest(F.lit(2), F.floor(F.count(F.lit(1)).over(w) / 2))
     if selection == "composite_top_quartile":
         keep = F.col("composite") >= F.percentile("composite", 0.75).over(w)
     elif selection == "smallest":
@@ -33,12 +33,12 @@ def candidates(clusters: DataFrame, selection: str) -> DataFrame:
 def draw_subsets(chosen: DataFrame, totals: DataFrame, n_subsets: int, seed: object, least: int = 20, share: float = 0.05) -> DataFrame:
     """(dataset, subset, cluster): shuffled candidate clusters, added while those before hold fewer than the target rows.
 
-    totals: (dataset, n). The target is max(least, share * n). The table is subsets times clusters, never rows.
+    totals: (dataset, n). The target is max(least, floor(share * n)). The table is subsets times clusters, never rows.
     """
     s = chosen.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
     w = W.partitionBy("dataset", "subset").orderBy(draw_order(seed, "dataset", "subset", "cluster"))
     before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("_b", before).join(totals, "dataset").where(F.col("_b") < F.greatest(F.lit(float(least)), F.col("n") * share)).select("dataset", "subset", "cluster")
+    return s.withColumn("_b", before).join(totals, "dataset").where(F.col("_b") < F.greatest(F.lit(least), F.floor(F.col("n") * share))).select("dataset", "subset", "cluster")
 
 
 def memberships(rows: DataFrame, drawn: DataFrame, n_subsets: int, seed: object) -> DataFrame:
@@ -53,29 +53,84 @@ def memberships(rows: DataFrame, drawn: DataFrame, n_subsets: int, seed: object)
     return s.select("dataset", "subset", "row_id", role.alias("role"))
 
 
-def pseudo_auc(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str]) -> DataFrame:
-    """(dataset, subset, detector, n_train, n_anom, n_norm, pseudo_auc): each detector on every subset at once.
+def graded(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str], by: list[str], positive: str, digits: int = 9) -> DataFrame:
+    """(by, detector, n_train, n_pos, n_neg, auc, ap): each detector fitted on a unit's train rows and graded on its others.
 
-    Subsets are data sets of their own to the detectors, so one plan covers all of them. Detectors score the union of a
-    subset's rows; moments and bins come from all of them.
+    members (by.., row_id, role): the units, subsets or regimes of data sets, are data sets of their own to the detectors, so
+    one plan fits and scores all of them. ``positive`` is the role that counts as anomalous; roles other than that and train
+    count as normal. Scores are rounded to ``digits``, so that ties do not hang on the order of sums. A detector that fails on
+    a unit, or a unit without both classes, has no AUC.
     """
-    from siftlake.operators.detectors import run_pool
-
-    m = members.withColumn("_d", F.concat_ws("/", "dataset", F.col("subset").cast("string")))
-    units = rows.select("dataset", "row_id", *features).join(m, ["dataset", "row_id"]).select(F.col("_d").alias("dataset"), "row_id", *features)
-    scores = run_pool(units, features, names)
-    label = m.where("role <> 'train'").select(F.col("_d"), "row_id", F.when(F.col("role") == "pseudo_anom", 1).otherwise(0).alias("y"))
-    auc = M.roc_auc(scores.withColumnRenamed("dataset", "_d").join(label, ["_d", "row_id"]), ["_d", "detector"])
-    sizes = m.groupBy("dataset", "subset", "_d").agg(*[F.sum(F.when(F.col("role") == r, 1).otherwise(0)).alias(n) for r, n in (("train", "n_train"), ("pseudo_anom", "n_anom"), ("pseudo_norm", "n_norm"))])
-    return sizes.join(auc, "_d").select("dataset", "subset", "detector", "n_train", "n_anom", "n_norm", F.col("auc").alias("pseudo_auc"))
-
-
-def true_quality(scores: DataFrame, seed: object) -> DataFrame:
-    """(dataset, detector, true_auc, true_ap): the held-out fifth of normals against all anomalies."""
-    w = W.partitionBy("dataset", "detector", "y").orderBy(draw_order(seed, "row_id"))
-    test = scores.withColumn("_p", F.percent_rank().over(w)).where("y = 1 OR _p >= 0.8")
-    by = ["dataset", "detector"]
-    return M.roc_auc(test, by).join(M.average_precision(test, by), by).select(*by, F.col("auc").alias("true_auc"), F.col("ap").alias("true_ap"))
+    from siftlake.operators.detectors import fit_and_score, pool
+
+    m = stored(members.withColumn("_d", F.concat_ws("/", *by)), "members")
+    wide = rows.select("dataset", "row_id", *features).join(m.select("dataset", "row_id", "_d", "role"), ["dataset", "row_id"])
+    units = stored(wide.drop("dataset").withColumnRenamed("_d", "dataset"), "units")
+    train, held = (units.where(c).select("dataset", "row_id", *features) for c in ("role = 'train'", "role <> 'train'"))
+    scores = fit_and_score(train, held, features, names).withColumn("score", F.round("score", digits))
+    label = m.where("role <> 'train'").select("_d", "row_id", (F.col("role") == positive).cast("int").alias("y"))
+    s = scores.withColumnRenamed("dataset", "_d").join(label, ["_d", "row_id"])
+    grades = M.roc_auc(s, ["_d", "detector"]).join(M.average_precision(s, ["_d", "detector"]), ["_d", "detector"]).select("_d", "detector", "auc", "ap")
+    counts = [F.sum((F.col("role") == "train").cast("int")).alias("n_train"), F.sum((F.col("role") == positive).cast("int")).alias("n_pos"), F.sum((~F.col("role").isin("train", positive)).cast("int")).alias("n_neg")]
+    sizes = m.groupBy(*by, "_d").agg(*counts).withColumn("detector", F.explode(F.array(*[F.lit(n) for n in pool(names)])))
+    return sizes.join(grades, ["_d", "detector"], "left").drop("_d")
+
+
+def pseudo_auc(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str], by: tuple[str, ...] = ("dataset", "subset"), digits: int = 9) -> DataFrame:
+    """(by, detector, n_train, n_anom, n_norm, pseudo_auc): each detector, fitted on a subset's train rows alone, separates
+    its pseudo-anomalies from its pseudo-normals."""
+    g = graded(rows, members, features, names, list(by), "pseudo_anom", digits)
+    return g.select(*by, "detector", "n_train", F.col("n_pos").alias("n_anom"), F.col("n_neg").alias("n_norm"), F.col("auc").alias("pseudo_auc"))
+
+
+def true_roles(rows: DataFrame, seed: object) -> DataFrame:
+    """(dataset, row_id, role): the first 80 % of the normals in a hash order train; the others are test, anomalies anom."""
+    w = W.partitionBy("dataset", "y")
+    place = F.row_number().over(w.orderBy(draw_order(seed, "row_id")))
+    role = F.when(F.col("y") == 1, "anom").when(F.col("_k") <= F.floor(F.col("_n") * 0.8), "train").otherwise("test")
+    return rows.withColumn("_k", place).withColumn("_n", F.count(F.lit(1)).over(w)).select("dataset", "row_id", role.alias("role"))
+
+
+def true_quality(rows: DataFrame, features: tuple[str, ...], names: list[str], seed: object, digits: int = 9) -> DataFrame:
+    """(dataset, detector, true_auc, true_ap): each detector, fitted on 80 % of the normals, on the others and all anomalies.
+
+    The only place where labels are read."""
+    g = graded(rows, true_roles(rows, seed), features, names, ["dataset"], "anom", digits)
+    return g.select("dataset", "detector", F.col("auc").alias("true_auc"), F.col("ap").alias("true_ap"))
+
+
+def nomas(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str], digits: int = 9) -> DataFrame:
+    """(dataset, detector, nomas, subsets): mean pseudo-AUC over the usable subsets of a data set's normals."""
+    usable = members.join(usable_subsets(members), ["dataset", "subset"], "left_semi")
+    a = pseudo_auc(rows, usable, features, names, digits=digits)
+    return a.groupBy("dataset", "detector").agg(F.avg("pseudo_auc").alias("nomas"), F.count("pseudo_auc").alias("subsets")).where("subsets > 0")
+
+
+def regime_scores(rows: DataFrame, clustered: dict[int, DataFrame], selections: tuple[str, ...], features: tuple[str, ...], names: list[str], n_subsets: int, seed: object, digits: int = 9) -> DataFrame:
+    """(dataset, regime, detector, pseudo_auc, subsets): every selection over every clustering, by its K, as one plan."""
+    from siftlake.operators.space import composite_scores
+
+    parts = []
+    for k, g in clustered.items():
+        g = stored(g, "clusters")
+        totals, scores = g.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), stored(composite_scores(g), "composites")
+        for s in selections:
+            drawn = draw_subsets(candidates(scores, s), totals, n_subsets, seed)
+            parts.append(memberships(g, drawn, n_subsets, seed).withColumn("regime", F.lit(f"{s}_K{k}")))
+    members = parts[0]
+    for p in parts[1:]:
+        members = members.unionByName(p)
+    a = pseudo_auc(rows, members, features, names, ("dataset", "regime", "subset"), digits)
+    return a.groupBy("dataset", "regime", "detector").agg(F.avg("pseudo_auc").alias("pseudo_auc"), F.count("pseudo_auc").alias("subsets"))
+
+
+def v1_ranking(pseudo: DataFrame, truth: DataFrame) -> DataFrame:
+    """(dataset, detector, mean_pseudo_auc, pseudo_rank, true_auc, true_rank, rho): the mean over subsets ranks the detectors,
+    and rho is the data set's rank correlation with the true ranking."""
+    m = pseudo.groupBy("dataset", "detector").agg(F.round(F.avg("pseudo_auc"), 9).alias("mean_pseudo_auc"))
+    m = m.join(truth.select("dataset", "detector", "true_auc"), ["dataset", "detector"]).where("mean_pseudo_auc IS NOT NULL AND true_auc IS NOT NULL")
+    m = m.withColumn("pseudo_rank", average_rank(["dataset"], "mean_pseudo_auc", descending=True)).withColumn("true_rank", average_rank(["dataset"], "true_auc", descending=True))
+    return m.join(m.groupBy("dataset").agg(F.corr("pseudo_rank", "true_rank").alias("rho")), "dataset")
 
 
 def geometry_baseline(members: DataFrame, centre_distance: DataFrame, detectors: DataFrame) -> DataFrame:
@@ -156,32 +211,36 @@ def farthest(rows: DataFrame, features: tuple[str, ...], share: float = 0.05) ->
     return rows.withColumn("_d", F.round(d, 6)).withColumn("_q", F.percentile("_d", 1 - share).over(w)).where("_d >= _q").select("dataset", "row_id")
 
 
-def void_holdout(rows: DataFrame, features: tuple[str, ...], kind: str = "knn", size: int = 20, n: int = 3, seed: int = 0) -> DataFrame:
-    """(dataset, void, row_id): local hold-outs of capped rows: a seed and its neighbours, disjoint dense balls, or balls
-    of one radius. Greedy and order-dependent, so fitted for each data set in one bounded group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        x = pdf[list(features)].to_numpy(float)
-        x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        k = min(size, len(x) - 1)
-        radius = np.sort(d, axis=1)[:, k]
-        order = np.argsort(radius, kind="stable") if kind == "dense" else np.random.default_rng(seed).permutation(len(x))
-        free, out = np.ones(len(x), bool), []
-        for i in order:
-            if len(out) == n:
-                break
-            if not free[i]:
-                continue
-            inside = d[i] <= (np.median(radius) if kind == "radius" else radius[i])
-            if kind != "knn":
-                inside &= free
-            free[inside] = False
-            out.append(np.flatnonzero(inside))
-        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "void": np.repeat(np.arange(len(out)), [len(o) for o in out]), "row_id": pdf["row_id"].to_numpy()[np.concatenate(out)]})
-
-    return rows.groupBy("dataset").applyInPandas(run, "dataset string, void int, row_id long")
+def void_holdout(rows: DataFrame, features: tuple[str, ...], kind: str = "knn", size: int = 20, n: int = 3, seed: object = 0, seeds: DataFrame | None = None) -> DataFrame:
+    """(dataset, void, row_id): ``n`` local hold-outs: a seed and its ``size`` neighbours (knn), disjoint balls of that size
+    where rows are densest (dense), or disjoint balls of the seeds' median radius (radius).
+
+    ``seeds`` (dataset, row_id) are the rows that may be a centre, all of ``rows`` if not given; only they are compared with
+    every row. Each void is one round: the first seed that no void holds yet, and the rows within its radius. A round's centre
+    is one row for each data set, so its join with the rows shuffles nothing.
+    """
+    from siftlake.operators.space import neighbours, standardise
+
+    z = standardise(rows, features).select("dataset", "row_id", *features)
+    asked = z if seeds is None else z.join(seeds, ["dataset", "row_id"], "left_semi")
+    far = neighbours(asked, z, features, size).groupBy("dataset", "row_id").agg(F.max("distance").alias("radius"))
+    asked = stored(asked.join(far, ["dataset", "row_id"]), "seeds")
+    order = F.col("radius") if kind == "dense" else draw_order(seed, "dataset", "row_id")
+    asked = asked.withColumn("_o", order.cast("string") if kind != "dense" else order)
+    if kind == "radius":
+        asked = asked.join(asked.groupBy("dataset").agg(F.percentile("radius", 0.5).alias("_r")), "dataset").withColumn("radius", F.col("_r")).drop("_r")
+    out = None
+    for k in range(n):
+        free = asked if out is None else asked.join(out, ["dataset", "row_id"], "left_anti")
+        first = free.groupBy("dataset").agg(F.min(F.struct("_o", "row_id", "radius", *features)).alias("c"))
+        distance = F.sqrt(sum(((F.col(f) - F.col(f"c.{f}")) * (F.col(f) - F.col(f"c.{f}")) for f in features), F.lit(0.0)))
+        ball = z.join(F.broadcast(first), "dataset").where(distance <= F.col("c.radius"))
+        if kind != "knn" and out is not None:
+            ball = ball.join(out, ["dataset", "row_id"], "left_anti")
+        ball = ball.select("dataset", F.lit(k).alias("void"), "row_id")
+        out = ball if out is None else out.unionByName(ball)
+        out = stored(out.select("dataset", "void", "row_id"), "voids")
+    return out
 
 
 def displace(rows: DataFrame, held: DataFrame, features: tuple[str, ...], steps: tuple[float, ...] = (0, 0.5, 1, 2, 4), valid: bool = False) -> DataFrame:

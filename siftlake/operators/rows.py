@@ -66,9 +66,9 @@ def top_channels(long: DataFrame, by: list[str], channel: str, value: str, n: in
 
 
 def normal_name(name: Column) -> Column:
-    """Lower case, without extension, leading digits, underscores and hyphens."""
-    bare = F.regexp_replace(F.lower(name), r"\.[a-z0-9]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"^[0-9]+", ""), r"[_-]", "")
+    """Lower case, without a final .npz, .csv or .txt, leading digits with their underscore, underscores and hyphens."""
+    bare = F.regexp_replace(name, r"\.(npz|csv|txt)$", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(bare, r"^[0-9]+_", "")), r"[_-]", "")
 
 
 def source_family(link: Column, table: Column, name: Column) -> Column:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from siftlake.functions.ranks import min_max
 
 
-def standardise(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """rows with each feature at zero mean and unit population deviation within its data set; constants become 0."""
-    stats = rows.groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f"_{f}") for f in features])
+def standardise(rows: DataFrame, features: tuple[str, ...], train: DataFrame | None = None) -> DataFrame:
+    """rows with each feature at zero mean and unit population deviation of ``train`` (or of the rows) within its data set;
+    constants become 0."""
+    stats = (rows if train is None else train).groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f"_{f}") for f in features])
     out = {f: F.coalesce(F.try_divide(F.col(f) - F.col(f"_{f}.m"), F.col(f"_{f}.s")), F.lit(0.0)) for f in features}
     return rows.join(stats, "dataset").withColumns(out).select(*rows.columns)
 
@@ -50,12 +51,12 @@ def principal_axes(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return gram(rows, features).select("dataset", "n", "means", eigen("means", "gram").alias("e")).select("dataset", "n", "means", "e.values", "e.axes")
 
 
-def embed(rows: DataFrame, features: tuple[str, ...], dim: int = 16) -> DataFrame:
-    """rows with z: the standardised features, or their first ``dim`` principal coordinates if there are more."""
-    z = standardise(rows, features)
+def embed(rows: DataFrame, features: tuple[str, ...], dim: int = 16, train: DataFrame | None = None) -> DataFrame:
+    """rows with z: the standardised features, or their first ``dim`` principal coordinates if there are more, by ``train``."""
+    z = standardise(rows, features, train)
     if len(features) <= dim:
         return z.withColumn("z", F.array(*features))
-    axes = principal_axes(z, features).select("dataset", F.slice("axes", 1, dim).alias("axes"))
+    axes = principal_axes(z if train is None else standardise(train, features), features).select("dataset", F.slice("axes", 1, dim).alias("axes"))
     x = z.join(axes, "dataset").withColumn("_x", F.array(*features))
     return x.withColumn("z", F.expr("transform(axes, a -> aggregate(zip_with(a, _x, (u, v) -> u * v), 0.0D, (s, t) -> s + t))")).drop("axes", "_x")
 
@@ -66,15 +67,16 @@ def random_projection(rows: DataFrame, features: tuple[str, ...], dim: int, seed
     return rows.withColumn("z", F.array(*[sum((F.lit(float(w)) * F.col(f) for w, f in zip(row, features, strict=True)), F.lit(0.0)) for row in m]))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 0, sample: int = 5000, rounds: int = 15) -> DataFrame:
-    """rows (dataset, row_id, z) with cluster: k-means++ and Lloyd on a capped MD5 sample, then each row's nearest centre.
+def kmeans(rows: DataFrame, k: int, seed: int = 0, sample: int = 5000, rounds: int = 15, train: DataFrame | None = None) -> DataFrame:
+    """rows (dataset, row_id, z) with cluster: k-means++ and Lloyd on a capped MD5 sample of ``train`` (or of the rows), then
+    each row's nearest centre.
 
     min(k, max(2, n // 20)) clusters. Centres are fitted for each data set on at most ``sample`` rows; every row is
     assigned by a join with them.
     """
     place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")))))
     n = F.count(F.lit(1)).over(W.partitionBy("dataset"))
-    few = rows.select("dataset", "row_id", "z").withColumn("_n", n).withColumn("_k", place).where(F.col("_k") <= sample)
+    few = (rows if train is None else train).select("dataset", "row_id", "z").withColumn("_n", n).withColumn("_k", place).where(F.col("_k") <= sample)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")

@@ -129,10 +129,18 @@ def marginal_probe(normals: DataFrame, features: tuple[str, ...], n: int, seed:
 
 
 def shift_cluster(rows: DataFrame, held: DataFrame, features: tuple[str, ...], delta: float) -> DataFrame:
-    """A held-out cluster displaced outward as one piece, clipped to the range."""
-    from siftlake.operators.pseudo import displace
+    """(dataset, delta, row_id, features): a held-out cluster displaced as one piece and clipped to the range.
 
-    return displace(rows, held, features, (delta,), valid=True)
+    In each feature all its rows move by ``delta`` deviations, away from the mean on the side of the cluster's own mean.
+    """
+    s = rows.groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s"), F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f"_{f}") for f in features])
+    own = rows.join(held, ["dataset", "row_id"], "left_semi")
+    centre = own.groupBy("dataset").agg(*[F.avg(f).alias(f"_c_{f}") for f in features])
+    moved = []
+    for f in features:
+        side = F.when(F.col(f"_c_{f}") >= F.col(f"_{f}.m"), 1.0).otherwise(-1.0)
+        moved.append(F.least(F.greatest(F.col(f) + side * delta * F.col(f"_{f}.s"), F.col(f"_{f}.lo")), F.col(f"_{f}.hi")).alias(f))
+    return own.join(s, "dataset").join(centre, "dataset").select("dataset", F.lit(float(delta)).alias("delta"), "row_id", *moved)
 
 
 def cluster_filter(synthetic: DataFrame, normals: DataFrame, centres: DataFrame, features: tuple[str, ...], level: float = 0.6, least: int = 10) -> DataFrame:
@@ -140,7 +148,7 @@ def cluster_filter(synthetic: DataFrame, normals: DataFrame, centres: DataFrame,
     def nearest(df: DataFrame) -> DataFrame:
         c = centres.select("dataset", *[F.col(f).alias(f"_{f}") for f in features])
         d = sum(((F.col(f) - F.col(f"_{f}")) ** 2 for f in features), F.lit(0.0))
-        return df.join(c, "dataset").groupBy(*df.columns).agg(F.sqrt(F.min(d)).alias("_d"))
+        return df.join(c, "dataset").groupBy(*df.columns).agg(F.round(F.sqrt(F.min(d)), 9).alias("_d"))
 
     cut = nearest(normals.select("dataset", "row_id", *features)).groupBy("dataset").agg(F.percentile("_d", level).alias("_q"))
     s = nearest(synthetic).join(cut, "dataset").withColumn("_far", (F.col("_d") > F.col("_q")).cast("int"))
@@ -166,7 +174,9 @@ def inject(normals: DataFrame, features: tuple[str, ...], n: int, seed: object,
 def project_valid(synthetic: DataFrame, normals: DataFrame, features: tuple[str, ...], levels: int = 10) -> DataFrame:
     """Synthetic rows clipped to each feature's range; integer features rounded; features of few levels snapped to one."""
     stats = normals.groupBy("dataset").agg(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"), F.max(F.abs(F.col(f) - F.round(f))).alias("r"), F.countDistinct(f).alias("d")).alias(f"_{f}") for f in features])
-    few = normals.groupBy("dataset").agg(*[F.array_sort(F.slice(F.collect_set(F.when(F.col(f).isNotNull(), F.col(f))), 1, levels + 1)).alias(f"_v_{f}") for f in features])
+    # levels are listed only for features that have few: of the others nothing is gathered
+    counted = normals.join(stats, "dataset").select("dataset", *[F.when(F.col(f"_{f}.d") <= levels, F.col(f)).alias(f) for f in features])
+    few = counted.groupBy("dataset").agg(*[F.array_sort(F.collect_set(f)).alias(f"_v_{f}") for f in features])
     s = synthetic.join(stats, "dataset").join(few, "dataset")
     out = []
     for f in features:
@@ -176,57 +186,141 @@ def project_valid(synthetic: DataFrame, normals: DataFrame, features: tuple[str,
     return s.select(*[c for c in synthetic.columns if c not in features], *out)
 
 
+REFERENCE = 1500  #: normals of a data set that the geometric generators know, as their definitions have it
+SPARSITY = (50, 70, 85, 95)  #: percentiles that are levels of sparsity or density
+
+
+def _nearest(points: np.ndarray, z: np.ndarray, k: int) -> np.ndarray:
+    """Ascending distances to the ``k`` nearest reference rows, in blocks of points."""
+    parts = []
+    for a in range(0, len(points), 512):
+        p = points[a : a + 512]
+        d2 = (p**2).sum(axis=1)[:, None] - 2 * p @ z.T + (z**2).sum(axis=1)
+        parts.append(np.sqrt(np.maximum(np.sort(d2, axis=1)[:, :k], 0)))
+    return np.concatenate(parts) if parts else np.zeros((0, k))
+
+
+def _centres(z: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    c = z[rng.choice(len(z), min(count, len(z)), replace=False)]
+    for _ in range(rounds):
+        own = ((z[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        c = np.array([z[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+    return c, own
+
+
+def between_centres(z: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Rows moved a share of 0.5 to 1.3 of the way to the centre of another cluster."""
+    c, own = _centres(z, min(20, max(3, len(z) // 40)), rng)
+    i = rng.integers(len(z), size=n)
+    to = (own[i] + rng.integers(1, max(2, len(c)), size=n)) % len(c)
+    return z[i] + rng.uniform(0.5, 1.3, (n, 1)) * (c[to] - z[i]), np.full(n, np.nan)
+
+
+def density_band(z: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Noisy points between two centres whose distance to the 10th neighbour lies in the rows' 60-95 % band."""
+    c, _ = _centres(z, min(20, max(3, len(z) // 40)), rng)
+    low, high = np.percentile(_nearest(z, z, 10)[:, -1], (60, 95))
+    i = rng.integers(len(c), size=12 * n)
+    j = (i + rng.integers(1, max(2, len(c)), size=12 * n)) % len(c)
+    t = rng.uniform(0.35, 0.65, (12 * n, 1))
+    p = t * c[i] + (1 - t) * c[j] + rng.normal(0, 0.15, (12 * n, z.shape[1])) * z.std(axis=0)
+    d = _nearest(p, z, 10)[:, -1]
+    p = p[(d >= low) & (d <= high)][:n]
+    return p, np.full(len(p), np.nan)
+
+
+def level_set(z: np.ndarray, n: int, rng: np.random.Generator, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that walk down the gradient of a kernel density, recorded where they first reach each level of sparsity."""
+    near = _nearest(z, z, 11)[:, 1:]
+    cuts, h = np.percentile(near.mean(axis=1), SPARSITY), float(np.median(near)) + 1e-9
+    p, reached = z[rng.integers(len(z), size=n)].copy(), np.zeros(n, int)
+    out, level = [], []
+    for _ in range(steps):
+        live = np.flatnonzero(reached < len(cuts))
+        if not len(live):
+            break
+        to = z[None] - p[live][:, None]
+        d2 = (to**2).sum(axis=2)
+        w = np.exp(-(d2 - d2.min(axis=1, keepdims=True)) / (2 * h * h))
+        slope = (to * w[:, :, None]).sum(axis=1)
+        p[live] -= 0.5 * h * slope / (np.linalg.norm(slope, axis=1, keepdims=True) + 1e-9)
+        sparse = _nearest(p[live], z, 11)[:, 1:].mean(axis=1)
+        for i, s in zip(live.tolist(), sparse.tolist(), strict=True):
+            while reached[i] < len(cuts) and s >= cuts[reached[i]]:
+                out.append(p[i].copy())
+                level.append(SPARSITY[reached[i]])
+                reached[i] += 1
+    return np.array(out).reshape(-1, z.shape[1]), np.array(level, float)
+
+
+def void(z: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Mixtures of two rows, and rows with 40 % of another's coordinates, where a kernel density curves upwards; the level is
+    the percentile of density that a point is under."""
+    h2 = (float(np.median(_nearest(z, z, 11)[:, 1:])) + 1e-9) ** 2
+    d = z.shape[1]
+    i, j = rng.integers(len(z), size=(2, 20 * n))
+    t = rng.uniform(0.35, 0.65, (20 * n, 1))
+    swap = np.argsort(rng.random((20 * n, d)), axis=1) < max(1, int(0.4 * d))
+    p = np.where((np.arange(20 * n) % 5 < 3)[:, None], t * z[i] + (1 - t) * z[j], np.where(swap, z[j], z[i]))
+    density, curve = np.zeros(len(p)), np.zeros(len(p))
+    for a in range(0, len(p), 512):
+        d2 = ((p[a : a + 512, None] - z[None]) ** 2).sum(axis=2)
+        k = np.exp(-d2 / (2 * h2))
+        density[a : a + 512], curve[a : a + 512] = k.mean(axis=1), (k * (d2 / h2 - d)).mean(axis=1)
+    p, density = p[curve > 0], density[curve > 0]
+    if not len(p):
+        return p, np.zeros(0)
+    cuts = np.percentile(density, SPARSITY)
+    order = np.argsort(density, kind="stable")[:n]
+    return p[order], np.array(SPARSITY, float)[np.minimum(np.searchsorted(cuts, density[order], side="left"), len(cuts) - 1)]
+
+
+def valley(z: np.ndarray, n: int, rng: np.random.Generator, k: int = 10, reach: float = 1.6, alpha: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+    """The least dense point on a segment from a row to a neighbourhood that is not its own, if its density is under ``alpha``
+    times that of either end. The level is how many times less dense it is."""
+    k = min(k, len(z) - 1)
+    own = _nearest(z, z, k + 1)
+    radius, density = own[:, -1], 1 / (own[:, 1:].mean(axis=1) + 1e-9)
+    i = rng.permutation(np.repeat(np.arange(len(z)), 6))[: 40 * n]
+    u = rng.normal(size=(len(i), z.shape[1]))
+    tip = z[i] + reach * radius[i, None] * u / (np.linalg.norm(u, axis=1, keepdims=True) + 1e-12)
+    out, depth = [], []
+    for a, x in zip(i.tolist(), tip, strict=True):
+        if len(out) == n:
+            break
+        d = ((z - x) ** 2).sum(axis=1)
+        near = np.argpartition(d, k - 1)[:k]
+        other = near[((z[near] - z[a]) ** 2).sum(axis=1) > radius[a] ** 2]
+        if not len(other):
+            continue
+        b = other[d[other].argmin()]
+        t = np.linspace(0.15, 0.85, 8)[:, None]
+        path = (1 - t) * z[a] + t * z[b]
+        rho = 1 / (_nearest(path, z, k).mean(axis=1) + 1e-9)
+        m, least = int(rho.argmin()), min(density[a], density[b])
+        if rho[m] < alpha * least:
+            out.append(path[m])
+            depth.append(least / rho[m])
+    return np.array(out).reshape(-1, z.shape[1]), np.array(depth)
+
+
+GEOMETRIC = {f.__name__: f for f in (between_centres, density_band, level_set, void, valley)}
+
+
 def geometric(normals: DataFrame, features: tuple[str, ...], n: int, seed: int, kind: str) -> DataFrame:
-    """(dataset, k, features) of the generators that follow geometry, on capped normals in one bounded group each.
+    """(dataset, k, level, features) of the generators that follow geometry: between_centres, density_band, level_set, void or
+    valley. Points that miss a generator's condition are left out, so there may be fewer than ``n`` (level_set: ``n`` walks).
 
-    between_centres: points on the line from one centre to past another. density_band: convex mixtures of centres kept in
-    the 60-95% band of neighbour distances. level_set: steps down the neighbour density, kept at levels. void: mixtures of
-    distant pairs where a kernel density has positive curvature. valley: the least dense point on a segment to another
-    neighbourhood.
+    A generator knows at most ``REFERENCE`` normals of a data set, in MD5 order, so a data set's group is bounded.
     """
+    place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.col("row_id").cast("string"))))
+    few = normals.select("dataset", "row_id", *features).withColumn("_k", place).where(F.col("_k") <= REFERENCE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("row_id")[list(features)].to_numpy(float)
         mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z, rng = (x - mean) / sd, np.random.default_rng(seed)
-        knn = lambda p, k=5: np.sort(np.sqrt(((p[:, None] - z[None]) ** 2).sum(axis=2)), axis=1)[:, min(k, len(z) - 1)]
-        centres = z[rng.choice(len(z), min(8, len(z)), replace=False)]
-        for _ in range(8):
-            near = ((z[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            centres = np.array([z[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(len(centres))])
-        if kind == "between_centres":
-            i, j = rng.integers(len(z), size=n), rng.integers(len(centres), size=n)
-            out = z[i] + rng.uniform(0.5, 1.3, (n, 1)) * (centres[j] - centres[((z[i][:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)])
-        elif kind == "density_band":
-            w = rng.dirichlet(np.ones(len(centres)) * 0.5, 6 * n)
-            p = w @ centres
-            own = np.quantile(knn(z), [0.6, 0.95])
-            d = knn(p)
-            inside = p[(d >= own[0]) & (d <= own[1])]
-            out = np.concatenate([inside, p])[:n]
-        elif kind == "level_set":
-            p = z[rng.integers(len(z), size=n)]
-            for _ in range(10):
-                trial = p + rng.normal(scale=0.3, size=p.shape)
-                p = np.where((knn(trial) > knn(p))[:, None], trial, p)
-            out = p
-        elif kind == "void":
-            i, j = rng.integers(len(z), size=(2, 6 * n))
-            t = rng.uniform(0.2, 0.8, (6 * n, 1))
-            p = t * z[i] + (1 - t) * z[j]
-            swap = rng.random(p.shape) < 0.4
-            p = np.where(swap, z[rng.integers(len(z), size=6 * n)], p)
-            h2 = max(1e-6, float(np.median(knn(z)) ** 2))
-            d2 = ((p[:, None] - z[None]) ** 2).sum(axis=2)
-            laplacian = (np.exp(-d2 / (2 * h2)) * (d2 / h2 - p.shape[1])).sum(axis=1)
-            out = np.concatenate([p[laplacian > 0], p])[:n]
-        else:
-            i, j = rng.integers(len(z), size=(2, n))
-            steps = np.linspace(0, 1, 9)[1:-1]
-            path = z[i][:, None] + steps[None, :, None] * (z[j] - z[i])[:, None]
-            d = knn(path.reshape(-1, z.shape[1])).reshape(n, -1)
-            out = path[np.arange(n), d.argmax(axis=1)]
-        back = out * sd + mean
-        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "k": np.arange(len(back)), **{f: back[:, c] for c, f in enumerate(features)}})
-
-    return normals.groupBy("dataset").applyInPandas(run, "dataset string, k long, " + ", ".join(f"{f} double" for f in features))
+        p, level = GEOMETRIC[kind]((x - mean) / sd, n, np.random.default_rng(seed)) if len(x) > 12 else (x[:0], np.zeros(0))
+        back = p * sd + mean
+        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "k": np.arange(len(back)), "level": level, **{f: back[:, c] for c, f in enumerate(features)}})
+
+    return few.groupBy("dataset").applyInPandas(run, "dataset string, k long, level double, " + ", ".join(f"{f} double" for f in features))

@@ -1,7 +1,7 @@
 """The driver tables in the roles of the reference's inputs, each as a DataFrame and as a common table expression.
 
-tab: tabular rows, one for each order of ``lineitem``; tabs: at most 120 of each data set; feat and feats: the same, one row
-for each feature; fact: detector grades for each supplier; series: ``events`` in order; point: scores against labels.
+tab: tabular rows, one for each order of ``lineitem``; asked: those whose id is divisible by 100, the stated queries of the
+neighbour operators, which meet all rows; feat: one row for each feature; fact: detector grades for each supplier; series: ``events`` in order; point: scores against labels.
 """
 
 from __future__ import annotations
@@ -10,20 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.functions.ranks import draw_order
-
 FEATURES = ("x1", "x2", "x3", "x4")
-SMALL = 120
 
 _SQL = {
     "tab": ((), "SELECT 'd' || (l_orderkey % 3) AS dataset, l_orderkey AS row_id, sum(l_quantity) AS x1, avg(l_extendedprice) AS x2, avg(l_discount) AS x3, avg(l_tax) AS x4, CASE WHEN max(l_discount) >= 0.1 AND count(*) < 4 THEN 1 ELSE 0 END AS y FROM lineitem GROUP BY l_orderkey"),
-    "tabs": (("tab",), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('7:' || row_id)) AS k FROM tab) WHERE k <= {SMALL}"),
+    "asked": (("tab",), "SELECT * FROM tab WHERE row_id % 100 = 0"),
     "feat": (("tab",), " UNION ALL ".join(f"SELECT dataset, row_id, y, '{f}' AS feature, {f} AS value FROM tab" for f in FEATURES)),
-    "feats": (("tabs",), " UNION ALL ".join(f"SELECT dataset, row_id, y, '{f}' AS feature, {f} AS value FROM tabs" for f in FEATURES)),
     "zfeat": (("feat",), "SELECT dataset, row_id, y, feature, value, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-9) AS z FROM feat WINDOW w AS (PARTITION BY dataset, feature)"),
-    "zfeats": (("feats",), "SELECT dataset, row_id, y, feature, value, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-9) AS z FROM feats WINDOW w AS (PARTITION BY dataset, feature)"),
     "point": (("zfeat",), "SELECT dataset, feature AS detector, row_id, y, round(abs(z), 7) AS score FROM zfeat"),
-    "points": (("zfeats",), "SELECT dataset, feature AS detector, row_id, y, round(abs(z), 7) AS score FROM zfeats"),
     "fact": (
         (),
         "SELECT 's' || l_suppkey AS dataset, 'k' || l_linenumber AS detector, l_returnflag AS subset, CASE WHEN l_suppkey % 3 = 0 THEN 'timeseries' ELSE 'tabular' END AS modality, 'c' || (l_suppkey % 5) AS corpus, "
@@ -59,9 +53,8 @@ def tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.concat(F.lit("d"), (F.col("l_orderkey") % 3).cast("string")).alias("dataset"), F.col("l_orderkey").alias("row_id"), *FEATURES, F.expr("CASE WHEN d >= 0.1 AND n < 4 THEN 1 ELSE 0 END").alias("y"))
 
 
-def tabs(spark: SparkSession, sf_dir: str, n: int = SMALL) -> DataFrame:
-    w = W.partitionBy("dataset").orderBy(draw_order(7, "row_id"))
-    return tab(spark, sf_dir).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tab(spark, sf_dir).where("row_id % 100 = 0")
 
 
 def long(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -75,8 +68,8 @@ def with_z(feat: DataFrame) -> DataFrame:
     return feat.withColumn("z", (F.col("value") - F.avg("value").over(w)) / (F.stddev_pop("value").over(w) + 1e-9))
 
 
-def point(spark: SparkSession, sf_dir: str, small: bool = False) -> DataFrame:
-    z = with_z(long((tabs if small else tab)(spark, sf_dir)))
+def point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = with_z(long(tab(spark, sf_dir)))
     return z.select("dataset", F.col("feature").alias("detector"), "row_id", "y", F.round(F.abs("z"), 7).alias("score"))
 
 

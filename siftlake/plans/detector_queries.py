@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftlake.operators import detectors as D
 from siftlake.operators import harden as H
 from siftlake.operators import metrics as M
+from siftlake.operators import rows as R
 from siftlake.operators import space as E
 from siftlake.plans import base
 from siftlake.plans.base import FEATURES, sql
@@ -62,13 +63,12 @@ def e6_effective_clusters(spark, sf_dir):
     return E.effective_clusters(_grid(spark, sf_dir))
 
 
-_PAIRS = "p AS (SELECT a.dataset, a.row_id, b.row_id AS other, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM tabs a JOIN tabs b ON a.dataset = b.dataset AND a.row_id <> b.row_id), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, row_id ORDER BY d, other) AS k FROM p QUALIFY k <= {k})"
+_PAIRS = "p AS (SELECT a.dataset, a.row_id, b.row_id AS other, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM asked a JOIN tab b ON a.dataset = b.dataset AND a.row_id <> b.row_id), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, row_id ORDER BY d, other) AS k FROM p QUALIFY k <= {k})"
 
 
-@query(sql("tabs", f"WITH {_PAIRS.format(k=5)} SELECT dataset, row_id, k AS place, round(d, 6) AS distance FROM n"))
+@query(sql("asked", f"WITH {_PAIRS.format(k=5)} SELECT dataset, row_id, k AS place, round(d, 6) AS distance FROM n"))
 def e7_j9_nearest_neighbours(spark, sf_dir):
-    t = base.tabs(spark, sf_dir)
-    return E.neighbours(t, t, TWO, 5).select("dataset", "row_id", "place", F.round("distance", 6).alias("distance"))
+    return E.neighbours(base.asked(spark, sf_dir), base.tab(spark, sf_dir), TWO, 5).select("dataset", "row_id", "place", F.round("distance", 6).alias("distance"))
 
 
 @query()
@@ -76,14 +76,19 @@ def e9_random_projection(spark, sf_dir):
     return E.random_projection(_vectors(spark, sf_dir), tuple(f"v{i}" for i in range(24)), 16).select("dataset", "row_id", "z")
 
 
-@query(sql("tabs", f"WITH {_PAIRS.format(k=10)} SELECT dataset, row_id, round(max(d), 6) AS score FROM n GROUP BY ALL"))
+@query(sql("asked", f"WITH {_PAIRS.format(k=10)} SELECT dataset, row_id, round(max(d), 6) AS score FROM n GROUP BY ALL"))
 def k1_knn(spark, sf_dir):
-    return _scores(D.knn(base.tabs(spark, sf_dir), TWO, 10))
+    return _scores(D.knn(base.asked(spark, sf_dir), TWO, 10, base.tab(spark, sf_dir)))
 
 
-@query(sql("tabs", f"WITH {_PAIRS.format(k=20)}, r AS (SELECT dataset, row_id AS other, max(d) AS r FROM n GROUP BY ALL), l AS (SELECT dataset, row_id, 1 / avg(greatest(d, r)) AS lrd FROM n JOIN r USING (dataset, other) GROUP BY ALL) SELECT n.dataset, n.row_id, round(avg(o.lrd) / max(s.lrd), 6) AS score FROM n JOIN l o ON n.dataset = o.dataset AND n.other = o.row_id JOIN l s ON n.dataset = s.dataset AND n.row_id = s.row_id GROUP BY ALL"))
+@query()
 def k2_lof(spark, sf_dir):
-    return _scores(D.lof(base.tabs(spark, sf_dir), TWO, 20))
+    """Fitted on the rows that the row cap of a data set leaves (F7, 5,000), scored on the asked rows."""
+    return _scores(D.lof(base.asked(spark, sf_dir), TWO, 20, _capped(spark, sf_dir)))
+
+
+def _capped(spark, sf_dir):
+    return R.cap_rows(base.tab(spark, sf_dir), ["dataset"], 5000, 7, "row_id")
 
 
 _BINS = "b AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE least(greatest(floor((value - lo) / (hi - lo) * {n})::INT + 1, 1), {n}) END AS bin FROM (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi, count(*) OVER w AS n FROM feat WINDOW w AS (PARTITION BY dataset, feature))), h AS (SELECT *, count(*) OVER (PARTITION BY dataset, feature, bin) / n * {n} AS density FROM b)"
@@ -119,7 +124,7 @@ def k7_cblof(spark, sf_dir):
 
 @query()
 def k8_loda(spark, sf_dir):
-    return D.loda(base.tab(spark, sf_dir), FEATURES, 10, 20)
+    return D.loda(base.tab(spark, sf_dir), FEATURES, 10)
 
 
 @query()
@@ -129,9 +134,9 @@ def k9_iforest(spark, sf_dir):
 
 @query()
 def k14_pool_scores(spark, sf_dir):
-    """A pool of variants over capped rows, with each one's AUC."""
-    t = base.tabs(spark, sf_dir)
-    s = D.run_pool(t, FEATURES, ["KNN_k10", "LOF_k20", "HBOS_10", "ECOD", "COPOD", "PCA_0.5", "MaxZ", "LinRes"])
+    """A pool of variants fitted on the rows under the row cap (F7), with each one's AUC on the asked rows."""
+    t = base.asked(spark, sf_dir)
+    s = D.fit_and_score(_capped(spark, sf_dir), t, FEATURES, ["KNN_k10", "HBOS_10", "ECOD", "COPOD", "PCA_0.5", "CBLOF_8", "LODA_10", "IForest_100", "MaxZ", "LinRes"])
     return M.roc_auc(s.join(t.select("dataset", "row_id", "y"), ["dataset", "row_id"]), ["dataset", "detector"])
 
 
@@ -147,9 +152,13 @@ def k15_h10_histogram_rule_auc(spark, sf_dir):
     return M.roc_auc(s, ["dataset"]).select("dataset", F.round("auc", 6).alias("auc"))
 
 
-@query()
+_RES = "m AS (SELECT dataset, avg(x1) AS m1, avg(x3) AS m3, covar_pop(x1, x3) * count(*) AS s13, var_pop(x1) * count(*) AS s11, var_pop(x3) * count(*) AS s33 FROM tab WHERE y = 0 GROUP BY ALL), r AS (SELECT dataset, row_id, y, (x1 - m1) - s13 / (s33 + 1) * (x3 - m3) AS r1, (x3 - m3) - s13 / (s11 + 1) * (x1 - m1) AS r3 FROM tab JOIN m USING (dataset)), s AS (SELECT dataset, stddev_pop(r1) AS s1, stddev_pop(r3) AS s3 FROM r WHERE y = 0 GROUP BY ALL), l AS (SELECT dataset, row_id, y, greatest(abs(r1) / (s1 + 1e-9), abs(r3) / (s3 + 1e-9)) AS score FROM r JOIN s USING (dataset))"
+
+
+@query(sql("tab", f"WITH {_RES} SELECT dataset, row_id, round(score, 5) AS score FROM l"))
 def k15_h2_linear_residual(spark, sf_dir):
-    return D.linear_residual(base.tab(spark, sf_dir), FEATURES)
+    t = base.tab(spark, sf_dir)
+    return _scores(D.linear_residual(t, TWO, train=t.where("y = 0")), 5)
 
 
 _Z = "SELECT dataset, row_id, coalesce((score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0), 0) AS z FROM point WINDOW w AS (PARTITION BY dataset, detector)"
@@ -169,10 +178,9 @@ def k18_supervised_learners(spark, sf_dir):
     return parts[0].unionAll(parts[1])
 
 
-@query(sql("tabs", "SELECT a.dataset, a.row_id, round(-min(sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2)), 6) AS score FROM tabs a JOIN tabs b ON a.dataset = b.dataset AND b.y = 1 AND a.row_id <> b.row_id GROUP BY ALL"))
+@query(sql("asked", "SELECT a.dataset, a.row_id, round(-min(sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2)), 6) AS score FROM asked a JOIN tab b ON a.dataset = b.dataset AND b.y = 1 AND a.row_id <> b.row_id GROUP BY ALL"))
 def k18_nearest_labelled(spark, sf_dir):
-    t = base.tabs(spark, sf_dir)
-    return _scores(D.nearest_labelled(t, t, TWO))
+    return _scores(D.nearest_labelled(base.asked(spark, sf_dir), base.tab(spark, sf_dir), TWO))
 
 
 # --- hardening
@@ -186,12 +194,15 @@ def h1_within_normal_range(spark, sf_dir):
     return H.within_normals(t, [D.max_z(t, FEATURES, True)], 0.95).select("dataset", "row_id", "y")
 
 
-@query()
+_MZ2 = _MZ.replace("FROM feat JOIN", "FROM (SELECT * FROM feat WHERE feature IN ('x1', 'x3')) JOIN")
+
+
+@query(sql("feat", f"WITH {_RES}, z AS ({_MZ2}), q AS (SELECT l.dataset, quantile_cont(l.score, 0.99) AS a, quantile_cont(z.score, 0.99) AS b FROM l JOIN z USING (dataset, row_id) WHERE l.y = 0 GROUP BY ALL) SELECT dataset, l.row_id, l.y FROM l JOIN z USING (dataset, row_id) JOIN q USING (dataset) WHERE l.y = 0 OR (l.score <= a AND z.score <= b)"))
 def h3_double_hard(spark, sf_dir):
-    return H.double_hard(base.tab(spark, sf_dir), FEATURES).select("dataset", "row_id", "y")
+    return H.double_hard(base.tab(spark, sf_dir), TWO).select("dataset", "row_id", "y")
 
 
-_SEV = "n AS (SELECT dataset, feature, count(*) AS m, min(value) AS lo, max(value) AS hi FROM feat WHERE y = 0 GROUP BY ALL HAVING max(value) > min(value)), c AS (SELECT f.dataset, f.feature, f.row_id, f.y, f.value, m, lo, hi, sum(1 - f.y) OVER (PARTITION BY f.dataset, f.feature ORDER BY f.value RANGE UNBOUNDED PRECEDING) AS le, sum(1 - f.y) OVER (PARTITION BY f.dataset, f.feature ORDER BY f.value DESC RANGE UNBOUNDED PRECEDING) AS ge, CASE WHEN f.value < lo OR f.value > hi THEN 0 ELSE least(floor((f.value - lo) / (hi - lo) * 30)::INT + 1, 30) END AS bin FROM feat f JOIN n USING (dataset, feature)), d AS (SELECT *, CASE WHEN bin = 0 THEN 0 ELSE sum(1 - y) OVER (PARTITION BY dataset, feature, bin) / m END AS density FROM c), v AS (SELECT dataset, row_id, y, max(greatest(-ln(greatest(2 * least(le / m, ge / m), 1 / (2.0 * m))), -ln(density + 1e-9))) AS score FROM d GROUP BY ALL)"
+_SEV = "n AS (SELECT dataset, feature, count(*) AS m, min(value) AS lo, max(value) AS hi FROM feat WHERE y = 0 GROUP BY ALL HAVING max(value) - min(value) >= 1e-12), c AS (SELECT f.dataset, f.feature, f.row_id, f.y, f.value, m, lo, hi, sum(1 - f.y) OVER (PARTITION BY f.dataset, f.feature ORDER BY f.value RANGE UNBOUNDED PRECEDING) / m AS fb, least(greatest(floor((f.value - lo) / (hi - lo) * 30)::INT + 1, 1), 30) AS bin FROM feat f JOIN n USING (dataset, feature)), d AS (SELECT *, sum(1 - y) OVER (PARTITION BY dataset, feature, bin) / m AS density FROM c), v AS (SELECT dataset, row_id, y, max(greatest(-ln(greatest(2 * least(fb, 1 - fb), 1 / (2.0 * m))), -ln(density + 1e-9))) AS score FROM d GROUP BY ALL)"
 
 
 @query(sql("feat", f"WITH {_SEV} SELECT dataset, row_id, round(score, 5) AS score FROM v"))

@@ -77,43 +77,43 @@ def m8_m9_m10_excess_mass_and_mass_volume(spark, sf_dir):
 def _boxed(spark, sf_dir):
     from siftlake.operators.synth import uniform_box
 
-    t = base.tabs(spark, sf_dir)
+    t = base.tab(spark, sf_dir)
     moments = base.long(t).groupBy("dataset", "feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    box = uniform_box(t, base.FEATURES, 500, seed=11)
+    box = uniform_box(t, base.FEATURES, 8000, seed=11)
     rows = base.long(t).select("dataset", "feature", "value", F.lit(False).alias("uniform")).unionByName(base.long(box.withColumn("y", F.lit(0))).select("dataset", "feature", "value", F.lit(True).alias("uniform")))
     z = F.abs((F.col("value") - F.col("m")) / (F.col("s") + 1e-9))
     return rows.join(moments, ["dataset", "feature"]).select("dataset", F.col("feature").alias("detector"), z.alias("score"), "uniform")
 
 
-@query(sql("tabs", "WITH b AS (SELECT dataset, min(x1) AS l1, max(x1) - min(x1) AS s1, min(x2) AS l2, max(x2) - min(x2) AS s2 FROM tabs GROUP BY ALL) SELECT dataset, i AS row_id, round(l1 + ('0x' || substr(md5('11:x1:' || i), 1, 8))::BIGINT / 4294967296.0 * CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 5) AS x1, round(l2 + ('0x' || substr(md5('11:x2:' || i), 1, 8))::BIGINT / 4294967296.0 * CASE WHEN s2 = 0 THEN 1 ELSE s2 END, 5) AS x2 FROM b, range(200) t(i)"))
+@query(sql("tab", "WITH b AS (SELECT dataset, min(x1) AS l1, max(x1) - min(x1) AS s1, min(x2) AS l2, max(x2) - min(x2) AS s2 FROM tab GROUP BY ALL) SELECT dataset, i AS row_id, round(l1 + ('0x' || substr(md5('11:x1:' || i), 1, 8))::BIGINT / 4294967296.0 * CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 5) AS x1, round(l2 + ('0x' || substr(md5('11:x2:' || i), 1, 8))::BIGINT / 4294967296.0 * CASE WHEN s2 = 0 THEN 1 ELSE s2 END, 5) AS x2 FROM b, range(200) t(i)"))
 def m11_uniform_box(spark, sf_dir):
     from siftlake.operators.synth import uniform_box
 
-    return uniform_box(base.tabs(spark, sf_dir), ("x1", "x2"), 200, seed=11).select("dataset", "row_id", F.round("x1", 5).alias("x1"), F.round("x2", 5).alias("x2"))
+    return uniform_box(base.tab(spark, sf_dir), ("x1", "x2"), 200, seed=11).select("dataset", "row_id", F.round("x1", 5).alias("x1"), F.round("x2", 5).alias("x2"))
 
 
-_RANKED = "SELECT *, rank() OVER (PARTITION BY dataset, detector ORDER BY score) + (count(*) OVER (PARTITION BY dataset, detector, score) - 1) / 2.0 AS r FROM points"
+_RANKED = "SELECT *, rank() OVER (PARTITION BY dataset, detector ORDER BY score) + (count(*) OVER (PARTITION BY dataset, detector, score) - 1) / 2.0 AS r FROM point"
 
 
-@query(sql("points", f"WITH r AS ({_RANKED}), m AS (SELECT dataset, row_id, avg(r) AS m FROM r GROUP BY ALL), c AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY m) + (count(*) OVER (PARTITION BY dataset, m) - 1) / 2.0 AS c FROM m) SELECT dataset, detector AS key, round(corr(r, c), 6) AS udr FROM r JOIN c USING (dataset, row_id) GROUP BY ALL"))
+@query(sql("point", f"WITH r AS ({_RANKED}), m AS (SELECT dataset, row_id, avg(r) AS m FROM r GROUP BY ALL), c AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY m) + (count(*) OVER (PARTITION BY dataset, m) - 1) / 2.0 AS c FROM m) SELECT dataset, detector AS key, round(corr(r, c), 6) AS udr FROM r JOIN c USING (dataset, row_id) GROUP BY ALL"))
 def m12_udr_consensus(spark, sf_dir):
-    return M.udr(base.point(spark, sf_dir, True), ["dataset"], "detector", "row_id", "score").select("dataset", "key", F.round("udr", 6).alias("udr"))
+    return M.udr(base.point(spark, sf_dir), ["dataset"], "detector", "row_id", "score").select("dataset", "key", F.round("udr", 6).alias("udr"))
 
 
-@query(sql("points", f"WITH r AS ({_RANKED}), p AS (SELECT a.dataset, a.detector AS a, b.detector AS b, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.detector <> b.detector GROUP BY ALL) SELECT dataset, a AS key, round(avg(rho), 6) AS centrality FROM p GROUP BY ALL"))
+@query(sql("point", f"WITH r AS ({_RANKED}), p AS (SELECT a.dataset, a.detector AS a, b.detector AS b, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.detector <> b.detector GROUP BY ALL) SELECT dataset, a AS key, round(avg(rho), 6) AS centrality FROM p GROUP BY ALL"))
 def m13_model_centrality(spark, sf_dir):
-    pairs = M.pairwise_spearman(base.point(spark, sf_dir, True), ["dataset"], "detector", "row_id", "score")
+    pairs = M.pairwise_spearman(base.point(spark, sf_dir), ["dataset"], "detector", "row_id", "score")
     return M.centrality(pairs, ["dataset"]).select("dataset", "key", F.round("centrality", 6).alias("centrality"))
 
 
 @query()
 def m14_hits_authority(spark, sf_dir):
-    return M.hits(M.pairwise_spearman(base.point(spark, sf_dir, True), ["dataset"], "detector", "row_id", "score"), ["dataset"])
+    return M.hits(M.pairwise_spearman(base.point(spark, sf_dir), ["dataset"], "detector", "row_id", "score"), ["dataset"])
 
 
-@query(sql("points", f"WITH r AS ({_RANKED}), p AS (SELECT a.dataset, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.detector < b.detector GROUP BY a.dataset, a.detector, b.detector) SELECT dataset, round(quantile_cont(rho, 0.5), 6) AS agreement FROM p GROUP BY ALL"))
+@query(sql("point", f"WITH r AS ({_RANKED}), p AS (SELECT a.dataset, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.detector < b.detector GROUP BY a.dataset, a.detector, b.detector) SELECT dataset, round(quantile_cont(rho, 0.5), 6) AS agreement FROM p GROUP BY ALL"))
 def m15_seed_agreement(spark, sf_dir):
-    pairs = M.pairwise_spearman(base.point(spark, sf_dir, True), ["dataset"], "detector", "row_id", "score")
+    pairs = M.pairwise_spearman(base.point(spark, sf_dir), ["dataset"], "detector", "row_id", "score")
     return M.seed_agreement(pairs, ["dataset"]).select("dataset", F.round("agreement", 6).alias("agreement"))
 
 

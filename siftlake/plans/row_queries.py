@@ -53,9 +53,13 @@ def f9_channel_selection(spark, sf_dir):
     return R.top_channels(base.long(base.tab(spark, sf_dir)), ["dataset"], "feature", "value", 2)
 
 
-@query(r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(n), '\.[a-z0-9]+$', ''), '^[0-9]+', ''), '[_-]', '', 'g') AS name FROM (SELECT p_partkey, p_partkey || '_' || replace(p_name, ' ', '-') || '.CSV' AS n FROM part)")
+_NAMED = "CASE p_partkey % 5 WHEN 0 THEN '.npz' WHEN 1 THEN '.csv' WHEN 2 THEN '.txt' WHEN 3 THEN '.tar' ELSE '' END"
+
+
+@query(rf"SELECT p_partkey, replace(replace(lower(regexp_replace(regexp_replace(n, '\.(npz|csv|txt)$', ''), '^[0-9]+_', '')), '_', ''), '-', '') AS name FROM (SELECT p_partkey, p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '_' ELSE '' END || replace(p_name, ' ', '-') || {_NAMED} AS n FROM part)")
 def f10_name_normalisation(spark, sf_dir):
-    return base.table(spark, sf_dir, "part").select("p_partkey", R.normal_name(F.expr("concat(p_partkey, '_', replace(p_name, ' ', '-'), '.CSV')")).alias("name"))
+    name = F.expr(f"concat(p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', '-'), {_NAMED})")
+    return base.table(spark, sf_dir, "part").select("p_partkey", R.normal_name(name).alias("name"))
 
 
 @query(r"WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'https://github.com/own' || c_nationkey || '/r' || (c_custkey % 7) || '/x.csv' END AS link, CASE WHEN c_custkey % 3 = 1 THEN 't' || c_nationkey || '_part' || c_custkey END AS t FROM customer) SELECT c_custkey, CASE WHEN link IS NOT NULL THEN 'gh:' || regexp_extract(link, 'github\.com/([^/]+/[^/]+)', 1) WHEN t IS NOT NULL THEN 'tl:' || regexp_replace(t, '_part.*$', '') ELSE 'nm:' || regexp_replace(lower(c_name), '[0-9_]+$', '') END AS family FROM c JOIN customer USING (c_custkey)")
@@ -164,9 +168,9 @@ def u9_fingerprint(spark, sf_dir):
     return U.fingerprint(base.long(base.tab(spark, sf_dir)))
 
 
-@query("WITH i AS (SELECT 'p' || p_partkey AS dataset, split_part(p_name, ' ', 1) || (p_size % 3) AS key, CASE WHEN p_partkey % 11 > 0 OR p_size > 3 THEN p_size % 2 END AS d FROM part WHERE p_partkey % 40 = 0) SELECT dataset, CASE WHEN count(*) OVER w > 1 AND count(d) OVER w = count(*) OVER w AND min(d) OVER w = max(d) OVER w THEN key ELSE dataset END AS dedup_group FROM i WINDOW w AS (PARTITION BY key)")
+@query("WITH i AS (SELECT 'p' || p_partkey AS dataset, split_part(p_name, ' ', 1) || (p_size % 3) AS key, CASE WHEN p_partkey % 11 > 0 OR p_size > 3 THEN p_size % 2 END AS d FROM part) SELECT dataset, CASE WHEN count(*) OVER w > 1 AND count(d) OVER w = count(*) OVER w AND min(d) OVER w = max(d) OVER w THEN key ELSE dataset END AS dedup_group FROM i WINDOW w AS (PARTITION BY key)")
 def u10_dedup_groups(spark, sf_dir):
-    i = base.table(spark, sf_dir, "part").where("p_partkey % 40 = 0").selectExpr("concat('p', p_partkey) AS dataset", "concat(substring_index(p_name, ' ', 1), p_size % 3) AS key", "CASE WHEN p_partkey % 11 > 0 OR p_size > 3 THEN p_size % 2 END AS d")
+    i = base.table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey) AS dataset", "concat(substring_index(p_name, ' ', 1), p_size % 3) AS key", "CASE WHEN p_partkey % 11 > 0 OR p_size > 3 THEN p_size % 2 END AS d")
     return U.name_groups(i, "key", "d").select("dataset", "dedup_group")
 
 

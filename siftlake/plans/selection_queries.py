@@ -174,19 +174,19 @@ def r16_label_selection(spark, sf_dir):
     return R.label_selection(g, "k1")
 
 
-_BELOW = "WITH c AS (SELECT dataset, detector, score FROM points WHERE y = 0) SELECT p.dataset, p.detector, p.row_id, sum(CASE WHEN c.score < p.score THEN 1.0 WHEN c.score = p.score THEN 0.5 ELSE 0 END) / count(*) AS share, sum(CASE WHEN c.score >= p.score THEN 1 ELSE 0 END) AS over, count(*) AS n FROM points p JOIN c ON p.dataset = c.dataset AND p.detector = c.detector GROUP BY ALL"
+_BELOW = "SELECT dataset, detector, row_id, (sum(1 - y) OVER w - sum(1 - y) OVER v / 2.0) / sum(1 - y) OVER u AS share, sum(1 - y) OVER u - sum(1 - y) OVER w + sum(1 - y) OVER v AS over, sum(1 - y) OVER u AS n FROM point WINDOW u AS (PARTITION BY dataset, detector), v AS (PARTITION BY dataset, detector, score), w AS (PARTITION BY dataset, detector ORDER BY score RANGE UNBOUNDED PRECEDING)"
 
 
-@query(sql("points", f"WITH b AS ({_BELOW}) SELECT a.dataset, a.row_id, round((a.share + z.share) / 2, 9) AS score FROM b a JOIN b z ON a.dataset = z.dataset AND a.row_id = z.row_id AND a.detector = 'x1' AND z.detector = 'x3'"))
+@query(sql("point", f"WITH b AS ({_BELOW}) SELECT a.dataset, a.row_id, round((a.share + z.share) / 2, 9) AS score FROM b a JOIN b z ON a.dataset = z.dataset AND a.row_id = z.row_id AND a.detector = 'x1' AND z.detector = 'x3'"))
 def r17_j8_hedge(spark, sf_dir):
-    p = base.point(spark, sf_dir, True)
+    p = base.point(spark, sf_dir)
     s = R.share_below(p, p.where("y = 0"), ["dataset", "detector"])
     return R.hedge(s.where("detector = 'x1'"), s.where("detector = 'x3'")).withColumn("score", F.round("score", 9))
 
 
-@query(sql("points", f"WITH b AS ({_BELOW}) SELECT dataset, row_id, round(max(-ln((1 + over) / (n + 1.0))), 6) AS largest, round(avg(-ln((1 + over) / (n + 1.0))), 6) AS mean FROM b GROUP BY ALL"))
+@query(sql("point", f"WITH b AS ({_BELOW}) SELECT dataset, row_id, round(max(-ln((1 + over) / (n + 1.0))), 6) AS largest, round(avg(-ln((1 + over) / (n + 1.0))), 6) AS mean FROM b GROUP BY ALL"))
 def r18_calibrated_portfolio(spark, sf_dir):
-    p = base.point(spark, sf_dir, True)
+    p = base.point(spark, sf_dir)
     return R.portfolio(p, p.where("y = 0")).select("dataset", "row_id", F.round("largest", 6).alias("largest"), F.round("mean", 6).alias("mean"))
 
 
@@ -272,7 +272,7 @@ def t11_gap_closed(spark, sf_dir):
 
 # --- pseudo-label evaluation
 
-_SIZES = f"WITH g AS ({_GRID}), c AS (SELECT dataset, cluster, count(*) AS size FROM g GROUP BY ALL), s AS (SELECT dataset, cluster, size FROM c QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY size, cluster) <= greatest(2, ceil(count(*) OVER (PARTITION BY dataset) / 2)))"
+_SIZES = f"WITH g AS ({_GRID}), c AS (SELECT dataset, cluster, count(*) AS size FROM g GROUP BY ALL), s AS (SELECT dataset, cluster, size FROM c QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY size, cluster) <= greatest(2, count(*) OVER (PARTITION BY dataset) // 2))"
 
 
 @query(sql("tab", f"{_SIZES} SELECT * FROM s"))
@@ -286,7 +286,7 @@ def g1_composite_top_quartile(spark, sf_dir):
     return G.candidates(c, "composite_top_quartile").withColumn("selection", F.lit("composite")).unionAll(G.candidates(c, "hard").withColumn("selection", F.lit("hard")))
 
 
-_DRAWN = "d AS (SELECT dataset, subset, cluster, size FROM (SELECT s.dataset, i AS subset, cluster, size, coalesce(sum(size) OVER (PARTITION BY s.dataset, i ORDER BY md5('1:' || s.dataset || ':' || i || ':' || cluster) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, n FROM s JOIN (SELECT dataset, count(*) AS n FROM g GROUP BY ALL) USING (dataset), range(6) t(i)) WHERE b < greatest(20.0, n * 0.05))"
+_DRAWN = "d AS (SELECT dataset, subset, cluster, size FROM (SELECT s.dataset, i AS subset, cluster, size, coalesce(sum(size) OVER (PARTITION BY s.dataset, i ORDER BY md5('1:' || s.dataset || ':' || i || ':' || cluster) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, n FROM s JOIN (SELECT dataset, count(*) AS n FROM g GROUP BY ALL) USING (dataset), range(6) t(i)) WHERE b < greatest(20, floor(n * 0.05)))"
 
 
 def _drawn(spark, sf_dir, n=6):
@@ -300,22 +300,75 @@ def g2_drawn_clusters(spark, sf_dir):
     return _drawn(spark, sf_dir)[1]
 
 
-@query(sql("tab", f"{_SIZES}, {_DRAWN}, m AS (SELECT g.dataset, i AS subset, row_id, CASE WHEN d.cluster IS NULL THEN 0 ELSE 1 END AS a FROM g CROSS JOIN range(6) t(i) LEFT JOIN d ON d.dataset = g.dataset AND d.subset = i AND d.cluster = g.cluster), k AS (SELECT *, row_number() OVER (PARTITION BY dataset, subset, a ORDER BY md5('1:' || subset || ':' || row_id)) AS k, count(*) OVER (PARTITION BY dataset, subset, a) AS n FROM m) SELECT dataset, subset, row_id, CASE WHEN a = 1 THEN 'pseudo_anom' WHEN k > n - least(greatest(50, floor(n * 0.2)), floor(n / 3)) THEN 'pseudo_norm' ELSE 'train' END AS role FROM k"))
+def _members_sql(subsets: int) -> str:
+    roles = "CASE WHEN a = 1 THEN 'pseudo_anom' WHEN k > n - least(greatest(50, floor(n * 0.2)), floor(n / 3)) THEN 'pseudo_norm' ELSE 'train' END"
+    return (
+        f"a AS (SELECT g.dataset, i AS subset, row_id, CASE WHEN d.cluster IS NULL THEN 0 ELSE 1 END AS a FROM g CROSS JOIN range({subsets}) t(i) "
+        "LEFT JOIN d ON d.dataset = g.dataset AND d.subset = i AND d.cluster = g.cluster), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY dataset, subset, a ORDER BY md5('1:' || subset || ':' || row_id)) AS k, count(*) OVER (PARTITION BY dataset, subset, a) AS n FROM a), "
+        f"m AS (SELECT dataset, subset, row_id, {roles} AS role FROM k)"
+    )
+
+
+@query(sql("tab", f"{_SIZES}, {_DRAWN}, {_members_sql(6)} SELECT dataset, subset, row_id, role FROM m"))
 def g2_subset_memberships(spark, sf_dir):
     g, d = _drawn(spark, sf_dir)
     return G.memberships(g, d, 6, 1)
 
 
-@query()
+GRADED = ["ECOD", "HBOS_20", "MaxZ"]
+
+
+def _graded_sql(p: str, members: str, positive: str) -> str:
+    """Expressions that end in {p}auc (d, detector, auc): the three detectors fitted on the train rows of each d of
+    ``members`` (dataset, d, row_id, role), by the definitions of the detectors."""
+    return f"""{p}u AS (SELECT d, row_id, role, feature, value FROM {members} JOIN feat USING (dataset, row_id)),
+{p}t AS (SELECT d, feature, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi, count(*) AS n FROM {p}u WHERE role = 'train' GROUP BY ALL),
+{p}s AS (SELECT d, feature, avg(((value - mean) / sd) ** 3) AS skew FROM {p}u JOIN {p}t USING (d, feature) WHERE role = 'train' GROUP BY ALL),
+{p}b AS (SELECT d, row_id, role, feature, n, CASE WHEN hi = lo THEN 1 ELSE least(greatest(floor((value - lo) / (hi - lo) * 20)::INT + 1, 1), 20) END AS bin FROM {p}u JOIN {p}t USING (d, feature)),
+{p}h AS (SELECT d, feature, bin, count(*) / max(n) * 20 AS density FROM {p}b WHERE role = 'train' GROUP BY ALL),
+{p}w AS (SELECT d, row_id, role, feature, sum((role = 'train')::INT) OVER (PARTITION BY d, feature ORDER BY value RANGE UNBOUNDED PRECEDING) AS le, sum((role = 'train')::INT) OVER (PARTITION BY d, feature ORDER BY value DESC RANGE UNBOUNDED PRECEDING) AS ge FROM {p}u),
+{p}e AS (SELECT d, row_id, role, -ln((le + 1) / (n + 1)) AS l, -ln((ge + 1) / (n + 1)) AS r, skew FROM {p}w JOIN {p}t USING (d, feature) JOIN {p}s USING (d, feature)),
+{p}all AS (SELECT d, row_id, role, 'MaxZ' AS detector, max(abs((value - mean) / (sd + 1e-9))) AS x FROM {p}u JOIN {p}t USING (d, feature) GROUP BY ALL
+ UNION ALL SELECT d, row_id, role, 'HBOS_20', sum(-ln(coalesce(density, 0) + 1e-6)) FROM {p}b LEFT JOIN {p}h USING (d, feature, bin) GROUP BY ALL
+ UNION ALL SELECT d, row_id, role, 'ECOD', greatest(sum(l), sum(r), sum(CASE WHEN skew < 0 THEN l ELSE r END)) FROM {p}e GROUP BY ALL),
+{p}x AS (SELECT d, detector, CASE WHEN role = '{positive}' THEN 1 ELSE 0 END AS y, round(x, 5) AS x FROM {p}all WHERE role <> 'train'),
+{p}r AS (SELECT *, {AVG('d, detector', 'x')} AS k FROM {p}x),
+{p}auc AS (SELECT d, detector, (sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y)::DOUBLE * sum(1 - y), 0) AS auc FROM {p}r GROUP BY ALL)"""
+
+
+_PSEUDO = f"{_SIZES}, {_DRAWN.replace('range(6)', 'range(5)')}, {_members_sql(5)}, q AS (SELECT *, dataset || '/' || subset AS d FROM m), {_graded_sql('p', 'q', 'pseudo_anom')}"
+_TRUE = f"""o AS (SELECT *, row_number() OVER (PARTITION BY dataset, y ORDER BY md5('3:' || row_id)) AS k, count(*) OVER (PARTITION BY dataset, y) AS n FROM tab),
+v AS (SELECT dataset, dataset AS d, row_id, CASE WHEN y = 1 THEN 'anom' WHEN k <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS role FROM o), {_graded_sql('v', 'v', 'anom')}"""
+_COUNTED = "cn AS (SELECT dataset, subset, d, sum((role = 'train')::INT) AS n_train, sum((role = 'pseudo_anom')::INT) AS n_anom, sum((role = 'pseudo_norm')::INT) AS n_norm FROM q GROUP BY ALL)"
+
+
+@query(sql("feat", f"{_PSEUDO}, {_COUNTED} SELECT dataset, subset, detector, n_train, n_anom, n_norm, round(auc, 6) AS pseudo_auc FROM cn JOIN pauc USING (d)"))
 def g3_pseudo_auc(spark, sf_dir):
-    g, d = _drawn(spark, sf_dir, 3)
-    members = G.memberships(g, d, 3, 1)
-    return G.pseudo_auc(base.tab(spark, sf_dir), members, FEATURES, ["HBOS_20", "ECOD", "MaxZ"])
+    g, d = _drawn(spark, sf_dir, 5)
+    members = G.memberships(g, d, 5, 1)
+    return G.pseudo_auc(base.tab(spark, sf_dir), members, FEATURES, GRADED, digits=5).withColumn("pseudo_auc", F.round("pseudo_auc", 6))
 
 
-@query(sql("point", f"WITH t AS (SELECT * FROM (SELECT *, percent_rank() OVER (PARTITION BY dataset, detector, y ORDER BY md5('3:' || row_id)) AS p FROM point) WHERE y = 1 OR p >= 0.8), r AS (SELECT *, {AVG('dataset, detector', 'score')} AS r FROM t) SELECT dataset, detector, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::DOUBLE * sum(1 - y)), 6) AS true_auc FROM r GROUP BY ALL"))
+@query(sql("feat", f"WITH {_TRUE} SELECT d AS dataset, detector, round(auc, 6) AS true_auc FROM vauc"))
 def g4_true_ranking(spark, sf_dir):
-    return G.true_quality(base.point(spark, sf_dir), 3).select("dataset", "detector", F.round("true_auc", 6).alias("true_auc"))
+    return G.true_quality(base.tab(spark, sf_dir), FEATURES, GRADED, 3, 5).select("dataset", "detector", F.round("true_auc", 6).alias("true_auc"))
+
+
+_V1 = f"""{_PSEUDO}, {_TRUE}, z AS (SELECT split_part(d, '/', 1) AS dataset, detector, round(avg(auc), 9) AS mean_pseudo_auc FROM pauc GROUP BY ALL),
+zz AS (SELECT z.dataset, z.detector, mean_pseudo_auc, vauc.auc AS true_auc FROM z JOIN vauc ON z.dataset = vauc.d AND z.detector = vauc.detector WHERE vauc.auc IS NOT NULL AND mean_pseudo_auc IS NOT NULL),
+zr AS (SELECT *, {AVG('dataset', 'mean_pseudo_auc', ' DESC')} AS pseudo_rank, {AVG('dataset', 'true_auc', ' DESC')} AS true_rank FROM zz)
+SELECT dataset, detector, round(mean_pseudo_auc, 6) AS mean_pseudo_auc, round(true_auc, 6) AS true_auc, pseudo_rank, true_rank, round(corr(pseudo_rank, true_rank) OVER (PARTITION BY dataset), 6) AS rho FROM zr"""
+
+
+@query(sql("feat", _V1))
+def flagship_v1_ranking(spark, sf_dir):
+    """The whole pipeline: clusters, composite scores, subsets, pseudo-AUC, the true ranking, and the correlation of the two."""
+    g, d = _drawn(spark, sf_dir, 5)
+    rows = base.tab(spark, sf_dir)
+    pseudo = G.pseudo_auc(rows, G.memberships(g, d, 5, 1), FEATURES, GRADED, digits=5)
+    r = G.v1_ranking(pseudo, G.true_quality(rows, FEATURES, GRADED, 3, 5))
+    return r.select("dataset", "detector", *[F.round(c, 6).alias(c) for c in ("mean_pseudo_auc", "true_auc")], "pseudo_rank", "true_rank", F.round("rho", 6).alias("rho"))
 
 
 @query()
@@ -330,6 +383,16 @@ def g6_regime_bank(spark, sf_dir):
     return G.regimes(("smallest", "random", "hard"), (30, 50), spark)
 
 
+@query()
+def g6_regime_scores(spark, sf_dir):
+    """All six cells of the bank over two clusterings, graded with the three detectors."""
+    rows = base.tab(spark, sf_dir)
+    z = E.embed(rows, FEATURES)
+    clustered = {k: E.kmeans(z, k) for k in (30, 50)}
+    r = G.regime_scores(rows, clustered, ("smallest", "random", "hard"), FEATURES, GRADED, 5, 1, 5)
+    return r.withColumn("pseudo_auc", F.round("pseudo_auc", 6))
+
+
 @query(sql("zfeat", "WITH m AS (SELECT dataset, row_id, round(avg(abs(z)), 9) AS z FROM zfeat GROUP BY ALL), p AS (SELECT *, percent_rank() OVER (PARTITION BY dataset ORDER BY z DESC, row_id) AS p FROM m) SELECT dataset, row_id FROM p WHERE p < 0.25"))
 def g7_global_tail(spark, sf_dir):
     return G.global_tail(base.tab(spark, sf_dir), FEATURES)
@@ -351,6 +414,17 @@ def g10_usable_subsets(spark, sf_dir):
     return G.usable_subsets(G.memberships(g, d, 6, 1))
 
 
+_NOMAS = _PSEUDO.replace(_GRID, _GRID + " WHERE y = 0").replace("q AS (SELECT *, dataset || '/' || subset AS d FROM m)", "q AS (SELECT *, dataset || '/' || subset AS d FROM m WHERE (dataset, subset) IN (SELECT (dataset, subset) FROM m GROUP BY dataset, subset HAVING count(*) >= 60 AND sum((role = 'pseudo_anom')::INT) >= 3 AND sum((role = 'pseudo_norm')::INT) >= 3 AND sum((role = 'train')::INT) >= 20))")
+
+
+@query(sql("feat", f"{_NOMAS} SELECT split_part(d, '/', 1) AS dataset, detector, round(avg(auc), 6) AS nomas, count(auc) AS subsets FROM pauc GROUP BY ALL"))
+def g10_nomas(spark, sf_dir):
+    normals = _grid(spark, sf_dir).where("y = 0")
+    totals = normals.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    drawn = G.draw_subsets(G.candidates(E.composite_scores(normals), "smallest"), totals, 5, 1)
+    return G.nomas(base.tab(spark, sf_dir).where("y = 0"), G.memberships(normals, drawn, 5, 1), FEATURES, GRADED, 5).withColumn("nomas", F.round("nomas", 6))
+
+
 _EDGE = f"g AS ({_GRID}), c AS (SELECT dataset, cluster, avg(p) AS cp, avg(q) AS cq FROM g GROUP BY ALL), t AS (SELECT g.dataset, row_id, g.cluster, sqrt((p - cp) ** 2 + (q - cq) ** 2) AS d FROM g JOIN c USING (dataset, cluster)), e AS (SELECT *, percent_rank() OVER (PARTITION BY dataset, cluster ORDER BY round(d, 9), row_id) AS share FROM t)"
 
 
@@ -384,8 +458,8 @@ def g12_farthest(spark, sf_dir):
 
 @query()
 def g13_void_holdouts(spark, sf_dir):
-    t = base.tabs(spark, sf_dir)
-    parts = [G.void_holdout(t, FEATURES, k).withColumn("kind", F.lit(k)) for k in ("knn", "dense", "radius")]
+    t, asked = base.tab(spark, sf_dir), base.asked(spark, sf_dir)
+    parts = [G.void_holdout(t, FEATURES, k, seeds=asked.select("dataset", "row_id")).withColumn("kind", F.lit(k)) for k in ("knn", "dense", "radius")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
@@ -404,15 +478,15 @@ def _u(seed, tag, k="k"):
     return _U.format(seed=seed, tag=tag, k=k)
 
 
-_BASE = "n AS (SELECT dataset, row_id, x1, x2, x3, row_number() OVER (PARTITION BY dataset ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM tabs WHERE y = 0), z AS (SELECT DISTINCT dataset, n FROM n)"
+_BASE = "n AS (SELECT dataset, row_id, x1, x2, x3, row_number() OVER (PARTITION BY dataset ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM tab WHERE y = 0), z AS (SELECT DISTINCT dataset, n FROM n)"
 _THREE = ("x1", "x2", "x3")
 
 
 def _normals(spark, sf_dir):
-    return base.tabs(spark, sf_dir).where("y = 0")
+    return base.tab(spark, sf_dir).where("y = 0")
 
 
-@query(sql("tabs", f"WITH {_BASE}, d AS (SELECT dataset, k, floor({_u(1, 'base')} * n)::BIGINT AS b, floor({_u(1, 'donor0')} * n)::BIGINT AS e FROM z, range(200) t(k)), f AS (SELECT d.dataset, k, b.x1, b.x2, b.x3, e.x1 AS y1, e.x2 AS y2, e.x3 AS y3, list_transform(list_sort([{{'u': {_u(1, 'f:x1')}, 'f': 'x1'}}, {{'u': {_u(1, 'f:x2')}, 'f': 'x2'}}, {{'u': {_u(1, 'f:x3')}, 'f': 'x3'}}]), lambda x: x.f)[1:2] AS s FROM d JOIN n b ON d.dataset = b.dataset AND d.b = b.i JOIN n e ON d.dataset = e.dataset AND d.e = e.i) SELECT dataset, k, " + ", ".join(f"round(CASE WHEN list_contains(s, 'x{j}') THEN 0.25 * x{j} + 0.75 * y{j} ELSE x{j} END, 6) AS x{j}" for j in (1, 2, 3)) + " FROM f"))
+@query(sql("tab", f"WITH {_BASE}, d AS (SELECT dataset, k, floor({_u(1, 'base')} * n)::BIGINT AS b, floor({_u(1, 'donor0')} * n)::BIGINT AS e FROM z, range(200) t(k)), f AS (SELECT d.dataset, k, b.x1, b.x2, b.x3, e.x1 AS y1, e.x2 AS y2, e.x3 AS y3, list_transform(list_sort([{{'u': {_u(1, 'f:x1')}, 'f': 'x1'}}, {{'u': {_u(1, 'f:x2')}, 'f': 'x2'}}, {{'u': {_u(1, 'f:x3')}, 'f': 'x3'}}]), lambda x: x.f)[1:2] AS s FROM d JOIN n b ON d.dataset = b.dataset AND d.b = b.i JOIN n e ON d.dataset = e.dataset AND d.e = e.i) SELECT dataset, k, " + ", ".join(f"round(CASE WHEN list_contains(s, 'x{j}') THEN 0.25 * x{j} + 0.75 * y{j} ELSE x{j} END, 6) AS x{j}" for j in (1, 2, 3)) + " FROM f"))
 def y1_feature_shuffle(spark, sf_dir):
     s = Y.shuffle_features(_normals(spark, sf_dir), _THREE, 200, 1, 2, alpha=0.75)
     return s.select("dataset", "k", *[F.round(f, 6).alias(f) for f in _THREE])
@@ -438,12 +512,12 @@ def _hist(spark, sf_dir, **how):
     return Y.histogram_draw(_normals(spark, sf_dir), _THREE, 200, 2, **how).select("dataset", "k", *[F.round(f, 6).alias(f) for f in _THREE])
 
 
-@query(sql("tabs", _hist_sql(1.0, 0.4, True)))
+@query(sql("tab", _hist_sql(1.0, 0.4, True)))
 def y2_histogram_draw(spark, sf_dir):
     return _hist(spark, sf_dir)
 
 
-@query(sql("tabs", _hist_sql(-2.0, 0.7, False)))
+@query(sql("tab", _hist_sql(-2.0, 0.7, False)))
 def y5_y6_bin_interpolation_and_grid(spark, sf_dir):
     return _hist(spark, sf_dir, beta=-2.0, share=0.7, observed=False)
 
@@ -469,7 +543,7 @@ def y7_y8_y14_y15_y16_geometric(spark, sf_dir):
     return out
 
 
-@query(sql("tabs", f"WITH {_BASE}, c AS (SELECT dataset, row_id % 5 AS g, avg(x1 / 100) AS a, avg(x3 * 10) AS b FROM n GROUP BY ALL), d AS (SELECT n.dataset, n.row_id, sqrt(min((x1 / 100 - a) ** 2 + (x3 * 10 - b) ** 2)) AS d FROM n JOIN c USING (dataset) GROUP BY ALL), q AS (SELECT dataset, quantile_cont(d, 0.6) AS q FROM d GROUP BY ALL), f AS (SELECT *, d > q AS far FROM d JOIN q USING (dataset)) SELECT dataset, row_id FROM f QUALIFY far OR sum(far::INT) OVER (PARTITION BY dataset) < 10"))
+@query(sql("tab", f"WITH {_BASE}, c AS (SELECT dataset, row_id % 5 AS g, avg(x1 / 100) AS a, avg(x3 * 10) AS b FROM n GROUP BY ALL), d AS (SELECT n.dataset, n.row_id, round(sqrt(min((x1 / 100 - a) ** 2 + (x3 * 10 - b) ** 2)), 9) AS d FROM n JOIN c USING (dataset) GROUP BY ALL), q AS (SELECT dataset, quantile_cont(d, 0.6) AS q FROM d GROUP BY ALL), f AS (SELECT *, d > q AS far FROM d JOIN q USING (dataset)) SELECT dataset, row_id FROM f QUALIFY far OR sum(far::INT) OVER (PARTITION BY dataset) < 10"))
 def y9_cluster_filter(spark, sf_dir):
     n = _normals(spark, sf_dir).selectExpr("dataset", "row_id", "x1 / 100 AS a", "x3 * 10 AS b")
     centres = n.groupBy("dataset", (F.col("row_id") % 5).alias("g")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
@@ -482,13 +556,19 @@ def y10_y12_single_feature_elevation(spark, sf_dir):
     return Y.elevate(n, _THREE, 100, 6).withColumn("kind", F.lit("elevate")).unionByName(Y.marginal_probe(n, _THREE, 100, 6).withColumn("kind", F.lit("marginal")))
 
 
-@query()
+_SHIFT = ", ".join(f"avg({f}) AS m{f}, stddev_pop({f}) AS s{f}, min({f}) AS l{f}, max({f}) AS h{f}" for f in ("x1", "x2", "x3"))
+_SHIFTED = ", ".join(f"round(least(greatest({f} + CASE WHEN c{f} >= m{f} THEN 1 ELSE -1 END * 1.5 * s{f}, l{f}), h{f}), 6) AS {f}" for f in ("x1", "x2", "x3"))
+
+
+@query(sql("tab", f"WITH s AS (SELECT dataset, {_SHIFT} FROM tab GROUP BY ALL), c AS (SELECT dataset, avg(x1) AS cx1, avg(x2) AS cx2, avg(x3) AS cx3 FROM tab WHERE row_id % 9 = 0 GROUP BY ALL) SELECT dataset, 1.5::DOUBLE AS delta, row_id, {_SHIFTED} FROM tab JOIN s USING (dataset) JOIN c USING (dataset) WHERE row_id % 9 = 0"))
 def y11_cluster_shift(spark, sf_dir):
-    t = base.tabs(spark, sf_dir)
-    return Y.shift_cluster(t, t.where("row_id % 9 = 0").select("dataset", "row_id"), _THREE, 1.5)
+    """The rows of every ninth order stand for the held-out cluster."""
+    t = base.tab(spark, sf_dir)
+    s = Y.shift_cluster(t, t.where("row_id % 9 = 0").select("dataset", "row_id"), _THREE, 1.5)
+    return s.select("dataset", "delta", "row_id", *[F.round(f, 6).alias(f) for f in _THREE])
 
 
-@query(sql("tabs", f"WITH {_BASE}, g AS (SELECT dataset, stddev_pop(x1) AS s FROM n GROUP BY ALL), d AS (SELECT dataset, k, floor({_u(7, 'base')} * n)::BIGINT AS b FROM z, range(100) t(k)) SELECT d.dataset, k, round(CASE WHEN {_u(7, 'hit:x1')} < 0.5 THEN x1 + CASE WHEN {_u(7, 'sign:x1')} < 0.5 THEN -1 ELSE 1 END * (4 + 4 * {_u(7, 'size:x1')}) * s ELSE x1 END, 6) AS x1 FROM d JOIN n ON d.dataset = n.dataset AND d.b = n.i JOIN g ON g.dataset = d.dataset"))
+@query(sql("tab", f"WITH {_BASE}, g AS (SELECT dataset, stddev_pop(x1) AS s FROM n GROUP BY ALL), d AS (SELECT dataset, k, floor({_u(7, 'base')} * n)::BIGINT AS b FROM z, range(100) t(k)) SELECT d.dataset, k, round(CASE WHEN {_u(7, 'hit:x1')} < 0.5 THEN x1 + CASE WHEN {_u(7, 'sign:x1')} < 0.5 THEN -1 ELSE 1 END * (4 + 4 * {_u(7, 'size:x1')}) * s ELSE x1 END, 6) AS x1 FROM d JOIN n ON d.dataset = n.dataset AND d.b = n.i JOIN g ON g.dataset = d.dataset"))
 def y13_injection_spike(spark, sf_dir):
     return Y.inject(_normals(spark, sf_dir), ("x1",), 100, 7, "spike", 0.5).select("dataset", "k", F.round("x1", 6).alias("x1"))
 
@@ -500,7 +580,7 @@ def y13_injection_types(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query(sql("tabs", f"WITH {_BASE}, s AS (SELECT dataset, min(x1) AS l, max(x1) AS h, min(x2) AS l2, max(x2) AS h2 FROM n GROUP BY ALL) SELECT dataset, row_id, round(least(greatest(x1 * 1.5 + 0.25, l), h), 0) AS x1, round(least(greatest(x2 * 1.5, l2), h2), 6) AS x2 FROM n JOIN s USING (dataset)"))
+@query(sql("tab", f"WITH {_BASE}, s AS (SELECT dataset, min(x1) AS l, max(x1) AS h, min(x2) AS l2, max(x2) AS h2 FROM n GROUP BY ALL) SELECT dataset, row_id, round(least(greatest(x1 * 1.5 + 0.25, l), h), 0) AS x1, round(least(greatest(x2 * 1.5, l2), h2), 6) AS x2 FROM n JOIN s USING (dataset)"))
 def y17_validity_projection(spark, sf_dir):
     n = _normals(spark, sf_dir)
     moved = n.select("dataset", "row_id", (F.col("x1") * 1.5 + 0.25).alias("x1"), (F.col("x2") * 1.5).alias("x2"))
@@ -528,34 +608,37 @@ def x1_spectrum(spark, sf_dir):
     return X.spectrum(base.tab(spark, sf_dir), FEATURES)
 
 
-_NN = "p AS (SELECT a.dataset, a.row_id, b.row_id AS o, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM tabs a JOIN tabs b ON a.dataset = b.dataset AND a.row_id <> b.row_id), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, row_id ORDER BY d, o) AS k FROM p QUALIFY k <= 10)"
+_NN = "p AS (SELECT a.dataset, a.row_id, b.row_id AS o, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM asked a JOIN tab b ON a.dataset = b.dataset AND a.row_id <> b.row_id), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, row_id ORDER BY d, o) AS k FROM p QUALIFY k <= 10)"
 
 
-@query(sql("tabs", f"WITH {_NN}, e AS (SELECT dataset, row_id, max(CASE WHEN k = 1 THEN d END) AS d1, max(d) AS dk FROM n GROUP BY ALL), h AS (SELECT dataset, max(c) AS hubness FROM (SELECT dataset, o, count(*) AS c FROM n GROUP BY ALL) GROUP BY ALL) SELECT dataset, round(quantile_cont(d1, 0.5), 6) AS nn_scale, round(stddev_pop(dk) / (avg(dk) + 1e-12), 6) AS density_spread, max(hubness) AS hubness FROM e JOIN h USING (dataset) GROUP BY ALL"))
+@query(sql("asked", f"WITH {_NN}, e AS (SELECT dataset, row_id, max(CASE WHEN k = 1 THEN d END) AS d1, max(d) AS dk FROM n GROUP BY ALL), h AS (SELECT dataset, max(c) AS hubness FROM (SELECT dataset, o, count(*) AS c FROM n GROUP BY ALL) GROUP BY ALL) SELECT dataset, round(quantile_cont(d1, 0.5), 6) AS nn_scale, round(stddev_pop(dk) / (avg(dk) + 1e-12), 6) AS density_spread, max(hubness) AS hubness FROM e JOIN h USING (dataset) GROUP BY ALL"))
 def x1_x2_neighbour_structure(spark, sf_dir):
-    s = X.neighbour_structure(base.tabs(spark, sf_dir), ("x1", "x3"))
+    s = X.neighbour_structure(base.asked(spark, sf_dir), ("x1", "x3"), rows=base.tab(spark, sf_dir))
     return s.select("dataset", F.round("nn_scale", 6).alias("nn_scale"), F.round("density_spread", 6).alias("density_spread"), "hubness")
 
 
-@query(sql("tabs", "WITH g AS (SELECT dataset, row_id, x1 / 100 AS p, x3 * 10 AS q, floor(x1 / 90)::INT AS c FROM tabs), m AS (SELECT a.dataset, a.row_id, a.c, b.c AS o, avg(sqrt((a.p - b.p) ** 2 + (a.q - b.q) ** 2)) AS m FROM g a JOIN g b ON a.dataset = b.dataset AND a.row_id <> b.row_id GROUP BY ALL), s AS (SELECT dataset, row_id, min(CASE WHEN c = o THEN m END) AS a, min(CASE WHEN c <> o THEN m END) AS b FROM m GROUP BY ALL) SELECT dataset, round(avg((b - a) / (greatest(a, b) + 1e-12)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL"))
+@query(sql("tab", "WITH g AS (SELECT dataset, row_id, x1 / 100 AS p, x3 * 10 AS q, floor(x1 / 90)::INT AS c FROM tab), m AS (SELECT a.dataset, a.row_id, a.c, b.c AS o, avg(sqrt((a.p - b.p) ** 2 + (a.q - b.q) ** 2)) AS m FROM g a JOIN g b ON a.dataset = b.dataset AND a.row_id <> b.row_id AND a.row_id % 100 = 0 GROUP BY ALL), s AS (SELECT dataset, row_id, min(CASE WHEN c = o THEN m END) AS a, min(CASE WHEN c <> o THEN m END) AS b FROM m GROUP BY ALL) SELECT dataset, round(avg((b - a) / (greatest(a, b) + 1e-12)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL"))
 def x1_x4_silhouette(spark, sf_dir):
-    g = base.tabs(spark, sf_dir).selectExpr("dataset", "row_id", "x1 / 100 AS p", "x3 * 10 AS q", "int(floor(x1 / 90)) AS cluster")
-    return X.silhouette(g, ("p", "q")).withColumn("silhouette", F.round("silhouette", 6))
+    g = base.tab(spark, sf_dir).selectExpr("dataset", "row_id", "x1 / 100 AS p", "x3 * 10 AS q", "int(floor(x1 / 90)) AS cluster")
+    return X.silhouette(g.where("row_id % 100 = 0"), ("p", "q"), g).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query()
 def x3_dip(spark, sf_dir):
-    return X.dips(base.long(base.tab(spark, sf_dir)), 500)
+    return X.dips(base.long(base.tab(spark, sf_dir)))
 
 
-@query()
+_D5 = "b AS (SELECT dataset, quantile_cont(x1, 0.01) AS l1, quantile_cont(x1, 0.99) AS h1, quantile_cont(x3, 0.01) AS l3, quantile_cont(x3, 0.99) AS h3 FROM tab WHERE y = 0 GROUP BY ALL), p AS (SELECT a.dataset, a.row_id, a.y, a.x1, a.x3, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM asked a JOIN tab b ON a.dataset = b.dataset AND a.row_id <> b.row_id AND b.y = 0), n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dataset, row_id ORDER BY d) <= 5), m AS (SELECT dataset, row_id, y, x1, x3, max(d) AS d FROM n GROUP BY ALL), c AS (SELECT dataset, quantile_cont(d, 0.95) AS c FROM m WHERE y = 0 GROUP BY ALL)"
+
+
+@query(sql("asked", f"WITH {_D5} SELECT dataset, row_id, CASE WHEN x1 < l1 OR x1 > h1 OR x3 < l3 OR x3 > h3 THEN 'outside' WHEN d > c THEN 'inside_far' ELSE 'embedded' END AS place FROM m JOIN b USING (dataset) JOIN c USING (dataset) WHERE y = 1"))
 def x5_void_placement(spark, sf_dir):
-    return X.placement(base.tabs(spark, sf_dir, 400), ("x1", "x3"))
+    return X.placement(base.tab(spark, sf_dir), ("x1", "x3"), asked=base.asked(spark, sf_dir))
 
 
 @query()
 def x6_x7_anomaly_geometry(spark, sf_dir):
-    return X.anomaly_geometry(base.tabs(spark, sf_dir, 400), ("x1", "x3"))
+    return X.anomaly_geometry(base.tab(spark, sf_dir), ("x1", "x3"), asked=base.asked(spark, sf_dir))
 
 
 @query(sql("tab", "WITH s AS (SELECT dataset, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x3) AS m3, stddev_pop(x3) AS s3 FROM tab WHERE y = 0 GROUP BY ALL), z AS (SELECT dataset, ((x1 - m1) / (s1 + 1e-9)) ** 2 AS a, ((x3 - m3) / (s3 + 1e-9)) ** 2 AS b FROM tab JOIN s USING (dataset) WHERE y = 1) SELECT dataset, round(avg(greatest(a, b) / (a + b)), 6) AS top_share, round(avg((a + b) ** 2 / (a * a + b * b)), 6) AS effective_features FROM z GROUP BY ALL"))
@@ -566,6 +649,6 @@ def x8_signature(spark, sf_dir):
 
 @query()
 def x9_single_against_multivariate(spark, sf_dir):
-    t = base.tabs(spark, sf_dir, 400)
-    s = D.run_pool(t, FEATURES, ["HBOS_20", "ECOD", "MaxZ"]).join(t.select("dataset", "row_id", "y"), ["dataset", "row_id"])
+    t = base.tab(spark, sf_dir)
+    s = D.run_pool(t, FEATURES, GRADED).join(t.select("dataset", "row_id", "y"), ["dataset", "row_id"])
     return X.best_feature_against_best_detector(base.long(t), s)

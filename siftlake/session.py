@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -29,3 +31,20 @@ def local(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> Spar
     )
     spark.sparkContext.setLogLevel("ERROR")
     return attach(spark)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the cluster's shared folder and read back: what several plans use is not computed again.
+
+    The folder is ``spark.checkpoint.dir``; only where that is unset, in tests, it is a folder of our own.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="siftlake-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

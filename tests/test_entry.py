@@ -6,8 +6,8 @@ from siftlake.plans import registry
 
 def test_entry_is_the_flagship(spark):
     df = driver.entry(spark)
-    assert df.columns == ["dataset", "detector", "auc", "ap", "ap_norm", "place", "regret"]
-    assert df.count() == 12
+    assert df.columns == ["dataset", "detector", "mean_pseudo_auc", "true_auc", "pseudo_rank", "true_rank", "rho"]
+    assert df.count() == 9
 
 
 def test_every_sql_has_its_query():
