@@ -165,21 +165,17 @@ def _event_stream(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS d, value FROM events) GROUP BY ALL")
 def streaming_tumbling_windows(spark, sf_dir):
     """Daily windows of a stream in complete mode, added up by type."""
-    import uuid
-
     e = _event_stream(spark, sf_dir)
-    out = stream.run_available(stream.tumbling(e, width="1 day"), f"tumbling_{uuid.uuid4().hex}", _folder(spark, "state"), "complete")
+    out = stream.run_available(stream.tumbling(e, width="1 day"), _folder(spark, "tumbling"), _folder(spark, "state"), "complete")
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("mean")), 4).alias("total"))
 
 
 @query(sql("series", "SELECT series, pos // 16 AS win, y FROM (SELECT series, pos, max(label) OVER w AS y, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING)) WHERE pos % 16 = 0 AND n = 64"))
 def streaming_row_windows(spark, sf_dir):
     """The 64-row windows of the batch operator, from a stream with state."""
-    import uuid
-
     path = _folder(spark, "series")
     s = base.series(spark, sf_dir)
     s.write.parquet(path)
     e = spark.readStream.schema(s.schema).parquet(path)
-    out = stream.run_available(stream.row_windows(e), f"rows_{uuid.uuid4().hex}", _folder(spark, "state"))
+    out = stream.run_available(stream.row_windows(e), _folder(spark, "rows"), _folder(spark, "state"))
     return out.select("series", "win", "y")

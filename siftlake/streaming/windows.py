@@ -47,8 +47,16 @@ def row_windows(events: DataFrame, width: int = 64, stride: int = 16, by: str =
     return events.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, win long, v array<double>, y int", "v array<double>, l array<int>, first long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what there is and return it as a table; the checkpoint lets a later call go on from there."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what there is and return the results in ``folder``; the checkpoint lets a later call go on from there.
+
+    Results are written by the executors. A batch that runs again replaces its own files, so nothing is written twice; in
+    complete mode the last batch is the result.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number if mode == 'append' else 0}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch=*")
