@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlake.session import stored
+
 
 def average_rank(by: list[str], value: str, descending: bool = False) -> Column:
     """Rank from 1 within ``by``; ties share the mean of their ranks."""
@@ -55,12 +57,24 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: list[str], sp
     if splits is None:
         run = W.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(s).over(run).alias(f"cum_{s}") for s in sums], *[F.sum(s).over(W.partitionBy(*by)).alias(f"all_{s}") for s in sums])
-    dealt = df.repartitionByRange(splits, *by, F.col(order).desc()).withColumn("_part", F.spark_partition_id())
+    # the ranges are used twice and must be the same both times
+    dealt = stored(df.repartitionByRange(splits, *by, F.col(order).desc()).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = W.partitionBy(*by, "_part").orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    dealt = dealt.persist()  # the ranges are used twice and must be the same both times
     parts = dealt.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_p_{s}") for s in sums])
     zero = F.lit(0)
     parts = parts.select(*by, "_part", *[F.coalesce(F.sum(f"_p_{s}").over(before), zero).alias(f"_o_{s}") for s in sums], *[F.sum(f"_p_{s}").over(W.partitionBy(*by)).alias(f"all_{s}") for s in sums])
     out = dealt.select("*", *[F.sum(s).over(inside).alias(f"_i_{s}") for s in sums]).join(parts, [*by, "_part"])
     return out.select(*df.columns, *[(F.col(f"_i_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums], *[f"all_{s}" for s in sums])
+
+
+def places(df: DataFrame, order: list[Column | str], name: str, splits: int = 64) -> DataFrame:
+    """df with ``name``: each row's place from 1 in the order of all rows, which must be without ties.
+
+    Rows are dealt by ranges of the order; each range numbers its own rows and adds the counts of the ranges before it.
+    """
+    dealt = stored(df.repartitionByRange(splits, *order).withColumn("_part", F.spark_partition_id()), "places")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, own + F.col("_o")).drop("_part", "_o")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.functions.ranks import average_rank, draw_order
+from siftlake.functions.ranks import average_rank, draw_order, places
 
 
 def wilcoxon_sums(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -111,9 +111,8 @@ def scrambled(pseudo: DataFrame, keys: list[str], value: str, seed: object) -> D
     Places come from ranges: each partition numbers its own rows and adds the counts before it.
     """
     named = pseudo.select(*keys, value)
-    every = W.partitionBy()  # a fact table, one row for each detector and subset
-    left = named.select(*keys, F.row_number().over(every.orderBy(*keys)).alias("_k"))
-    right = named.select(F.col(value), F.row_number().over(every.orderBy(draw_order(seed, *keys))).alias("_k"))
+    left = places(named.select(*keys), list(keys), "_k")
+    right = places(named.withColumn("_d", draw_order(seed, *keys)).select(value, "_d"), ["_d"], "_k").select(value, "_k")
     return left.join(right, "_k").drop("_k")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from siftlake.functions.ranks import average_rank
 
 WIDTH, STRIDE = 64, 16
+STRETCH = 1 << 14  #: points of a series that one task takes for frames
 SMOOTHING, SPREADS, OFFSETS = (8, 32, 128, 512), (0, 1), (0, 1, 3)
 
 
@@ -84,28 +85,45 @@ def channel_features(windows: DataFrame) -> DataFrame:
     return statistics(windows).select("series", "win", "mean", "std", "min", "max", "range", "rms", "abs_d1", "ac1")
 
 
-def _frame(k: int) -> W:
-    return W.partitionBy("series").orderBy("pos").rowsBetween(-(k // 2), k // 2)
+def stretches(series: DataFrame, halo: int) -> DataFrame:
+    """series cut into stretches of ``STRETCH`` points, each with ``halo`` points of its neighbours on either side.
+
+    A frame of up to ``halo`` points each way then lies inside a stretch, so a series of any length is spread over all tasks.
+    """
+    at = [F.floor((F.col("pos") + d) / STRETCH) for d in (-halo, 0, halo)]
+    return series.withColumn("_stretch", F.explode(F.array_distinct(F.array(*at))))
+
+
+def _inner(dealt: DataFrame) -> DataFrame:
+    """The points that are in their own stretch: each point of the series once."""
+    return dealt.where(F.floor(F.col("pos") / STRETCH) == F.col("_stretch")).drop("_stretch")
+
+
+def _moving(value: str, k: int) -> tuple[Column, Column]:
+    frame = W.partitionBy("series", "_stretch").orderBy("pos").rowsBetween(-(k // 2), k // 2)
+    return F.avg(value).over(frame), F.stddev_pop(value).over(frame)
 
 
-def moving(value: str, k: int) -> tuple[Column, Column]:
-    """Centred mean and population deviation over 2 (k // 2) + 1 points, shorter at the ends."""
-    return F.avg(value).over(_frame(k)), F.stddev_pop(value).over(_frame(k))
+def moving(series: DataFrame, value: str, k: int) -> DataFrame:
+    """series with m and s: centred mean and population deviation over 2 (k // 2) + 1 points, shorter at the ends."""
+    m, s = _moving(value, k)
+    return _inner(stretches(series, k // 2).withColumns({"m": m, "s": s}))
 
 
 def one_liners(series: DataFrame) -> DataFrame:
     """series with d (change) and one column for each statistic: base - (u * mean_k + c * deviation_k), k = 0 the base alone."""
-    change = F.col("value") - F.lag("value").over(W.partitionBy("series").orderBy("pos"))
-    s = series.withColumn("d", F.coalesce(change, F.lit(0.0))).withColumn("a", F.abs("d"))
+    dealt = stretches(series, max(SMOOTHING) // 2 + 1)
+    change = F.col("value") - F.lag("value").over(W.partitionBy("series", "_stretch").orderBy("pos"))
+    s = dealt.withColumn("d", F.coalesce(change, F.lit(0.0))).withColumn("a", F.abs("d"))
     smooth = {}
     for b, k in product("ad", SMOOTHING):
-        m, sd = moving(b, k)
+        m, sd = _moving(b, k)
         smooth[f"{b}m{k}"], smooth[f"{b}s{k}"] = m, sd
     s = s.withColumns(smooth)
     stats = {f"{b}_0": F.col(b) for b in "ad"}
     for b, k, u, c in product("ad", SMOOTHING, SPREADS, OFFSETS):
         stats[f"{b}_{k}_{u}_{c}"] = F.col(b) - (F.lit(float(u)) * F.col(f"{b}m{k}") + F.lit(float(c)) * F.col(f"{b}s{k}"))
-    return s.select("series", "pos", "value", "label", *[v.alias(n) for n, v in stats.items()])
+    return _inner(s.select("series", "pos", "_stretch", "value", "label", *[v.alias(n) for n, v in stats.items()]))
 
 
 def one_liner_names() -> list[str]:

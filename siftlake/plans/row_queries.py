@@ -229,8 +229,8 @@ def w4_channel_features(spark, sf_dir):
 
 @query(sql("series", "SELECT series, pos, round(avg(value) OVER w, 9) AS m, round(stddev_pop(value) OVER w, 9) AS s FROM series WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING)"))
 def w5_moving_mean_and_deviation(spark, sf_dir):
-    m, s = S.moving("value", 32)
-    return base.series(spark, sf_dir).select("series", "pos", F.round(m, 9).alias("m"), F.round(s, 9).alias("s"))
+    m = S.moving(base.series(spark, sf_dir), "value", 32)
+    return m.select("series", "pos", F.round("m", 9).alias("m"), F.round("s", 9).alias("s"))
 
 
 def _liners_sql() -> str:

@@ -11,8 +11,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.functions.ranks import running_totals
+from siftlake.functions.ranks import places, running_totals
 from siftlake.operators import dedup, describe, detectors, harden, metrics, pseudo, select, space, stats, synth
+from siftlake.operators import windows as series_ops
 from siftlake.plans import base
 from siftlake.sources import files, synthetic
 from siftlake.streaming import windows as stream
@@ -219,6 +220,22 @@ def test_cluster_moves_as_one_piece(spark):
     assert all(a - v == pytest.approx(step) for (_, a), v in zip(got, [-1, 0, 1, 2], strict=True))
 
 
+def test_frames_over_stretches_are_frames_over_the_series(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"series": ["a"] * 1500 + ["b"] * 40, "pos": [*range(1500), *range(40)], "value": rng.normal(size=1540), "label": 0}))
+    whole = {(r.series, r.pos): r for r in series_ops.one_liners(df).collect()}
+    monkeypatch.setattr(series_ops, "STRETCH", 130)
+    parts = series_ops.one_liners(df).collect()
+    assert len(parts) == len(whole) == 1540
+    assert all(abs(r[c] - whole[r.series, r.pos][c]) < 1e-9 for r in parts for c in ("a_0", "d_0", "a_512_1_3", "d_128_0_1"))
+
+
+def test_places_over_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1009 AS v", "id")
+    got = sorted((r.v, r.k) for r in places(df, ["v"], "k", 7).collect())
+    assert [k for _, k in got] == list(range(1, 1001))
+
+
 def test_linear_residual_finds_broken_dependence(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=400)
