@@ -90,8 +90,8 @@ def stretches(series: DataFrame, halo: int) -> DataFrame:
 
     A frame of up to ``halo`` points each way then lies inside a stretch, so a series of any length is spread over all tasks.
     """
-    at = [F.floor((F.col("pos") + d) / STRETCH) for d in (-halo, 0, halo)]
-    return series.withColumn("_stretch", F.explode(F.array_distinct(F.array(*at))))
+    first, last = (F.floor((F.col("pos") + d) / STRETCH) for d in (-halo, halo))
+    return series.withColumn("_stretch", F.explode(F.sequence(first, last)))
 
 
 def _inner(dealt: DataFrame) -> DataFrame:
