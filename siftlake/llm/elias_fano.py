@@ -2,11 +2,13 @@
 
 A shard file holds, in this order: all ids (2 or 4 bytes each, little-endian); the Elias-Fano coded ends of the documents
 in ids; the Elias-Fano coded document ids less the first one; a JSON footer; its length (4 bytes); the magic number.
-A value costs about 2 + log2(range / count) bits. ``select`` finds one offset from the samples kept with the bits,
-without a table of 64-bit offsets.
+A value costs about 2 + log2(range / count) bits. Every ``SAMPLE``-th one's place is stored with the bits, so ``select`` finds
+one offset, and ``decode`` a range of them, without reading the rest and without a table of 64-bit offsets.
 
-Writing: rows are dealt by ranges of their id, so shards are in ascending order and each is written by one task as a
-stream. A task that runs again writes another file; only files named in the manifest count.
+Writing: texts are encoded where they lie, and only ids are shuffled. Shards are ranges of document ids of about
+``SHARD_BYTES`` of text each, so their number grows with the corpus and what a task holds does not; a shard is written as a
+stream by one task. A task that runs again writes another file; only files named in the manifest count. Reading: each task
+takes a range of a shard's documents, finds it by ``select`` and reads that part of the file alone.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,14 +30,16 @@ from siftlake.llm.tokens import Encoder
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256  #: every so many ones, the select structure keeps a position
+SHARD_BYTES = 32 << 20  #: of text
+RANGE = 2048  #: documents that a reading task takes
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers in near-minimal space."""
+    """A non-decreasing sequence of unsigned integers in near-minimal space: low bits packed, high bits in unary, and the
+    position of every ``SAMPLE``-th one among the high bits."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes) -> None:
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._samples: np.ndarray | None = None
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, np.frombuffer(high, np.uint8), samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -43,20 +47,22 @@ class EliasFano:
         n, top = len(v), int(v[-1]) if len(v) else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         ones = np.zeros(n + (top >> low_bits) + 1, np.uint8)
-        ones[(v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
+        at = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        ones[at] = 1
         shifts = np.arange(low_bits, dtype=np.uint64)
         low = np.packbits(((v[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
-        return cls(n, low_bits, low, np.packbits(ones, bitorder="little").tobytes())
+        return cls(n, low_bits, low, np.packbits(ones, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high))
-        return head + self.low + self.high
+        return head + self.low + self.high.tobytes() + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, low_bits, a, b = struct.unpack_from("<QBQQ", data)
         at = struct.calcsize("<QBQQ")
-        return cls(n, low_bits, data[at : at + a], data[at + a : at + a + b])
+        samples = np.frombuffer(data, "<u4", -(-n // SAMPLE), at + a + b)
+        return cls(n, low_bits, data[at : at + a], data[at + a : at + a + b], samples)
 
     def _lows(self, first: int, last: int) -> np.ndarray:
         if not self.low_bits:
@@ -65,25 +71,32 @@ class EliasFano:
         bits = np.unpackbits(np.frombuffer(self.low, np.uint8)[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 :][: b - a]
         return (bits.reshape(-1, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def decode(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(0, self.n)
+    def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Values ``first`` to ``last`` (all by default): the high bits between the samples around them are read."""
+        last = self.n if last is None else last
+        if first >= last:
+            return np.zeros(0, np.uint64)
+        s = first // SAMPLE
+        start = int(self.samples[s]) // 8
+        after = -(-last // SAMPLE)
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start:end], bitorder="little")) + 8 * start
+        ones = ones[ones >= int(self.samples[s])][first - s * SAMPLE :][: last - first]
+        return ((ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(first, last)
 
     def select(self, i: int) -> int:
-        """Value ``i`` alone: from the nearest sample on, bytes are counted until its one is reached."""
+        """Value ``i`` alone: from the sample before it on, bytes are counted until its one is reached."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        high = np.frombuffer(self.high, np.uint8)
-        if self._samples is None:
-            rank = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-            self._samples = np.searchsorted(rank, np.arange(0, self.n, SAMPLE), side="right").astype(np.uint32)
-            self._ranks = np.where(self._samples > 0, rank[self._samples.astype(np.int64) - 1], 0).astype(np.uint32)
-        s = i // SAMPLE
-        byte, left = int(self._samples[s]), i - int(self._ranks[s])
-        while (count := int(np.bitwise_count(high[byte]))) <= left:
+        place = int(self.samples[i // SAMPLE])
+        byte, left = place // 8, i % SAMPLE
+        bits = int(self.high[byte]) >> place % 8 << place % 8
+        while (count := bits.bit_count()) <= left:
             left, byte = left - count, byte + 1
-        at = 8 * byte + int(np.flatnonzero(np.unpackbits(high[byte : byte + 1], bitorder="little"))[left])
+            bits = int(self.high[byte])
+        for _ in range(left):
+            bits &= bits - 1
+        at = 8 * byte + (bits & -bits).bit_length() - 1
         return ((at - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
 
 
@@ -93,65 +106,112 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _bounds(rows: DataFrame, shards: int | None) -> np.ndarray:
+    """The last document id of every shard but the last: ids at even places of the corpus, by its bytes of text."""
+    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("id")).first()
+    n = shards or -(-(size or 0) // SHARD_BYTES)
+    if n < 2 or not count:
+        return np.zeros(0, np.int64)
+    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], min(10 * n, 1_000_000))).first()[0]
+    return np.unique(np.array(cuts, np.int64))
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shards: int | None = None) -> DataFrame:
     """Encode and write all documents; returns the manifest (shard, path, n_docs, n_tokens), itself a stored table.
 
-    Null texts are empty (their end id alone). Null ids come first and repeated ids stay side by side, each with its own
-    ids. An empty table gives an empty manifest. Other columns are not read.
+    Ids are integers. Null texts are empty (their end id alone). Null ids come first and repeated ids stay side by side, each
+    with its own ids. An empty table gives an empty manifest. Other columns are not read. A folder that is no URI is one of
+    the cluster's default file system, which every node must share.
     """
     spark = docs.sparkSession
     folder = folder or store.new_path(spark, "tokens")
     where = folder if ":" in folder else f"file://{folder}"
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bounds = spark.sparkContext.broadcast(_bounds(rows, shards))
 
-    def run(batches):
-        stream, ends, ids, total, path = None, [], [], 0, None
+    def encoded(batches):
         coder = Encoder.of(tokenizer)
         for b in text.pieces(batches, "text", 1 << 20):
-            if stream is None:
-                path = f"{where}/shard-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin"
-                system, name = _filesystem(path)
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                stream = system.open_output_stream(name)
-            for tokens in coder.encode(b.column("text").to_pylist(), end):
-                stream.write(tokens.tobytes())
-                total += len(tokens)
+            ids = b.column("id")
+            known = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy()
+            shard = np.searchsorted(bounds.value, known, side="left").astype(np.int32)
+            tokens = [t.tobytes() for t in coder.encode(b.column("text").to_pylist(), end)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(tokens, pa.binary())], ["shard", "id", "tokens"])
+
+    def written(batches):
+        width = Encoder.of(tokenizer).width
+        now, stream, path, ends, ids, total = None, None, None, [], [], 0
+
+        def finish():
+            known = np.array([i for i in ids if i is not None], np.int64)
+            first = int(known[0]) if len(known) else 0
+            parts = [EliasFano.encode(np.array(ends)).to_bytes(), EliasFano.encode(known.view(np.uint64) - np.uint64(first % (1 << 64))).to_bytes()]
+            foot = json.dumps({"docs": len(ids), "nulls": len(ids) - len(known), "first": first, "tokens": total, "width": width.itemsize, "ends": len(parts[0]), "ids": len(parts[1])}).encode()
+            stream.write(parts[0] + parts[1] + foot + struct.pack("<I", len(foot)) + MAGIC)
+            stream.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+
+        for b in batches:
+            for shard, doc, tokens in zip(b.column("shard").to_pylist(), b.column("id").to_pylist(), b.column("tokens"), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield finish()
+                    now, ends, ids, total = shard, [], [], 0
+                    path = f"{where}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
+                    system, name = _filesystem(path)
+                    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                    stream = system.open_output_stream(name)
+                body = tokens.as_buffer()
+                stream.write(body)
+                total += body.size // width.itemsize
                 ends.append(total)
-            ids.extend(b.column("id").to_pylist())
-        if stream is None:
-            return
-        known = np.array([i for i in ids if i is not None], np.int64)
-        first = int(known[0]) if len(known) else 0
-        parts = [EliasFano.encode(np.array(ends)).to_bytes(), EliasFano.encode((known.view(np.uint64) - np.uint64(first % (1 << 64)))).to_bytes()]
-        foot = json.dumps({"docs": len(ids), "nulls": len(ids) - len(known), "first": first, "tokens": total, "width": coder.width.itemsize, "ends": len(parts[0]), "ids": len(parts[1])}).encode()
-        stream.write(parts[0] + parts[1] + foot + struct.pack("<I", len(foot)) + MAGIC)
-        stream.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
-
-    rows = text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    return store.stash(rows.mapInArrow(run, "shard int, path string, n_docs bigint, n_tokens bigint"), "manifest")
+                ids.append(doc)
+        if now is not None:
+            yield finish()
+        text.tidy()
+
+    dealt = rows.mapInArrow(encoded, "shard int, id bigint, tokens binary").repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first())
+    return store.stash(dealt.mapInArrow(written, "shard int, path string, n_docs bigint, n_tokens bigint"), "manifest")
 
 
 class Shard:
-    """One file, read back: ``ids`` is the array, ``ends`` the boundaries, ``doc_ids`` the documents (None for a null)."""
+    """One file, of which only the footer and the coded sequences are read: ``ends`` are the boundaries in ids."""
 
     def __init__(self, path: str) -> None:
         system, name = _filesystem(path)
-        with system.open_input_file(name) as f:
-            data = f.read()
-        if data[-8:] != MAGIC:
+        self.file = f = system.open_input_file(name)
+        size = f.size()
+        f.seek(size - 12)
+        tail = f.read(12)
+        if tail[-8:] != MAGIC:
             raise ValueError(f"{path} is no token shard")
-        (n,) = struct.unpack_from("<I", data, len(data) - 12)
-        self.foot = foot = json.loads(data[-12 - n : -12])
-        at = foot["tokens"] * foot["width"]
-        self.ids = np.frombuffer(data, f"<u{foot['width']}", foot["tokens"])
-        self.ends = EliasFano.from_bytes(data[at : at + foot["ends"]])
-        known = EliasFano.from_bytes(data[at + foot["ends"] : at + foot["ends"] + foot["ids"]]).decode()
-        self.doc_ids = [None] * foot["nulls"] + (known + np.uint64(foot["first"] % (1 << 64))).view(np.int64).tolist()
+        (n,) = struct.unpack_from("<I", tail)
+        f.seek(size - 12 - n)
+        self.foot = foot = json.loads(f.read(n))
+        f.seek(foot["tokens"] * foot["width"])
+        coded = f.read(foot["ends"] + foot["ids"])
+        self.ends = EliasFano.from_bytes(coded[: foot["ends"]])
+        self.known = EliasFano.from_bytes(coded[foot["ends"] :])
+
+    def start(self, i: int) -> int:
+        """Where document ``i`` begins."""
+        return self.ends.select(i - 1) if i else 0
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """The ids from place ``first`` to ``last``, read from that part of the file."""
+        width = self.foot["width"]
+        self.file.seek(first * width)
+        return np.frombuffer(self.file.read((last - first) * width), f"<u{width}")
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.ids(self.start(i), self.ends.select(i))
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """Documents ``first`` to ``last``; None for a null id."""
+        nulls = self.foot["nulls"]
+        a, z = (max(0, x - nulls) for x in (first, last))
+        known = (self.known.decode(a, z) + np.uint64(self.foot["first"] % (1 << 64))).view(np.int64).tolist()
+        return [None] * (last - first - len(known)) + known
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -159,15 +219,18 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
+            for path, base, first, last in zip(*(b.column(c).to_pylist() for c in ("path", "base", "first", "last")), strict=True):
                 shard = Shard(path)
-                ends = shard.ends.decode().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = memoryview(shard.ids.astype("<u4")).cast("B")
-                crc = [zlib.crc32(wide[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids, pa.int64()), "start": starts + base, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
+                ends = shard.ends.decode(first, last).astype(np.int64)
+                starts = np.concatenate([[shard.start(first)], ends[:-1]]).astype(np.int64)
+                at = int(starts[0])
+                wide = memoryview(shard.ids(at, int(ends[-1])).astype("<u4")).cast("B")
+                crc = [zlib.crc32(wide[4 * a : 4 * z]) for a, z in zip((starts - at).tolist(), (ends - at).tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids(first, last), pa.int64()), "start": starts + base, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
 
     order = W.orderBy("shard")  # one row for each file
-    shards = manifest.withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens")).select("shard", "path", "base")
+    shards = manifest.withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens"))
+    first = F.explode(F.expr(f"sequence(0L, n_docs - 1, {RANGE}L)"))
+    ranges = shards.select("path", "base", "n_docs", first.alias("first")).withColumn("last", F.least(F.col("first") + RANGE, "n_docs"))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return ranges.repartition(n, "path", "first").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -239,15 +239,26 @@ def test_elias_fano_round_trip():
         e = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.encode(v).to_bytes())
         assert e.decode().tolist() == v.tolist()
         assert [e.select(i) for i in range(0, n, 13)] == v[::13].tolist()
+        for a, z in ((0, n), (n // 3, n // 2), (n // 2, n), (255, 257), (256, 512)):
+            assert e.decode(a, min(z, n)).tolist() == v[a : min(z, n)].tolist()
         if n > 500:
             assert 8 * len(e.to_bytes()) / n < 2.6 + max(0, math.log2(max(1, top / n))) + 8 * 33 / n
 
 
 @pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
-def test_token_shards(which, request, tokenizer):
+def test_token_shards(which, request, tokenizer, monkeypatch):
     df = request.getfixturevalue(which)
     e, rows = tokens.Encoder(tokenizer), rows_of(df)
-    got = elias_fano.read_shards(elias_fano.write_shards(df, tokenizer, end=2)).orderBy("start").collect()
+    monkeypatch.setattr(elias_fano, "SHARD_BYTES", 50_000)
+    monkeypatch.setattr(elias_fano, "RANGE", 7)
+    manifest = elias_fano.write_shards(df, tokenizer, end=2)
+    got = elias_fano.read_shards(manifest).orderBy("start").collect()
+    for f in manifest.collect():
+        shard = elias_fano.Shard(f.path)
+        for i in range(0, f.n_docs, 3):
+            assert len(shard.document(i)) == shard.ends.select(i) - shard.start(i)
+    if which == "documents":
+        assert manifest.count() > 5
     by_id = defaultdict(list)
     for i, t in rows:
         ids = e.encode([t], 2)[0].astype("<u4")
