@@ -37,7 +37,7 @@ SHINGLE = 5
 LEAST = 0.8
 LOST = 1 / 2000  #: of the pairs at LEAST, what the radius may lose
 BLOCKS = 4
-ITEMS = 4096
+ITEMS = 2048
 _SEED_BITS = 22
 
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -118,9 +118,8 @@ class Index:
             known = np.array([np.packbits(simhash(sh[at == i]).sum(axis=0) > 0) for i in own], np.uint8).view(np.uint16)
             far, tables = radius(n - SHINGLE + 1, least), []
             for k in range(BLOCKS):
-                near = np.zeros((1 << 16, -(-len(own) // 64) * 64), bool)
-                near[:, : len(own)] = np.bitwise_count(values[:, None] ^ known[None, :, k]) <= far // BLOCKS
-                tables.append(np.packbits(near, axis=1, bitorder="little").view(np.uint64))
+                near = np.bitwise_count(values[:, None] ^ known[None, :, k]) <= far // BLOCKS
+                tables.append(np.packbits(near, axis=1, bitorder="little"))  # a bit for each item
             self.by_size[n] = own, known, tables, far
 
     @classmethod
@@ -139,7 +138,7 @@ class Index:
         for k in range(1, BLOCKS):
             near |= tables[k][prints[:, k]]
         some = np.flatnonzero(near.any(axis=1))
-        w, i = np.nonzero(np.unpackbits(near[some].view(np.uint8), axis=1, bitorder="little"))
+        w, i = np.nonzero(np.unpackbits(near[some], axis=1, bitorder="little"))
         return some[w], i
 
     def lookup(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
