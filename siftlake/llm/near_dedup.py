@@ -7,11 +7,12 @@ a chance of (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000. Keys are 64 bits wide, so
 not with its square. The pigeonring test on the fingerprints (a chain of segments whose every prefix stays within its share of
 the radius), the sizes, and a sketch of two bits of each minimum prune candidates before the exact comparison of shingle sets.
 
-A group of n near copies has n**2 candidate pairs; they are never rows. First each text of a key meets the key's leader, the
-text that comes first in one order over all keys, so a group has few leaders. Verified links join them to components. Then,
-in keys whose texts lie in several components, the texts outside the key's largest one meet the texts of other components.
-Every candidate pair is therefore either verified or inside a component already. Both searches deal a hot key or leader out
-over tasks in blocks of bounded size.
+A group of n near copies has n**2 candidate pairs; they are never rows. Each key has a leader, the text that comes first in one
+order over all keys, and first each text meets the ``LEADERS`` first of its keys' leaders. Verified links join them to
+components. In keys whose texts lie in several components, each text then meets a few drawn from the others, which joins what
+is left of a large group. At last, in the keys that still are in several components, the texts outside the largest meet all
+texts of other components. Every candidate pair is therefore either verified or inside a component already; the first two
+searches only save work. A hot key or leader is dealt out over tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.llm import store, text
@@ -29,10 +31,12 @@ from siftlake.llm.decontaminate import _shingles
 from siftlake.llm.simhash import SEED, ring_test
 
 SHINGLE = 5
-RADIUS, SEGMENTS = 24, 8  #: five deviations beyond the mean distance at 0.8
+RADIUS, SEGMENTS = 21, 7  #: four deviations beyond the mean distance at 0.8
 BANDS, ROWS = 20, 4
-DIFFERENT = 24  #: of 64 minima, those whose two low bits may differ: five deviations too
+DIFFERENT = 21  #: of 64 minima, those whose two low bits may differ: four deviations too
 BLOCK = 512
+LEADERS = 3  #: that a text meets at first
+DRAWN, MEETINGS = 16, 24  #: texts drawn from each key to be met next, and how many of them a text meets
 
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
@@ -156,6 +160,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _across(rows: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the components of each key's texts: rows are (key, id, c, major, few).
+
+    A task streams a key's texts past a block of those outside its largest component. Pairs are no rows: they are tested,
+    those of one component are passed over, a pair is compared in the first key that it shares, and a link is returned only
+    if it joins two components in its block.
+    """
+    wide = rows.join(classes.select("id", "fp", "n", "m1", "m2", "bands"), "id").join(sets, "id")
+    wide = wide.withColumn("minor", F.col("c") != F.col("major")).drop("major")
+    held = wide.where("minor").withColumn("block", F.pmod(F.xxhash64("id"), F.col("few")).cast("int")).withColumn("side", F.lit(0))
+    every = wide.withColumn("block", F.explode(F.expr("sequence(0, few - 1)"))).withColumn("side", F.lit(1))
+    dealt = held.unionByName(every).drop("few").repartition("key", "block").sortWithinPartitions("key", "block", "side")
+
+    def fields(b: pa.RecordBatch, at: slice) -> dict:
+        own = b.slice(at.start, at.stop - at.start)
+        out = {c: own.column(c).to_numpy(zero_copy_only=False) for c in ("id", "c", "n", "minor")}
+        out |= {c: own.column(c).to_numpy().view(np.uint64) for c in ("fp", "m1", "m2")}
+        out["bands"] = own.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        return out | {"s": [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("s")]}
+
+    def run(batches):
+        now, x, root = None, [], {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        for b in batches:
+            key, block, side = (b.column(c).to_numpy() for c in ("key", "block", "side"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+            found = []
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+                if (key[lo], block[lo]) != now:
+                    now, x, root = (key[lo], block[lo]), [], {}
+                if not side[lo]:
+                    x.append(fields(b, slice(lo, hi)))
+                    x[-1]["s"] = [v.copy() for v in x[-1]["s"]]
+                    continue
+                if len(x) > 1:
+                    x = [{c: np.concatenate([p[c] for p in x]) if c != "s" else [v for p in x for v in p[c]] for c in x[0]}]
+                u = x[0]
+                p = int(np.flatnonzero(u["bands"][0] == key[lo])[0])
+                for at in range(lo, hi, 256):
+                    y = fields(b, slice(at, min(at + 256, hi)))
+                    ok = (u["c"][:, None] != y["c"]) & (~y["minor"] | (u["id"][:, None] < y["id"]))
+                    ok &= (u["n"][:, None] >= least * y["n"]) & (y["n"] >= least * u["n"][:, None])
+                    ok &= np.bitwise_count((u["m1"][:, None] ^ y["m1"]) | (u["m2"][:, None] ^ y["m2"])) <= DIFFERENT
+                    ok &= np.bitwise_count(u["fp"][:, None] ^ y["fp"]) <= RADIUS
+                    for q in range(p):
+                        ok &= u["bands"][:, None, q] != y["bands"][:, q]
+                    for i, j in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
+                        one, two = find(int(u["c"][i])), find(int(y["c"][j]))
+                        if one != two and alike(u["s"][i], y["s"][j], least):
+                            root[one] = two
+                            found.append((int(u["id"][i]), int(y["id"][j])))
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        text.tidy()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(digest, k, first, c, root): each distinct text (by its lower-cased words), its smallest id, how many rows have it, and
     its group."""
@@ -170,7 +237,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     # keys that two texts share, with their leader by one order over all keys
     banded = classes.where("n > 0").select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id"))).alias("y"), F.count("*").alias("m")).where("m > 1")
-    banded = store.stash(banded.join(shared.select("key", F.col("y.id").alias("leader")), "key"), "banded")
+    banded = store.stash(banded.join(shared.select("key", F.col("y.o").alias("o"), F.col("y.id").alias("leader")), "key"), "banded")
 
     def with_features(pairs: DataFrame) -> DataFrame:
         """Likely pairs of ids a, b."""
@@ -178,7 +245,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         found = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
         return found.where(F.expr(_likely(least))).select("a", "b")
 
-    stars = with_features(banded.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    met = banded.where("id <> leader").select("id", "o", "leader").distinct()
+    met = met.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("o", "leader"))).where(F.col("place") <= LEADERS)  # of BANDS at most
+    stars = with_features(met.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     stars = store.stash(stars, "stars")
 
     # shingle sets of the texts that share a key; only what a filter of their digests lets through is shuffled
@@ -204,22 +273,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     sets = store.stash(sets, "sets")
 
     links = store.stash(_verified(stars, sets, least), "links")
-    part = components(links)
-    named = banded.select("key", "id").join(part, banded.id == part.node, "left").select("key", "id", F.coalesce("root", "id").alias("c"))
-    named = store.stash(named, "named")
-
-    # keys whose texts lie in several components: those outside the largest meet the others
-    of_key = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed = of_key.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    mixed = mixed.where("most < all").select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
-    rows = store.stash(named.join(mixed, "key").join(features, "id"), "mixed")
-    minor = rows.where("c <> major").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = rows.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    once = "(y.c = y.major OR x.id < y.id)"
-    across = minor.alias("x").join(every.alias("y"), F.expr(f"x.key = y.key AND x.block = y.block AND x.c <> y.c AND {once} AND {_likely(least)}"))
-    across = store.stash(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "across")
-    final = components(links.unionAll(store.stash(_verified(across, sets, least), "more")))
-    for t in (banded, stars, wanted, sets, named, rows, across):
+
+    def parted(links: DataFrame) -> DataFrame:
+        """(key, id, c, major, few): the texts of the keys that lie in several components so far, the largest of these, and the
+        blocks of ``BLOCK`` that the texts outside it fill."""
+        part = components(links)
+        named = banded.select("key", "id").join(part, banded.id == part.node, "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+        named = store.stash(named, "named")
+        of_key = named.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
+        of_key = of_key.agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.sum("m").alias("all"), F.max("m").alias("most")).where("most < all")
+        return named.join(of_key.select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("few")), "key")
+
+    # texts meet a few drawn texts of other components in their keys: members of one group that is not joined yet
+    rows = store.stash(parted(links), "parted")
+    drawn = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(DRAWN)).alias("draw")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)).alias("o"), F.col("id"), F.col("c"))).alias("y"))
+    drawn = rows.alias("x").join(drawn.alias("d"), "key").where("x.c <> y.c").select("id", "y.o", F.col("y.id").alias("guest")).distinct()
+    drawn = drawn.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("o", "guest"))).where(F.col("place") <= MEETINGS)  # of BANDS * DRAWN at most
+    drawn = store.stash(with_features(drawn.select(F.col("guest").alias("a"), F.col("id").alias("b"))), "drawn")
+    links = links.unionAll(store.stash(_verified(drawn, sets, least), "links"))
+
+    # what is left: in every key whose texts lie in several components, those outside the largest meet the others
+    last = store.stash(_across(parted(links), classes, sets, least), "links")
+    final = components(links.unionAll(last))
+    for t in (banded, stars, wanted, sets, rows, drawn):
         store.drop_stash(t)
     return store.stash(classes.join(final, classes.id == final.node, "left").select("digest", "k", "first", "c", F.coalesce("root", "id").alias("root")), "groups")
 
