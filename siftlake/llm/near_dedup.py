@@ -36,7 +36,7 @@ BANDS, ROWS = 20, 4
 DIFFERENT = 21  #: of 64 minima, those whose two low bits may differ: four deviations too
 BLOCK = 512
 LEADERS = 3  #: that a text meets at first
-DRAWN, MEETINGS = 16, 24  #: texts drawn from each key to be met next, and how many of them a text meets
+DRAWN, MEETINGS = 2, 12  #: texts drawn from each key to be met next, and how many of them a text meets
 
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
