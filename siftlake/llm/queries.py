@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import chunk_dedup, decontaminate, elias_fano, line_quality, lm, packing, pii, simhash, suffix_dedup, tokens, toxicity
+from siftlake.llm import chunk_dedup, decontaminate, digest_index, elias_fano, hard_negatives, line_quality, lm, packing, pii, simhash, spelling, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,20 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
 
 
+def op11_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest_index.exact_groups(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_trie_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), corrupt=97)
+
+
+def op13_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.rows_of(_table(spark, sf_dir, "embeddings"), flip=7)
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
 _ALL = (
     op1_simhash_near_dedup,
     op2_maxent_lm,
@@ -77,6 +91,9 @@ _ALL = (
     op8_fm_toxicity,
     op9_gear_chunk_dedup,
     op10_simhash_decontamination,
+    op11_digest_index,
+    op12_trie_spelling,
+    op13_anchor_tree_negatives,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -115,5 +132,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND gone <= n_words * 0.2 AS kept FROM s
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+_OP13 = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score FROM r a, r WHERE a.id % 100 = 0 AND a.id <> r.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
 #: The others hash, train, tokenize or iterate, which SQL cannot express: ``tests/llm`` holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _OP5, "op6_line_quality": _OP6}
+ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _OP5, "op6_line_quality": _OP6, "op11_digest_index": _OP11, "op13_anchor_tree_negatives": _OP13}
