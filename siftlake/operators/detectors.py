@@ -7,6 +7,7 @@ scored by expressions or Arrow batches over all rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.ranks import running_totals, z_score
 from siftlake.operators import space
+from siftlake.operators.spatial import CellTree
 from siftlake.session import stored
 
 SAMPLE = 2000  #: rows of a data set that a model is fitted on
@@ -44,7 +46,11 @@ def pool(names: list[str] | None = None) -> dict[str, Detector]:
 
 def run_pool(rows: DataFrame, features: tuple[str, ...], names: list[str] | None = None, train: DataFrame | None = None) -> DataFrame:
     """(dataset, detector, row_id, score) of several detectors, fitted on ``train`` or on the rows."""
-    parts = [f(rows, features, train).select("dataset", F.lit(n).alias("detector"), "row_id", "score") for n, f in pool(names).items()]
+    chosen = pool(names)
+    near = {n: m for n in chosen if (m := re.fullmatch(r"(KNN|LOF)_k(\d+)", n))}
+    parts = [f(rows, features, train).select("dataset", F.lit(n).alias("detector"), "row_id", "score") for n, f in chosen.items() if n not in near]
+    if near:
+        parts.append(neighbour_pool(rows, features, {n: (m[1], int(m[2])) for n, m in near.items()}, train))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -63,28 +69,53 @@ def long(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return rows.select("dataset", "row_id", p.alias("p")).select("dataset", "row_id", "p.feature", "p.value")
 
 
-def knn(rows: DataFrame, features: tuple[str, ...], k: int = 10, train: DataFrame | None = None) -> DataFrame:
-    """Distance to the k-th nearest other row of ``train``."""
-    n = space.neighbours(rows, rows if train is None else train, features, k)
-    return n.groupBy("dataset", "row_id").agg(F.max("distance").alias("score"))
-
-
-def lof(rows: DataFrame, features: tuple[str, ...], k: int = 20, train: DataFrame | None = None) -> DataFrame:
-    """Mean local reachability density of the neighbours in ``train`` over one's own."""
+def _factors(n: DataFrame, inside: DataFrame, k: int) -> DataFrame:
+    """(dataset, row_id, score): local outlier factors of the rows whose neighbours are ``n``, among rows whose are ``inside``."""
 
     def density(n: DataFrame, radius: DataFrame) -> DataFrame:
         reach = n.join(radius, ["dataset", "other"]).groupBy("dataset", "row_id")
         return reach.agg(F.try_divide(F.lit(1.0), F.avg(F.greatest("distance", "radius"))).alias("lrd"))
 
-    n = space.neighbours(rows, rows if train is None else train, features, k)
-    inside = n if train is None else space.neighbours(train, train, features, k)
+    own_rows = n is inside
+    n, inside = n.where(F.col("place") <= k), inside.where(F.col("place") <= k)
     radius = inside.groupBy("dataset", F.col("row_id").alias("other")).agg(F.max("distance").alias("radius"))
-    own = density(n, radius)
-    theirs = (own if train is None else density(inside, radius)).select("dataset", F.col("row_id").alias("other"), F.col("lrd").alias("lrd_other"))
+    own = stored(density(n, radius), "densities")
+    theirs = (own if own_rows else density(inside, radius)).select("dataset", F.col("row_id").alias("other"), F.col("lrd").alias("lrd_other"))
     m = n.join(theirs, ["dataset", "other"]).groupBy("dataset", "row_id").agg(F.avg("lrd_other").alias("m"))
     return m.join(own, ["dataset", "row_id"]).select("dataset", "row_id", F.try_divide("m", "lrd").alias("score"))
 
 
+def neighbour_pool(rows: DataFrame, features: tuple[str, ...], kinds: dict[str, tuple[str, int]], train: DataFrame | None = None) -> DataFrame:
+    """(dataset, detector, row_id, score) of KNN and LOF for several k: one tree and one search of each side, for the largest k.
+
+    ``kinds`` gives each detector's kind and k. KNN is the distance to the k-th nearest other row of ``train``; LOF the mean local
+    reachability density of the neighbours in ``train`` over one's own.
+    """
+    most = max(k for _, k in kinds.values())
+    tree = CellTree.build(rows if train is None else train, features, most)
+    n = stored(tree.search(rows, most), "neighbours")
+    parts = []
+    if knn_ := {name: k for name, (kind, k) in kinds.items() if kind == "KNN"}:
+        listed = F.explode(F.array(*[F.struct(F.lit(name).alias("detector"), F.lit(k).alias("k")) for name, k in knn_.items()])).alias("v")
+        far = n.groupBy("dataset", "row_id").agg(*[F.max(F.when(F.col("place") <= k, F.col("distance"))).alias(f"k{k}") for k in set(knn_.values())])
+        at = reduce(lambda c, k: c.when(F.col("v.k") == k, F.col(f"k{k}")), sorted(set(knn_.values())), F.when(F.lit(False), F.lit(0.0)))
+        parts.append(far.select("*", listed).select("dataset", "v.detector", "row_id", at.alias("score")))
+    if lofs := {name: k for name, (kind, k) in kinds.items() if kind == "LOF"}:
+        inside = n if train is None else stored(tree.search(train, max(lofs.values())), "neighbours")
+        parts += [_factors(n, inside, k).select("dataset", F.lit(name).alias("detector"), "row_id", "score") for name, k in lofs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def knn(rows: DataFrame, features: tuple[str, ...], k: int = 10, train: DataFrame | None = None) -> DataFrame:
+    """Distance to the k-th nearest other row of ``train``."""
+    return neighbour_pool(rows, features, {"KNN": ("KNN", k)}, train).drop("detector")
+
+
+def lof(rows: DataFrame, features: tuple[str, ...], k: int = 20, train: DataFrame | None = None) -> DataFrame:
+    """Mean local reachability density of the neighbours in ``train`` over one's own."""
+    return neighbour_pool(rows, features, {"LOF": ("LOF", k)}, train).drop("detector")
+
+
 def binned(long_rows: DataFrame, bins: int, train: DataFrame | None = None) -> DataFrame:
     """long rows with bin 1..bins over each feature's range in ``train``: the last bin is closed, values outside fall into the
     end bins, and a constant feature is one bin."""

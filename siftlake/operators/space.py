@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.functions.ranks import min_max
+from siftlake.operators.spatial import CellTree
 
 
 def standardise(rows: DataFrame, features: tuple[str, ...], train: DataFrame | None = None) -> DataFrame:
@@ -149,50 +150,7 @@ def mixture(rows: DataFrame, k: int = 4, rounds: int = 25, seed: int = 0, sample
     return rows.join(parts, "dataset").withColumn("cluster", (-best).cast("int")).drop("parts")
 
 
-QUERIES, REFERENCES = 512, 16384  #: rows of a block of either side
-
-
 def neighbours(queries: DataFrame, reference: DataFrame, features: tuple[str, ...], k: int) -> DataFrame:
     """(dataset, row_id, other, distance, place): the ``k`` nearest reference rows of each query, itself excluded; equal
-    distances go by the smaller id.
-
-    A stated query set against all rows, in blocks: each task holds a block of queries and a block of reference rows of one
-    data set and returns the nearest ``k`` of that block, so pairs are no rows, and the last choice is among ``k`` for each
-    block. The number of rows of either side does not bound the other.
-    """
-    names = list(features)
-
-    q, r = (x.select("dataset", "row_id", *[F.col(f).cast("double").alias(f) for f in names]) for x in (queries, reference))
-    count = lambda x, n, most: x.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(n))
-    blocks = count(q, "_qn", QUERIES).join(count(r, "_rn", REFERENCES), "dataset")  # a row for each data set
-    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    place = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
-    q = q.join(F.broadcast(blocks), "dataset").withColumn("_q", place("_qn")).withColumn("_r", every("_rn")).drop("_qn", "_rn")
-    r = r.join(F.broadcast(blocks), "dataset").withColumn("_r", place("_rn")).withColumn("_q", every("_qn")).drop("_qn", "_rn")
-
-    def nearest(own: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(all_):
-            return pd.DataFrame({"dataset": [], "row_id": [], "other": [], "distance": []})
-        all_ = all_.sort_values("row_id_")
-        ids, x, y = all_["row_id_"].to_numpy(), own[names].to_numpy(), all_[names].to_numpy()
-        row, other, distance = [], [], []
-        for a in range(0, len(x), 64):
-            d = np.zeros((len(x[a : a + 64]), len(y)))
-            for f in range(len(names)):
-                d += (x[a : a + 64, f][:, None] - y[:, f][None]) ** 2
-            d = np.sqrt(d)
-            for i, (own_id, di) in enumerate(zip(own["row_id"].to_numpy()[a : a + 64], d, strict=True)):
-                di[ids == own_id] = np.inf
-                cut = np.partition(di, k - 1)[k - 1] if len(di) > k else np.inf
-                at = np.flatnonzero((di <= cut) & (di < np.inf))
-                at = at[np.argsort(di[at], kind="stable")[:k]]  # ids ascend, so ties do too
-                row.append(np.full(len(at), own_id))
-                other.append(ids[at])
-                distance.append(di[at])
-        return pd.DataFrame({"dataset": own["dataset"].iloc[0], "row_id": np.concatenate(row), "other": np.concatenate(other), "distance": np.concatenate(distance)})
-
-    r = r.withColumnsRenamed({c: f"{c}_" for c in ("dataset", "_q", "_r", "row_id")})  # the two sides may be one table
-    met = q.groupBy("dataset", "_q", "_r").cogroup(r.groupBy("dataset_", "_q_", "_r_"))
-    found = met.applyInPandas(nearest, "dataset string, row_id long, other long, distance double")
-    last = F.row_number().over(W.partitionBy("dataset", "row_id").orderBy("distance", "other"))
-    return found.withColumn("place", last).where(F.col("place") <= k)
+    distances go by the smaller id. Exact, from a stored tree of cells (``spatial.CellTree``)."""
+    return CellTree.build(reference, features, k).search(queries, k)

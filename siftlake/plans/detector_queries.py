@@ -10,6 +10,7 @@ from siftlake.operators import metrics as M
 from siftlake.operators import rows as R
 from siftlake.operators import space as E
 from siftlake.plans import base
+from siftlake.session import stored
 from siftlake.plans.base import FEATURES, sql
 from siftlake.plans.registry import query
 
@@ -81,14 +82,20 @@ def k1_knn(spark, sf_dir):
     return _scores(D.knn(base.asked(spark, sf_dir), TWO, 10, base.tab(spark, sf_dir)))
 
 
-@query()
-def k2_lof(spark, sf_dir):
-    """Fitted on the rows that the row cap of a data set leaves (F7, 5,000), scored on the asked rows."""
-    return _scores(D.lof(base.asked(spark, sf_dir), TWO, 20, _capped(spark, sf_dir)))
+_LOF = """WITH p AS (SELECT a.dataset, a.row_id, min({'d': sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2), 'o': b.row_id}, 20) AS near
+  FROM tab a JOIN tab b ON a.dataset = b.dataset AND a.row_id <> b.row_id GROUP BY ALL),
+n AS (SELECT dataset, row_id, u.d AS d, u.o AS o FROM (SELECT dataset, row_id, unnest(near) AS u FROM p)),
+r AS (SELECT dataset, row_id AS o, max(d) AS r FROM n GROUP BY ALL),
+l AS (SELECT n.dataset, n.row_id, 1 / nullif(avg(greatest(d, r)), 0) AS lrd FROM n JOIN r USING (dataset, o) GROUP BY ALL),
+m AS (SELECT n.dataset, n.row_id, avg(l.lrd) AS m FROM n JOIN l ON n.dataset = l.dataset AND n.o = l.row_id GROUP BY ALL)
+SELECT dataset, row_id, round(m / nullif(lrd, 0), 6) AS score FROM m JOIN l USING (dataset, row_id) WHERE row_id % 100 = 0"""
 
 
-def _capped(spark, sf_dir):
-    return R.cap_rows(base.tab(spark, sf_dir), ["dataset"], 5000, 7, "row_id")
+@query(sql("tab", _LOF))
+def k2_lof(spark, sf_dir):
+    """Fitted on all rows, scored on the asked rows among them."""
+    t = base.tab(spark, sf_dir)
+    return _scores(D.lof(t, TWO, 20).where("row_id % 100 = 0"))
 
 
 _BINS = "b AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE least(greatest(floor((value - lo) / (hi - lo) * {n})::INT + 1, 1), {n}) END AS bin FROM (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi, count(*) OVER w AS n FROM feat WINDOW w AS (PARTITION BY dataset, feature))), h AS (SELECT *, count(*) OVER (PARTITION BY dataset, feature, bin) / n * {n} AS density FROM b)"
@@ -134,9 +141,10 @@ def k9_iforest(spark, sf_dir):
 
 @query()
 def k14_pool_scores(spark, sf_dir):
-    """A pool of variants fitted on the rows under the row cap (F7), with each one's AUC on the asked rows."""
-    t = base.asked(spark, sf_dir)
-    s = D.fit_and_score(_capped(spark, sf_dir), t, FEATURES, ["KNN_k10", "HBOS_10", "ECOD", "COPOD", "PCA_0.5", "CBLOF_8", "LODA_10", "IForest_100", "MaxZ", "LinRes"])
+    """The whole pool, each variant fitted on all normal rows and graded by AUC on the asked rows."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    t = rows.where("row_id % 100 = 0")
+    s = D.fit_and_score(rows.where("y = 0"), t, FEATURES)
     return M.roc_auc(s.join(t.select("dataset", "row_id", "y"), ["dataset", "row_id"]), ["dataset", "detector"])
 
 
