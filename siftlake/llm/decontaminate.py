@@ -7,8 +7,12 @@ counts over the sum of the larger.
 Windows are fingerprinted by SimHash, and the items that a window may be like are found through the Hamming index of the items
 of its size: fingerprints are cut into four blocks of 16 bits, of which one differs in at most a quarter of the radius, and a
 table for each block lists by the block's value all items that near. So every item within the radius is listed, then checked
-by the whole distance, and what is left is verified by the exact similarity. Fingerprints of few shingles are noisy, so the
-radius depends on the size: it holds all but one in 2,000 of the pairs at a similarity of 0.8, found by a seeded simulation.
+by the whole distance, and what is left is verified by the exact similarity. Fingerprints of few shingles are noisy, and a
+shingle that is there eight times moves a bit eight times as far, so each item has radii of its own, by its size and the
+counts of its shingles: they hold all but one in 2,000 of the pairs at a similarity of 0.8, found by a seeded simulation that
+takes away the item's most or its least repeated shingles. The smaller radius is for windows without a repeated shingle. For
+others, where what is new may be one shingle again and again, the larger radius is one that blocks hardly prune by, so the
+whole distance to every item of the size is computed.
 
 Only windows that hold at least one shingle of some item are fingerprinted; others have a similarity of zero to every item.
 A document of fewer words than the item is one window, compared without a fingerprint. An item of fewer than five words is
@@ -81,14 +85,32 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
 
 
 @cache
-def radius(shingles: int, least: float = LEAST) -> int:
-    """The distance that all but LOST of the pairs of windows of so many shingles keep to, at a similarity of ``least``."""
-    common = int(np.ceil(least * 2 * shingles / (1 + least) - 1e-9))
-    rng = np.random.default_rng(shingles)
+def radius(shingles: int | tuple[int, ...], least: float = LEAST, again: bool = False) -> int:
+    """The distance that all but LOST of the pairs at a similarity of ``least`` keep to: an item with so many shingles, or with
+    these counts of each, and a window of the same size, whose new shingles are all different or, with ``again``, one."""
+    counts = sorted((1,) * shingles if isinstance(shingles, int) else shingles, reverse=True)
+    size = sum(counts)
+    new = size - int(np.ceil(least * 2 * size / (1 + least) - 1e-9))
+    rng = np.random.default_rng(size)
     draw = lambda n: 2 * rng.binomial(n, 0.5, (4096, 64)) - n  # noqa: E731  # a sum of n signs, for each bit
-    both = draw(common)
-    distance = ((both + draw(shingles - common) > 0) != (both + draw(shingles - common) > 0)).sum(axis=1)
-    return int(np.quantile(distance, 1 - LOST, method="higher"))
+    found = 0
+    for order in {tuple(counts), tuple(counts[::-1])}:
+        left, kept, gone, once = new, np.zeros((4096, 64), np.int64), np.zeros((4096, 64), np.int64), [0, 0]
+        for c in order:
+            less = min(c, left)
+            left -= less
+            if c == 1:
+                once[less] += 1
+                continue
+            sign = draw(1)
+            kept += (c - less) * sign
+            gone += less * sign
+        kept += draw(once[0])
+        gone += draw(once[1])
+        added = new * draw(1) if again else draw(new)
+        distance = ((kept + gone > 0) != (kept + added > 0)).sum(axis=1)
+        found = max(found, int(np.quantile(distance, 1 - LOST, method="higher")))
+    return found
 
 
 class Index:
@@ -111,12 +133,15 @@ class Index:
         keys = np.array(sorted(self.items_of), np.uint64)
         self.seeds[(keys & np.uint64((1 << _SEED_BITS) - 1)).astype(np.int64)] = True
         self.keys = keys
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray], int]] = {}
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]] = {}
+        self.wide: dict[int, np.ndarray] = {}  # by size: each item's radius for windows with repeated shingles
         values = np.arange(1 << 16, dtype=np.uint16)
         for n in np.unique(self.n_words[self.n_words >= SHINGLE]).tolist():
             own = np.flatnonzero(self.n_words == n)
             known = np.array([np.packbits(simhash(sh[at == i]).sum(axis=0) > 0) for i in own], np.uint8).view(np.uint16)
-            far, tables = radius(n - SHINGLE + 1, least), []
+            counts = [tuple(sorted(self.bags[i].values())) for i in own.tolist()]
+            far, tables = np.array([radius(c, least) for c in counts]), []
+            self.wide[n] = np.array([radius(c, least, True) for c in counts])
             for k in range(BLOCKS):
                 near = np.bitwise_count(values[:, None] ^ known[None, :, k]) <= far // BLOCKS
                 tables.append(np.packbits(near, axis=1, bitorder="little"))  # a bit for each item
@@ -145,9 +170,19 @@ class Index:
         """(window, item) of all items of ``n`` words within the radius of each fingerprint."""
         own, known, _, far = self.by_size[n]
         w, i = self.listed(n, prints)
-        ok = np.bitwise_count(prints[w] ^ known[i]).sum(axis=1) <= far
+        ok = np.bitwise_count(prints[w] ^ known[i]).sum(axis=1) <= far[i]
         return w[ok], own[i[ok]]
 
+    def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``lookup`` for windows with repeated shingles: all fingerprints of the size, by the larger radii."""
+        own, known, _, _ = self.by_size[n]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a in range(0, len(prints), 256):
+            apart = sum(np.bitwise_count(prints[a : a + 256, None, k] ^ known[None, :, k]).astype(np.int64) for k in range(BLOCKS))
+            w, i = np.nonzero(apart <= self.wide[n])
+            found.append((w + a, own[i]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def sequences(self, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float, int]]:
         """(row, item, 1.0, first word) of the items of fewer than five words that a row holds."""
         best: dict[tuple[int, int], int] = {}
@@ -191,6 +226,12 @@ class Index:
                     if similar >= self.least:
                         best[r, i] = similar, 0
                 continue
+            mine = sh[first:last]
+            order = np.argsort(mine, kind="stable")
+            again = np.full(len(mine) + 1, 1 << 62)  # where a shingle at or after a place comes next
+            same_ = np.flatnonzero(mine[order][1:] == mine[order][:-1])
+            again[order[same_]] = order[same_ + 1]
+            again = np.minimum.accumulate(again[::-1])[::-1] + first
             begins = np.unique(np.concatenate([np.arange(max(first, p - k + 1), min(p, last - k) + 1) for p in where]))
             for c in range(0, len(begins), 4096):
                 part = begins[c : c + 4096]
@@ -198,7 +239,11 @@ class Index:
                 total = np.zeros((hi - lo + 1, 64), np.int32)
                 np.cumsum(simhash(sh[lo:hi]), axis=0, out=total[1:])
                 prints = np.packbits(total[part - lo + k] - total[part - lo] > 0, axis=1).view(np.uint16)
-                for w, i in zip(*(x.tolist() for x in self.lookup(n, prints)), strict=True):
+                repeats = again[part - first] < part + k
+                some = [(np.flatnonzero(m), f) for m, f in ((~repeats, self.lookup), (repeats, self.near)) if m.any()]
+                pairs = [(at[w], i) for at, f in some for w, i in [f(n, prints[at])]]
+                listed = sorted((int(w), int(i)) for w_, i_ in pairs for w, i in zip(w_, i_, strict=True))
+                for w, i in listed:
                     b = int(part[w])
                     bag, window = self.bags[i], Counter(sh[b : b + k].tolist())
                     same = sum(min(c, bag[s]) for s, c in window.items() if s in bag)

@@ -665,6 +665,8 @@ def test_multi_index_finds_every_fingerprint_within_the_radius_and_lists_few_oth
         assert set(zip(*(x.tolist() for x in index.lookup(words, probe)), strict=True)) == want
         share = len(index.listed(words, probe[200:])[0]) / (3800 * 120)
         assert share < (0.2 if words > 30 else 0.75)
+        w, i = index.near(words, probe)
+        assert {(int(a), int(own[b])) for a, b in zip(*np.nonzero(d <= index.wide[words]), strict=True)} == set(zip(w.tolist(), i.tolist(), strict=True))
 
 
 def test_radius_keeps_pairs_at_the_threshold():
@@ -682,6 +684,32 @@ def test_radius_keeps_pairs_at_the_threshold():
         assert lost <= 2
 
 
+@pytest.mark.parametrize(("words", "run"), [(150, 12), (170, 12), (220, 20), (60, 9), (24, 7)])
+def test_drills_and_refrains_are_found(words, run):
+    """Items with one word many times over, and windows with one, at similarities from 0.8 on."""
+    rng = np.random.default_rng(words + run)
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    items, texts, similar = [], [], []
+    for n in range(200):
+        a = fresh(words)
+        b, at = list(a), int(rng.integers(5, words - run - 5))
+        which = a if n % 2 else b
+        which[at : at + run] = [which[at]] * run
+        fits = lambda w: (lambda x, y: (x & y).total() / (x | y).total())(bag(a), bag(w))  # noqa: B023, E731
+        if fits(b) < 0.8:
+            b = list(a)
+        while fits(c := [*b[:-1][1:], *fresh(2)]) >= 0.8:  # noqa: B023
+            b = c
+        items.append(" ".join(a))
+        texts.append(" ".join(b))
+        similar.append(fits(b))
+    assert 0.8 <= min(similar) and np.median(similar) < 0.9
+    index = decontaminate.Index(list(range(200)), items)
+    found = {(r, i): s for r, i, s, _ in index.scan(pa.array(texts, pa.large_string()))}
+    assert sum(found.get((k, k), 0) == pytest.approx(similar[k]) for k in range(200)) >= 199
+
+
 # --- words
 
 
