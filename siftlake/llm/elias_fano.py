@@ -5,9 +5,10 @@ in ids; the Elias-Fano coded document ids less the first one; a JSON footer; its
 A value costs about 2 + log2(range / count) bits. Every ``SAMPLE``-th one's place is stored with the bits, so ``select`` finds
 one offset, and ``decode`` a range of them, without reading the rest and without a table of 64-bit offsets.
 
-Writing: texts are encoded where they lie, and only ids are shuffled. Shards are ranges of document ids of about
-``SHARD_BYTES`` of text each, so their number grows with the corpus and what a task holds does not; a shard is written as a
-stream by one task. A task that runs again writes another file; only files named in the manifest count. Reading: each task
+Writing: texts are encoded where they lie, and only ids are shuffled. Shards are ranges of (document id, hash of the text) with
+about ``SHARD_BYTES`` of text each, by the running sum of bytes in that order, so long documents, a null id or an id that many
+rows share are spread as well. There are at most ``SHARDS`` of them, whose bounds are broadcast; beyond that they grow. A shard
+is written as a stream by one task. A task that runs again writes another file; only files named in the manifest count. Reading: each task
 takes a range of a shard's documents, finds it by ``select`` and reads that part of the file alone.
 """
 
@@ -21,7 +22,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from siftlake.llm.tokens import Encoder
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256  #: every so many ones, the select structure keeps a position
 SHARD_BYTES = 32 << 20  #: of text
+SHARDS = 1 << 16
+CUTS = 8  #: places of a shard's width at which it may end
 RANGE = 2048  #: documents that a reading task takes
 
 
@@ -100,43 +104,100 @@ class EliasFano:
         return ((at - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI; one without a scheme is of the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path)
 
 
-def _bounds(rows: DataFrame, shards: int | None) -> np.ndarray:
-    """The last document id of every shard but the last: ids at even places of the corpus, by its bytes of text."""
-    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("id")).first()
-    n = shards or -(-(size or 0) // SHARD_BYTES)
-    if n < 2 or not count:
-        return np.zeros(0, np.int64)
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], min(10 * n, 1_000_000))).first()[0]
-    return np.unique(np.array(cuts, np.int64))
+_NONE = np.iinfo(np.int64).min  # where a null id stands in the order
+
+
+def _order() -> list[Column]:
+    return [F.col("id").asc_nulls_first(), F.col("h")]
+
+
+def _bounds(rows: DataFrame, shards: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The last (id, h) of every shard but the last, at even places of the running sum of bytes; one that is larger than a
+    shard's width comes several times. The driver gets CUTS * SHARDS rows at most, whatever the corpus."""
+    keys = store.stash(rows.groupBy("id", "h").agg(F.sum(F.octet_length("text") + 1).alias("bytes")), "sizes")
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    n = min(shards or -(-total // SHARD_BYTES), SHARDS)
+    none = np.zeros(0, np.int64)
+    if n < 2:
+        store.drop_stash(keys)
+        return none, none
+    step = max(1, total // (CUTS * n))
+
+    def cuts(batches):
+        at, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            upto = at + np.cumsum(b.column("bytes").to_numpy())
+            before = np.concatenate([[at], upto[:-1]]) // step
+            times = upto // step - before  # the steps that end inside a key's bytes
+            hit = np.repeat(np.arange(len(upto)), times)
+            place = (before[hit] + 1 + np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)) * step
+            at = int(upto[-1]) if len(upto) else at
+            if len(hit):
+                known = pc.fill_null(b.column("id"), int(_NONE)).to_numpy()
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(hit), part), pa.int32()), "id": known[hit], "h": b.column("h").to_numpy()[hit], "upto": place, "last": np.zeros(len(hit), bool)})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "id": [0], "h": [0], "upto": [at], "last": [True]})
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with store.cleaned(rows.sparkSession):
+        dealt = keys.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order())
+        found = dealt.mapInArrow(cuts, "part int, id bigint, h bigint, upto bigint, last boolean").toArrow()
+    store.drop_stash(keys)
+    part, ids, h, upto, last = (found.column(c).to_numpy() for c in ("part", "id", "h", "upto", "last"))
+    sizes = np.zeros(parts + 1, np.int64)
+    sizes[part[last] + 1] = upto[last]
+    place = upto + np.cumsum(sizes)[part]  # of a part's cuts, in the whole order
+    order = np.argsort(np.where(last, np.iinfo(np.int64).max, place), kind="stable")[: int((~last).sum())]
+    at = np.searchsorted(place[order], total * np.arange(1, n) / n - step / 2)
+    at = order[at[at < len(order)]]
+    return ids[at], h[at]
+
+
+def _shard_of(bounds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The shard of each (id, h). Rows equal to a bound that comes several times are dealt over its shards in turn."""
+    low, high = (np.searchsorted(bounds[0], ids, side=x) for x in ("left", "right"))
+    shard = low.copy()
+    for i in np.flatnonzero(low < high).tolist():
+        tied = bounds[1][low[i] : high[i]]
+        a, z = (int(np.searchsorted(tied, h[i], side=x)) for x in ("left", "right"))
+        shard[i] = low[i] + a + (i % (z - a) if z > a else 0)
+    return shard.astype(np.int32)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shards: int | None = None) -> DataFrame:
     """Encode and write all documents; returns the manifest (shard, path, n_docs, n_tokens), itself a stored table.
 
-    Ids are integers. Null texts are empty (their end id alone). Null ids come first and repeated ids stay side by side, each
+    Ids are integers (what does not cast to one raises). Null texts are empty (their end id alone). Null ids come first and repeated ids stay side by side, each
     with its own ids. An empty table gives an empty manifest. Other columns are not read. A folder that is no URI is one of
     the cluster's default file system, which every node must share.
     """
     spark = docs.sparkSession
     folder = folder or store.new_path(spark, "tokens")
-    where = folder if ":" in folder else f"file://{folder}"
-    rows = text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    where = _qualified(spark, folder)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = text.bounded(docs).select(F.col(id_col).cast("bigint").alias("id"), body.alias("text"), F.xxhash64(body).alias("h"))
     bounds = spark.sparkContext.broadcast(_bounds(rows, shards))
 
     def encoded(batches):
         coder = Encoder.of(tokenizer)
         for b in text.pieces(batches, "text", 1 << 20):
             ids = b.column("id")
-            known = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy()
-            shard = np.searchsorted(bounds.value, known, side="left").astype(np.int32)
+            h = b.column("h")
+            shard = _shard_of(bounds.value, pc.fill_null(ids, int(_NONE)).to_numpy(), h.to_numpy())
             tokens = [t.tobytes() for t in coder.encode(b.column("text").to_pylist(), end)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(tokens, pa.binary())], ["shard", "id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, h, pa.array(tokens, pa.binary())], ["shard", "id", "h", "tokens"])
 
     def written(batches):
         width = Encoder.of(tokenizer).width
@@ -170,7 +231,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "d
             yield finish()
         text.tidy()
 
-    dealt = rows.mapInArrow(encoded, "shard int, id bigint, tokens binary").repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first())
+    dealt = rows.mapInArrow(encoded, "shard int, id bigint, h bigint, tokens binary").repartition("shard").sortWithinPartitions("shard", *_order())
     return store.stash(dealt.mapInArrow(written, "shard int, path string, n_docs bigint, n_tokens bigint"), "manifest")
 
 

@@ -151,7 +151,7 @@ def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, rng:
 def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """``pieces`` with sequence_id and offset: sequences of at most ``capacity``, gapless from 0.
 
-    Every row is one piece, whatever its other columns hold. Lengths must be 1 to ``capacity``. An empty table gives an
+    Every row is one piece, whatever its other columns hold. Lengths must be 1 to ``capacity``; a null one raises. An empty table gives an
     empty result. Columns named sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
@@ -199,7 +199,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", bl
         at = np.empty(len(sizes), np.int64)
         at[order] = ends - sizes[order] - np.concatenate([[0], np.cumsum(fill)[:-1]])[bins[order]]
         rows = np.frombuffer(df["rows"].iloc[0], np.int64)
-        return pd.DataFrame({number: rows, "block": int(df["block"].iloc[0]), "bin": bins, "at": at, "fill": fill[bins]})
+        return pd.DataFrame({number: rows, "__block": int(df["block"].iloc[0]), "__bin": bins, "__at": at, "__fill": fill[bins]})
 
     done = []
     count = rest.count()
@@ -216,11 +216,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", bl
                 now = now.join(guests, ["block", "island"]).withColumn("population", F.expr("concat(slice(population, 1, size(population) - 1), array(guest))")).drop("guest")
             now = now.repartition(min(blocks * islands, 4 * partitions), "block", "island")
             now = store.stash(now.mapInArrow(epoch(level, e), state), "islands")
-        packed = now.groupBy("block").applyInPandas(placed, f"{number} bigint, block int, bin int, at bigint, fill bigint")
+        packed = now.groupBy("block").applyInPandas(placed, f"{number} bigint, __block int, __bin int, __at bigint, __fill bigint")
         packed = store.stash(rest.join(packed, number), "packed")
-        final = F.lit(True) if blocks == 1 else F.col("fill") >= int(least * capacity)
-        name = F.lit(level << 48).cast("bigint") + F.col("block").cast("bigint") * (1 << 24) + F.col("bin")
-        done.append(packed.where(final).select(*keep, name.alias("sequence_id"), F.col("at").alias("offset")))
+        final = F.lit(True) if blocks == 1 else F.col("__fill") >= int(least * capacity)
+        name = F.lit(level << 48).cast("bigint") + F.col("__block").cast("bigint") * (1 << 24) + F.col("__bin")
+        done.append(packed.where(final).select(*keep, name.alias("sequence_id"), F.col("__at").alias("offset")))
         rest = packed.where(~final).select(*keep, number, "__n")
         count = 0 if blocks == 1 else rest.count()
     if not done:

@@ -271,6 +271,29 @@ def test_token_shards(which, request, tokenizer, monkeypatch):
         at += r["n_tokens"]
 
 
+def test_shards_hold_even_shares_of_bytes(spark, tokenizer, monkeypatch):
+    """Long documents with small ids, an id that many rows share, and null ids."""
+    monkeypatch.setattr(elias_fano, "SHARD_BYTES", 40_000)
+    rows = [(i, "word " * 1500) for i in range(40)] + [(i, "word word") for i in range(40, 2000)]
+    rows += [(5000, "word " * 40 + str(k)) for k in range(1500)] + [(5001, "word " * 40)] * 1000 + [(None, "word " * 50 + str(k)) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = elias_fano.write_shards(df, tokenizer, end=2)
+    total = sum(len(t) + 1 for _, t in rows)
+    shares = sorted(r.n_tokens for r in manifest.collect())
+    assert len(shares) >= 0.8 * total / 40_000
+    assert shares[-1] <= 2 * np.median(shares)
+    got = elias_fano.read_shards(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    e = tokens.Encoder(tokenizer)
+    crcs = {t: zlib.crc32(e.encode([t], 2)[0].astype("<u4").tobytes()) for t in {t for _, t in rows}}
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, crcs[t]) for i, t in rows)
+
+
+def test_a_folder_without_a_scheme_is_of_the_default_file_system(spark):
+    assert elias_fano._qualified(spark, "/some/where") == "file:///some/where"
+    assert elias_fano._qualified(spark, "file:///some/where") == "file:///some/where"
+
+
 @pytest.mark.parametrize("which", ["documents", "hostile", "none_at_all"])
 def test_packing(which, request, tokenizer):
     df = request.getfixturevalue(which)
@@ -296,8 +319,12 @@ def test_packing(which, request, tokenizer):
 
 def test_packing_of_pieces_that_never_pair(spark):
     df = spark.createDataFrame([(i, 300) for i in range(500)], "doc_id long, length long")
-    got = packing.pack(df, 512, block=100).collect()
+    df = df.selectExpr("*", "1 AS block", "2 AS bin", "3 AS at", "4 AS fill", "5 AS island", "6 AS rows", "7 AS offset", "8 AS sequence_id", "9 AS population")
+    packed = packing.pack(df, 512, block=100)
+    got = packed.collect()
     assert len(got) == 500
+    assert set(packed.columns) == set(df.columns)
+    assert {(r.block, r.bin, r["at"], r.fill, r.island, r.rows) for r in got} == {(1, 2, 3, 4, 5, 6)}
     assert len({r.sequence_id for r in got}) == 500
 
 
