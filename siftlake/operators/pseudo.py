@@ -99,11 +99,11 @@ def true_quality(rows: DataFrame, features: tuple[str, ...], names: list[str], s
     return g.select("dataset", "detector", F.col("auc").alias("true_auc"), F.col("ap").alias("true_ap"))
 
 
-def nomas(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str], digits: int = 9) -> DataFrame:
-    """(dataset, detector, nomas, subsets): mean pseudo-AUC over the usable subsets of a data set's normals."""
+def subset_quality(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str], digits: int = 9) -> DataFrame:
+    """(dataset, detector, quality, subsets): mean pseudo-AUC over the usable subsets of a data set's normals."""
     usable = members.join(usable_subsets(members), ["dataset", "subset"], "left_semi")
     a = pseudo_auc(rows, usable, features, names, digits=digits)
-    return a.groupBy("dataset", "detector").agg(F.avg("pseudo_auc").alias("nomas"), F.count("pseudo_auc").alias("subsets")).where("subsets > 0")
+    return a.groupBy("dataset", "detector").agg(F.avg("pseudo_auc").alias("quality"), F.count("pseudo_auc").alias("subsets")).where("subsets > 0")
 
 
 def regime_scores(rows: DataFrame, clustered: dict[int, DataFrame], selections: tuple[str, ...], features: tuple[str, ...], names: list[str], n_subsets: int, seed: object, digits: int = 9) -> DataFrame:

@@ -414,15 +414,15 @@ def g10_usable_subsets(spark, sf_dir):
     return G.usable_subsets(G.memberships(g, d, 6, 1))
 
 
-_NOMAS = _PSEUDO.replace(_GRID, _GRID + " WHERE y = 0").replace("q AS (SELECT *, dataset || '/' || subset AS d FROM m)", "q AS (SELECT *, dataset || '/' || subset AS d FROM m WHERE (dataset, subset) IN (SELECT (dataset, subset) FROM m GROUP BY dataset, subset HAVING count(*) >= 60 AND sum((role = 'pseudo_anom')::INT) >= 3 AND sum((role = 'pseudo_norm')::INT) >= 3 AND sum((role = 'train')::INT) >= 20))")
+_QUALITY = _PSEUDO.replace(_GRID, _GRID + " WHERE y = 0").replace("q AS (SELECT *, dataset || '/' || subset AS d FROM m)", "q AS (SELECT *, dataset || '/' || subset AS d FROM m WHERE (dataset, subset) IN (SELECT (dataset, subset) FROM m GROUP BY dataset, subset HAVING count(*) >= 60 AND sum((role = 'pseudo_anom')::INT) >= 3 AND sum((role = 'pseudo_norm')::INT) >= 3 AND sum((role = 'train')::INT) >= 20))")
 
 
-@query(sql("feat", f"{_NOMAS} SELECT split_part(d, '/', 1) AS dataset, detector, round(avg(auc), 6) AS nomas, count(auc) AS subsets FROM pauc GROUP BY ALL"))
-def g10_nomas(spark, sf_dir):
+@query(sql("feat", f"{_QUALITY} SELECT split_part(d, '/', 1) AS dataset, detector, round(avg(auc), 6) AS quality, count(auc) AS subsets FROM pauc GROUP BY ALL"))
+def g10_subset_quality(spark, sf_dir):
     normals = _grid(spark, sf_dir).where("y = 0")
     totals = normals.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     drawn = G.draw_subsets(G.candidates(E.composite_scores(normals), "smallest"), totals, 5, 1)
-    return G.nomas(base.tab(spark, sf_dir).where("y = 0"), G.memberships(normals, drawn, 5, 1), FEATURES, GRADED, 5).withColumn("nomas", F.round("nomas", 6))
+    return G.subset_quality(base.tab(spark, sf_dir).where("y = 0"), G.memberships(normals, drawn, 5, 1), FEATURES, GRADED, 5).withColumn("quality", F.round("quality", 6))
 
 
 _EDGE = f"g AS ({_GRID}), c AS (SELECT dataset, cluster, avg(p) AS cp, avg(q) AS cq FROM g GROUP BY ALL), t AS (SELECT g.dataset, row_id, g.cluster, sqrt((p - cp) ** 2 + (q - cq) ** 2) AS d FROM g JOIN c USING (dataset, cluster)), e AS (SELECT *, percent_rank() OVER (PARTITION BY dataset, cluster ORDER BY round(d, 9), row_id) AS share FROM t)"
