@@ -10,12 +10,31 @@ from pyspark.sql import functions as F
 
 from siftlake.operators import metrics as M
 from siftlake.operators import space
+from siftlake.session import stored
 
 
 def moments(long: DataFrame) -> DataFrame:
-    """(dataset, mean_skew, mean_kurt, bimodality): over features; bimodality is the largest (skew² + 1) / (kurtosis + 3)."""
-    m = long.groupBy("dataset", "feature").agg(F.skewness("value").alias("s"), F.kurtosis("value").alias("k"))
-    return m.groupBy("dataset").agg(F.avg(F.abs("s")).alias("mean_skew"), F.avg("k").alias("mean_kurt"), F.max((F.col("s") * F.col("s") + 1) / (F.col("k") + 3)).alias("bimodality"))
+    """(dataset, mean_skew, mean_kurt, kurt_max, heavy_share, bimodal_share) over features that vary.
+
+    heavy_share counts excess kurtosis above 3; bimodal_share a coefficient above 0.555, which is (skew² + 1) / (kurtosis +
+    3 (n - 1)² / ((n - 2) (n - 3))).
+    """
+    m = long.groupBy("dataset", "feature").agg(F.skewness("value").alias("s"), F.kurtosis("value").alias("k"), F.count("value").cast("double").alias("n"), F.stddev_pop("value").alias("sd")).where("sd >= 1e-9")
+    coefficient = F.expr("(s * s + 1) / (k + 3 * (n - 1) * (n - 1) / greatest((n - 2) * (n - 3), 1))")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return m.groupBy("dataset").agg(F.avg(F.abs("s")).alias("mean_skew"), F.avg("k").alias("mean_kurt"), F.max("k").alias("kurt_max"), share(F.col("k") > 3).alias("heavy_share"), share(coefficient > 0.555).alias("bimodal_share"))
+
+
+def extent(rows: DataFrame, features: tuple[str, ...], clusters: int = 10) -> DataFrame:
+    """(dataset, tail_ratio, cluster_gain, log_n, log_d) of standardised rows: the 99th percentile of distances to the centre
+    over their median; what k-means with min(clusters, max(2, n // 50)) centres takes off the sum of squares; sizes as log10."""
+    z = stored(space.standardise(rows.select("dataset", "row_id", *features), features).withColumn("z", F.array(*features)), "standard")
+    square = F.expr("aggregate(z, 0.0D, (s, x) -> s + x * x)")
+    far = z.groupBy("dataset").agg((F.percentile(F.sqrt(square), 0.99) / (F.percentile(F.sqrt(square), 0.5) + 1e-9)).alias("tail_ratio"), F.sum(square).alias("_all"), F.log10(F.count(F.lit(1))).alias("log_n"))
+    c = space.kmeans(z.select("dataset", "row_id", "z"), clusters, share=50)
+    sums = c.select("dataset", "cluster", F.posexplode("z").alias("i", "v")).groupBy("dataset", "cluster", "i").agg((F.var_pop("v") * F.count(F.lit(1))).alias("_w"))
+    within = sums.groupBy("dataset").agg(F.sum("_w").alias("_within"))
+    return far.join(within, "dataset").select("dataset", "tail_ratio", (1 - F.col("_within") / (F.col("_all") + 1e-9)).alias("cluster_gain"), "log_n", F.log10(F.lit(float(len(features)))).alias("log_d"))
 
 
 def mean_correlation(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -26,7 +45,8 @@ def mean_correlation(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
 
 
 def spectrum(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """(dataset, effective_dim, top_share, low_share, intrinsic_95, eigengap) of the standardised covariance."""
+    """(dataset, effective_dim, top_share, low_share, intrinsic_95, eigengap) of the standardised covariance; low_share is
+    that of the lower half of the axes."""
     e = space.principal_axes(space.standardise(rows, features), features)
     total = "aggregate(values, 0.0D, (s, x) -> s + x)"
     upto = "transform(values, (v, i) -> aggregate(slice(values, 1, i + 1), 0.0D, (s, x) -> s + x))"
@@ -34,18 +54,33 @@ def spectrum(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
         "dataset",
         F.expr(f"{total} * {total} / aggregate(values, 0.0D, (s, x) -> s + x * x)").alias("effective_dim"),
         F.expr(f"values[0] / {total}").alias("top_share"),
-        F.expr(f"values[size(values) - 1] / {total}").alias("low_share"),
+        F.expr(f"aggregate(slice(values, size(values) div 2 + 1, size(values)), 0.0D, (s, x) -> s + x) / {total}").alias("low_share"),
         F.expr(f"1 + size(filter({upto}, c -> c < 0.95 * {total} - 1e-12))").alias("intrinsic_95"),
         F.expr(f"(values[0] - values[1]) / {total}").alias("eigengap"),
     )
 
 
-def neighbour_structure(asked: DataFrame, features: tuple[str, ...], k: int = 10, rows: DataFrame | None = None) -> DataFrame:
-    """(dataset, nn_scale, density_spread, nn_ratio, two_nn_dim, hubness) of the asked rows among ``rows`` (or themselves)."""
-    n = space.neighbours(asked, asked if rows is None else rows, features, k)
-    near = n.groupBy("dataset", "row_id").agg(F.max(F.when(F.col("place") == 1, F.col("distance"))).alias("d1"), F.max(F.when(F.col("place") == 2, F.col("distance"))).alias("d2"), F.max("distance").alias("dk"))
-    g = near.groupBy("dataset").agg(F.percentile("d1", 0.5).alias("nn_scale"), (F.stddev_pop("dk") / (F.avg("dk") + 1e-12)).alias("density_spread"), F.avg(F.col("d1") / (F.col("dk") + 1e-12)).alias("nn_ratio"), (F.count(F.lit(1)) / (F.sum(F.ln((F.col("d2") + 1e-12) / (F.col("d1") + 1e-12))) + 1e-12)).alias("two_nn_dim"))
-    hubs = n.groupBy("dataset", "other").agg(F.count(F.lit(1)).alias("c")).groupBy("dataset").agg(F.max("c").alias("hubness"))
+def neighbour_structure(rows: DataFrame, features: tuple[str, ...], k: int = 5) -> DataFrame:
+    """(dataset, nn_scale, density_spread, nn_ratio, two_nn_dim, hubness) of standardised rows, each among all others.
+
+    Of the nearest distances: median, deviation over mean, 90th over 10th percentile. two_nn_dim is the intrinsic dimension by
+    the ratios of second to first distance above 1 (the number of features if there are five or fewer). hubness is the
+    skewness, over rows, of how often a row is among the ``k`` nearest of others.
+    """
+    z = stored(space.standardise(rows.select("dataset", "row_id", *features), features), "standard")
+    n = stored(space.neighbours(z, z, features, k), "neighbours")
+    first, second = (F.max(F.when(F.col("place") == p, F.col("distance"))) for p in (1, 2))
+    near = n.groupBy("dataset", "row_id").agg(first.alias("d1"), second.alias("d2")).withColumn("mu", F.col("d2") / (F.col("d1") + 1e-12))
+    ratio = F.when(F.col("mu") > 1, F.ln("mu"))
+    dimension = F.when(F.count(ratio) > 5, F.count(ratio) / (F.sum(ratio) + 1e-9)).otherwise(F.lit(float(len(features))))
+    g = near.groupBy("dataset").agg(
+        F.percentile("d1", 0.5).alias("nn_scale"),
+        (F.stddev_pop("d1") / (F.avg("d1") + 1e-9)).alias("density_spread"),
+        (F.percentile("d1", 0.9) / (F.percentile("d1", 0.1) + 1e-9)).alias("nn_ratio"),
+        dimension.alias("two_nn_dim"),
+    )
+    hubs = n.groupBy("dataset", F.col("other").alias("row_id")).agg(F.count(F.lit(1)).alias("c"))
+    hubs = z.select("dataset", "row_id").join(hubs, ["dataset", "row_id"], "left").groupBy("dataset").agg(F.skewness(F.coalesce("c", F.lit(0))).alias("hubness"))
     return g.join(hubs, "dataset")
 
 

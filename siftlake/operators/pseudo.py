@@ -53,6 +53,40 @@ def memberships(rows: DataFrame, drawn: DataFrame, n_subsets: int, seed: object)
     return s.select("dataset", "subset", "row_id", role.alias("role"))
 
 
+def roles_of(rows: DataFrame, chosen: DataFrame, by: list[str], seed: object, unused: DataFrame | None = None) -> DataFrame:
+    """(dataset, by.., row_id, role): chosen (dataset, by.., row_id) are pseudo_anom; of a data set's others, in shuffled order,
+    the last max(50, 20%), at most a third, are pseudo_norm and the rest train. Rows of ``unused`` (dataset, row_id) that are not
+    chosen have no role."""
+    keys = ["dataset", *by]
+    s = rows.select("dataset", "row_id").join(chosen.select(*keys).distinct(), "dataset")
+    s = s.join(chosen.select(*keys, "row_id", F.lit(1).alias("_a")), [*keys, "row_id"], "left").withColumn("_a", F.coalesce("_a", F.lit(0)))
+    if unused is not None:
+        s = s.join(unused.select("dataset", "row_id", F.lit(True).alias("_u")), ["dataset", "row_id"], "left").where("_a = 1 OR _u IS NULL").drop("_u")
+    w = W.partitionBy(*keys, "_a")
+    s = s.withColumn("_k", F.row_number().over(w.orderBy(draw_order(seed, *by, "row_id")))).withColumn("_n", F.count(F.lit(1)).over(w))
+    held = F.expr("least(greatest(50, floor(_n * 0.2)), floor(_n / 3))")
+    role = F.when(F.col("_a") == 1, "pseudo_anom").when(F.col("_k") > F.col("_n") - held, "pseudo_norm").otherwise("train")
+    return s.select(*keys, "row_id", role.alias("role"))
+
+
+def tail_subsets(rows: DataFrame, pool: DataFrame, n_subsets: int, seed: object, target: float = 0.05) -> DataFrame:
+    """(dataset, subset, row_id, role): in each subset max(20, ``target`` of the rows) are drawn from the pool (dataset, row_id) of
+    tail rows as pseudo-anomalies; the rest of the pool takes no part."""
+    size = rows.groupBy("dataset").agg(F.greatest(F.lit(20), F.floor(F.count(F.lit(1)) * target)).alias("_t"))
+    s = pool.join(size, "dataset").withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
+    place = F.row_number().over(W.partitionBy("dataset", "subset").orderBy(draw_order(seed, "subset", "row_id")))
+    drawn = s.withColumn("_k", place).where(F.col("_k") <= F.col("_t")).select("dataset", "subset", "row_id")
+    return roles_of(rows, drawn, ["subset"], seed, pool)
+
+
+def regrets(pseudo: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """(dataset, by.., picked, regret, random_regret): the detector of the highest mean pseudo-AUC, ties by name, against the best."""
+    m = pseudo.groupBy("dataset", *by, "detector").agg(F.round(F.avg("pseudo_auc"), 9).alias("_p")).where("_p IS NOT NULL")
+    m = m.join(truth.select("dataset", "detector", "true_auc").where("true_auc IS NOT NULL"), ["dataset", "detector"])
+    best = m.groupBy("dataset", *by).agg(F.min(F.struct((-F.col("_p")).alias("p"), "detector", "true_auc")).alias("b"), F.max("true_auc").alias("_max"), F.avg("true_auc").alias("_avg"))
+    return best.select("dataset", *by, F.col("b.detector").alias("picked"), (F.col("_max") - F.col("b.true_auc")).alias("regret"), (F.col("_max") - F.col("_avg")).alias("random_regret"))
+
+
 def graded(rows: DataFrame, members: DataFrame, features: tuple[str, ...], names: list[str], by: list[str], positive: str, digits: int = 9) -> DataFrame:
     """(by, detector, n_train, n_pos, n_neg, auc, ap): each detector fitted on a unit's train rows and graded on its others.
 
@@ -144,10 +178,11 @@ def regimes(selections: tuple[str, ...], ks: tuple[int, ...], spark) -> DataFram
     return spark.createDataFrame([(f"{s}_K{k}", s, k) for s in selections for k in ks], "regime string, selection string, k int")
 
 
-def global_tail(rows: DataFrame, features: tuple[str, ...], share: float = 0.25) -> DataFrame:
-    """(dataset, row_id): the rows with the largest mean absolute z-score."""
+def global_tail(rows: DataFrame, features: tuple[str, ...], share: float = 0.25, centroid: bool = False) -> DataFrame:
+    """(dataset, row_id): the rows with the largest mean absolute z-score, or the farthest from the centre in z-scores."""
     w = W.partitionBy("dataset")
-    z = sum((F.abs((F.col(f) - F.avg(f).over(w)) / (F.stddev_pop(f).over(w) + 1e-9)) for f in features), F.lit(0.0)) / len(features)
+    scaled = [(F.col(f) - F.avg(f).over(w)) / (F.stddev_pop(f).over(w) + 1e-9) for f in features]
+    z = F.sqrt(sum((x * x for x in scaled), F.lit(0.0))) if centroid else sum((F.abs(x) for x in scaled), F.lit(0.0)) / len(features)
     return rows.withColumn("_z", F.round(z, 9)).withColumn("_p", F.percent_rank().over(w.orderBy(F.col("_z").desc(), "row_id"))).where(F.col("_p") < share).select("dataset", "row_id")
 
 

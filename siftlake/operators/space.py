@@ -68,11 +68,11 @@ def random_projection(rows: DataFrame, features: tuple[str, ...], dim: int, seed
     return rows.withColumn("z", F.array(*[sum((F.lit(float(w)) * F.col(f) for w, f in zip(row, features, strict=True)), F.lit(0.0)) for row in m]))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 0, sample: int = 5000, rounds: int = 15, train: DataFrame | None = None) -> DataFrame:
+def kmeans(rows: DataFrame, k: int, seed: int = 0, sample: int = 5000, rounds: int = 15, train: DataFrame | None = None, share: int = 20) -> DataFrame:
     """rows (dataset, row_id, z) with cluster: k-means++ and Lloyd on a capped MD5 sample of ``train`` (or of the rows), then
     each row's nearest centre.
 
-    min(k, max(2, n // 20)) clusters. Centres are fitted for each data set on at most ``sample`` rows; every row is
+    min(k, max(2, n // share)) clusters. Centres are fitted for each data set on at most ``sample`` rows; every row is
     assigned by a join with them.
     """
     place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")))))
@@ -82,7 +82,7 @@ def kmeans(rows: DataFrame, k: int, seed: int = 0, sample: int = 5000, rounds: i
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
         x = np.stack(pdf["z"].to_numpy()).astype(float)
-        kk = min(k, max(2, int(pdf["_n"].iloc[0]) // 20), len(x))
+        kk = min(k, max(2, int(pdf["_n"].iloc[0]) // share), len(x))
         rng = np.random.default_rng(seed)
         centres = [x[0]]
         for _ in range(kk - 1):

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.functions.ranks import average_rank, draw_order, places
+from siftlake.functions.ranks import average_rank, draw_order, places, uniform
+from siftlake.session import stored
 
 
 def wilcoxon_sums(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -57,38 +58,35 @@ def holm(df: DataFrame, by: list[str], key: str, p: str) -> DataFrame:
     return df.withColumn("p_holm", step).withColumn("p_holm_monotone", F.max("p_holm").over(order.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, cluster: str | None = None, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """(by, mean, low, high): percentile interval of the mean, of rows or of whole clusters drawn again."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        if cluster:
-            g = pdf.sort_values([cluster, value]).groupby(cluster)[value].agg(["sum", "count"]).to_numpy(float)
-        else:
-            v = np.sort(pdf[value].to_numpy(float))
-            g = np.stack([v, np.ones(len(v))], axis=1)
-        means = np.empty(draws)
-        for a in range(0, draws, 500):
-            pick = g[rng.integers(len(g), size=(min(500, draws - a), len(g)))].sum(axis=1)
-            means[a : a + 500] = pick[:, 0] / pick[:, 1]
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"mean": [g[:, 0].sum() / g[:, 1].sum()], "low": [low], "high": [high]})
-
-    return df.groupBy(*by).applyInPandas(run, f"{kinds}, mean double, low double, high double")
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, key: str, draws: int = 10_000, seed: object = 0) -> DataFrame:
+    """(by, mean, low, high): 95 % percentile interval of the mean when the keys, each with all its rows, are drawn again.
 
+    A draw is a hash: for each key there is one pick, at the place floor(u * n) of the unit's keys in order, with u from the MD5
+    of seed, draw and key, so any SQL engine draws the same. Draws and keys are rows of a join, added up by draw.
+    """
+    units = df.groupBy(*by, key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    w = W.partitionBy(*by)  # a row for each key
+    units = units.withColumn("_at", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    units = stored(units, "units")
+    picks = units.select(*by, "_n", key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    picks = picks.select(*by, "_d", F.floor(uniform(seed, "_d", key) * F.col("_n")).cast("int").alias("_at"))
+    means = picks.join(units.select(*by, "_at", "_s", "_c"), [*by, "_at"]).groupBy(*by, "_d").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("_m"))
+    cuts = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    return units.groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean")).join(cuts, by)
 
-def sign_flip(df: DataFrame, by: list[str], value: str, cluster: str, draws: int = 20_000, seed: int = 0) -> DataFrame:
-    """(by, mean, p): (1 + draws at least as far from zero) / (draws + 1) when whole clusters change sign at random."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = pdf.sort_values([cluster, value]).groupby(cluster)[value].sum().to_numpy(float)
-        rng, seen = np.random.default_rng(seed), abs(sums.sum())
-        hits = sum(int((np.abs(rng.choice([-1.0, 1.0], (1000, len(sums))) @ sums) >= seen - 1e-12).sum()) for _ in range(draws // 1000))
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"mean": [sums.sum() / len(pdf)], "p": [(hits + 1) / (draws + 1)]})
+def sign_flip(df: DataFrame, by: list[str], value: str, cluster: str, draws: int = 20_000, seed: object = 0) -> DataFrame:
+    """(by, mean, p): (1 + draws at least as far from zero) / (draws + 1) when whole clusters change sign at random.
 
-    return df.groupBy(*by).applyInPandas(run, f"{kinds}, mean double, p double")
+    A cluster's sign in a draw is a bit of the MD5 of seed, draw and cluster.
+    """
+    units = stored(df.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_c")), "units")
+    signs = units.select(*by, "_s", cluster, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    signed = F.when(uniform(seed, "_d", cluster) < 0.5, F.col("_s")).otherwise(-F.col("_s"))
+    totals = signs.groupBy(*by, "_d").agg(F.abs(F.sum(signed)).alias("_t"))
+    seen = units.groupBy(*by).agg(F.sum("_s").alias("_all"), F.sum("_c").alias("_c"))
+    hits = totals.join(seen, by).groupBy(*by).agg(F.count(F.when(F.col("_t") >= F.abs("_all") - 1e-9, 1)).alias("_h"))
+    return seen.join(hits, by).select(*by, F.try_divide("_all", "_c").alias("mean"), ((F.col("_h") + 1) / (draws + 1)).alias("p"))
 
 
 def paired_effect(df: DataFrame, by: list[str], a: str, b: str, tie: float = 1e-9) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftlake.operators import density as N
 from siftlake.operators import detectors as D
 from siftlake.operators import harden as H
 from siftlake.operators import metrics as M
-from siftlake.operators import rows as R
+from siftlake.operators import separability as SP
 from siftlake.operators import space as E
 from siftlake.plans import base
-from siftlake.session import stored
 from siftlake.plans.base import FEATURES, sql
 from siftlake.plans.registry import query
+from siftlake.session import stored
 
 TWO = ("x1", "x3")
 
@@ -77,6 +78,23 @@ def e9_random_projection(spark, sf_dir):
     return E.random_projection(_vectors(spark, sf_dir), tuple(f"v{i}" for i in range(24)), 16).select("dataset", "row_id", "z")
 
 
+@query()
+def e10_density_clusters(spark, sf_dir):
+    """The lines of each supplier as a data set: the chosen smallest cluster size, with its clusters and share of noise."""
+    lines = base.table(spark, sf_dir, "lineitem")
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("dataset"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), *[F.col(c).cast("double").alias(c) for c in names])
+    return N.adaptive(E.standardise(rows, names), names)[0]
+
+
+@query()
+def m16_separability(spark, sf_dir):
+    """Of six detectors of the pool, how far a kernel machine sets what they flag apart."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    scores = D.fit_and_score(rows, rows, FEATURES, ["COPOD", "ECOD", "HBOS_20", "KNN_k10", "MaxZ", "PCA_0.5"])
+    return SP.separability(scores, rows, FEATURES)
+
+
 @query(sql("asked", f"WITH {_PAIRS.format(k=10)} SELECT dataset, row_id, round(max(d), 6) AS score FROM n GROUP BY ALL"))
 def k1_knn(spark, sf_dir):
     return _scores(D.knn(base.asked(spark, sf_dir), TWO, 10, base.tab(spark, sf_dir)))

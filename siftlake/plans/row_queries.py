@@ -180,7 +180,17 @@ def u11_best_per_fingerprint(spark, sf_dir):
     return U.best_per_fingerprint(p, "fp", "p_size").select("fp", "dataset")
 
 
-@query()
+_COVER = """WITH s AS (SELECT dataset, avg(x1) AS a, stddev_pop(x1) AS p, avg(x3) AS b, stddev_pop(x3) AS q, avg(x4) AS c, stddev_pop(x4) AS u FROM tab WHERE y = 0 GROUP BY ALL),
+z AS (SELECT dataset, row_id, y, (x1 - a) / p AS f, (x3 - b) / q AS g, (x4 - c) / u AS h FROM tab JOIN s USING (dataset)),
+d AS (SELECT i.dataset, i.row_id, min(sqrt((i.f - j.f) * (i.f - j.f) + (i.g - j.g) * (i.g - j.g) + (i.h - j.h) * (i.h - j.h))) AS d FROM z i JOIN z j ON i.dataset = j.dataset AND i.row_id <> j.row_id AND i.y = 0 AND j.y = 0 GROUP BY ALL),
+r AS (SELECT dataset, quantile_cont(d, 0.5) + 1e-9 AS r FROM d GROUP BY ALL),
+o AS (SELECT dataset, row_id, f, g, h, r, 0 AS step FROM z JOIN r USING (dataset) WHERE y = 1
+ UNION ALL SELECT dataset, row_id, f, g, h, r, step + 1 FROM (SELECT *, first_value(f) OVER w AS ff, first_value(g) OVER w AS fg, first_value(h) OVER w AS fh FROM o WINDOW w AS (PARTITION BY dataset ORDER BY row_id))
+ WHERE sqrt((f - ff) * (f - ff) + (g - fg) * (g - fg) + (h - fh) * (h - fh)) > r)
+SELECT dataset, count(DISTINCT step) AS n_eff FROM o GROUP BY ALL"""
+
+
+@query(sql("tab", _COVER).replace("WITH ", "WITH RECURSIVE ", 1))
 def u12_effective_count(spark, sf_dir):
     return U.effective_count(base.tab(spark, sf_dir), ("x1", "x3", "x4"))
 

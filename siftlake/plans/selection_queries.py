@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.operators import describe as X
 from siftlake.operators import detectors as D
 from siftlake.operators import metrics as M
+from siftlake.operators import mixtures as MX
 from siftlake.operators import pseudo as G
 from siftlake.operators import select as R
 from siftlake.operators import space as E
@@ -18,6 +19,7 @@ from siftlake.plans.base import FEATURES, sql
 from siftlake.plans.detector_queries import _GRID, _grid
 from siftlake.plans.metric_queries import _REGRET, _regrets
 from siftlake.plans.registry import query
+from siftlake.session import stored
 
 AVG = lambda by, c, d="": f"rank() OVER (PARTITION BY {by} ORDER BY {c}{d}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0"
 
@@ -219,16 +221,34 @@ def t2_holm(spark, sf_dir):
     return h.select("modality", "detector", F.round("p_holm", 8).alias("p_holm"), F.round("p_holm_monotone", 8).alias("p_holm_monotone"))
 
 
-@query()
+_DRAW = "('0x' || substr(md5('0:' || d || ':' || key), 1, 8))::BIGINT / 4294967296.0"
+_BOOTSTRAP = f"""WITH p AS ({_PAIR}),
+k AS (SELECT 'rows' AS kind, modality, dataset AS key, regret1 AS v FROM p UNION ALL SELECT 'clusters', modality, corpus, regret1 FROM p),
+u AS (SELECT kind, modality, key, sum(v) AS s, count(v) AS c FROM k GROUP BY ALL),
+a AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY kind, modality) AS n FROM u WINDOW w AS (PARTITION BY kind, modality ORDER BY key)),
+x AS (SELECT kind, modality, d, floor({_DRAW} * n)::BIGINT AS place FROM a, range(2000) t(d)),
+m AS (SELECT kind, modality, d, sum(s) / sum(c) AS m FROM x JOIN a USING (kind, modality, place) GROUP BY ALL),
+i AS (SELECT kind, modality, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL)
+SELECT modality, kind, round(sum(s) / sum(c), 6) AS mean, round(max(low), 6) AS low, round(max(high), 6) AS high FROM u JOIN i USING (kind, modality) GROUP BY ALL"""
+
+
+@query(sql("grade", _BOOTSTRAP))
 def t3_bootstrap_intervals(spark, sf_dir):
-    r = _regrets(spark, sf_dir)
-    rows, clusters = T.bootstrap_mean(r, ["modality"], "regret1", draws=2000), T.bootstrap_mean(r, ["modality"], "regret1", "corpus", 2000)
-    return rows.withColumn("kind", F.lit("rows")).unionAll(clusters.withColumn("kind", F.lit("clusters")))
+    r = stored(_regrets(spark, sf_dir), "regrets")
+    kinds = [T.bootstrap_mean(r, ["modality"], "regret1", key, 2000).withColumn("kind", F.lit(kind)) for kind, key in (("rows", "dataset"), ("clusters", "corpus"))]
+    return kinds[0].unionByName(kinds[1]).select("modality", "kind", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query()
+_FLIPS = f"""WITH p AS ({_PAIR}), u AS (SELECT modality, corpus AS key, sum(regret1 - random_regret) AS s, count(*) AS c FROM p GROUP BY ALL),
+t AS (SELECT modality, d, abs(sum(CASE WHEN {_DRAW} < 0.5 THEN s ELSE -s END)) AS t FROM u, range(5000) r(d) GROUP BY ALL),
+o AS (SELECT modality, sum(s) AS s, sum(c) AS c FROM u GROUP BY ALL)
+SELECT modality, round(any_value(s / c), 6) AS mean, round((1 + count(*) FILTER (t >= abs(s) - 1e-9)) / 5001.0, 9) AS p FROM t JOIN o USING (modality) GROUP BY ALL"""
+
+
+@query(sql("grade", _FLIPS))
 def t4_cluster_sign_flip(spark, sf_dir):
-    return T.sign_flip(_regrets(spark, sf_dir).withColumn("d", F.col("regret1") - F.col("random_regret")), ["modality"], "d", "corpus", 5000)
+    d = _regrets(spark, sf_dir).withColumn("d", F.col("regret1") - F.col("random_regret"))
+    return T.sign_flip(d, ["modality"], "d", "corpus", 5000).select("modality", F.round("mean", 6).alias("mean"), F.round("p", 9).alias("p"))
 
 
 @query(sql("grade", f"SELECT modality, round(avg(regret1 - random_regret) / stddev_samp(regret1 - random_regret), 6) AS dz, sum(CASE WHEN regret1 - random_regret > 1e-9 THEN 1 ELSE 0 END) AS wins, sum(CASE WHEN abs(regret1 - random_regret) <= 1e-9 THEN 1 ELSE 0 END) AS ties, sum(CASE WHEN regret1 - random_regret < -1e-9 THEN 1 ELSE 0 END) AS losses FROM ({_PAIR}) GROUP BY ALL"))
@@ -408,6 +428,62 @@ def g9_contamination(spark, sf_dir):
     return G.contaminate(base.tab(spark, sf_dir), (0.0, 0.005, 0.01, 0.02, 0.05, -1.0), 4)
 
 
+def _held_sql(chosen: str, but: str = "") -> str:
+    """Expressions that end in q (dataset, unit, d, row_id, role) for chosen (dataset, unit, row_id), without the rows of ``but``."""
+    roles = "CASE WHEN a = 1 THEN 'pseudo_anom' WHEN k > n - least(greatest(50, floor(n * 0.2)), floor(n / 3)) THEN 'pseudo_norm' ELSE 'train' END"
+    left = f" WHERE c.row_id IS NOT NULL OR (t.dataset, t.row_id) NOT IN (SELECT (dataset, row_id) FROM {but})" if but else ""
+    return f"""un AS (SELECT DISTINCT dataset, unit FROM {chosen}),
+al AS (SELECT t.dataset, un.unit, t.row_id, CASE WHEN c.row_id IS NULL THEN 0 ELSE 1 END AS a FROM tab t JOIN un ON t.dataset = un.dataset LEFT JOIN {chosen} c ON c.dataset = t.dataset AND c.unit = un.unit AND c.row_id = t.row_id{left}),
+kk AS (SELECT *, row_number() OVER (PARTITION BY dataset, unit, a ORDER BY md5('6:' || unit || ':' || row_id)) AS k, count(*) OVER (PARTITION BY dataset, unit, a) AS n FROM al),
+q AS (SELECT dataset, unit, dataset || '/' || unit AS d, row_id, {roles} AS role FROM kk), {_graded_sql('p', 'q', 'pseudo_anom')}"""
+
+
+_UNITS = "SELECT un.dataset, un.unit AS {unit}, detector, round(auc, 6) AS pseudo_auc FROM un JOIN pauc ON d = dataset || '/' || unit"
+_TAILS = """m AS (SELECT dataset, row_id, round(avg(abs(z)), 9) AS z FROM zfeat GROUP BY ALL),
+pool AS (SELECT dataset, row_id FROM m QUALIFY percent_rank() OVER (PARTITION BY dataset ORDER BY z DESC, row_id) < 0.25),
+ch AS (SELECT dataset, i AS unit, row_id FROM pool, range(3) t(i) QUALIFY row_number() OVER (PARTITION BY dataset, i ORDER BY md5('6:' || i || ':' || row_id)) <= (SELECT greatest(20, floor(count(*) * 0.05)) FROM tab o WHERE o.dataset = pool.dataset))"""
+
+
+@query(sql("zfeat", f"WITH {_TAILS}, {_held_sql('ch', 'pool')} {_UNITS.format(unit='subset')}"))
+def g7_global_tail_graded(spark, sf_dir):
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    members = G.tail_subsets(rows, G.global_tail(rows, FEATURES), 3, 6)
+    return G.pseudo_auc(rows, members, FEATURES, GRADED, digits=5).select("dataset", "subset", "detector", F.round("pseudo_auc", 6).alias("pseudo_auc"))
+
+
+_BANKS = """nn AS (SELECT DISTINCT dataset, feature FROM feat), oo AS (SELECT dataset, i AS unit, feature, md5('2:' || dataset || ':' || i || ':' || feature) AS o FROM nn, range(3) t(i)),
+pp AS (SELECT *, ('0x' || substr(o, 32, 1))::INT % 2 = 0 AS low FROM oo QUALIFY row_number() OVER (PARTITION BY dataset, unit ORDER BY o) = 1),
+qq AS (SELECT dataset, feature, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM feat GROUP BY ALL),
+ca AS (SELECT f.dataset, unit, row_id FROM feat f JOIN pp USING (dataset, feature) JOIN qq USING (dataset, feature) WHERE CASE WHEN low THEN value <= lo ELSE value >= hi END),
+ch AS (SELECT * FROM ca QUALIFY count(*) OVER (PARTITION BY dataset, unit) BETWEEN 5 AND (SELECT count(*) / 2 FROM tab o WHERE o.dataset = ca.dataset))"""
+
+
+@query(sql("feat", f"WITH {_BANKS}, {_held_sql('ch')} {_UNITS.format(unit='bank')}"))
+def g8_marginal_tail_graded(spark, sf_dir):
+    """Banks of fewer than 5 rows, or of over half a data set, are left out."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    tails = stored(G.marginal_tail(base.long(rows), 3, 2), "tails")
+    sizes = tails.groupBy("dataset", "bank").agg(F.count(F.lit(1)).alias("n")).join(rows.groupBy("dataset").agg((F.count(F.lit(1)) / 2).alias("half")), "dataset")
+    tails = tails.join(sizes.where("n >= 5 AND n <= half").select("dataset", "bank"), ["dataset", "bank"])
+    members = G.roles_of(rows, tails, ["bank"], 6)
+    return G.pseudo_auc(rows, members, FEATURES, GRADED, ("dataset", "bank"), 5).select("dataset", "bank", "detector", F.round("pseudo_auc", 6).alias("pseudo_auc"))
+
+
+@query()
+def g9_contamination_regret(spark, sf_dir):
+    """The pick's regret when unlabelled anomalies are left among the rows, by their rate; -1 is all of them."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    mixed = G.contaminate(rows, (0.0, 0.01, 0.05, -1.0), 4)
+    grid = _grid(spark, sf_dir).drop("y").join(mixed.select("dataset", "rate", "row_id"), ["dataset", "row_id"])
+    unit = F.concat_ws("|", F.col("dataset"), F.col("rate").cast("string"))
+    grid = stored(grid.withColumn("dataset", unit).drop("rate"), "mixed")
+    totals = grid.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    members = G.memberships(grid, G.draw_subsets(G.candidates(E.composite_scores(grid), "smallest"), totals, 3, 1), 3, 1)
+    members = members.select(F.substring_index("dataset", "|", 1).alias("dataset"), F.substring_index("dataset", "|", -1).cast("double").alias("rate"), "subset", "row_id", "role")
+    pseudo = G.pseudo_auc(rows, members, FEATURES, GRADED, ("dataset", "rate", "subset"), 5)
+    return G.regrets(pseudo, G.true_quality(rows, FEATURES, GRADED, 3, 5), ["rate"])
+
+
 @query()
 def g10_usable_subsets(spark, sf_dir):
     g, d = _drawn(spark, sf_dir)
@@ -440,6 +516,19 @@ def g11_two_channels(spark, sf_dir):
     return G.two_channels(G.edge_tags(g), small)
 
 
+_CHANNELS = f"{_EDGE}, zz AS (SELECT dataset, cluster FROM g GROUP BY ALL HAVING count(*) < 100), ch AS (SELECT * FROM (SELECT e.dataset, CASE WHEN share >= 0.9 THEN 'peripheral' WHEN zz.cluster IS NOT NULL THEN 'small' END AS unit, row_id FROM e LEFT JOIN zz USING (dataset, cluster)) WHERE unit IS NOT NULL)"
+
+
+@query(sql("feat", f"WITH {_CHANNELS}, {_held_sql('ch')} {_UNITS.format(unit='channel')}"))
+def g11_g15_channels_graded(spark, sf_dir):
+    """The peripheral rows of clusters, and the rows of small clusters, as pseudo-anomalies."""
+    rows, g = stored(base.tab(spark, sf_dir), "rows"), _grid(spark, sf_dir)
+    small = g.groupBy("dataset", "cluster").agg(F.count(F.lit(1)).alias("n")).where("n < 100")
+    chosen = G.two_channels(G.edge_tags(g), small).where("channel <> 'embedded'")
+    members = G.roles_of(rows, chosen, ["channel"], 6)
+    return G.pseudo_auc(rows, members, FEATURES, GRADED, ("dataset", "channel"), 5).select("dataset", "channel", "detector", F.round("pseudo_auc", 6).alias("pseudo_auc"))
+
+
 @query(sql("grade", "WITH r AS (SELECT dataset, CASE WHEN detector <= 'k3' THEN 'peripheral' ELSE 'embedded' END AS channel, round(avg(pseudo), 9) AS regret FROM grade GROUP BY ALL) SELECT dataset, round(0.3 * sum(CASE WHEN channel = 'peripheral' THEN regret END) + (1 - 0.3) * sum(CASE WHEN channel = 'embedded' THEN regret END), 11) AS regret FROM r GROUP BY ALL"))
 def g11_mixed_regret(spark, sf_dir):
     r = base.grade(spark, sf_dir).groupBy("dataset", F.expr("CASE WHEN detector <= 'k3' THEN 'peripheral' ELSE 'embedded' END").alias("channel")).agg(F.round(F.avg("pseudo"), 9).alias("regret"))
@@ -592,12 +681,38 @@ def y17_validity_projection(spark, sf_dir):
 _MOM = "m AS (SELECT dataset, feature, avg(value) AS m, stddev_pop(value) AS s FROM feat GROUP BY ALL), k AS (SELECT f.dataset, f.feature, avg(((value - m) / s) ** 3) AS s, avg(((value - m) / s) ** 4) - 3 AS k FROM feat f JOIN m ON f.dataset = m.dataset AND f.feature = m.feature GROUP BY ALL)"
 
 
-@query(sql("feat", f"WITH {_MOM} SELECT dataset, round(avg(abs(s)), 6) AS mean_skew, round(avg(k), 6) AS mean_kurt, round(max((s * s + 1) / (k + 3)), 6) AS bimodality FROM k GROUP BY ALL"))
+_SHAPE = """SELECT dataset, round(avg(abs(s)), 6) AS mean_skew, round(avg(k), 6) AS mean_kurt, round(max(k), 6) AS kurt_max, avg(CASE WHEN k > 3 THEN 1.0 ELSE 0 END) AS heavy_share,
+avg(CASE WHEN (s * s + 1) / (k + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))) > 0.555 THEN 1.0 ELSE 0 END) AS bimodal_share
+FROM k JOIN (SELECT dataset, feature, count(*)::DOUBLE AS n FROM feat GROUP BY ALL) USING (dataset, feature) GROUP BY ALL"""
+
+
+@query(sql("feat", f"WITH {_MOM} {_SHAPE}"))
 def x1_x3_moments_and_bimodality(spark, sf_dir):
     m = X.moments(base.long(base.tab(spark, sf_dir)))
     return m.select("dataset", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
+_EXTENT = """WITH s AS (SELECT dataset, avg(x1) AS a, stddev_pop(x1) AS p, avg(x2) AS b, stddev_pop(x2) AS q, avg(x3) AS c, stddev_pop(x3) AS u, avg(x4) AS d, stddev_pop(x4) AS v FROM tab GROUP BY ALL),
+f AS (SELECT dataset, sqrt(((x1 - a) / p) ** 2 + ((x2 - b) / q) ** 2 + ((x3 - c) / u) ** 2 + ((x4 - d) / v) ** 2) AS f FROM tab JOIN s USING (dataset))
+SELECT dataset, round(quantile_cont(f, 0.99) / (quantile_cont(f, 0.5) + 1e-9), 6) AS tail_ratio, round(log10(count(*)), 6) AS log_n, round(log10(4), 6) AS log_d FROM f GROUP BY ALL"""
+
+
+@query(sql("tab", _EXTENT))
+def x2_extent(spark, sf_dir):
+    return X.extent(base.tab(spark, sf_dir), FEATURES).select("dataset", *[F.round(c, 6).alias(c) for c in ("tail_ratio", "log_n", "log_d")])
+
+
+@query()
+def x2_cluster_gain(spark, sf_dir):
+    return X.extent(base.tab(spark, sf_dir), FEATURES).select("dataset", "cluster_gain")
+
+
+@query()
+def x1_x3_mixture_orders(spark, sf_dir):
+    """Number of parts by BIC up to 8, void mass and likelihood gap, fitted on all rows."""
+    return MX.orders(base.tab(spark, sf_dir), FEATURES)
+
+
 @query(sql("tab", "SELECT dataset, round((" + " + ".join(f"abs(corr({a}, {b}))" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]) + ") / 6, 6) AS mean_abs_corr FROM tab GROUP BY ALL"))
 def x1_mean_correlation(spark, sf_dir):
     return X.mean_correlation(base.tab(spark, sf_dir), FEATURES).withColumn("mean_abs_corr", F.round("mean_abs_corr", 6))
@@ -608,13 +723,20 @@ def x1_spectrum(spark, sf_dir):
     return X.spectrum(base.tab(spark, sf_dir), FEATURES)
 
 
-_NN = "p AS (SELECT a.dataset, a.row_id, b.row_id AS o, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM asked a JOIN tab b ON a.dataset = b.dataset AND a.row_id <> b.row_id), n AS (SELECT *, row_number() OVER (PARTITION BY dataset, row_id ORDER BY d, o) AS k FROM p QUALIFY k <= 10)"
+_NN = """WITH s AS (SELECT dataset, avg(x1) AS a, stddev_pop(x1) AS p, avg(x2) AS c, stddev_pop(x2) AS u FROM tab GROUP BY ALL),
+z AS (SELECT dataset, row_id, (x1 - a) / p AS x, (x2 - c) / u AS y FROM tab JOIN s USING (dataset)),
+g AS (SELECT a.dataset, a.row_id, min({'d': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'o': b.row_id}, 5) AS l FROM z a JOIN z b ON a.dataset = b.dataset AND a.row_id <> b.row_id GROUP BY ALL),
+e AS (SELECT dataset, row_id, l[1].d AS d1, l[2].d / (l[1].d + 1e-12) AS mu FROM g),
+h AS (SELECT z.dataset, z.row_id, coalesce(c, 0) AS c FROM z LEFT JOIN (SELECT dataset, u.o AS row_id, count(*) AS c FROM (SELECT dataset, unnest(l) AS u FROM g) GROUP BY ALL) USING (dataset, row_id)),
+k AS (SELECT dataset, avg(((c - m) / v) ** 3) AS hubness FROM h JOIN (SELECT dataset, avg(c) AS m, stddev_pop(c) AS v FROM h GROUP BY ALL) USING (dataset) GROUP BY ALL)
+SELECT dataset, round(quantile_cont(d1, 0.5), 6) AS nn_scale, round(stddev_pop(d1) / (avg(d1) + 1e-9), 6) AS density_spread, round(quantile_cont(d1, 0.9) / (quantile_cont(d1, 0.1) + 1e-9), 6) AS nn_ratio,
+round(count(*) FILTER (mu > 1) / (sum(ln(mu)) FILTER (mu > 1) + 1e-9), 4) AS two_nn_dim, round(any_value(hubness), 6) AS hubness FROM e JOIN k USING (dataset) GROUP BY ALL"""
 
 
-@query(sql("asked", f"WITH {_NN}, e AS (SELECT dataset, row_id, max(CASE WHEN k = 1 THEN d END) AS d1, max(d) AS dk FROM n GROUP BY ALL), h AS (SELECT dataset, max(c) AS hubness FROM (SELECT dataset, o, count(*) AS c FROM n GROUP BY ALL) GROUP BY ALL) SELECT dataset, round(quantile_cont(d1, 0.5), 6) AS nn_scale, round(stddev_pop(dk) / (avg(dk) + 1e-12), 6) AS density_spread, max(hubness) AS hubness FROM e JOIN h USING (dataset) GROUP BY ALL"))
+@query(sql("tab", _NN))
 def x1_x2_neighbour_structure(spark, sf_dir):
-    s = X.neighbour_structure(base.asked(spark, sf_dir), ("x1", "x3"), rows=base.tab(spark, sf_dir))
-    return s.select("dataset", F.round("nn_scale", 6).alias("nn_scale"), F.round("density_spread", 6).alias("density_spread"), "hubness")
+    s = X.neighbour_structure(base.tab(spark, sf_dir), ("x1", "x2"))
+    return s.select("dataset", *[F.round(c, 6).alias(c) for c in ("nn_scale", "density_spread", "nn_ratio", "hubness")], F.round("two_nn_dim", 4).alias("two_nn_dim"))
 
 
 @query(sql("tab", "WITH g AS (SELECT dataset, row_id, x1 / 100 AS p, x3 * 10 AS q, floor(x1 / 90)::INT AS c FROM tab), m AS (SELECT a.dataset, a.row_id, a.c, b.c AS o, avg(sqrt((a.p - b.p) ** 2 + (a.q - b.q) ** 2)) AS m FROM g a JOIN g b ON a.dataset = b.dataset AND a.row_id <> b.row_id AND a.row_id % 100 = 0 GROUP BY ALL), s AS (SELECT dataset, row_id, min(CASE WHEN c = o THEN m END) AS a, min(CASE WHEN c <> o THEN m END) AS b FROM m GROUP BY ALL) SELECT dataset, round(avg((b - a) / (greatest(a, b) + 1e-12)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL"))

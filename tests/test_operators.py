@@ -91,7 +91,7 @@ def test_holm_is_monotone(spark):
 
 def test_bootstrap_and_sign_flip(spark):
     df = spark.createDataFrame([("g", i % 6, 1.0 + (i % 3) * 0.1) for i in range(60)], "g string, c int, v double")
-    b = stats.bootstrap_mean(df, ["g"], "v", draws=2000).first()
+    b = stats.bootstrap_mean(df.withColumn("k", F.monotonically_increasing_id()), ["g"], "v", "k", 2000).first()
     assert b.low < b["mean"] < b.high
     assert stats.sign_flip(df, ["g"], "v", "c", 5000).first().p < 0.1
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.operators import detectors, space, spatial
+from siftlake.operators import dedup, detectors, space, spatial
 from siftlake.operators.spatial import CellTree
 
 
@@ -81,3 +81,22 @@ def test_outlier_factor_over_cells(spark, monkeypatch):
     want = lrd[near].mean(axis=1) / lrd
     got = {r.row_id: r.score for r in detectors.lof(df, ("x0", "x1"), 10).collect()}
     assert got == pytest.approx(dict(enumerate(want)))
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_cover_is_the_sequential_loop(spark, d):
+    rng = np.random.default_rng(d)
+    sets = {"a": rng.normal(size=(250, d)), "b": np.repeat(rng.normal(size=(8, d)), 20, axis=0), "c": np.arange(40)[:, None] * np.full((1, d), 0.3)}
+    names = tuple(f"x{i}" for i in range(d))
+    data = [(s, i * 7 % 1009, *map(float, v)) for s, x in sets.items() for i, v in enumerate(x)]
+    rows = spark.createDataFrame(data, "dataset string, row_id long, " + ", ".join(f"{n} double" for n in names))
+    radii = spark.createDataFrame([("a", 0.35), ("b", 0.2), ("c", 0.45)], "dataset string, r double")
+    want = []
+    for s, r in (("a", 0.35), ("b", 0.2), ("c", 0.45)):
+        left = sorted((i, np.array(v)) for t, i, *v in data if t == s)
+        while left:
+            i, v = left[0]
+            want.append((s, i))
+            left = [(j, u) for j, u in left if np.sqrt(((u - v) ** 2).sum()) > r]
+    assert sorted((r.dataset, r.row_id) for r in dedup.cover(rows, names, radii).collect()) == sorted(want)
+    assert dedup.cover(rows.where("false"), names, radii).collect() == []
