@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,41 +92,6 @@ def silhouette(asked: DataFrame, features: tuple[str, ...], rows: DataFrame | No
     return ab.where("a IS NOT NULL AND b IS NOT NULL").groupBy("dataset").agg(F.avg((F.col("b") - F.col("a")) / (F.greatest("a", "b") + 1e-12)).alias("silhouette"))
 
 
-def dip(values: np.ndarray) -> float:
-    """Distance of the empirical distribution from the nearest unimodal one.
-
-    For each candidate mode the distribution is compared with its greatest convex minorant before and its least concave
-    majorant after the mode; the dip is half the smallest of the largest gaps.
-    """
-    x, c = np.unique(np.asarray(values, float), return_counts=True)
-    if len(x) < 4:
-        return 0.0
-    f = np.cumsum(c) / c.sum()
-    before = np.concatenate([[0.0], f[:-1]])
-
-    def hull(px: np.ndarray, py: np.ndarray, sign: int) -> np.ndarray:
-        keep: list[int] = []
-        for i in range(len(px)):
-            while len(keep) > 1 and sign * ((py[keep[-1]] - py[keep[-2]]) * (px[i] - px[keep[-1]]) - (py[i] - py[keep[-1]]) * (px[keep[-1]] - px[keep[-2]])) >= 0:
-                keep.pop()
-            keep.append(i)
-        return np.interp(px, px[keep], py[keep])
-
-    best = 1.0
-    for m in np.unique(np.linspace(1, len(x) - 2, min(len(x) - 2, 60)).astype(int)):
-        low = np.abs(f[: m + 1] - hull(x[: m + 1], before[: m + 1], 1)).max()
-        high = np.abs(hull(x[m:], f[m:], -1) - before[m:]).max()
-        best = min(best, max(low, high))
-    return best / 2
-
-
-def dips(long: DataFrame, most: int = 2000) -> DataFrame:
-    """(dataset, feature, dip) of a capped MD5 sample of each feature."""
-    w = W.partitionBy("dataset", "feature").orderBy(F.md5(F.col("row_id").cast("string")))
-    few = long.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
-    return few.groupBy("dataset", "feature").applyInPandas(lambda p: pd.DataFrame({"dataset": [p["dataset"].iloc[0]], "feature": [p["feature"].iloc[0]], "dip": [dip(p["value"].to_numpy())]}), "dataset string, feature string, dip double")
-
-
 def placement(rows: DataFrame, features: tuple[str, ...], k: int = 5, asked: DataFrame | None = None) -> DataFrame:
     """(dataset, row_id, place) of the asked anomalies (or all), the cut being that of the asked normals: outside the normals' 1-99% box, inside-far from any normal, or embedded."""
     q = rows.where("y = 0").groupBy("dataset").agg(*[F.percentile(f, F.array(F.lit(0.01), F.lit(0.99))).alias(f"_{f}") for f in features])

@@ -223,8 +223,9 @@ def loda(rows: DataFrame, features: tuple[str, ...], bins: int = 10, cuts: int =
     return out.withColumn("score", F.col("score") / cuts)
 
 
-def _forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> list[tuple[np.ndarray, ...]]:
-    """Isolation trees as arrays: feature, threshold, left and right child, and the path length a leaf stands for."""
+def _forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator, share: float = 1.0) -> list[tuple[np.ndarray, ...]]:
+    """Isolation trees as arrays: feature, threshold, left and right child, and the path length a leaf stands for. A tree knows
+    ``share`` of the features."""
     out = []
     c = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
     for _ in range(trees):
@@ -235,7 +236,7 @@ def _forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) ->
             for a in (feature, cut, left, right, length):
                 a.append(0)
             own = x[at]
-            spread = np.flatnonzero(own.max(axis=0) > own.min(axis=0)) if len(at) > 1 else []
+            spread = np.flatnonzero((own.max(axis=0) > own.min(axis=0)) & known) if len(at) > 1 else []
             if depth >= limit or not len(spread):
                 feature[k], length[k] = -1, depth + c(len(at))
                 return k
@@ -247,6 +248,9 @@ def _forest(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) ->
             return k
 
         rows = rng.choice(len(x), min(sample, len(x)), replace=False)
+        known = np.ones(x.shape[1], bool)
+        if share < 1:
+            known[rng.permutation(x.shape[1])[max(1, int(share * x.shape[1])) :]] = False
         limit = int(np.ceil(np.log2(max(2, len(rows)))))
         grow(rows, 0)
         out.append(tuple(np.array(a) for a in (feature, cut, left, right, length)))
@@ -279,13 +283,7 @@ def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample
         x, size, total = own[list(features)].to_numpy(float), int(forest["size"].iloc[0]), np.zeros(len(own))
         grown = [tuple(np.asarray(t[k]) for k in "ftlrn") for t in forest["trees"].iloc[0]]
         for f, t, left, right, length in grown:
-            node = np.zeros(len(x), int)
-            live = f[node] >= 0
-            while live.any():
-                go = x[live, f[node[live]]] < t[node[live]]
-                node[live] = np.where(go, left[node[live]], right[node[live]])
-                live = f[node] >= 0
-            total += length[node]
+            total += _path_lengths(x, f, t, left, right, length)
         norm = 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size if size > 2 else 1.0
         return pd.DataFrame({"dataset": own["dataset"], "row_id": own["row_id"], "score": 2.0 ** (-total / len(grown) / norm)})
 
@@ -293,6 +291,56 @@ def iforest(rows: DataFrame, features: tuple[str, ...], trees: int = 100, sample
     return met.applyInPandas(score, "dataset string, row_id long, score double")
 
 
+def forest_bank(rows: DataFrame, features: tuple[str, ...], configurations: dict[str, tuple[int, float]], seeds: tuple[int, ...], sample: int = 256, train: DataFrame | None = None) -> DataFrame:
+    """(dataset, configuration, seed, row_id, score) of an isolation forest for each configuration (trees, share of features) and seed.
+
+    One table of models, keyed by data set, configuration and seed, is grown on capped rows of each data set, and one pass
+    scores the rows: parts of a data set's rows meet all of its forests in a cogroup.
+    """
+    place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.col("row_id").cast("string"))))
+    few = (rows if train is None else train).select("dataset", "row_id", *features).withColumn("_k", place).where(F.col("_k") <= SAMPLE)
+    units = [F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c in configurations for s in seeds]
+    keyed = few.withColumn("_u", F.explode(F.array(*units))).select("*", F.col("_u.c").alias("configuration"), F.col("_u.s").alias("seed")).drop("_u")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("_k")[list(features)].to_numpy(float)
+        one = {c: pdf[c].iloc[0] for c in ("dataset", "configuration", "seed")}
+        trees, share = configurations[one["configuration"]]
+        grown = _forest(x, trees, sample, np.random.default_rng((int(one["seed"]), trees, round(100 * share))), share)
+        flat = [{"f": t[0].astype(int).tolist(), "t": t[1].astype(float).tolist(), "l": t[2].astype(int).tolist(), "r": t[3].astype(int).tolist(), "n": t[4].astype(float).tolist()} for t in grown]
+        return pd.DataFrame({c: [v] for c, v in one.items()} | {"size": [min(sample, len(x))], "trees": [flat]})
+
+    tree = "struct<f:array<int>,t:array<double>,l:array<int>,r:array<int>,n:array<double>>"
+    models = stored(keyed.groupBy("dataset", "configuration", "seed").applyInPandas(fit, f"dataset string, configuration string, seed int, size int, trees array<{tree}>"), "forests")
+    parts = rows.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    dealt = rows.select("dataset", "row_id", *features).join(parts, "dataset").withColumn("_part", F.pmod(F.xxhash64("row_id"), F.col("_parts")).cast("int")).drop("_parts")
+    models = models.join(parts, "dataset").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def score(own: pd.DataFrame, forests: pd.DataFrame) -> pd.DataFrame:
+        x, out = own[list(features)].to_numpy(float), []
+        for m in forests.itertuples() if len(own) else ():
+            total = np.zeros(len(x))
+            for t in m.trees:
+                total += _path_lengths(x, *(np.asarray(t[k]) for k in "ftlrn"))
+            norm = 2 * (np.log(m.size - 1) + 0.5772156649) - 2 * (m.size - 1) / m.size if m.size > 2 else 1.0
+            out.append(pd.DataFrame({"dataset": own["dataset"], "configuration": m.configuration, "seed": m.seed, "row_id": own["row_id"], "score": 2.0 ** (-total / len(m.trees) / norm)}))
+        return pd.concat(out) if out else pd.DataFrame({"dataset": [], "configuration": [], "seed": [], "row_id": [], "score": []})
+
+    met = dealt.groupBy("dataset", "_part").cogroup(models.groupBy("dataset", "_part"))
+    return met.applyInPandas(score, "dataset string, configuration string, seed int, row_id long, score double")
+
+
+def _path_lengths(x: np.ndarray, f: np.ndarray, t: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What the leaf of each row stands for."""
+    node = np.zeros(len(x), int)
+    live = np.arange(len(x))[f[node] >= 0]
+    while len(live):
+        at = node[live]
+        node[live] = np.where(x[live, f[at]] < t[at], left[at], right[at])
+        live = live[f[node[live]] >= 0]
+    return length[node]
+
+
 def max_z(rows: DataFrame, features: tuple[str, ...], normals_only: bool = False, train: DataFrame | None = None) -> DataFrame:
     """Largest absolute z-score over features; moments of ``train``, of all rows, or of the normal ones."""
     s = train if train is not None else rows.where("y = 0") if normals_only else rows

@@ -68,6 +68,73 @@ def random_projection(rows: DataFrame, features: tuple[str, ...], dim: int, seed
     return rows.withColumn("z", F.array(*[sum((F.lit(float(w)) * F.col(f) for w, f in zip(row, features, strict=True)), F.lit(0.0)) for row in m]))
 
 
+LANDMARKS = 1500  #: rows of a data set that the kernel's axes are found on, as the definition has it
+PART = 20_000  #: rows of a data set projected in one group
+
+
+def kernel_projection(rows: DataFrame, features: tuple[str, ...], dim: int = 16, seed: object = 0) -> DataFrame:
+    """rows with z: coordinates on the first min(``dim``, features) axes of a Gaussian kernel of width 1 / features, of the
+    standardised rows.
+
+    The axes are those of the centred kernel matrix of ``LANDMARKS`` hash-drawn rows of a data set; every row is projected by
+    its kernel values to these, in parts of bounded size that meet their data set's axes in a cogroup. An axis points to the
+    side of its largest coefficient.
+    """
+    names, d = list(features), len(features)
+    z = standardise(rows.select("dataset", "row_id", *[F.col(f).cast("double").alias(f) for f in names]).dropna(), features)
+    place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")))))
+    few = z.withColumn("_k", place).where(F.col("_k") <= LANDMARKS)
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.exp(-np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1), 0) / d)
+
+    def fit(df: pd.DataFrame) -> pd.DataFrame:
+        x = df.sort_values("_k")[names].to_numpy(float)
+        k = kernel(x, x)
+        mean = k.mean(axis=0)
+        w, v = np.linalg.eigh(k - mean[None] - mean[:, None] + mean.mean())
+        w, v = w[::-1][: min(dim, d)], v[:, ::-1][:, : min(dim, d)]
+        v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+        axes = v / np.sqrt(np.maximum(w, 1e-12))
+        return pd.DataFrame({"dataset": [df["dataset"].iloc[0]], "x": [x.ravel().tolist()], "axes": [axes.ravel().tolist()], "mean": [mean.tolist()]})
+
+    models = few.groupBy("dataset").applyInPandas(fit, "dataset string, x array<double>, axes array<double>, mean array<double>")
+    parts = z.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    dealt = z.join(parts, "dataset").withColumn("_part", F.pmod(F.xxhash64("row_id"), F.col("_parts")).cast("int")).drop("_parts")
+    models = models.join(parts, "dataset").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def project(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"dataset": [], "row_id": [], "z": []})
+        mean = np.asarray(model["mean"].iloc[0])
+        x, axes = np.asarray(model["x"].iloc[0]).reshape(len(mean), -1), np.asarray(model["axes"].iloc[0]).reshape(len(mean), -1)
+        k = kernel(own[names].to_numpy(float), x)
+        k = k - k.mean(axis=1, keepdims=True) - mean + mean.mean()
+        return pd.DataFrame({"dataset": own["dataset"], "row_id": own["row_id"], "z": (k @ axes).tolist()})
+
+    met = dealt.groupBy("dataset", "_part").cogroup(models.groupBy("dataset", "_part"))
+    return met.applyInPandas(project, "dataset string, row_id long, z array<double>")
+
+
+def separation(rows: DataFrame) -> DataFrame:
+    """(dataset, calinski, davies) of rows (dataset, z, cluster): the ratio of the spread between to that within clusters, each over
+    its degrees of freedom, and the negated mean, over clusters, of the largest sum of two mean distances to the own centre over
+    the centres' distance. From sums by cluster; pairs are of clusters only."""
+    d = rows.select("dataset", "cluster", F.posexplode("z").alias("i", "v"))
+    sums = d.groupBy("dataset", "cluster", "i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    total = d.groupBy("dataset", "i").agg(F.avg("v").alias("all"))
+    spread = sums.join(total, ["dataset", "i"]).groupBy("dataset").agg(F.sum(F.col("n") * F.col("v")).alias("w"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("all"), 2)).alias("b"))
+    sizes = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("k"))
+    calinski = F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k")))
+    ratio = spread.join(sizes.where("k > 1"), "dataset").select("dataset", calinski.alias("calinski"))
+    centre = sums.groupBy("dataset", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    own = rows.join(centre, ["dataset", "cluster"]).groupBy("dataset", "cluster").agg(F.avg(_distance("z", "c")).alias("s")).join(centre, ["dataset", "cluster"])
+    other = own.select("dataset", F.col("cluster").alias("_o"), F.col("s").alias("_s"), F.col("c").alias("_c"))
+    pairs = own.join(other, "dataset").where("cluster <> _o")
+    worst = pairs.groupBy("dataset", "cluster").agg(F.max(F.try_divide(F.col("s") + F.col("_s"), _distance("c", "_c"))).alias("r"))
+    return ratio.join(worst.groupBy("dataset").agg((-F.avg("r")).alias("davies")), "dataset")
+
+
 def kmeans(rows: DataFrame, k: int, seed: int = 0, sample: int = 5000, rounds: int = 15, train: DataFrame | None = None, share: int = 20) -> DataFrame:
     """rows (dataset, row_id, z) with cluster: k-means++ and Lloyd on a capped MD5 sample of ``train`` (or of the rows), then
     each row's nearest centre.

@@ -78,6 +78,29 @@ def e9_random_projection(spark, sf_dir):
     return E.random_projection(_vectors(spark, sf_dir), tuple(f"v{i}" for i in range(24)), 16).select("dataset", "row_id", "z")
 
 
+_SEPARATION = f"""WITH g AS ({_GRID}), c AS (SELECT dataset, cluster, avg(p) AS cp, avg(q) AS cq, count(*) AS n, var_pop(p) + var_pop(q) AS v FROM g GROUP BY ALL),
+a AS (SELECT dataset, avg(p) AS ap, avg(q) AS aq, count(*) AS n, count(DISTINCT cluster) AS k FROM g GROUP BY ALL),
+r AS (SELECT c.dataset, (sum(c.n * ((cp - ap) ** 2 + (cq - aq) ** 2)) / (any_value(k) - 1)) / (sum(c.n * v) / (any_value(a.n) - any_value(k))) AS calinski FROM c JOIN a USING (dataset) GROUP BY ALL),
+s AS (SELECT dataset, cluster, avg(sqrt((p - cp) ** 2 + (q - cq) ** 2)) AS s, any_value(cp) AS cp, any_value(cq) AS cq FROM g JOIN c USING (dataset, cluster) GROUP BY ALL),
+w AS (SELECT x.dataset, x.cluster, max((x.s + y.s) / sqrt((x.cp - y.cp) ** 2 + (x.cq - y.cq) ** 2)) AS w FROM s x JOIN s y ON x.dataset = y.dataset AND x.cluster <> y.cluster GROUP BY ALL)
+SELECT dataset, round(any_value(calinski), 6) AS calinski, round(-avg(w), 6) AS davies FROM w JOIN r USING (dataset) GROUP BY ALL"""
+
+
+@query(sql("tab", _SEPARATION))
+def e9_separation(spark, sf_dir):
+    return E.separation(_grid(spark, sf_dir)).select("dataset", F.round("calinski", 6).alias("calinski"), F.round("davies", 6).alias("davies"))
+
+
+@query()
+def e9_kernel_latent(spark, sf_dir):
+    """Separation of eight k-means clusters in the raw, principal and kernel latents."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    z = E.standardise(rows, FEATURES)
+    latents = {"raw": z.select("dataset", "row_id", F.array(*FEATURES).alias("z")), "pca2": E.embed(rows, FEATURES, 2).select("dataset", "row_id", "z"), "kernel": E.kernel_projection(rows, FEATURES)}
+    parts = [E.separation(stored(E.kmeans(x, 8), "clusters")).withColumn("latent", F.lit(n)) for n, x in latents.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query()
 def e10_density_clusters(spark, sf_dir):
     """The lines of each supplier as a data set: the chosen smallest cluster size, with its clusters and share of noise."""

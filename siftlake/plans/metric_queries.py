@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.functions.ranks import average_rank, first_by, min_max
+from siftlake.operators import detectors as D
 from siftlake.operators import metrics as M
+from siftlake.operators import pseudo as G
 from siftlake.plans import base
-from siftlake.plans.base import sql
+from siftlake.plans.base import FEATURES, sql
 from siftlake.plans.registry import query
+from siftlake.session import stored
 
 BY = ["dataset", "detector"]
 
@@ -20,8 +24,6 @@ CUM = _CUM.format(src="point")
 @query(sql("point", f"WITH c AS ({CUM}), a AS (SELECT dataset, detector, sum(pos * (an - cn + neg / 2.0)) / (max(ap)::DOUBLE * max(an)) AS auc, sum(pos * cp / (cp + cn)) / max(ap) AS ap, max(ap) / (max(ap) + max(an)) AS br FROM c GROUP BY ALL), f AS (SELECT *, (ap - br) / (1 - br) AS q FROM a) SELECT dataset, detector, round(auc, 6) AS auc, round(ap, 6) AS ap, round(q, 6) AS ap_norm, row_number() OVER (PARTITION BY dataset ORDER BY round(auc, 6) DESC, detector) AS place, round(max(q) OVER (PARTITION BY dataset) - q, 6) AS regret FROM f"))
 def flagship_detector_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank four marginal detectors for each data set by AUC, with normalised AP and its regret."""
-    from pyspark.sql import Window as W
-
     p = base.point(spark, sf_dir)
     a = M.roc_auc(p, BY).join(M.average_precision(p, BY), BY).withColumn("q", M.normalised(F.col("ap"), F.col("base_rate")))
     w = W.partitionBy("dataset")
@@ -117,6 +119,26 @@ def m15_seed_agreement(spark, sf_dir):
     return M.seed_agreement(pairs, ["dataset"]).select("dataset", F.round("agreement", 6).alias("agreement"))
 
 
+FORESTS = {f"{n}_{share}": (n, share) for n in (50, 100, 200) for share in (0.5, 0.75, 1.0)}
+
+
+@query()
+def m15_forest_stability(spark, sf_dir):
+    """Nine forest configurations with three seeds each, fitted on 80 % of the normals: the agreement of a configuration's seeds on
+    the other rows, its mean normalised precision, and whether it is the most stable."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    roles = stored(G.true_roles(rows, 3), "roles")
+    own = lambda c: rows.join(roles.where(c).select("dataset", "row_id"), ["dataset", "row_id"])
+    s = stored(D.forest_bank(own("role <> 'train'"), FEATURES, FORESTS, (0, 1, 2), train=own("role = 'train'")), "scores")
+    by = ["dataset", "configuration"]
+    agreement = M.seed_agreement(M.pairwise_spearman(s, by, "seed", "row_id", "score"), by)
+    graded = M.average_precision(s.join(rows.select("dataset", "row_id", "y"), ["dataset", "row_id"]), [*by, "seed"])
+    base_rate = roles.where("role <> 'train'").groupBy("dataset").agg(F.avg((F.col("role") == "anom").cast("double")).alias("base"))
+    graded = graded.join(base_rate, "dataset").groupBy(*by).agg(F.avg((F.col("ap") - F.col("base")) / (1 - F.col("base") + 1e-12)).alias("ap_norm"))
+    best = W.partitionBy("dataset").orderBy(F.col("agreement").desc(), "configuration")
+    return agreement.join(graded, by).withColumn("picked", F.row_number().over(best) == 1)
+
+
 @query(sql("grade", "WITH r AS (SELECT dataset, rank() OVER (PARTITION BY dataset ORDER BY pseudo) + (count(*) OVER (PARTITION BY dataset, pseudo) - 1) / 2.0 AS a, rank() OVER (PARTITION BY dataset ORDER BY truth) + (count(*) OVER (PARTITION BY dataset, truth) - 1) / 2.0 AS b FROM grade), s AS (SELECT dataset, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT x.dataset, round(sum(sign(x.pseudo - z.pseudo) * sign(x.truth - z.truth)) / sqrt(sum(abs(sign(x.pseudo - z.pseudo)))::DOUBLE * sum(abs(sign(x.truth - z.truth)))), 6) AS tau FROM grade x JOIN grade z ON x.dataset = z.dataset AND x.detector < z.detector GROUP BY ALL) SELECT * FROM s JOIN k USING (dataset)"))
 def m17_spearman_and_kendall(spark, sf_dir):
     g = base.grade(spark, sf_dir)

@@ -9,6 +9,7 @@ from siftlake.operators import describe as X
 from siftlake.operators import detectors as D
 from siftlake.operators import metrics as M
 from siftlake.operators import mixtures as MX
+from siftlake.operators import modality as MO
 from siftlake.operators import pseudo as G
 from siftlake.operators import select as R
 from siftlake.operators import space as E
@@ -747,7 +748,8 @@ def x1_x4_silhouette(spark, sf_dir):
 
 @query()
 def x3_dip(spark, sf_dir):
-    return X.dips(base.long(base.tab(spark, sf_dir)))
+    """Dips of the features and of 60 random projections over all rows, with their p-values by uniform draws."""
+    return MO.modality(base.tab(spark, sf_dir), FEATURES)
 
 
 _D5 = "b AS (SELECT dataset, quantile_cont(x1, 0.01) AS l1, quantile_cont(x1, 0.99) AS h1, quantile_cont(x3, 0.01) AS l3, quantile_cont(x3, 0.99) AS h3 FROM tab WHERE y = 0 GROUP BY ALL), p AS (SELECT a.dataset, a.row_id, a.y, a.x1, a.x3, sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2) AS d FROM asked a JOIN tab b ON a.dataset = b.dataset AND a.row_id <> b.row_id AND b.y = 0), n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dataset, row_id ORDER BY d) <= 5), m AS (SELECT dataset, row_id, y, x1, x3, max(d) AS d FROM n GROUP BY ALL), c AS (SELECT dataset, quantile_cont(d, 0.95) AS c FROM m WHERE y = 0 GROUP BY ALL)"
