@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftlake.functions.ranks import running_totals
 from siftlake.operators import detectors as D
 from siftlake.operators import space
+from siftlake.session import stored
 
 
 def within_normals(rows: DataFrame, rules: list[DataFrame], level: float = 0.99) -> DataFrame:
@@ -29,6 +30,18 @@ def double_hard(rows: DataFrame, features: tuple[str, ...], level: float = 0.99)
     return within_normals(rows, [D.max_z(rows, features, train=normal), D.linear_residual(rows, features, train=normal)], level)
 
 
+def level_sweep(rows: DataFrame, rules: list[DataFrame], levels: tuple[float, ...]) -> DataFrame:
+    """(dataset, level, kept, share): anomalies that no rule puts above the normals' quantile at each level; the rules are scored once."""
+    s = rows.select("dataset", "row_id", "y")
+    for k, rule in enumerate(rules):
+        s = s.join(rule.select("dataset", "row_id", F.col("score").alias(f"_s{k}")), ["dataset", "row_id"])
+    s = stored(s, "sweep")
+    cuts = s.where("y = 0").groupBy("dataset").agg(*[F.percentile(f"_s{k}", F.array(*[F.lit(x) for x in levels])).alias(f"_q{k}") for k in range(len(rules))])
+    at = s.where("y = 1").join(cuts, "dataset").select("*", F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("_i", "level"))
+    hard = reduce(lambda a, b: a & b, [F.col(f"_s{k}") <= F.expr(f"_q{k}[_i]") for k in range(len(rules))])
+    return at.groupBy("dataset", "level").agg(F.count(F.when(hard, 1)).alias("kept"), F.avg(F.when(hard, 1.0).otherwise(0.0)).alias("share"))
+
+
 def severity(rows: DataFrame, features: tuple[str, ...], bins: int = 30, splits: int | None = None, train: DataFrame | None = None) -> DataFrame:
     """(dataset, row_id, score): over features, the larger of the two-sided tail and the bin rarity against ``train`` (or the
     normals).

@@ -108,6 +108,33 @@ def alpha_router(grades: DataFrame, scale: float = 10.0) -> DataFrame:
     return pick(grades.withColumn("_s", s), F.round(F.col("_s") * F.col("a1") + (1 - F.col("_s")) * F.col("a4"), 9), least=1)
 
 
+def alpha_estimators(grades: DataFrame, alphas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """(dataset, rule, detector) of four ways to choose the mix alpha * a1 + (1 - alpha) * a4.
+
+    disagreement and margin take the best detector at the mix whose scores differ most (population deviation), or whose first
+    leads the second by most, the smaller mix of equals; consensus the detector that is best at most mixes, by its smallest
+    mix if equal; oracle the mix whose pick has the best truth.
+    """
+    s = grades.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    s = s.withColumn("_c", F.round(F.col("alpha") * F.col("a1") + (1 - F.col("alpha")) * F.col("a4"), 9))
+    first = W.partitionBy("dataset", "alpha").orderBy(F.col("_c").desc(), "detector")
+    every = W.partitionBy("dataset", "alpha")
+    s = s.withColumn("_k", F.row_number().over(first)).withColumn("spread", F.round(F.stddev_pop("_c").over(every), 9)).withColumn("margin", F.round(F.col("_c") - F.lead("_c").over(first), 9))
+    tops = s.where("_k = 1").select("dataset", "alpha", "detector", "spread", "margin", "truth")
+    votes = tops.groupBy("dataset", "detector").agg(F.count(F.lit(1)).alias("_n"), F.min("alpha").alias("alpha"))
+    chosen = {
+        "disagreement": first_by(tops, ["dataset"], F.col("spread").desc(), F.col("alpha").asc()),
+        "margin": first_by(tops, ["dataset"], F.col("margin").desc_nulls_last(), F.col("alpha").asc()),
+        "consensus": first_by(votes, ["dataset"], F.col("_n").desc(), F.col("alpha").asc()),
+        "oracle": first_by(tops, ["dataset"], F.col("truth").desc(), F.col("alpha").asc()),
+    }
+    parts = [c.select("dataset", F.lit(rule).alias("rule"), "detector") for rule, c in chosen.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionAll(more)
+    return out
+
+
 def learned_router(features: DataFrame, columns: tuple[str, ...], target: str, folds: int = 5) -> DataFrame:
     """(dataset, prediction): a small forest's out-of-fold prediction, folds by MD5 of the data set's name."""
     from functools import reduce
@@ -123,10 +150,13 @@ def learned_router(features: DataFrame, columns: tuple[str, ...], target: str, f
     return reduce(DataFrame.unionAll, parts)
 
 
-def correlation_router(grades: DataFrame, structure: DataFrame, feature: str) -> DataFrame:
-    """(dataset, detector): best by a1 where the structure feature is above the median over data sets, else by a4."""
+def correlation_router(grades: DataFrame, structure: DataFrame, feature: str, leverage_above: float | None = None) -> DataFrame:
+    """(dataset, detector): best by a1 where the structure feature is above the median over data sets, or, if given, the
+    leverage above ``leverage_above``; else by a4."""
     middle = structure.agg(F.percentile(feature, 0.5).alias("_m"))  # one row
     route = structure.crossJoin(F.broadcast(middle)).select("dataset", (F.col(feature) > F.col("_m")).alias("_r"))
+    if leverage_above is not None:
+        route = route.join(leverage(grades), "dataset", "left").withColumn("_r", F.col("_r") | F.coalesce(F.col("lev") > leverage_above, F.lit(False)))
     return pick(grades.join(route, "dataset"), F.when(F.col("_r"), F.col("a1")).otherwise(F.col("a4")), least=1)
 
 

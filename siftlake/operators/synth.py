@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlake.operators import space
+from siftlake.operators.spatial import CellTree
+from siftlake.session import stored
 
 def hash_uniform(seed: object, tag: object, index: Column) -> Column:
     """In [0, 1): from MD5 of 'seed:tag:index'."""
@@ -123,9 +126,29 @@ def elevate(normals: DataFrame, features: tuple[str, ...], n: int, seed: object,
     return s.select("dataset", "k", *[F.when(F.col("_f") == j, F.expr(f"_{f}[_p]")).otherwise(F.col(f)).alias(f) for j, f in enumerate(features)])
 
 
-def marginal_probe(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, share: float = 0.02) -> DataFrame:
-    """One feature set to an observed tail value."""
-    return elevate(normals, features, n, seed, 1 - share, 1.0)
+def marginal_probe(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, share: float = 0.05) -> DataFrame:
+    """(dataset, k, features): one hash-chosen feature takes a hash-drawn observed value from its lower or upper ``share``."""
+    s = _joined(normals, draws(normals, n, seed, 0), features, 0)
+    names = {i: f for i, f in enumerate(features)}
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("double").alias("v")) for i, f in names.items()])).alias("u")
+    long = normals.select("dataset", "row_id", listed).select("dataset", "row_id", "u.f", "u.v")
+    ends = long.groupBy("dataset", "f").agg(F.percentile("v", share).alias("lo"), F.percentile("v", 1 - share).alias("hi"))
+    tails = long.join(ends, ["dataset", "f"])
+    tails = tails.where("v <= lo").withColumn("s", F.lit(0)).unionAll(tails.where("v >= hi").withColumn("s", F.lit(1)))
+    w = W.partitionBy("dataset", "f", "s")
+    tails = tails.select("dataset", "f", "s", "v", (F.row_number().over(w.orderBy("v", "row_id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("c"))
+    sizes = tails.groupBy("dataset", "f", "s").agg(F.max("c").alias("c"))
+    feature = F.floor(hash_uniform(seed, "feature", F.col("k")) * len(features)).cast("int")
+    side = F.when(hash_uniform(seed, "side", F.col("k")) < 0.5, 1).otherwise(0)
+    drawn = s.withColumn("f", feature).withColumn("s", side).join(sizes, ["dataset", "f", "s"])
+    drawn = drawn.withColumn("i", F.floor(hash_uniform(seed, "value", F.col("k")) * F.col("c")).cast("int")).drop("c")
+    drawn = drawn.join(tails.drop("c"), ["dataset", "f", "s", "i"])
+    return drawn.select("dataset", "k", *[F.when(F.col("f") == i, F.col("v")).otherwise(F.col(f)).alias(f) for i, f in names.items()])
+
+
+def dependency_probe(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, share: float = 0.4) -> DataFrame:
+    """(dataset, k, features): ``share`` of the features take other rows' values, each its own, so margins stay and dependence goes."""
+    return shuffle_features(normals, features, n, seed, max(1, int(share * len(features))), multi=True)
 
 
 def shift_cluster(rows: DataFrame, held: DataFrame, features: tuple[str, ...], delta: float) -> DataFrame:
@@ -186,7 +209,7 @@ def project_valid(synthetic: DataFrame, normals: DataFrame, features: tuple[str,
     return s.select(*[c for c in synthetic.columns if c not in features], *out)
 
 
-REFERENCE = 1500  #: normals of a data set that the geometric generators know, as their definitions have it
+REFERENCE = 1500  #: normals of a data set that the kernel generators know, as their definitions have it
 SPARSITY = (50, 70, 85, 95)  #: percentiles that are levels of sparsity or density
 
 
@@ -200,35 +223,6 @@ def _nearest(points: np.ndarray, z: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, k))
 
 
-def _centres(z: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    c = z[rng.choice(len(z), min(count, len(z)), replace=False)]
-    for _ in range(rounds):
-        own = ((z[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-        c = np.array([z[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-    return c, own
-
-
-def between_centres(z: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Rows moved a share of 0.5 to 1.3 of the way to the centre of another cluster."""
-    c, own = _centres(z, min(20, max(3, len(z) // 40)), rng)
-    i = rng.integers(len(z), size=n)
-    to = (own[i] + rng.integers(1, max(2, len(c)), size=n)) % len(c)
-    return z[i] + rng.uniform(0.5, 1.3, (n, 1)) * (c[to] - z[i]), np.full(n, np.nan)
-
-
-def density_band(z: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Noisy points between two centres whose distance to the 10th neighbour lies in the rows' 60-95 % band."""
-    c, _ = _centres(z, min(20, max(3, len(z) // 40)), rng)
-    low, high = np.percentile(_nearest(z, z, 10)[:, -1], (60, 95))
-    i = rng.integers(len(c), size=12 * n)
-    j = (i + rng.integers(1, max(2, len(c)), size=12 * n)) % len(c)
-    t = rng.uniform(0.35, 0.65, (12 * n, 1))
-    p = t * c[i] + (1 - t) * c[j] + rng.normal(0, 0.15, (12 * n, z.shape[1])) * z.std(axis=0)
-    d = _nearest(p, z, 10)[:, -1]
-    p = p[(d >= low) & (d <= high)][:n]
-    return p, np.full(len(p), np.nan)
-
-
 def level_set(z: np.ndarray, n: int, rng: np.random.Generator, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Rows that walk down the gradient of a kernel density, recorded where they first reach each level of sparsity."""
     near = _nearest(z, z, 11)[:, 1:]
@@ -275,51 +269,122 @@ def void(z: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, n
     return p[order], np.array(SPARSITY, float)[np.minimum(np.searchsorted(cuts, density[order], side="left"), len(cuts) - 1)]
 
 
-def valley(z: np.ndarray, n: int, rng: np.random.Generator, k: int = 10, reach: float = 1.6, alpha: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
-    """The least dense point on a segment from a row to a neighbourhood that is not its own, if its density is under ``alpha``
-    times that of either end. The level is how many times less dense it is."""
-    k = min(k, len(z) - 1)
-    own = _nearest(z, z, k + 1)
-    radius, density = own[:, -1], 1 / (own[:, 1:].mean(axis=1) + 1e-9)
-    i = rng.permutation(np.repeat(np.arange(len(z)), 6))[: 40 * n]
-    u = rng.normal(size=(len(i), z.shape[1]))
-    tip = z[i] + reach * radius[i, None] * u / (np.linalg.norm(u, axis=1, keepdims=True) + 1e-12)
-    out, depth = [], []
-    for a, x in zip(i.tolist(), tip, strict=True):
-        if len(out) == n:
-            break
-        d = ((z - x) ** 2).sum(axis=1)
-        near = np.argpartition(d, k - 1)[:k]
-        other = near[((z[near] - z[a]) ** 2).sum(axis=1) > radius[a] ** 2]
-        if not len(other):
-            continue
-        b = other[d[other].argmin()]
-        t = np.linspace(0.15, 0.85, 8)[:, None]
-        path = (1 - t) * z[a] + t * z[b]
-        rho = 1 / (_nearest(path, z, k).mean(axis=1) + 1e-9)
-        m, least = int(rho.argmin()), min(density[a], density[b])
-        if rho[m] < alpha * least:
-            out.append(path[m])
-            depth.append(least / rho[m])
-    return np.array(out).reshape(-1, z.shape[1]), np.array(depth)
-
-
-GEOMETRIC = {f.__name__: f for f in (between_centres, density_band, level_set, void, valley)}
+SAMPLED = {f.__name__: f for f in (level_set, void)}
+
+
+class _Space:
+    """All normals of every data set in standardised features, and what is needed to draw near them and to go back."""
+
+    def __init__(self, normals: DataFrame, features: tuple[str, ...], n: int, seed: object) -> None:
+        self.features, self.n, self.seed = features, n, seed
+        stats = normals.groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), (F.stddev_pop(f) + 1e-9).alias("s")).alias(f"_{f}") for f in features])
+        self.stats = stored(stats, "scales")
+        scaled = [((F.col(f) - F.col(f"_{f}.m")) / F.col(f"_{f}.s")).alias(f) for f in features]
+        rows = normals.select("dataset", F.col("row_id").cast("bigint").alias("row_id"), *features).dropna().join(self.stats, "dataset")
+        self.rows = stored(rows.select("dataset", "row_id", *scaled), "normals")
+
+    def u(self, tag: str, index: Column | None = None) -> Column:
+        return hash_uniform(self.seed, tag, F.col("k") if index is None else index)
+
+    def gauss(self, tag: str) -> Column:
+        return F.sqrt(-2 * F.ln(1 - self.u(f"{tag}:r"))) * F.cos(2 * np.pi * self.u(f"{tag}:a"))
+
+    def centres(self) -> tuple[DataFrame, DataFrame]:
+        """The rows with their cluster's place, and (dataset, centres, size): the clusters' means in order."""
+        c = space.kmeans(self.rows.select("dataset", "row_id", F.array(*self.features).alias("z")), 20, share=40).select("dataset", "row_id", "cluster")
+        c = stored(self.rows.join(c, ["dataset", "row_id"]), "clustered")
+        means = c.groupBy("dataset", "cluster").agg(F.array(*[F.avg(f) for f in self.features]).alias("c"))
+        listed = means.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("_l"))  # 20 at most
+        listed = stored(listed.select("dataset", F.transform("_l", lambda x: x["cluster"]).alias("names"), F.transform("_l", lambda x: x["c"]).alias("centres"), F.size("_l").alias("size")), "centres")
+        return c.join(listed.select("dataset", "names"), "dataset").withColumn("place", F.array_position("names", F.col("cluster")) - 1).drop("names", "cluster"), listed
+
+    def back(self, points: DataFrame, first: int | None = None) -> DataFrame:
+        """(dataset, k, level, features) in the normals' units; the ``first`` of each data set by k, numbered anew."""
+        if first is not None:
+            points = points.withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy("k")) - 1).where(F.col("k") < first)
+        own = [(F.col(f) * F.col(f"_{f}.s") + F.col(f"_{f}.m")).alias(f) for f in self.features]
+        return points.join(self.stats, "dataset").select("dataset", F.col("k").cast("bigint").alias("k"), F.col("level").cast("double").alias("level"), *own)
+
+
+def between_centres(normals: DataFrame, features: tuple[str, ...], n: int, seed: object) -> DataFrame:
+    """(dataset, k, level, features): rows moved a share of 0.5 to 1.3 of the way to the centre of another cluster."""
+    x = _Space(normals, features, n, seed)
+    rows, listed = x.centres()
+    p = _joined(rows, draws(rows, n, seed, 0), (*features, "place"), 0).join(listed, "dataset")
+    other = (F.col("place") + 1 + F.floor(x.u("to") * F.greatest(F.lit(1), F.col("size") - 1))) % F.col("size")
+    p = p.withColumn("_c", F.col("centres")[other.cast("int")]).withColumn("_t", 0.5 + 0.8 * x.u("way"))
+    return x.back(p.select("dataset", "k", F.lit(None).cast("double").alias("level"), *[(F.col(f) + F.col("_t") * (F.col("_c")[i] - F.col(f))).alias(f) for i, f in enumerate(features)]))
+
+
+def density_band(normals: DataFrame, features: tuple[str, ...], n: int, seed: object) -> DataFrame:
+    """(dataset, k, level, features): noisy points between two centres whose distance to the 10th row lies in the normals' own
+    60-95 % band (a normal counts itself). At most ``n`` of 12 n candidates; all normals take part."""
+    x = _Space(normals, features, n, seed)
+    listed = x.centres()[1]
+    c = listed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(12 * n - 1))))
+    i = F.floor(x.u("from") * F.col("size"))
+    j = (F.col("_i") + 1 + F.floor(x.u("to") * F.greatest(F.lit(1), F.col("size") - 1))) % F.col("size")
+    c = c.withColumn("_i", i.cast("int")).withColumn("_j", j.cast("int")).withColumn("_t", 0.35 + 0.3 * x.u("way"))
+    at = lambda m: F.col("_t") * F.col("centres")[F.col("_i")][m] + (1 - F.col("_t")) * F.col("centres")[F.col("_j")][m]
+    p = stored(c.select("dataset", "k", (-F.col("k") - 1).cast("bigint").alias("row_id"), *[(at(m) + 0.15 * x.gauss(f)).alias(f) for m, f in enumerate(features)]), "candidates")
+    tree = CellTree.build(x.rows, features, 10)
+    own = tree.search(x.rows, 9).where("place = 9").groupBy("dataset").agg(F.percentile("distance", 0.6).alias("_lo"), F.percentile("distance", 0.95).alias("_hi"))
+    far = tree.search(p, 10).where("place = 10").select("dataset", "row_id", F.col("distance").alias("_d"))
+    kept = p.join(far, ["dataset", "row_id"]).join(own, "dataset").where("_d >= _lo AND _d <= _hi")
+    return x.back(kept.withColumn("level", F.lit(None).cast("double")), n)
+
+
+def valley(normals: DataFrame, features: tuple[str, ...], n: int, seed: object, k: int = 10, reach: float = 1.6, alpha: float = 0.6) -> DataFrame:
+    """(dataset, k, level, features): the least dense of eight points on a segment from a row to a neighbourhood that is not its own,
+    if its density is under ``alpha`` times that of either end; the level is how many times less dense it is.
+
+    A row's neighbourhood is its ``k`` nearest; a step of ``reach`` times its radius in a hash-drawn direction leads to the tip,
+    and the other end is the nearest to it of the tip's ``k`` nearest rows outside the neighbourhood. Density is one over the
+    mean distance of the ``k`` nearest. At most ``n`` of 40 n draws; every lookup is a batch over all normals.
+    """
+    x = _Space(normals, features, n, seed)
+    tree = CellTree.build(x.rows, features, k)
+    near = tree.search(x.rows, k).groupBy("dataset", "row_id").agg(F.max("distance").alias("radius"), (1 / (F.avg("distance") + 1e-9)).alias("density"))
+    own = stored(x.rows.join(near, ["dataset", "row_id"]), "densities")
+    a = _joined(own, draws(own, 40 * n, seed, 0), (*features, "radius", "density"), 0)
+    a = a.withColumn("_u", F.array(*[x.gauss(f) for f in features]))
+    size = F.sqrt(F.aggregate("_u", F.lit(0.0), lambda s, v: s + v * v)) + 1e-12
+    tips = a.select("dataset", "k", (-F.col("k") - 1).alias("row_id"), *[F.col(f).alias(f"_a_{f}") for f in features], "radius", F.col("density").alias("_da"), *[(F.col(f) + reach * F.col("radius") * F.col("_u")[m] / size).alias(f) for m, f in enumerate(features)])
+    tips = stored(tips, "tips")
+    ends = own.select("dataset", F.col("row_id").alias("other"), *[F.col(f).alias(f"_b_{f}") for f in features], F.col("density").alias("_db"))
+    met = tree.search(tips, k).select("dataset", "row_id", "other", "distance").join(ends, ["dataset", "other"]).join(tips, ["dataset", "row_id"])
+    apart = sum(((F.col(f"_b_{f}") - F.col(f"_a_{f}")) ** 2 for f in features), F.lit(0.0))
+    met = met.where(apart > F.col("radius") ** 2)
+    best = met.withColumn("_o", F.row_number().over(W.partitionBy("dataset", "k").orderBy("distance", "other"))).where("_o = 1")
+    step = F.posexplode(F.array(*[F.lit(0.15 + 0.1 * j) for j in range(8)])).alias("_j", "_t")
+    path = best.select("dataset", "k", "_da", "_db", *[f"_{e}_{f}" for e in "ab" for f in features], step)
+    path = stored(path.select("dataset", "k", "_da", "_db", (-8 * F.col("k") - F.col("_j") - 1).alias("row_id"), *[((1 - F.col("_t")) * F.col(f"_a_{f}") + F.col("_t") * F.col(f"_b_{f}")).alias(f) for f in features]), "paths")
+    rho = tree.search(path, k).groupBy("dataset", "row_id").agg((1 / (F.avg("distance") + 1e-9)).alias("_r"))
+    deep = path.join(rho, ["dataset", "row_id"]).groupBy("dataset", "k").agg(F.min_by(F.struct(*features), F.struct(F.col("_r"), -F.col("row_id"))).alias("p"), F.min("_r").alias("_r"), F.first("_da").alias("_da"), F.first("_db").alias("_db"))
+    least = F.least("_da", "_db")
+    kept = deep.where(F.col("_r") < alpha * least).select("dataset", "k", (least / F.col("_r")).alias("level"), "p.*")
+    return x.back(kept, n)
+
+
+WHOLE = {f.__name__: f for f in (between_centres, density_band, valley)}
 
 
 def geometric(normals: DataFrame, features: tuple[str, ...], n: int, seed: int, kind: str) -> DataFrame:
     """(dataset, k, level, features) of the generators that follow geometry: between_centres, density_band, level_set, void or
     valley. Points that miss a generator's condition are left out, so there may be fewer than ``n`` (level_set: ``n`` walks).
 
-    A generator knows at most ``REFERENCE`` normals of a data set, in MD5 order, so a data set's group is bounded.
+    between_centres, density_band and valley know all normals. level_set and void follow a kernel density over at most
+    ``REFERENCE`` normals of a data set, in MD5 order, as their definitions have it, so a data set's group is bounded.
     """
+    if kind in WHOLE:
+        return WHOLE[kind](normals, features, n, seed)
     place = F.row_number().over(W.partitionBy("dataset").orderBy(F.md5(F.col("row_id").cast("string"))))
     few = normals.select("dataset", "row_id", *features).withColumn("_k", place).where(F.col("_k") <= REFERENCE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("row_id")[list(features)].to_numpy(float)
         mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-        p, level = GEOMETRIC[kind]((x - mean) / sd, n, np.random.default_rng(seed)) if len(x) > 12 else (x[:0], np.zeros(0))
+        p, level = SAMPLED[kind]((x - mean) / sd, n, np.random.default_rng(seed)) if len(x) > 12 else (x[:0], np.zeros(0))
         back = p * sd + mean
         return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "k": np.arange(len(back)), "level": level, **{f: back[:, c] for c, f in enumerate(features)}})
 

@@ -21,8 +21,9 @@ SMOOTHING, SPREADS, OFFSETS = (8, 32, 128, 512), (0, 1), (0, 1, 3)
 _SPECTRAL = T.StructType([T.StructField(n, T.IntegerType() if n == "peak" else T.DoubleType()) for n in ("entropy", "crest", "peak", "b1", "b2", "b3", "b4")])
 
 
-def sliding(series: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
-    """(series, win, pos, v, y): whole windows at every ``stride``, their values in order, and 1 if a point in it is labelled.
+def sliding(series: DataFrame, width: int = WIDTH, stride: int = STRIDE, min_count: int = 1) -> DataFrame:
+    """(series, win, pos, v, y): whole windows at every ``stride``, their values in order, and 1 if ``min_count`` points in it are
+    labelled.
 
     A point belongs to at most ceil(width / stride) windows, so it is dealt to those and windows are grouped: a series of
     any length is spread over all tasks, which a frame over the series would not be.
@@ -30,7 +31,7 @@ def sliding(series: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> Data
     k = -(-width // stride)
     wins = F.expr(f"filter(transform(sequence(0, {k - 1}), i -> floor(pos / {stride}) - i), w -> w >= 0 AND pos < w * {stride} + {width})")
     dealt = series.select("series", "pos", "value", "label", F.explode(wins).alias("win"))
-    g = dealt.groupBy("series", "win").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"), F.max("label").alias("y"))
+    g = dealt.groupBy("series", "win").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"), (F.sum("label") >= min_count).cast("int").alias("y"))
     return g.where(F.size("p") == width).select("series", "win", (F.col("win") * stride).alias("pos"), F.col("p.value").alias("v"), "y")
 
 

@@ -251,6 +251,20 @@ def h3_double_hard(spark, sf_dir):
     return H.double_hard(base.tab(spark, sf_dir), TWO).select("dataset", "row_id", "y")
 
 
+_SWEEP = f"""WITH {_RES}, z AS ({_MZ2}), sw AS (SELECT l.dataset, l.y, l.score AS a, z.score AS b, level FROM l JOIN z USING (dataset, row_id), (SELECT unnest([0.9, 0.95, 0.99, 0.999])::DOUBLE AS level)),
+q AS (SELECT dataset, quantile_cont(a, [0.9, 0.95, 0.99, 0.999]) AS qa, quantile_cont(b, [0.9, 0.95, 0.99, 0.999]) AS qb FROM sw WHERE y = 0 AND level = 0.9 GROUP BY ALL),
+h AS (SELECT dataset, level, a <= qa[list_position([0.9, 0.95, 0.99, 0.999], level)] AND b <= qb[list_position([0.9, 0.95, 0.99, 0.999], level)] AS hard FROM sw JOIN q USING (dataset) WHERE y = 1)
+SELECT dataset, level, count(*) FILTER (hard) AS kept, round(avg(hard::INT), 6) AS share FROM h GROUP BY ALL"""
+
+
+@query(sql("feat", _SWEEP))
+def h3_level_sweep(spark, sf_dir):
+    t = base.tab(spark, sf_dir)
+    normal = t.where("y = 0")
+    rules = [D.max_z(t, TWO, train=normal), D.linear_residual(t, TWO, train=normal)]
+    return H.level_sweep(t, rules, (0.9, 0.95, 0.99, 0.999)).withColumn("share", F.round("share", 6))
+
+
 _SEV = "n AS (SELECT dataset, feature, count(*) AS m, min(value) AS lo, max(value) AS hi FROM feat WHERE y = 0 GROUP BY ALL HAVING max(value) - min(value) >= 1e-12), c AS (SELECT f.dataset, f.feature, f.row_id, f.y, f.value, m, lo, hi, sum(1 - f.y) OVER (PARTITION BY f.dataset, f.feature ORDER BY f.value RANGE UNBOUNDED PRECEDING) / m AS fb, least(greatest(floor((f.value - lo) / (hi - lo) * 30)::INT + 1, 1), 30) AS bin FROM feat f JOIN n USING (dataset, feature)), d AS (SELECT *, sum(1 - y) OVER (PARTITION BY dataset, feature, bin) / m AS density FROM c), v AS (SELECT dataset, row_id, y, max(greatest(-ln(greatest(2 * least(fb, 1 - fb), 1 / (2.0 * m))), -ln(density + 1e-9))) AS score FROM d GROUP BY ALL)"
 
 

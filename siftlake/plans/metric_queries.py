@@ -70,6 +70,17 @@ def m6_recall_at_fpr(spark, sf_dir):
     return M.recall_at_rates(p, p.where("y = 0 AND row_id % 2 = 0"), BY).select(*BY, F.round("recall_1", 6).alias("recall_1"), F.round("recall_5", 6).alias("recall_5"))
 
 
+_ROC = """WITH c AS (SELECT dataset, detector, score, sum(y) AS p, sum(1 - y) AS n FROM point GROUP BY ALL),
+r AS (SELECT dataset, detector, {'x': sum(n) OVER w / sum(n) OVER a, 'y': sum(p) OVER w / sum(p) OVER a} AS p FROM c WINDOW w AS (PARTITION BY dataset, detector ORDER BY score DESC), a AS (PARTITION BY dataset, detector)),
+e AS (SELECT dataset, detector, coalesce(max(p) FILTER (p.x <= 0.1), {'x': 0.0, 'y': 0.0}) AS a, min(p) FILTER (p.x > 0.1) AS z FROM r GROUP BY ALL)
+SELECT dataset, detector, round(coalesce(a.y + (0.1 - a.x) * (z.y - a.y) / (z.x - a.x), a.y), 6) AS recall FROM e"""
+
+
+@query(sql("point", _ROC))
+def m6_interpolated_recall(spark, sf_dir):
+    return M.recall_at_rate(base.point(spark, sf_dir), BY, splits=8).select(*BY, F.round("recall", 6).alias("recall"))
+
+
 @query()
 def m8_m9_m10_excess_mass_and_mass_volume(spark, sf_dir):
     """EM and MV of z-score detectors against a uniform box of hash draws (M11)."""

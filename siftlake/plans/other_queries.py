@@ -170,6 +170,19 @@ def streaming_tumbling_windows(spark, sf_dir):
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("mean")), 4).alias("total"))
 
 
+_SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, s"""
+
+
+@query(_SESSIONS)
+def streaming_sessions(spark, sf_dir):
+    """Bursts of a user's events that are less than six hours apart, from a stream in complete mode."""
+    e = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.run_available(stream.sessions(e, gap="6 hours"), _folder(spark, "sessions"), _folder(spark, "state"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @query(sql("series", "SELECT series, pos // 16 AS win, y FROM (SELECT series, pos, max(label) OVER w AS y, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING)) WHERE pos % 16 = 0 AND n = 64"))
 def streaming_row_windows(spark, sf_dir):
     """The 64-row windows of the batch operator, from a stream with state."""

@@ -212,6 +212,12 @@ def w1_w3_sliding_windows(spark, sf_dir):
     return w.select("series", "win", "y", F.round(F.expr("aggregate(v, 0.0D, (s, x) -> s + x)"), 6).alias("total"), F.expr("v[0]").alias("first_value"), F.expr("v[63]").alias("last_value"))
 
 
+@query(sql("series", "SELECT series, win, y FROM (SELECT series, pos // 16 AS win, pos, (sum(label) OVER w >= 5)::INT AS y, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING)) WHERE pos % 16 = 0 AND n = 64"))
+def w3_windows_of_several_labels(spark, sf_dir):
+    """A window counts as anomalous from five labelled points on."""
+    return S.sliding(base.series(spark, sf_dir), min_count=5).select("series", "win", "y")
+
+
 _STATS = "WITH l AS (SELECT * FROM ({LIST}) WHERE pos % 16 = 0 AND n = 64), u AS (SELECT series, win, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM l), d AS (SELECT *, x - lag(x) OVER q AS d1, avg(x) OVER (PARTITION BY series, win) AS m FROM u WINDOW q AS (PARTITION BY series, win ORDER BY i)), e AS (SELECT *, d1 - lag(d1) OVER q AS d2, (x - m) * lag(x - m, 1) OVER q AS p1, (x - m) * lag(x - m, 5) OVER q AS p5 FROM d WINDOW q AS (PARTITION BY series, win ORDER BY i)) SELECT series, win, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, min(x) AS min, max(x) AS max, round(max(x) - min(x), 9) AS range, round(sqrt(avg(x * x)), 9) AS rms, round(avg(abs(d1)), 9) AS abs_d1, round(stddev_pop(d1), 9) AS std_d1, round(avg(abs(d2)), 9) AS abs_d2, round(stddev_pop(d2), 9) AS std_d2, round(sum(p1) / 64 / (var_pop(x) + 1e-12), 9) AS ac1, round(sum(p5) / 64 / (var_pop(x) + 1e-12), 9) AS ac5, round(avg((x - m) ** 3) / (stddev_pop(x) ** 3 + 1e-12), 9) AS skew, round(avg((x - m) ** 4) / (var_pop(x) ** 2 + 1e-12) - 3, 9) AS kurt, round(quantile_cont(x, 0.1), 9) AS q10, round(quantile_cont(x, 0.5), 9) AS q50, round(quantile_cont(x, 0.9), 9) AS q90, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 9) AS iqr, round(sum(CASE WHEN p1 < 0 THEN 1.0 ELSE 0 END) / 63, 9) AS zero_cross FROM e GROUP BY ALL"
 _NAMES = "mean std min max range rms abs_d1 std_d1 abs_d2 std_d2 ac1 ac5 skew kurt q10 q50 q90 iqr zero_cross".split()
 

@@ -140,6 +140,20 @@ def r11_alpha_router(spark, sf_dir):
     return R.alpha_router(base.grade(spark, sf_dir))
 
 
+_MIXES = """WITH s AS (SELECT *, round(alpha * a1 + (1 - alpha) * a4, 9) AS c FROM grade, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha)),
+k AS (SELECT *, row_number() OVER w AS k, round(stddev_pop(c) OVER (PARTITION BY dataset, alpha), 9) AS spread, round(c - lead(c) OVER w, 9) AS margin FROM s WINDOW w AS (PARTITION BY dataset, alpha ORDER BY c DESC, detector)),
+t AS (SELECT * FROM k WHERE k = 1), v AS (SELECT dataset, detector, count(*) AS n, min(alpha) AS alpha FROM t GROUP BY ALL)
+SELECT dataset, 'disagreement' AS rule, detector FROM t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY spread DESC, alpha) = 1
+UNION ALL SELECT dataset, 'margin', detector FROM t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY margin DESC NULLS LAST, alpha) = 1
+UNION ALL SELECT dataset, 'consensus', detector FROM v QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY n DESC, alpha) = 1
+UNION ALL SELECT dataset, 'oracle', detector FROM t QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY truth DESC, alpha) = 1"""
+
+
+@query(sql("grade", _MIXES))
+def r11_alpha_estimators(spark, sf_dir):
+    return R.alpha_estimators(base.grade(spark, sf_dir))
+
+
 @query()
 def r11_learned_router(spark, sf_dir):
     g = base.grade(spark, sf_dir).groupBy("dataset").agg(F.max("a1").alias("m1"), F.max("a4").alias("m4"), F.avg("pseudo").alias("mp"), F.max("truth").alias("best"))
@@ -646,6 +660,25 @@ def y10_y12_single_feature_elevation(spark, sf_dir):
     return Y.elevate(n, _THREE, 100, 6).withColumn("kind", F.lit("elevate")).unionByName(Y.marginal_probe(n, _THREE, 100, 6).withColumn("kind", F.lit("marginal")))
 
 
+_PROBE = f"""WITH {_BASE}, f AS (SELECT dataset, row_id, unnest([{{'f': 0, 'v': x1}}, {{'f': 1, 'v': x2}}, {{'f': 2, 'v': x3}}]) AS u FROM n),
+q AS (SELECT dataset, u.f AS f, quantile_cont(u.v, 0.05) AS lo, quantile_cont(u.v, 0.95) AS hi FROM f GROUP BY ALL),
+t AS (SELECT f.dataset, f.u.f AS f, s, f.u.v AS v, row_number() OVER (PARTITION BY f.dataset, f.u.f, s ORDER BY f.u.v, row_id) - 1 AS i, count(*) OVER (PARTITION BY f.dataset, f.u.f, s) AS c
+ FROM f JOIN q ON f.dataset = q.dataset AND f.u.f = q.f, (SELECT unnest([0, 1]) AS s) WHERE CASE WHEN s = 0 THEN f.u.v <= lo ELSE f.u.v >= hi END),
+d AS (SELECT dataset, k, floor({_u(9, 'base')} * n)::BIGINT AS b, floor({_u(9, 'feature')} * 3)::INT AS f, CASE WHEN {_u(9, 'side')} < 0.5 THEN 1 ELSE 0 END AS s, {_u(9, 'value')} AS u FROM z, range(100) r(k))
+SELECT d.dataset, k, CASE WHEN d.f = 0 THEN v ELSE x1 END AS x1, CASE WHEN d.f = 1 THEN v ELSE x2 END AS x2, CASE WHEN d.f = 2 THEN v ELSE x3 END AS x3
+FROM d JOIN n ON n.dataset = d.dataset AND n.i = d.b JOIN t ON t.dataset = d.dataset AND t.f = d.f AND t.s = d.s AND t.i = floor(d.u * t.c)::BIGINT"""
+
+
+@query(sql("tab", _PROBE))
+def y12_marginal_probe(spark, sf_dir):
+    return Y.marginal_probe(_normals(spark, sf_dir), _THREE, 100, 9)
+
+
+@query()
+def y12_dependency_probe(spark, sf_dir):
+    return Y.dependency_probe(_normals(spark, sf_dir), FEATURES[:3], 100, 9)
+
+
 _SHIFT = ", ".join(f"avg({f}) AS m{f}, stddev_pop({f}) AS s{f}, min({f}) AS l{f}, max({f}) AS h{f}" for f in ("x1", "x2", "x3"))
 _SHIFTED = ", ".join(f"round(least(greatest({f} + CASE WHEN c{f} >= m{f} THEN 1 ELSE -1 END * 1.5 * s{f}, l{f}), h{f}), 6) AS {f}" for f in ("x1", "x2", "x3"))
 

@@ -191,24 +191,40 @@ def test_candidates_of_an_odd_number_of_clusters(spark):
     assert pseudo.candidates(c.where("cluster < 3"), "smallest").count() == 2
 
 
-def test_geometric_generators_keep_their_conditions():
+def test_kernel_generators_keep_their_conditions():
     rng = np.random.default_rng(4)
     z = np.concatenate([rng.normal(-3, 0.5, (200, 2)), rng.normal(3, 0.5, (200, 2))])
-    band, _ = synth.density_band(z, 50, np.random.default_rng(0))
-    low, high = np.percentile(synth._nearest(z, z, 10)[:, -1], (60, 95))
-    d = synth._nearest(band, z, 10)[:, -1] if len(band) else np.zeros(0)
-    assert ((d >= low) & (d <= high)).all()
     walk, level = synth.level_set(z, 20, np.random.default_rng(0))
     sparse = synth._nearest(z, z, 11)[:, 1:].mean(axis=1)
     assert set(level) <= set(synth.SPARSITY) and len(walk) >= 40
     assert all(s >= np.percentile(sparse, q) - 1e-9 for s, q in zip(synth._nearest(walk, z, 11)[:, 1:].mean(axis=1), level, strict=True))
-    deep, times = synth.valley(z, 20, np.random.default_rng(0))
-    assert (times > 1 / 0.6).all()
-    assert len(synth.valley(np.linspace(0, 1, 300)[:, None], 20, np.random.default_rng(0))[0]) == 0  # no valley on an even line
     gaps, _ = synth.void(z, 30, np.random.default_rng(0))
     assert len(gaps) == 30
-    moved, _ = synth.between_centres(z, 30, np.random.default_rng(0))
-    assert moved.shape == (30, 2)
+
+
+def test_geometric_generators_over_all_normals(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-3, 0.5, (200, 2)), rng.normal(3, 0.5, (200, 2))])
+    rows = spark.createDataFrame([("d", i, *map(float, v)) for i, v in enumerate(x)], "dataset string, row_id long, a double, b double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    scaled = lambda df: (np.array([[r.a, r.b] for r in df]) - x.mean(axis=0)) / x.std(axis=0)
+    band = synth.geometric(rows, ("a", "b"), 30, 1, "density_band").collect()
+    low, high = np.percentile(synth._nearest(z, z, 10)[:, -1], (60, 95))
+    d = synth._nearest(scaled(band), z, 10)[:, -1]
+    assert 0 < len(band) <= 30 and [r.k for r in sorted(band, key=lambda r: r.k)] == list(range(len(band)))
+    assert ((d >= low - 1e-6) & (d <= high + 1e-6)).all()
+    y = np.array([(i, j) for i in range(7) for j in range(7)] * 8, float) + rng.normal(0, 0.01, (392, 2))
+    clumps = spark.createDataFrame([("d", i, *map(float, v)) for i, v in enumerate(y)], "dataset string, row_id long, a double, b double")
+    w = (y - y.mean(axis=0)) / y.std(axis=0)
+    deep = synth.geometric(clumps, ("a", "b"), 20, 1, "valley").collect()
+    assert 3 < len(deep) <= 20
+    rho = 1 / (synth._nearest((np.array([[r.a, r.b] for r in deep]) - y.mean(axis=0)) / y.std(axis=0), w, 10).mean(axis=1) + 1e-9)
+    ends = 1 / (synth._nearest(w, w, 11)[:, 1:].mean(axis=1) + 1e-9)
+    assert all(r.level > 1 / 0.6 and ends.min() - 1e-6 <= r.level * v <= ends.max() + 1e-6 for r, v in zip(deep, rho, strict=True))
+    line = spark.createDataFrame([("d", i, i / 300) for i in range(300)], "dataset string, row_id long, a double")
+    assert synth.geometric(line, ("a",), 20, 1, "valley").count() == 0  # no valley on an even line
+    moved = synth.geometric(rows, ("a", "b"), 30, 1, "between_centres").collect()
+    assert len(moved) == 30 and all(r.level is None for r in moved)
 
 
 def test_cluster_moves_as_one_piece(spark):
