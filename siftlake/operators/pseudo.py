@@ -5,6 +5,8 @@ Rows are (dataset, row_id, cluster, z, ...); subsets are long membership tables
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -221,6 +223,59 @@ def edge_tags(rows: DataFrame) -> DataFrame:
     return d.withColumn("share", F.percent_rank().over(W.partitionBy("dataset", "cluster").orderBy(F.round("distance", 9), "row_id"))).select("dataset", "row_id", "cluster", "distance", "share")
 
 
+def edge_measures(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """(dataset, cluster, size, centroid, outer, marginal, recon): how far each cluster of (dataset, row_id, cluster, features) lies out.
+
+    centroid is the distance of its mean in deviations over the root of the number of features; outer the share of its rows
+    beyond the 90th percentile of all distances; marginal the mean, over features, of twice the distance from a half of
+    the share of rows below its mean; recon its squared error over that of the other rows, when half of the principal axes of the
+    others stand for a row. Errors come from sums of products, one aggregation by cluster: those of the others are the data
+    set's less the cluster's.
+    """
+    names, d = list(features), len(features)
+    axes = max(1, min(d - 1, d // 2))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    x = stored(rows.select("dataset", "row_id", "cluster", *[F.col(f).cast("double").alias(f) for f in names]), "measured")
+    stats = x.groupBy("dataset").agg(*[F.struct(F.avg(f).alias("m"), (F.stddev_pop(f) + 1e-9).alias("s")).alias(f"_{f}") for f in names])
+    far = F.sqrt(sum((F.pow((F.col(f) - F.col(f"_{f}.m")) / F.col(f"_{f}.s"), 2) for f in names), F.lit(0.0)))
+    dist = x.join(stats, "dataset").select("dataset", "cluster", F.round(far, 9).alias("r"))
+    cut = dist.groupBy("dataset").agg(F.percentile("r", 0.9).alias("cut"))
+    outer = dist.join(cut, "dataset").groupBy("dataset", "cluster").agg(F.avg(F.when(F.col("r") > F.col("cut"), 1.0).otherwise(0.0)).alias("outer"))
+    sums = [F.count(F.lit(1)).alias("size"), F.array(*[F.sum(f) for f in names]).alias("first"), F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("second")]
+    own = stored(x.groupBy("dataset", "cluster").agg(*sums), "sums")
+    added = [F.array(*[F.sum(F.col(c)[k]) for k in range(n)]).alias(f"all_{c}") for c, n in (("first", d), ("second", len(pairs)))]
+    both = own.join(own.groupBy("dataset").agg(F.sum("size").alias("all_size"), *added), "dataset")
+
+    @F.pandas_udf("double")
+    def ratio(size: pd.Series, first: pd.Series, second: pd.Series, n: pd.Series, all_first: pd.Series, all_second: pd.Series) -> pd.Series:
+        out = []
+        for c, f, s, m, g, t in zip(size, first, second, n, all_first, all_second, strict=True):
+            if m - c < 2:
+                out.append(None)
+                continue
+            square = np.zeros((2, d, d))
+            for k, v in enumerate((np.asarray(s) / c, (np.asarray(t) - np.asarray(s)) / (m - c))):
+                square[k][tuple(np.array(pairs).T)] = v
+                square[k] += square[k].T - np.diag(np.diag(square[k]))
+            mean, own_mean = (np.asarray(g) - np.asarray(f)) / (m - c), np.asarray(f) / c
+            spread = square[1] - np.outer(mean, mean)
+            about = square[0] - np.outer(own_mean, mean) - np.outer(mean, own_mean) + np.outer(mean, mean)
+            lost = np.linalg.eigh(spread)[1][:, : d - axes]  # what the largest axes leave out
+            out.append(float(np.trace(lost.T @ about @ lost) / (np.trace(lost.T @ spread @ lost) + 1e-12)))
+        return pd.Series(out, dtype=float)
+
+    centre = [F.pow((F.col("first")[i] / F.col("size") - F.col(f"_{f}.m")) / F.col(f"_{f}.s"), 2) for i, f in enumerate(names)]
+    out = both.join(stats, "dataset").select("dataset", "cluster", "size", F.sqrt(sum(centre, F.lit(0.0)) / d).alias("centroid"), ratio("size", "first", "second", "all_size", "all_first", "all_second").alias("recon"))
+    means = own.select("dataset", "cluster", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.col("first")[i] / F.col("size"), 9).alias("v")) for i, f in enumerate(names)])).alias("e")).select("dataset", "cluster", "e.*")
+    values = x.select("dataset", F.lit(None).cast(own.schema["cluster"].dataType).alias("cluster"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.round(f, 9).alias("v")) for f in names])).alias("e")).select("dataset", "cluster", "e.*")
+    counts = values.groupBy("dataset", "feature", "v").agg(F.count(F.lit(1)).alias("c")).select("dataset", F.lit(None).cast(own.schema["cluster"].dataType).alias("cluster"), "feature", "v", "c")
+    w = W.partitionBy("dataset", "feature")  # over distinct values
+    upto = F.sum("c").over(w.orderBy("v").rangeBetween(W.unboundedPreceding, 0)) - F.sum("c").over(W.partitionBy("dataset", "feature", "v"))
+    below = counts.unionByName(means.withColumn("c", F.lit(0).cast("bigint"))).withColumn("share", upto / F.sum("c").over(w)).where("cluster IS NOT NULL")
+    marginal = below.groupBy("dataset", "cluster").agg((2 * F.avg(F.abs(F.col("share") - 0.5))).alias("marginal"))
+    return out.join(outer, ["dataset", "cluster"]).join(marginal, ["dataset", "cluster"])
+
+
 def two_channels(tags: DataFrame, small: DataFrame, edge: float = 0.9) -> DataFrame:
     """(dataset, row_id, channel): peripheral rows of any cluster, or all rows of small clusters; embedded ones otherwise."""
     t = tags.join(small.select("dataset", "cluster", F.lit(True).alias("_s")), ["dataset", "cluster"], "left")

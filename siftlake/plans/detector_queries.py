@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftlake.operators import boosting as B
 from siftlake.operators import density as N
 from siftlake.operators import detectors as D
 from siftlake.operators import harden as H
 from siftlake.operators import metrics as M
+from siftlake.operators import pseudo as G
 from siftlake.operators import separability as SP
 from siftlake.operators import space as E
 from siftlake.plans import base
@@ -227,6 +229,22 @@ def k18_supervised_learners(spark, sf_dir):
     return parts[0].unionAll(parts[1])
 
 
+@query()
+def k18_few_label_boosting(spark, sf_dir):
+    """Boosted trees on the features and four detectors' scores, with 5 or 50 labelled anomalies in three draws each: AUC on the
+    rows without labels."""
+    rows = stored(base.tab(spark, sf_dir), "rows")
+    roles = stored(G.true_roles(rows, 3), "roles")
+    normal = rows.join(roles.where("role = 'train'").select("dataset", "row_id"), ["dataset", "row_id"])
+    names = ["ECOD", "HBOS_20", "MaxZ", "PCA_0.5"]
+    scores = D.run_pool(rows, FEATURES, names, normal).groupBy("dataset", "row_id").pivot("detector", names).agg(F.first("score"))
+    wide = rows.join(scores.withColumnsRenamed({n: n.replace(".", "_") for n in names}), ["dataset", "row_id"]).drop("y")
+    drawn = [B.few_labels(rows, roles, k, 3, k).withColumn("k", F.lit(k)) for k in (5, 50)]
+    units = drawn[0].unionByName(drawn[1]).join(wide, ["dataset", "row_id"])
+    s = B.boosted(units, (*FEATURES, *[n.replace(".", "_") for n in names]), ["dataset", "k", "draw"], rounds=10)
+    return M.roc_auc(s.withColumn("score", F.round("score", 9)), ["dataset", "k", "draw"])
+
+
 @query(sql("asked", "SELECT a.dataset, a.row_id, round(-min(sqrt((a.x1 - b.x1) ** 2 + (a.x3 - b.x3) ** 2)), 6) AS score FROM asked a JOIN tab b ON a.dataset = b.dataset AND b.y = 1 AND a.row_id <> b.row_id GROUP BY ALL"))
 def k18_nearest_labelled(spark, sf_dir):
     return _scores(D.nearest_labelled(base.asked(spark, sf_dir), base.tab(spark, sf_dir), TWO))

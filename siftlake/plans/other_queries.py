@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftlake.plans import base
 from siftlake.plans.base import sql
 from siftlake.plans.registry import query
+from siftlake.session import shared_folder
 from siftlake.sources import files, synthetic
 from siftlake.streaming import windows as stream
 
@@ -103,10 +104,7 @@ def array_functions(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    base_dir = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints/siftlake"
-    import uuid
-
-    return f"{base_dir.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(sql("grade", "SELECT dataset, detector, truth, pseudo FROM grade"))

@@ -524,6 +524,26 @@ def g15_edge_tags(spark, sf_dir):
     return G.edge_tags(_grid(spark, sf_dir)).withColumn("distance", F.round("distance", 6)).withColumn("share", F.round("share", 9))
 
 
+_MEASURES = f"""WITH g AS ({_GRID}), t AS (SELECT dataset, avg(p) AS mp, stddev_pop(p) + 1e-9 AS sp, avg(q) AS mq, stddev_pop(q) + 1e-9 AS sq, count(*) AS n, sum(p) AS p1, sum(q) AS q1, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq FROM g GROUP BY ALL),
+x AS (SELECT g.dataset, cluster, round(sqrt(((p - mp) / sp) ** 2 + ((q - mq) / sq) ** 2), 9) AS r FROM g JOIN t USING (dataset)),
+o AS (SELECT x.dataset, cluster, avg((r > cut)::INT) AS outer_ FROM x JOIN (SELECT dataset, quantile_cont(r, 0.9) AS cut FROM x GROUP BY ALL) USING (dataset) GROUP BY ALL),
+c AS (SELECT dataset, cluster, count(*) AS m, avg(p) AS cp, avg(q) AS cq, sum(p) AS p1, sum(q) AS q1, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq FROM g GROUP BY ALL),
+r AS (SELECT c.*, t.n, mp, sp, mq, sq, n - m AS k, (t.p1 - c.p1) / (n - m) AS rp, (t.q1 - c.q1) / (n - m) AS rq, (t.pp - c.pp) / (n - m) AS app, (t.pq - c.pq) / (n - m) AS apq, (t.qq - c.qq) / (n - m) AS aqq FROM c JOIN t USING (dataset)),
+s AS (SELECT *, app - rp * rp AS a, apq - rp * rq AS b, aqq - rq * rq AS d, pp / m - 2 * cp * rp + rp * rp AS s11, pq / m - cp * rq - rp * cq + rp * rq AS s12, qq / m - 2 * cq * rq + rq * rq AS s22 FROM r),
+l AS (SELECT *, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l FROM s),
+v AS (SELECT *, (b * b * s11 + 2 * b * (l - a) * s12 + (l - a) * (l - a) * s22) / (b * b + (l - a) * (l - a)) / (l + 1e-12) AS recon FROM l),
+w AS (SELECT v.dataset, v.cluster, count(*) FILTER (round(g.p, 9) < round(cp, 9)) / count(*) AS bp, count(*) FILTER (round(g.q, 9) < round(cq, 9)) / count(*) AS bq FROM v JOIN g ON g.dataset = v.dataset GROUP BY ALL)
+SELECT v.dataset, v.cluster, m AS size, round(sqrt((((cp - mp) / sp) ** 2 + ((cq - mq) / sq) ** 2) / 2), 6) AS centroid, round(outer_, 6) AS "outer", round(abs(bp - 0.5) + abs(bq - 0.5), 6) AS marginal, round(recon, 4) AS recon
+FROM v JOIN o USING (dataset, cluster) JOIN w USING (dataset, cluster)"""
+
+
+@query(sql("tab", _MEASURES))
+def g15_edge_measures(spark, sf_dir):
+    g = _grid(spark, sf_dir).select("dataset", "row_id", "cluster", F.col("z")[0].alias("p"), F.col("z")[1].alias("q"))
+    e = G.edge_measures(g, ("p", "q"))
+    return e.select("dataset", "cluster", "size", *[F.round(c, 6).alias(c) for c in ("centroid", "outer", "marginal")], F.round("recon", 4).alias("recon"))
+
+
 @query(sql("tab", f"WITH {_EDGE}, z AS (SELECT dataset, cluster FROM g GROUP BY ALL HAVING count(*) < 100) SELECT e.dataset, row_id, CASE WHEN share >= 0.9 THEN 'peripheral' WHEN z.cluster IS NOT NULL THEN 'small' ELSE 'embedded' END AS channel FROM e LEFT JOIN z USING (dataset, cluster)"))
 def g11_two_channels(spark, sf_dir):
     g = _grid(spark, sf_dir)
@@ -626,6 +646,19 @@ def y5_y6_bin_interpolation_and_grid(spark, sf_dir):
     return _hist(spark, sf_dir, beta=-2.0, share=0.7, observed=False)
 
 
+_GRID_CELLS = [(beta, share) for beta in (-4.0, -2.0, 2.0) for share in (0.4, 1.0)]
+
+
+@query(sql("tab", " UNION ALL ".join(f"SELECT {b}::DOUBLE AS beta, {s}::DOUBLE AS share, * FROM ({_hist_sql(b, s, True)})" for b, s in _GRID_CELLS)))
+def y6_histogram_grid(spark, sf_dir):
+    """Every exponent with every share of features."""
+    parts = [_hist(spark, sf_dir, beta=b, share=s).select(F.lit(b).alias("beta"), F.lit(s).alias("share"), "*") for b, s in _GRID_CELLS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query()
 def y3_alpha_spectrum(spark, sf_dir):
     parts = [Y.alpha_spectrum(_normals(spark, sf_dir), _THREE, 50, 3, a).withColumn("alpha", F.lit(a)) for a in (0.0, 0.5, 1.0)]

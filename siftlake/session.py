@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +35,37 @@ def local(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> Spar
     return attach(spark)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the cluster's shared folder and read back: what several plans use is not computed again.
+_made: list[str] = []  # folders of the tables that ``stored`` has written
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, in tests, it is a folder of our own.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: ``spark.checkpoint.dir``, or where that is unset, in tests, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="siftlake-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are removed at the end: results must have been written or collected by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        del _made[before:]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the cluster's shared folder and read back: what several plans use is not computed again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -344,3 +344,13 @@ def test_row_windows_of_a_stream_go_on_between_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("win").collect()
     assert [r.win for r in got] == list(range(9))
     assert all(r.v == [16.0 * r.win + k for k in range(64)] and r.y == int(16 * r.win <= 100 < 16 * r.win + 64) for r in got)
+
+
+def test_scratch_tables_are_removed(spark):
+    from siftlake import session
+
+    with session.scratch(spark):
+        t = session.stored(spark.range(3).toDF("a"), "scratch")
+        folder = t.inputFiles()[0].split("://", 1)[1].rsplit("/", 1)[0]
+        assert t.count() == 3 and __import__("os").path.isdir(folder)
+    assert not __import__("os").path.exists(folder)
