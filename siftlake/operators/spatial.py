@@ -7,8 +7,9 @@ may be asked for and one more, so a vector that a third of all rows share is a f
 
 A search has two rounds. A point goes down to the nearest cell; the k-th distance there, or the farthest corner of a box
 with more than k rows, bounds the k-th distance from above. It then goes down again into every node whose box is no farther
-than that, and only these cells are probed. Both descents are joins with one row for each node; a probe is a cogroup of a cell
-with a block of its points, so pairs are never rows, and the shuffle is in proportion to rows and points.
+than that, and only these cells are probed. Both descents are joins with one row for each node; while there are few cells, their
+boxes are compared with batches of points in place of joins, with the same result. A probe is a cogroup of a cell with a block
+of its points, so pairs are never rows, and the shuffle is in proportion to rows and points.
 
 Distances and box distances are summed in the same order, so rounding never parts a box from a row in it.
 """
@@ -19,16 +20,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.session import stored
 
-CELL = 2048  #: rows of a cell
+CELL = 1024  #: rows of a cell
 FAN = 16  #: children of a node
 BLOCK = 4096  #: points that probe a cell at a time
-SMALL = 20_000  #: nodes of a level that are sent to all tasks; larger levels are joined as the planner sees fit
+SMALL = 20_000  #: cells whose boxes are sent to all tasks; with more, points go down by joins with the levels of nodes
 
 _KEY = ["dataset", "node"]
 
@@ -36,8 +38,8 @@ _KEY = ["dataset", "node"]
 class CellTree:
     """``points`` (dataset, node, row_id, features as f0, f1, ...) and ``levels`` of (dataset, node, kids), both stored."""
 
-    def __init__(self, points: DataFrame, root: DataFrame, levels: list[tuple[DataFrame, int]], features: tuple[str, ...], most: int) -> None:
-        self.points, self.root, self.levels, self.features, self.most = points, root, levels, features, most
+    def __init__(self, points: DataFrame, root: DataFrame, levels: list[tuple[DataFrame, int]], cells: DataFrame, features: tuple[str, ...], most: int) -> None:
+        self.points, self.root, self.levels, self.cells, self.features, self.most = points, root, levels, cells, features, most
         self.names = [f"f{i}" for i in range(len(features))]
 
     @classmethod
@@ -50,7 +52,7 @@ class CellTree:
         same = W.partitionBy("dataset", *names).orderBy("row_id")
         x = x.withColumn("_k", F.row_number().over(same)).where(F.col("_k") <= most + 1).drop("_k")
         now = stored(x.withColumn("node", F.lit("r")), "points")
-        leaves, levels, root, up = [], [], None, None
+        leaves, cells, levels, root, up = [], [], [], None, None
         while True:
             box = [F.array(*[a(n) for n in names]).alias(b) for a, b in ((F.min, "lo"), (F.max, "hi"))]
             boxes = now.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), *box)
@@ -67,6 +69,7 @@ class CellTree:
             large = boxes.where("NOT leaf")
             up = large.count()
             leaves.append(now.join(boxes.where("leaf").select(*_KEY), _KEY))
+            cells.append(boxes.where("leaf").select(*_KEY, "n", "lo", "hi"))
             if not up:
                 break
             value = F.array(*names)[F.col("at")]
@@ -78,7 +81,7 @@ class CellTree:
             child = F.expr(f"size(filter(c, v -> array({','.join(names)})[at] > v))")
             moved = now.join(cuts, _KEY).withColumn("node", F.concat("node", F.lit("."), child.cast("string")))
             now = stored(moved.select(*now.columns), "points")
-        return cls(reduce(DataFrame.unionAll, leaves), root, levels, features, most)
+        return cls(reduce(DataFrame.unionAll, leaves), root, levels, reduce(DataFrame.unionAll, cells), features, most)
 
     def _low(self, box: str = "c") -> str:
         """SQL: the distance from f0, f1, ... to a box, summed as ``_probe`` sums."""
@@ -90,6 +93,55 @@ class CellTree:
         away = [f"greatest(abs({box}.lo[{i}] - {n}), abs({n} - {box}.hi[{i}]))" for i, n in enumerate(self.names)]
         return f"sqrt({' + '.join(['0D', *[f'{a} * {a}' for a in away]])}) * (1 + 1e-9D)"
 
+    def _sent(self):
+        """The boxes of each data set's cells, broadcast, if there are at most ``SMALL``: names, sizes, least and largest values."""
+        if self.levels and sum(count for _, count in self.levels) <= SMALL:  # splits; the cells are counted below
+            found = self.cells.limit(SMALL + 1).toPandas()
+            if len(found) <= SMALL:
+                sets = {k: g.sort_values("node") for k, g in found.groupby("dataset")}
+                boxes = {k: (g["node"].tolist(), g["n"].to_numpy(), np.stack(g["lo"]), np.stack(g["hi"])) for k, g in sets.items()}
+                return self.points.sparkSession.sparkContext.broadcast(boxes)
+        return None
+
+    def _compared(self, points: DataFrame, sent, k: int | None) -> DataFrame:
+        """points (dataset, row_id, f0, ...) with node and r, as ``_home`` gives them, or, with r and home and no ``k``, as ``_within``."""
+        names = self.names
+        kinds = "dataset string, row_id bigint, " + ", ".join(f"{n} double" for n in names) + ", node string, r double" + ("" if k is not None else ", home string")
+
+        def run(batches):
+            for b in batches:
+                own = np.array(b.column("dataset").to_pylist(), object)
+                x = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+                for name in set(own.tolist()) & set(sent.value):
+                    nodes, n, lo, hi = sent.value[name]
+                    mine = np.flatnonzero(own == name)
+                    size = max(1, 1_000_000 // len(nodes))
+                    for at in (mine[i : i + size] for i in range(0, len(mine), size)):
+                        low, far = np.zeros((len(at), len(nodes))), np.zeros((len(at), len(nodes)))
+                        for f in range(len(names)):
+                            below, above = lo[None, :, f] - x[at, f][:, None], x[at, f][:, None] - hi[None, :, f]
+                            low += np.maximum(np.maximum(below, above), 0) ** 2
+                            if k is not None:
+                                far += np.maximum(np.abs(below), np.abs(above)) ** 2
+                        low = np.sqrt(low)
+                        if k is not None:
+                            i, j = np.arange(len(at)), low.argmin(axis=1)
+                            far = np.sqrt(far) * (1 + 1e-9)
+                            r = far[:, n > k].min(axis=1, initial=np.inf)
+                            if n.sum() > k:
+                                r = np.minimum(r, far.max(axis=1))
+                            extra = {"node": pa.array([nodes[c] for c in j], pa.string()), "r": r}
+                        else:
+                            r, home = b.column("r").to_numpy()[at], np.array(b.column("home").to_pylist(), object)[at]
+                            i, j = np.nonzero(low <= r[:, None])
+                            other = np.array(nodes, object)[j] != home[i]
+                            i, j = i[other], j[other]
+                            extra = {"node": pa.array([nodes[c] for c in j], pa.string()), "r": r[i], "home": pa.array(home[i].tolist(), pa.string())}
+                        rows = b.take(pa.array(at[i]))
+                        yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in ("dataset", "row_id", *names)} | extra)
+
+        return points.mapInArrow(run, kinds)
+
     def _level(self, i: int) -> DataFrame:
         kids, count = self.levels[i]
         return F.broadcast(kids) if count <= SMALL else kids
@@ -159,12 +211,13 @@ class CellTree:
         x = points.select("dataset", F.col("row_id").cast("bigint").alias("row_id"), *[F.col(f).cast("double").alias(n) for f, n in zip(self.features, self.names, strict=True)])
         best = W.partitionBy("dataset", "row_id").orderBy("distance", "other")
         chosen = lambda found: found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-        x = self._home(x.dropna(subset=self.names), k)
+        x, sent = x.dropna(subset=self.names), self._sent()
         if not self.levels:
-            return chosen(self._probe(x, k))
-        home = stored(x, "homes")
+            return chosen(self._probe(self._home(x, k), k))
+        home = stored(self._compared(x, sent, k) if sent else self._home(x, k), "homes")
         first = stored(self._probe(home, k), "first")
         kth = first.groupBy("dataset", "row_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
         tight = F.least("r", F.when(F.col("_n") >= k, F.col("_d")))
         rest = home.join(kth, ["dataset", "row_id"], "left").withColumn("r", tight).withColumnRenamed("node", "home").drop("_n", "_d")
-        return chosen(first.unionAll(self._probe(self._within(rest), k)))
+        others = self._compared(rest.select("dataset", "row_id", *self.names, "r", "home"), sent, None) if sent else self._within(rest)
+        return chosen(first.unionAll(self._probe(others, k)))
