@@ -86,26 +86,31 @@ _WORD_END = re.compile(r"[^\x20\x09-\x0D]*")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
-@lru_cache(maxsize=100_000)
 def word_features(word: str) -> tuple[str, ...]:
-    """What the word looks like: its collapsed shape, counts of digits, and checks that need the digits themselves."""
+    """What the whole word looks like: its collapsed shape, counts of digits, and checks that need the digits themselves."""
+    return _kept_features(word) if len(word) <= 64 else _features(word)  # long words are not worth their memory
+
+
+def _features(word: str) -> tuple[str, ...]:
     core = word.strip(".,;:!?\"'*&%$#|<>")
-    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "d", core[:48])))
+    shape = re.sub(r"[0-9]", "d", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", core)))  # digits last: their mark is a letter
     shape = "".join(c if c in "aAd@.+-()/:,$=_#" else "x" for c in shape)
     runs = re.sub(r"(.)\1+", r"\1", shape)
     exact = re.sub(r"(.)\1*", lambda m: m[1] + str(min(len(m[0]), 17)), shape) if len(shape) <= 24 else "long"
     d = _digits(core)
     n = min(len(d), 20)
-    out = ["w:" + runs[:20], "e:" + exact, f"n:{n}", "lead:" + core[:1] if core[:1] in "+($@#\"" else "lead:"]
+    out = ["w:" + runs, "e:" + exact, f"n:{n}", "lead:" + core[:1] if core[:1] in "+($@#\"" else "lead:"]
     if 12 <= n <= 19:
         out.append(f"luhn:{luhn(d)}")
-    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", core):
-        out.append(f"quad:{all(int(p) <= 255 for p in core.split('.'))}")
+    if m := re.fullmatch(r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})(:[0-9]+)?", core):
+        out.append(f"quad:{all(int(p) <= 255 for p in m[1].split('.'))}:{bool(m[2])}")
     if "@" in core:
         out.append(f"mail:{bool(re.fullmatch(r'[^@]+@[^@.]+(.[^@.]+)+', core))}")
     return tuple(out)
 
 
+_kept_features = lru_cache(maxsize=100_000)(_features)
+
 _CUES = frozenset("phone tel call fax mobile telephone telefon ip host server address mail email card visa order invoice version id number ref page token".split())
 
 
@@ -132,14 +137,14 @@ def _card(rng: np.random.Generator, ok: bool) -> str:
     return d + (check if ok else str((int(check) + 1 + rng.integers(8)) % 10))
 
 
-def labelled_table(n: int = 1200, seed: int = 5) -> list[tuple[tuple[str, str], list[str], str, list[str]]]:
+def labelled_table(n: int = 1440, seed: int = 5) -> list[tuple[tuple[str, str], list[str], str, list[str]]]:
     """Labelled rows: (two words before, run of words, word after, labels), drawn from forms with and without personal data."""
     rng = np.random.default_rng(seed)
     quad = lambda top: ".".join(str(rng.integers(1, top)) for _ in range(4))
     rows = []
     for i in range(n):
         cue = lambda *words: words[rng.integers(len(words))] if rng.random() < 0.5 else _draw(rng, "llll")
-        kind = i % 20
+        kind = i % 24
         if kind == 0:
             run, labels, w = [_draw(rng, "+d"), _draw(rng, "(ddd)"), _draw(rng, "ddd-dddd")], ["B-phone", "I-phone", "I-phone"], cue("phone", "call", "tel")
         elif kind == 1:
@@ -182,6 +187,14 @@ def labelled_table(n: int = 1200, seed: int = 5) -> list[tuple[tuple[str, str],
             labels = ["B-card" if luhn(x) else "O" for x in run]
         elif kind == 18:
             run, labels, w = [_draw(rng, ("@lllll", "lll@lll", "@", "@lll_dd")[rng.integers(4)])], ["O"], cue("ref")
+        elif kind == 19:  # phone-like groups that a page or an order number stands before
+            run, labels, w = [_draw(rng, ("ddd-ddd-dddd", "ddd.ddd.dddd", "ddd-dddd")[rng.integers(3)])], ["O"], ("page", "order", "invoice", "ref", "version")[rng.integers(5)]
+        elif kind == 20:  # versions of four parts, with and without a build
+            run, labels, w = [f"v{quad(256)}" + (f":{rng.integers(80, 9000)}" if rng.random() < 0.5 else "")], ["O"], cue("version", "token")
+        elif kind == 21:
+            run, labels, w = [f"{quad(256)}-{_draw(rng, ('lld', 'dd', 'llll')[rng.integers(3)])}"], ["O"], cue("version")
+        elif kind == 22:
+            run, labels, w = [_draw(rng, ("ddd-ddd-dddd", "(ddd)ddd-dddd", "+dd.ddd.ddd.dddd")[rng.integers(3)])], ["B-phone"], ("phone", "call", "tel", "fax")[rng.integers(4)]
         else:
             run, labels, w = [_draw(rng, ("lld", "LLdd".lower(), "ld-ll", "lll_dd", "ddlll", "#dd", "ddd-dddd")[rng.integers(7)])], ["O"], cue("id", "ref")
         tail = ".,;"[rng.integers(3)] if rng.random() < 0.2 else ""
@@ -275,12 +288,22 @@ def _runs(t: str) -> list[tuple[list[tuple[int, int]], tuple[str, str], str]]:
         else:
             runs.append([(first, last)])
         m = _MARK.search(t, last)
-    out = []
-    for r in runs:
-        before = t[max(0, r[0][0] - 60) : r[0][0]].split()[-2:]
-        after = t[r[-1][1] : r[-1][1] + 30].split()[:1]
-        out.append((r, tuple((["", ""] + before)[-2:]), after[0] if after else ""))
-    return out
+    return [(r, _words_before(t, r[0][0]), _word_after(t, r[-1][1])) for r in runs]
+
+
+def _words_before(t: str, at: int) -> tuple[str, str]:
+    """The two whole words before a place, empty where there are none: a wider look back is taken while a third may follow."""
+    width = 60
+    while len(words := t[max(0, at - width) : at].split()) < 3 and width < at:
+        width *= 2
+    return tuple((["", ""] + words)[-2:])
+
+
+def _word_after(t: str, at: int) -> str:
+    width = 30
+    while len(words := t[at : at + width].split()) < 2 and at + width < len(t):
+        width *= 2
+    return words[0] if words else ""
 
 
 def field_spans(texts: list[str], model: Field) -> list[list[tuple[int, int, int]]]:
@@ -329,10 +352,12 @@ def field_spans(texts: list[str], model: Field) -> list[list[tuple[int, int, int
 
 def all_spans(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The base spans, and those of ``more`` that overlap none of them."""
-    if not more:
-        return base
-    ends, begins = np.array([b for _, b, _ in base] or [0]), np.array([a for a, _, _ in base] or [0])
-    new = [s for s in more if not base or not ((begins < s[1]) & (ends > s[0])).any()]
+    if not base or not more:
+        return sorted([*base, *more], key=lambda s: (s[0], s[2]))
+    begins = np.array([a for a, _, _ in base])  # ascending
+    reach = np.maximum.accumulate([b for _, b, _ in base])
+    before = np.searchsorted(begins, [b for _, b, _ in more])  # base spans that begin before a span's end
+    new = [s for s, n in zip(more, before.tolist(), strict=True) if not n or reach[n - 1] <= s[0]]
     return sorted([*base, *new], key=lambda s: (s[0], s[2]))
 
 
