@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -119,6 +119,30 @@ def pseudo_auc(rows: DataFrame, members: DataFrame, features: tuple[str, ...], n
     return g.select(*by, "detector", "n_train", F.col("n_pos").alias("n_anom"), F.col("n_neg").alias("n_norm"), F.col("auc").alias("pseudo_auc"))
 
 
+def synthetic_quality(normals: DataFrame, synthetic: DataFrame, features: tuple[str, ...], names: list[str], by: list[str], seed: object, held: float = 0.3, digits: int = 9) -> DataFrame:
+    """(dataset, by.., detector, n_train, n_pos, n_neg, auc): each detector, fitted on the normals that ``held_out`` leaves, separates
+    the synthetic rows (dataset, by.., k, features) of a unit from the held-out normals.
+
+    Synthetic rows become rows of their own with negative ids: k and the unit's place in its data set make them unique.
+    """
+    keys = ["dataset", *by]
+    units = synthetic.select(*keys).distinct()
+    units = units.withColumn("_u", F.row_number().over(W.partitionBy("dataset").orderBy(*by))).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy("dataset")))
+    units = stored(units, "synthetic-units")  # a row for each unit
+    made = synthetic.join(units, keys).withColumn("row_id", -(1 + F.col("k") * F.col("_all") + F.col("_u")).cast("bigint"))
+    made = stored(made.select(*keys, "row_id", *features), "synthetic-rows")
+    role = F.when(held_out(seed, held), "pseudo_norm").otherwise("train").alias("role")
+    own = units.select(*keys).join(normals.select("dataset", "row_id", role), "dataset").select(*keys, "row_id", "role")
+    members = own.unionByName(made.select(*keys, "row_id", F.lit("pseudo_anom").alias("role")))
+    rows = normals.select("dataset", F.col("row_id").cast("bigint").alias("row_id"), *features).unionByName(made.select("dataset", "row_id", *features))
+    return graded(rows, members, features, names, keys, "pseudo_anom", digits).select(*keys, "detector", "n_train", "n_pos", "n_neg", "auc")
+
+
+def held_out(seed: object, share: float) -> Column:
+    """Is a row, by the hash of its id, among the ``share`` that is kept from the fit."""
+    return F.conv(F.substring(draw_order(seed, "row_id"), 1, 8), 16, 10).cast("double") < share * 4294967296.0
+
+
 def true_roles(rows: DataFrame, seed: object) -> DataFrame:
     """(dataset, row_id, role): the first 80 % of the normals in a hash order train; the others are test, anomalies anom."""
     w = W.partitionBy("dataset", "y")

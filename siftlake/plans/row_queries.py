@@ -267,17 +267,23 @@ def w7_argmax_triviality(spark, sf_dir):
     return S.argmax_trivial(base.series(spark, sf_dir))
 
 
-_FEW = ["a_0", "d_0", "a_32_1_1"]
+@query(sql("series", f"WITH {_liners_sql()}, l AS (UNPIVOT (SELECT series, pos, {', '.join(S.one_liner_names())} FROM o) ON {', '.join(S.one_liner_names())} INTO NAME stat VALUE x), r AS (SELECT series, pos, stat, rank() OVER (PARTITION BY series, stat ORDER BY x) + (count(*) OVER (PARTITION BY series, stat, x) - 1) / 2.0 AS r FROM l), b AS (SELECT series, pos, n, sum(label) OVER (PARTITION BY series) AS a FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM series) WHERE label = 1), mv AS (SELECT series, n, a, s, (pos + floor(s * n / 100)::BIGINT) % n AS pos FROM b, range(100) t(s)), u AS (SELECT series, stat, s, (sum(r) - max(a) * (max(a) + 1) / 2.0) / (max(a) * (max(n) - max(a))) AS u FROM mv JOIN r USING (series, pos) GROUP BY ALL), x AS (SELECT series, s, max(greatest(u, 1 - u)) AS b FROM u GROUP BY ALL) SELECT series, round(max(CASE WHEN s = 0 THEN b END), 6) AS observed, round(quantile_cont(CASE WHEN s > 0 THEN b END, 0.95), 6) AS threshold FROM x GROUP BY ALL"))
+def w8_permutation_triviality(spark, sf_dir):
+    return S.permutation_trivial(base.series(spark, sf_dir), S.one_liner_names()).select("series", F.round("observed", 6).alias("observed"), F.round("threshold", 6).alias("threshold"))
 
 
-@query(sql("series", f"WITH {_liners_sql()}, l AS (UNPIVOT (SELECT series, pos, {', '.join(_FEW)} FROM o) ON {', '.join(_FEW)} INTO NAME stat VALUE x), r AS (SELECT series, pos, stat, rank() OVER (PARTITION BY series, stat ORDER BY x) + (count(*) OVER (PARTITION BY series, stat, x) - 1) / 2.0 AS r FROM l), b AS (SELECT series, pos, n, sum(label) OVER (PARTITION BY series) AS a FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM series) WHERE label = 1), mv AS (SELECT series, n, a, s, (pos + floor(s * n / 100)::BIGINT) % n AS pos FROM b, range(100) t(s)), u AS (SELECT series, stat, s, (sum(r) - max(a) * (max(a) + 1) / 2.0) / (max(a) * (max(n) - max(a))) AS u FROM mv JOIN r USING (series, pos) GROUP BY ALL), x AS (SELECT series, s, max(greatest(u, 1 - u)) AS b FROM u GROUP BY ALL) SELECT series, round(max(CASE WHEN s = 0 THEN b END), 6) AS observed, round(quantile_cont(CASE WHEN s > 0 THEN b END, 0.95), 6) AS threshold FROM x GROUP BY ALL"))
-def w8_permutation_triviality(spark, sf_dir):
-    return S.permutation_trivial(base.series(spark, sf_dir), _FEW).select("series", F.round("observed", 6).alias("observed"), F.round("threshold", 6).alias("threshold"))
+_CALIBRATION = f"""WITH {_liners_sql()}, l AS (UNPIVOT o ON {', '.join(S.one_liner_names())} INTO NAME stat VALUE x),
+r AS (SELECT series, stat, label, rank() OVER (PARTITION BY series, stat ORDER BY x) + (count(*) OVER (PARTITION BY series, stat, x) - 1) / 2.0 AS r,
+  row_number() OVER (PARTITION BY series, stat ORDER BY x DESC, pos) AS k, count(*) OVER (PARTITION BY series, stat) AS n FROM l),
+g AS (SELECT series, stat, max(CASE WHEN k = 1 THEN label END) AS hit, avg(CASE WHEN k <= ceil(n * 0.01) THEN label END) AS p,
+  (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * (count(*) - sum(label)), 0) AS auc FROM r GROUP BY ALL)
+SELECT stat, round(avg(hit), 6) AS argmax_rate, round(avg(auc), 6) AS mean_auc, round(avg(p), 6) AS top1_precision FROM g GROUP BY ALL"""
 
 
-@query()
+@query(sql("series", _CALIBRATION))
 def w9_criterion_calibration(spark, sf_dir):
-    return S.calibration(base.series(spark, sf_dir), _FEW)
+    c = S.calibration(base.series(spark, sf_dir), S.one_liner_names())
+    return c.select("stat", *[F.round(x, 6).alias(x) for x in ("argmax_rate", "mean_auc", "top1_precision")])
 
 
 @query(sql("series", "SELECT series, pos // 16 AS win, s AS score, y FROM (SELECT series, pos, max(value) OVER w AS s, max(label) OVER w AS y, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING)) WHERE pos % 16 = 0 AND n = 64"))

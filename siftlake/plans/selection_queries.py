@@ -10,6 +10,7 @@ from siftlake.operators import detectors as D
 from siftlake.operators import metrics as M
 from siftlake.operators import mixtures as MX
 from siftlake.operators import modality as MO
+from siftlake.operators import networks as N
 from siftlake.operators import pseudo as G
 from siftlake.operators import select as R
 from siftlake.operators import space as E
@@ -207,6 +208,16 @@ def r18_calibrated_portfolio(spark, sf_dir):
     return R.portfolio(p, p.where("y = 0")).select("dataset", "row_id", F.round("largest", 6).alias("largest"), F.round("mean", 6).alias("mean"))
 
 
+@query()
+def r18_portfolio_of_detectors(spark, sf_dir):
+    """The calibrated portfolio of an outlier factor, a copula, principal axes and histograms, fitted on the normals."""
+    rows = base.tab(spark, sf_dir)
+    scores = D.fit_and_score(rows.where("y = 0"), rows, FEATURES, ["COPOD", "HBOS_10", "LOF_k10", "PCA_0.9"])
+    scores = stored(scores.withColumn("score", F.round("score", 9)), "portfolio")
+    p = R.portfolio(scores, scores.join(rows.where("y = 0").select("dataset", "row_id"), ["dataset", "row_id"], "left_semi"))
+    return p.select("dataset", "row_id", F.round("largest", 4).alias("largest"), F.round("mean", 4).alias("mean"))
+
+
 @query(sql("point", "WITH s AS (SELECT dataset, row_id, score, quantile_cont(score, 0.5) OVER (PARTITION BY dataset) AS m FROM point WHERE detector = 'x1') SELECT 'iid' AS mode, dataset, row_id FROM s QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5('6:' || row_id)) <= 50 UNION ALL SELECT 'caught', dataset, row_id FROM s QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY score DESC, row_id) <= 50 UNION ALL (SELECT 'missed', dataset, row_id FROM s WHERE score < m QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5('6:' || row_id)) <= 50)"))
 def r19_acquisition_modes(spark, sf_dir):
     s = base.point(spark, sf_dir).where("detector = 'x1'").select("dataset", "row_id", "score")
@@ -406,6 +417,26 @@ def flagship_v1_ranking(spark, sf_dir):
     return r.select("dataset", "detector", *[F.round(c, 6).alias(c) for c in ("mean_pseudo_auc", "true_auc")], "pseudo_rank", "true_rank", F.round("rho", 6).alias("rho"))
 
 
+FAMILIES = ["CBLOF_8", "COPOD", "ECOD", "HBOS_10", "IForest_100", "KNN_k5", "LODA_10", "LOF_k20", "PCA_0.9"]
+
+
+@query()
+def v1_families_on_clusters(spark, sf_dir):
+    """The whole pipeline over embedded and clustered normals, with a detector of each family and three aggregations of subsets."""
+    rows = base.tab(spark, sf_dir)
+    z = E.embed(rows.where("y = 0"), FEATURES)
+    g = stored(E.kmeans(z.select("dataset", "row_id", "z"), 20), "clusters")
+    totals = g.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    drawn = G.draw_subsets(G.candidates(E.composite_scores(g), "smallest"), totals, 3, 1)
+    pseudo = stored(G.pseudo_auc(rows, G.memberships(g, drawn, 3, 1), FEATURES, FAMILIES, digits=5), "pseudo")
+    ranks = R.aggregate_ranks(pseudo, "pseudo_auc")
+    truth = G.true_quality(rows, FEATURES, FAMILIES, 3, 5).where("true_auc IS NOT NULL")
+    both = stored(ranks.join(truth.select("dataset", "detector", "true_auc"), ["dataset", "detector"]), "both")
+    rho = M.spearman(both, ["dataset", "aggregation"], "score", "true_auc")
+    out = both.join(rho, ["dataset", "aggregation"], "left")
+    return out.select("dataset", "aggregation", "detector", "rank", *[F.round(c, 3).alias(c) for c in ("score", "true_auc", "rho")])
+
+
 @query()
 def g5_geometry_baseline(spark, sf_dir):
     g, d = _drawn(spark, sf_dir, 1)
@@ -743,6 +774,47 @@ def y17_validity_projection(spark, sf_dir):
     return Y.project_valid(moved, n, ("x1", "x2")).select("dataset", "row_id", "x1", F.round("x2", 6).alias("x2"))
 
 
+MARGINAL = ["COPOD", "ECOD", "HBOS_20", "MaxZ", "PCA_0.9"]
+
+
+def _trained(spark, sf_dir, seed):
+    """The normals, and the networks of those that no grading holds out."""
+    n = stored(_normals(spark, sf_dir), "normals")
+    return n, N.fit(n.where(~G.held_out(seed, 0.3)), FEATURES)
+
+
+@query()
+def y17_reconstruction_error(spark, sf_dir):
+    """Every row's distance from what its data set's autoencoder, fitted on the normals, makes of it."""
+    _, nets = _trained(spark, sf_dir, 17)
+    e = N.reconstruction(base.tab(spark, sf_dir), FEATURES, nets)
+    return e.select("dataset", "row_id", F.round("error", 3).alias("error"))
+
+
+@query()
+def y17_latent_bands_graded(spark, sf_dir):
+    """Detectors on synthetic rows of three shares of exchanged features and three bands of latent distance."""
+    n, nets = _trained(spark, sf_dir, 17)
+    made = N.latent_bands(n.where(~G.held_out(17, 0.3)), FEATURES, nets, 60, 17)
+    g = G.synthetic_quality(n, made, FEATURES, MARGINAL, ["share", "band"], 17, digits=5)
+    return g.withColumn("auc", F.round("auc", 3))
+
+
+@query()
+def y17_off_manifold_ranking(spark, sf_dir):
+    """The ranking of detectors by synthetic rows that the autoencoder renders badly, and by the same rows unfiltered, against
+    the true one."""
+    n, nets = _trained(spark, sf_dir, 17)
+    train = n.where(~G.held_out(17, 0.3))
+    c = stored(Y.shuffle_features(train, FEATURES, 400, 17, 1, multi=True), "candidates")
+    arms = N.off_manifold(c, train, FEATURES, nets).drop("error").withColumn("arm", F.lit("filtered")).unionByName(c.withColumn("arm", F.lit("unfiltered")))
+    first = arms.withColumn("_k", F.row_number().over(W.partitionBy("dataset", "arm").orderBy("k"))).where(F.col("_k") <= 120)
+    g = G.synthetic_quality(n, first, FEATURES, MARGINAL, ["arm"], 17, digits=5).where("auc IS NOT NULL")
+    both = stored(g.join(G.true_quality(base.tab(spark, sf_dir), FEATURES, MARGINAL, 3, 5), ["dataset", "detector"]).where("true_auc IS NOT NULL"), "both")
+    rho = M.spearman(both, ["dataset", "arm"], "auc", "true_auc")
+    return both.join(rho, ["dataset", "arm"], "left").select("dataset", "arm", "detector", "n_pos", *[F.round(x, 3).alias(x) for x in ("auc", "true_auc", "rho")])
+
+
 # --- descriptions
 
 _MOM = "m AS (SELECT dataset, feature, avg(value) AS m, stddev_pop(value) AS s FROM feat GROUP BY ALL), k AS (SELECT f.dataset, f.feature, avg(((value - m) / s) ** 3) AS s, avg(((value - m) / s) ** 4) - 3 AS k FROM feat f JOIN m ON f.dataset = m.dataset AND f.feature = m.feature GROUP BY ALL)"

@@ -98,3 +98,15 @@ def test_bands_hold_observed_values_and_grow(rows, nets):
         for share in (0.25, 0.5, 1.0):
             far = [[r.far for r in made if (r.dataset, r.share, r.band) == (s, share, b)] for b in ("50-70", "70-90", "90-100")]
             assert max(far[0]) <= min(far[1]) and max(far[1]) <= min(far[2])
+
+
+def test_synthetic_rows_are_graded_against_held_out_normals(spark, rows, nets):
+    from siftlake.operators import pseudo as G
+
+    far = spark.createDataFrame([(s, arm, k, x + k / 100, 0.0, 0.0) for s in "pq" for arm, x in (("far", 60.0), ("near", 5.0)) for k in range(30)], "dataset string, arm string, k long, a double, b double, c double")
+    got = G.synthetic_quality(rows, far, FEATURES, ["MaxZ"], ["arm"], 3).collect()
+    assert len(got) == 4
+    size = {"p": 2600, "q": 700}
+    for r in got:
+        assert r.n_pos == 30 and r.n_train + r.n_neg == size[r.dataset] and 0.25 < r.n_neg / size[r.dataset] < 0.35
+        assert r.auc == 1.0 if r.arm == "far" else r.auc < 0.7
