@@ -2,8 +2,9 @@
 
 P(word | history) = P(class | history) * P(word | class, history).
 
-Classes. Training documents are clustered into ``TOPICS`` by their words; every one is then assigned to a topic, and corpus
-counts of (word, topic) give each word the topic it is most often seen in. The most frequent words (at most ``HEAD``) have a
+Classes. Training documents are clustered into ``TOPICS`` by their words: a pass over all of them counts the documents of each
+hashed word, and in each of ``TOPIC_ROUNDS`` rounds all of them move the centres, which start from drawn directions and not from
+documents. Every one is then assigned to a topic, and corpus counts of (word, topic) give each word the topic it is most often seen in. The most frequent words (at most ``HEAD``) have a
 class by topic and frequency tier; the others a tail class by the topic of their last three bytes, learned from the same
 counts, so unseen words have a class too. Three more classes: the end of the text, a repeat of the word before, and a repeat
 of the word two before.
@@ -24,6 +25,7 @@ joins. Scores are computed in sparse numpy batches.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +43,7 @@ HEAD = 1 << 20
 ROWS = 1 << 15  #: rows of the hashed weight table
 SUFFIXES = 1 << 12
 TOPIC_BUCKETS = 1 << 11
-CENTRE_DOCS = 512  #: documents from which the centres of the topics start, before all documents move them
+TOPIC_ROUNDS = 5  #: rounds in which all training documents move the centres of the topics
 END_HASH = np.uint64(0x656E64206F662074)
 
 
@@ -78,24 +80,64 @@ def _unit(columns: np.ndarray) -> np.ndarray:
     return columns / np.maximum(np.linalg.norm(columns, axis=0), 1e-9)
 
 
-def _start(bags: np.ndarray, seed: int = 11, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means of a few documents: (buckets, topics) centres, and the weight of each bucket."""
-    rng = np.random.default_rng(seed)
-    rarity = np.log(len(bags) / (1 + (bags > 0).sum(axis=0)) + 1)
-    weight = bags * rarity
-    weight /= np.maximum(np.linalg.norm(weight, axis=1, keepdims=True), 1e-9)
-    picks = [int(rng.integers(len(weight)))]
-    while len(picks) < TOPICS:
-        far = np.maximum(1 - (weight @ weight[picks].T).max(axis=1), 1e-9)
-        picks.append(int(rng.choice(len(weight), p=far / far.sum())))
-    centres = weight[picks].T.copy()
-    for _ in range(rounds):
-        near = (weight @ centres).argmax(axis=1)
-        for k in range(TOPICS):
-            if (near == k).any():
-                centres[:, k] = weight[near == k].mean(axis=0)
-        centres = _unit(centres)
-    return centres, rarity
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bag of each text, as bytes: its hashed words' buckets and log(1 + count)."""
+    for b in text.pieces(batches, "text"):
+        h, _, row = _tokens(b.column("text"))
+        own, bucket, value = _bags(h, row)
+        cut = np.searchsorted(own, np.arange(b.num_rows + 1))
+        kinds = (("bucket", bucket.astype("<u2")), ("value", value.astype("<f4")))
+        packed = [pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())]) for _, x in kinds]
+        yield pa.RecordBatch.from_arrays(packed, [name for name, _ in kinds])
+
+
+def _unbagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, row, bucket, value) of stored bags, a few hundred texts at a time."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            b = whole.slice(a, 256)
+            data, ends = text.raw(b.column("bucket").cast(pa.large_binary()))
+            bucket = data.view("<u2").astype(np.int64)
+            value = text.raw(b.column("value").cast(pa.large_binary()))[0].view("<f4").astype(float)
+            yield b.num_rows, np.repeat(np.arange(b.num_rows), np.diff(ends) // 2), bucket, value
+    text.tidy()
+
+
+def _rarity(bags: DataFrame) -> np.ndarray:
+    """The weight of each bucket, by the share of all documents that hold it."""
+
+    def seen(batches):
+        number = np.zeros(TOPIC_BUCKETS + 1, np.int64)
+        for n, _, bucket, _ in _unbagged(batches):
+            number[:-1] += np.bincount(bucket, minlength=TOPIC_BUCKETS)
+            number[-1] += n
+        yield pa.RecordBatch.from_pydict({"r": pa.array(np.arange(len(number)), pa.int32()), "n": pa.array(number)})
+
+    number = np.zeros(TOPIC_BUCKETS + 1)
+    for r, n in bags.mapInArrow(seen, "r int, n bigint").groupBy("r").agg(F.sum("n")).collect():  # a row for each bucket, and their total
+        number[r] = n
+    return np.log(max(1, number[-1]) / (1 + number[:-1]) + 1)
+
+
+def _centres(bags: DataFrame, rarity: np.ndarray, seed: int = 11) -> np.ndarray:
+    """(buckets, topics): spherical k-means of all documents."""
+    centres = _unit(np.random.default_rng(seed).normal(size=(TOPIC_BUCKETS, TOPICS)))
+    for _ in range(TOPIC_ROUNDS):
+
+        def moved(batches, centres=centres):
+            total, times = np.zeros((TOPICS, TOPIC_BUCKETS)), np.zeros(TOPICS)
+            for n, own, bucket, value in _unbagged(batches):
+                value = value * rarity[bucket]
+                begins = np.searchsorted(own, np.arange(n))
+                value /= np.maximum(np.sqrt(np.add.reduceat(value * value, begins)), 1e-9)[own]
+                near = np.add.reduceat(centres[bucket] * value[:, None], begins, axis=0).argmax(axis=1)
+                total += np.bincount(near[own] * TOPIC_BUCKETS + bucket, value, TOPICS * TOPIC_BUCKETS).reshape(total.shape)
+                times += np.bincount(near, minlength=TOPICS)
+            yield _rows(total / np.maximum(times, 1)[:, None], times)
+
+        found, times = _summed(bags.mapInArrow(moved, "r int, n double, v binary"), TOPICS, TOPIC_BUCKETS)
+        centres = np.where(times > 0, _unit(found.T), centres)
+    return centres.astype(np.float32)
 
 
 def _summed(rows: DataFrame, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,38 +316,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         """The training documents of round k."""
         return train.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(rounds)) == k).select("text")
 
-    def bagged(batches):
-        for b in text.pieces(batches, "text"):
-            h, _, row = _tokens(b.column("text"))
-            own, bucket, value = _bags(h, row)
-            bag = np.zeros((b.num_rows, TOPIC_BUCKETS), np.float32)
-            bag[own, bucket] = value
-            yield pa.RecordBatch.from_pydict({"v": [x.tobytes() for x in bag]})
-
-    few = train.orderBy(F.xxhash64("id"), "id").limit(CENTRE_DOCS).select("text").mapInArrow(bagged, "v binary").collect()
-    bags = np.zeros((max(1, len(few)), TOPIC_BUCKETS), np.float32)
-    for i, (v,) in enumerate(few):
-        bags[i] = np.frombuffer(v, np.float32)
-    centres, rarity = _start(bags)
-    del bags, few
-    for k in range(rounds):
-
-        def moved(batches, centres=centres):
-            total, times = np.zeros((TOPICS, TOPIC_BUCKETS)), np.zeros(TOPICS)
-            for b in text.pieces(batches, "text"):
-                h, _, row = _tokens(b.column("text"))
-                own, bucket, value = _bags(h, row)
-                value = value * rarity[bucket]
-                begins = np.searchsorted(own, np.arange(b.num_rows))
-                value /= np.maximum(np.sqrt(np.add.reduceat(value * value, begins)), 1e-9)[own]
-                near = np.add.reduceat(centres[bucket] * value[:, None], begins, axis=0).argmax(axis=1)
-                total += np.bincount(near[own] * TOPIC_BUCKETS + bucket, value, TOPICS * TOPIC_BUCKETS).reshape(total.shape)
-                times += np.bincount(near, minlength=TOPICS)
-            yield _rows(total / np.maximum(times, 1)[:, None], times)
-
-        found, times = _summed(third(k).mapInArrow(moved, "r int, n double, v binary"), TOPICS, TOPIC_BUCKETS)
-        centres = np.where(times > 0, _unit(found.T), centres)
-    centres = centres.astype(np.float32)
+    bags = store.stash(train.select("text").mapInArrow(_bagged, "bucket binary, value binary"), "bags")
+    centres = _centres(bags, _rarity(bags))
+    store.drop_stash(bags)
 
     def counted(batches):
         held: list[tuple[np.ndarray, ...]] = []

@@ -103,6 +103,40 @@ def test_lm_base_is_exact_and_the_model_beats_it(documents, hostile):
             assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_topics_come_from_all_training_documents(spark):
+    """With one gradient round no part of the model depends on ids: other ids for the same rows, held out alike, give the same scores."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k % 9}x{x}" for x in rng.integers(0, 60, rng.integers(5, 40))) for k in range(1500)]
+    trained = [i for i in range(10_000) if not lm.held_out(i)]
+    scores = []
+    for ids in (trained[:1500], trained[3000:4500][::-1]):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(1)
+        got = {r["id"]: r["score"] for r in lm.score(df, rounds=1).collect()}
+        scores.append([got[i] for i in ids])
+    assert np.allclose(*scores, rtol=1e-3)
+
+
+def test_lm_centres_are_k_means_of_every_bag(spark, documents):
+    """Weights of buckets and centres against the plain computation over all rows."""
+    texts = documents.selectExpr("text").repartition(3)
+    bags = texts.mapInArrow(lm._bagged, "bucket binary, value binary").localCheckpoint()
+    rows = bags.collect()
+    x = np.zeros((len(rows), lm.TOPIC_BUCKETS))
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r.bucket, "<u2")] = np.frombuffer(r.value, "<f4")
+    assert np.isclose(np.expm1(x).sum(), sum(len(WORD.findall(t)) + 1 for _, t in rows_of(documents)))
+    rarity = lm._rarity(bags)
+    assert np.allclose(rarity, np.log(len(x) / (1 + (x > 0).sum(axis=0)) + 1))
+    x *= rarity
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = lm._unit(np.random.default_rng(11).normal(size=(lm.TOPIC_BUCKETS, lm.TOPICS)))
+    for _ in range(lm.TOPIC_ROUNDS):
+        near = (x @ centres).argmax(axis=1)
+        centres = np.stack([x[near == k].mean(axis=0) if (near == k).any() else centres[:, k] for k in range(lm.TOPICS)], axis=1)
+        centres /= np.linalg.norm(centres, axis=0)
+    assert np.allclose(lm._centres(bags, rarity), centres, atol=1e-3)
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all words of a small vocabulary, one unseen word of each tail class, and the end; histories with repeats too."""
     rng = np.random.default_rng(1)
