@@ -116,7 +116,8 @@ def ring_pairs(points: DataFrame, radius: int, segments: int, key_chain: int = 1
     keys = [sum(((1 << w) - 1) << s for s, w in (cuts[(i + k) % m] for k in range(key_chain))) for i in range(m)]
     once = " OR ".join(f"(x.i = {i} AND ({differ} & {_long(held)}) <> 0L)" for i, held in enumerate(keys)) if budget[key_chain] else "false"
     on = f"x.i = y.i AND x.k = y.k AND x.id <> y.id AND (x.id < y.id OR {once}) AND {near} AND {also}"
-    found = left.alias("x").join(right.alias("y"), F.expr(on))
+    # the planner sizes a listing like the points it comes from, tens of times too low: without the hint it may be broadcast
+    found = left.hint("merge").alias("x").join(right.hint("merge").alias("y"), F.expr(on))
     return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 

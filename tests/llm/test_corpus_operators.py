@@ -78,6 +78,13 @@ def test_ring_pairs_lose_nothing(spark, radius, segments, chain):
     assert set(got) == want
 
 
+def test_ring_pairs_send_no_listing_to_all_tasks(spark, tmp_path):
+    spark.range(2000).selectExpr("xxhash64(id) AS id", "xxhash64(id) AS fp").write.parquet(str(tmp_path / "points"))
+    pairs = simhash.ring_pairs(spark.read.parquet(str(tmp_path / "points")), 2, 3, 2)
+    pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().toString()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(None, 3), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
