@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from siftlake.functions.ranks import average_rank, draw_order, places, uniform
 from siftlake.session import stored
 
+UNITS = 500_000  #: keys that are sent to all tasks of a bootstrap; more are joined by shuffles
+
 
 def wilcoxon_sums(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """(by, n, w, z): signed ranks of the differences without zeros, and the tie-corrected normal score of the smaller sum."""
@@ -62,15 +64,18 @@ def bootstrap_mean(df: DataFrame, by: list[str], value: str, key: str, draws: in
     """(by, mean, low, high): 95 % percentile interval of the mean when the keys, each with all its rows, are drawn again.
 
     A draw is a hash: for each key there is one pick, at the place floor(u * n) of the unit's keys in order, with u from the MD5
-    of seed, draw and key, so any SQL engine draws the same. Draws and keys are rows of a join, added up by draw.
+    of seed, draw and key, so any SQL engine draws the same. Draws and keys are rows of a join, added up by draw inside tasks:
+    the keys are sent to the picks, which are dealt over all tasks. The planner sizes picks like keys, so the join is told which.
     """
     units = df.groupBy(*by, key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
     w = W.partitionBy(*by)  # a row for each key
     units = units.withColumn("_at", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     units = stored(units, "units")
-    picks = units.select(*by, "_n", key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    dealt = units.select(*by, "_n", key).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, key)
+    picks = dealt.select(*by, "_n", key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
     picks = picks.select(*by, "_d", F.floor(uniform(seed, "_d", key) * F.col("_n")).cast("int").alias("_at"))
-    means = picks.join(units.select(*by, "_at", "_s", "_c"), [*by, "_at"]).groupBy(*by, "_d").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("_m"))
+    picked, how = units.select(*by, "_at", "_s", "_c"), "broadcast" if units.count() <= UNITS else "merge"
+    means = picks.join(picked.hint(how), [*by, "_at"]).groupBy(*by, "_d").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("_m"))
     cuts = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
     return units.groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean")).join(cuts, by)
 
