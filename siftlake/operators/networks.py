@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
@@ -108,13 +108,18 @@ def steps(z: np.ndarray, weights: np.ndarray, sizes: tuple[int, ...], turn: int,
     return w
 
 
-def _finite(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Rows whose features are all numbers; the others take no part and get no result."""
-    x = rows.select("dataset", "row_id", *[F.col(f).cast("double").alias(f) for f in features])
+def _numbers(features: tuple[str, ...]) -> Column:
+    """Are all of a row's features, as doubles, numbers?"""
     ok = F.col("dataset").isNotNull()
     for f in features:
         ok = ok & F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(F.col(f)) < float("inf"))
-    return x.where(ok)
+    return ok
+
+
+def _finite(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """Rows whose features are all numbers; the others take no part and get no result."""
+    x = rows.select("dataset", "row_id", *[F.col(f).cast("double").alias(f) for f in features])
+    return x.where(_numbers(features))
 
 
 def fit(rows: DataFrame, features: tuple[str, ...], dim: int = 8, rounds: int = 8, rate: float = 5e-3, seed: int = 0) -> dict[str, Network]:
@@ -165,8 +170,7 @@ def _applied(rows: DataFrame, features: tuple[str, ...], nets: dict[str, Network
     """rows with ``column``, what(network, matrix): rows stay where they lie. Data sets without a network are left out."""
     names, spark, out = list(features), rows.sparkSession, None
     kept = [c for c in rows.columns if c != column]
-    x = rows.join(_finite(rows, features).select("dataset", "row_id").distinct(), ["dataset", "row_id"], "left_semi").select(*kept)
-    x = x.withColumns({f: F.col(f).cast("double") for f in names})
+    x = rows.select(*kept).withColumns({f: F.col(f).cast("double") for f in names}).where(_numbers(features) & F.col("row_id").isNotNull())
     sets = sorted(nets)
     for i in range(0, max(len(sets), 1), SETS):
         some = sets[i : i + SETS]
